@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, quality_rules, sharding, warc
+from brindle.llm import mixing, quality_rules, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_ledger": quality_rules.op1_rule_ledger,
     "op3_poisson_replicas": mixing.op3_poisson_replicas,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_feistel_shards": sharding.op6_feistel_shards,
+    "op9_simhash_near_dups": simhash.op9_simhash_near_dups,
     "op10_warc_archive": warc.op10_warc_archive,
 }
 
 SQL: dict[str, str] = {
     "op1_rule_ledger": quality_rules.OP1_SQL,
     "op3_poisson_replicas": mixing.OP3_SQL,
+    "op5_secret_scan": secrets.OP5_SQL,
     "op10_warc_archive": warc.OP10_SQL,
 }
