@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, pieces, quality_ranking, quality_rules, secrets, sharding, simhash, warc
+from brindle.llm import mixing, pieces, pivots, quality_ranking, quality_rules, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_ledger": quality_rules.op1_rule_ledger,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_ranking": quality_ranking.op4_quality_ranking,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_feistel_shards": sharding.op6_feistel_shards,
+    "op7_pivot_near_dups": pivots.op7_pivot_near_dups,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_simhash_near_dups": simhash.op9_simhash_near_dups,
     "op10_warc_archive": warc.op10_warc_archive,
