@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, pieces, pivots, quality_ranking, quality_rules, secrets, sharding, simhash, warc
+from brindle.llm import mixing, pieces, pivots, pseudo_likelihood, quality_ranking, quality_rules, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_ledger": quality_rules.op1_rule_ledger,
+    "op2_pseudo_likelihood": pseudo_likelihood.op2_pseudo_likelihood,
     "op3_poisson_replicas": mixing.op3_poisson_replicas,
     "op4_quality_ranking": quality_ranking.op4_quality_ranking,
     "op5_secret_scan": secrets.op5_secret_scan,
