@@ -1 +1 @@
-"""To be filled."""
+"""Scalar functions: columns in, column out."""

@@ -5,6 +5,645 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import text as t
+from brindle.functions.vectors import cosine, hash_embedding
+from brindle.operators import alerts, analytics, evaluation, exports, graph, merge, pipeline, search, stories
+from brindle.operators.search import SearchRequest
+from brindle.plans.prelude import over
+from brindle.sources import feeds
+from brindle.sources.views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+AS_OF = "2024-03-15 00:00:00"
+#: A common name of the corpus, and words to search for.
+NODE, WORDS = "PER:thndors", "the or"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of Views under its name, with its DuckDB SQL over the prelude's views."""
+
+    def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = over(sql)
+        return f
+
+    return add
+
+
+# ---- aggregations ----
+
+
+@query("""SELECT date_trunc('day', discovered_at)::TIMESTAMP AS bucket, count(*) FILTER (sentiment_label = 'pos') AS pos, count(*) FILTER (sentiment_label = 'neg') AS neg,
+  count(*) FILTER (sentiment_label = 'neutral') AS neutral, round_even(coalesce(avg(sentiment_score), 0.0), 4) AS avg_score FROM visible GROUP BY 1""")
+def sentiment_over_time(v: Views) -> DataFrame:
+    return analytics.sentiment_over_time(v.articles)
+
+
+@query("""SELECT date_trunc('week', discovered_at)::TIMESTAMP AS bucket, count(*) FILTER (sentiment_label = 'pos') AS pos, count(*) FILTER (sentiment_label = 'neg') AS neg,
+  count(*) FILTER (sentiment_label = 'neutral') AS neutral, round_even(coalesce(avg(sentiment_score), 0.0), 4) AS avg_score FROM visible WHERE discovered_at >= TIMESTAMP '2024-03-15' - INTERVAL 30 DAY GROUP BY 1""")
+def sentiment_over_time_window(v: Views) -> DataFrame:
+    return analytics.sentiment_over_time(v.articles, "week", AS_OF, 30)
+
+
+@query("SELECT date_trunc('month', discovered_at)::TIMESTAMP AS bucket, sentiment_label, count(*) AS n, round_even(coalesce(avg(sentiment_score), 0.0), 4) AS avg_score FROM visible GROUP BY 1, 2")
+def label_over_time(v: Views) -> DataFrame:
+    return analytics.label_over_time(v.articles, "month")
+
+
+@query("SELECT date_trunc('day', discovered_at)::TIMESTAMP AS bucket, coalesce(language, 'und') AS language, count(*) AS n FROM visible GROUP BY 1, 2")
+def language_mix(v: Views) -> DataFrame:
+    return analytics.language_mix(v.articles)
+
+
+@query("SELECT node, count(*) AS n FROM mentions WHERE discovered_at >= TIMESTAMP '2024-03-15' - INTERVAL 45 DAY GROUP BY node ORDER BY n DESC, node LIMIT 20")
+def trending_entities(v: Views) -> DataFrame:
+    return analytics.trending(v.mentions, AS_OF, 45)
+
+
+@query("SELECT sentiment_label, count(*) AS n, round_even(coalesce(avg(sentiment_score), 0.0), 4) AS avg_score FROM articles WHERE sentiment_label IS NOT NULL GROUP BY 1")
+def sentiment_distribution(v: Views) -> DataFrame:
+    return analytics.sentiment_distribution(v.articles)
+
+
+@query("SELECT language, sentiment_label, count(*) AS n FROM articles WHERE sentiment_label IS NOT NULL GROUP BY 1, 2")
+def sentiment_by_language(v: Views) -> DataFrame:
+    return analytics.sentiment_by_language(v.articles)
+
+
+@query("SELECT text, label, count(*) AS n FROM mentions GROUP BY 1, 2 ORDER BY n DESC, text, label LIMIT 50")
+def top_entities(v: Views) -> DataFrame:
+    return analytics.top_entities(v.mentions)
+
+
+@query("SELECT label, count(*) AS n FROM mentions GROUP BY 1")
+def entity_stats(v: Views) -> DataFrame:
+    return analytics.entity_stats(v.mentions)
+
+
+@query("SELECT status, count(*) AS n FROM articles GROUP BY 1")
+def status_counts(v: Views) -> DataFrame:
+    return analytics.status_counts(v.articles)
+
+
+@query("SELECT (SELECT count(*) FROM articles) AS articles, count(*) AS sources, count(*) FILTER (enabled) AS enabled_sources FROM sources")
+def health_counts(v: Views) -> DataFrame:
+    return analytics.health_counts(v.articles, v.sources)
+
+
+@query("SELECT count(*) FILTER (sentiment_label = 'pos') AS pos, count(*) FILTER (sentiment_label = 'neg') AS neg, count(*) FILTER (sentiment_label = 'neutral') AS neutral FROM visible")
+def overview_totals(v: Views) -> DataFrame:
+    return analytics.overview_totals(v.articles)
+
+
+_CREDIBILITY = """cred AS (SELECT source_id AS id, count(*) AS total, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'duplicate') AS duplicate FROM articles GROUP BY 1),
+rates AS (SELECT s.*, total, failed, duplicate, round_even(failed / total, 4) AS failed_rate, round_even(duplicate / total, 4) AS duplicate_rate,
+  round_even((1 - failed / total) * (1 - duplicate / total), 4) AS reliability FROM sources s JOIN cred c ON s.id = c.id)"""
+
+
+@query(f", {_CREDIBILITY} SELECT * FROM rates")
+def source_credibility(v: Views) -> DataFrame:
+    return analytics.source_credibility(v.articles, v.sources)
+
+
+@query(f""", {_CREDIBILITY}, scored AS (SELECT id, reliability, round_even(100 * reliability * greatest(0.5, 1 - floor(epoch(TIMESTAMP '2024-03-15' - last_scanned_at) / 86400) / 30), 1) AS score FROM rates)
+SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM scored""")
+def source_grades(v: Views) -> DataFrame:
+    return analytics.source_grades(analytics.source_credibility(v.articles, v.sources), AS_OF).select("id", "reliability", "score", "grade")
+
+
+@query("""SELECT n.node, n.label, count(m.node) AS mentions, max(m.discovered_at) AS last_mention FROM nodes n
+  LEFT JOIN (SELECT * FROM mentions WHERE status NOT IN ('failed', 'duplicate')) m ON n.node = m.node WHERE n.mention_count >= 5 GROUP BY 1, 2""")
+def watchlist_stats(v: Views) -> DataFrame:
+    return analytics.watchlist_stats(v.nodes.where("mention_count >= 5").select("node"), v.nodes, v.mentions)
+
+
+# ---- lists, filters, pages ----
+
+
+@query("SELECT id, title, status, source_id, discovered_at FROM articles WHERE source_id = 0 AND discovered_at >= TIMESTAMP '2024-01-10' AND status = 'analyzed'")
+def list_articles(v: Views) -> DataFrame:
+    return v.articles.where("source_id = 0 and discovered_at >= timestamp_ntz'2024-01-10' and status = 'analyzed'").select("id", "title", "status", "source_id", "discovered_at")
+
+
+@query("SELECT id, title, status FROM articles ORDER BY discovered_at DESC, id LIMIT 50 OFFSET 100")
+def article_page(v: Views) -> DataFrame:
+    return v.articles.orderBy(F.desc_nulls_first("discovered_at"), "id").offset(100).limit(50).select("id", "title", "status")
+
+
+@query("SELECT id, title, sentiment_label FROM articles WHERE sentiment_label IS NOT NULL ORDER BY published_at DESC NULLS FIRST, id LIMIT 20")
+def sentiment_recent(v: Views) -> DataFrame:
+    return v.articles.where("sentiment_label is not null").orderBy(F.desc_nulls_first("published_at"), "id").limit(20).select("id", "title", "sentiment_label")
+
+
+@query("SELECT DISTINCT text, label FROM mentions WHERE text ILIKE '%tion%' AND label = 'ORG'")
+def entities_ilike(v: Views) -> DataFrame:
+    return v.mentions.where(F.col("text").ilike("%tion%") & (F.col("label") == F.upper(F.lit("org")))).select("text", "label").distinct()
+
+
+@query("SELECT node, canonical, label, mention_count, first_seen, last_seen FROM nodes")
+def resolve_nodes(v: Views) -> DataFrame:
+    return v.nodes.drop("aliases")
+
+
+@query("SELECT node, mention_count FROM nodes")
+def node_mention_counts(v: Views) -> DataFrame:
+    return v.mentions.groupBy("node").agg(F.count("*").alias("mention_count"))
+
+
+# ---- search ----
+
+_TOKENS = """toks AS (SELECT *, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(replace(coalesce(title, '') || ' ' || coalesce(content, ''), 'ı', 'i'))), '\\s+', ' ', 'g'), '[^a-z ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '') AS tokens FROM visible)"""
+
+
+@query(f", {_TOKENS} SELECT id, title, round_even(list_sum(list_transform(range(1, len(list_filter(tokens, lambda x: x = 'reason')) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685, 4) AS rank FROM toks WHERE list_contains(tokens, 'reason')")
+def search_ranked(v: Views) -> DataFrame:
+    return search.search(v.articles, SearchRequest(q="reason")).select("id", "title", "rank")
+
+
+@query(f", {_TOKENS} SELECT id, title FROM toks WHERE (list_contains(tokens, 'that') AND list_contains(tokens, 'with')) OR (list_contains(tokens, 'que') AND list_contains(tokens, 'para'))")
+def search_match(v: Views) -> DataFrame:
+    return search.search(v.articles, SearchRequest(q="that with OR que para")).select("id", "title")
+
+
+@query("SELECT id, s.name AS source, language FROM visible JOIN (SELECT id AS sid, name FROM sources) s ON source_id = sid WHERE language IN ('en', 'de') AND sentiment_label IN ('pos', 'neutral') AND discovered_at >= TIMESTAMP '2024-01-05' AND discovered_at <= TIMESTAMP '2024-02-20'")
+def search_filtered(v: Views) -> DataFrame:
+    from datetime import date
+
+    request = SearchRequest(languages=("en", "de"), sentiments=("pos", "neutral"), date_from=date(2024, 1, 5), date_to=date(2024, 2, 20))
+    return search.search(v.articles, request, v.sources).select("id", "source", "language")
+
+
+@query("SELECT id, title FROM visible WHERE id IN (SELECT article_id FROM mentions WHERE canonical = 'thereon') OR id IN (SELECT article_id FROM mentions WHERE canonical = 'thereon')")
+def search_entity_semi(v: Views) -> DataFrame:
+    return search.search(v.articles, SearchRequest(entity="thereon"), mentions=v.mentions).select("id", "title")
+
+
+@query("SELECT id, title FROM visible WHERE id IN (SELECT article_id FROM triples WHERE predicate = 'met_with')")
+def search_predicate_semi(v: Views) -> DataFrame:
+    return search.search(v.articles, SearchRequest(predicate="met_with"), triples=v.triples).select("id", "title")
+
+
+@query("""SELECT a.id, a.title, coalesce(array_to_string(e.names[1:5], ','), '') AS entities FROM visible a
+  LEFT JOIN (SELECT article_id, list(canonical ORDER BY start, canonical) AS names FROM mentions GROUP BY 1) e ON a.id = e.article_id""")
+def search_with_entities(v: Views) -> DataFrame:
+    rows = search.with_entities(search.search(v.articles, SearchRequest()), v.mentions)
+    return rows.select("id", "title", F.coalesce(F.array_join("entities", ","), F.lit("")).alias("entities"))
+
+
+@query("SELECT vec_id, label, round_even(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10")
+def semantic_topk(v: Views) -> DataFrame:
+    vectors = v.table("embeddings")
+    one = vectors.where("vec_id = 0").select("embedding").first()[0]
+    return search.semantic_topk(vectors, one, 10).select("vec_id", "label", F.bround("similarity", 4).alias("similarity"))
+
+
+@query("SELECT e.vec_id, round_even(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q")
+def vector_cosine(v: Views) -> DataFrame:
+    vectors = v.table("embeddings")
+    one = vectors.where("vec_id = 1").select("embedding").first()[0]
+    return vectors.select("vec_id", F.bround(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in one])), 4).alias("similarity"))
+
+
+# ---- graph ----
+
+
+@query("SELECT a, b, weight FROM edges")
+def cooccurrence_edges(v: Views) -> DataFrame:
+    return v.edges
+
+
+@query("SELECT e.a, e.b, e.weight, x.canonical AS a_text, y.canonical AS b_text, x.label AS a_label, y.label AS b_label FROM edges e JOIN nodes x ON e.a = x.node JOIN nodes y ON e.b = y.node WHERE x.label = 'PER' OR y.label = 'PER'")
+def graph_touching_label(v: Views) -> DataFrame:
+    return graph.touching(v.edges, v.nodes, "PER")
+
+
+@query("""SELECT a, b, weight FROM edges WHERE a IN (SELECT node FROM nodes ORDER BY mention_count DESC, node LIMIT 100) AND b IN (SELECT node FROM nodes ORDER BY mention_count DESC, node LIMIT 100)""")
+def graph_induced_topn(v: Views) -> DataFrame:
+    return graph.induced_topn(v.edges, v.nodes, 100)
+
+
+_TOP = "(SELECT node FROM nodes ORDER BY mention_count DESC, node LIMIT 1)"
+
+
+def _top_node(v: Views) -> str:
+    row = v.nodes.orderBy(F.desc("mention_count"), "node").select("node").first()
+    return row[0] if row else ""
+
+
+@query(f"""SELECT o.other, o.weight, n.canonical, n.label FROM (SELECT CASE WHEN a = {_TOP} THEN b ELSE a END AS other, weight FROM edges WHERE a = {_TOP} OR b = {_TOP} ORDER BY weight DESC, other LIMIT 15) o JOIN nodes n ON n.node = o.other""")
+def entity_ego_edges(v: Views) -> DataFrame:
+    return graph.ego_edges(v.edges, v.nodes, _top_node(v))
+
+
+@query("""SELECT 'total' AS kind, 'nodes' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'total', 'edges', count(*) FROM edges UNION ALL SELECT 'total', 'triples', count(*) FROM triples
+  UNION ALL SELECT 'label', label, sum(mention_count)::BIGINT FROM nodes GROUP BY label UNION ALL SELECT 'predicate', predicate, count(*) FROM triples GROUP BY predicate""")
+def graph_stats(v: Views) -> DataFrame:
+    return graph.graph_stats(v.nodes, v.edges, v.triples)
+
+
+@query("SELECT t.subject, t.object, t.predicate, t.article_id, t.confidence, x.canonical AS a_text, y.canonical AS b_text, x.label AS a_label, y.label AS b_label FROM triples t JOIN nodes x ON t.subject = x.node JOIN nodes y ON t.object = y.node")
+def graph_relationships(v: Views) -> DataFrame:
+    return graph.with_ends(v.triples, v.nodes, "subject", "object")
+
+
+@query("SELECT subject, object, predicate, article_id, confidence FROM triples ORDER BY confidence DESC, article_id, subject, object, predicate LIMIT 500")
+def top_triples(v: Views) -> DataFrame:
+    return v.triples.orderBy(F.desc("confidence"), "article_id", "subject", "object", "predicate").limit(500)
+
+
+@query("SELECT node, sum(weight)::BIGINT AS degree, count(*) AS neighbours FROM (SELECT a AS node, weight FROM edges UNION ALL SELECT b, weight FROM edges) GROUP BY node")
+def weighted_degree(v: Views) -> DataFrame:
+    return graph.weighted_degree(v.edges)
+
+
+@query(f"SELECT DISTINCT node FROM (SELECT a AS node FROM edges WHERE a = {_TOP} OR b = {_TOP} UNION ALL SELECT b FROM edges WHERE a = {_TOP} OR b = {_TOP})")
+def neighbors_1hop(v: Views) -> DataFrame:
+    return graph.neighbours(v.edges, _top_node(v))
+
+
+@query(f"SELECT m.article_id AS id, m.text, a.title, a.discovered_at, a.source_id, s.name AS source FROM mentions m JOIN articles a ON a.id = m.article_id JOIN sources s ON s.id = a.source_id WHERE m.node = {_TOP}")
+def entity_articles(v: Views) -> DataFrame:
+    return graph.entity_articles(v.articles, v.mentions, v.sources, _top_node(v))
+
+
+@query(f"SELECT count(*) AS mentions, min(a.discovered_at) AS first_seen, max(a.discovered_at) AS last_seen FROM mentions m JOIN articles a ON a.id = m.article_id WHERE m.node = {_TOP}")
+def entity_dossier_stats(v: Views) -> DataFrame:
+    return graph.dossier_stats(v.articles, v.mentions, _top_node(v))
+
+
+@query(f""", own AS (SELECT a.sentiment_label, a.language FROM mentions m JOIN articles a ON a.id = m.article_id WHERE m.node = {_TOP})
+SELECT 'sentiment' AS kind, sentiment_label AS name, count(*) AS n FROM own GROUP BY 2 UNION ALL SELECT 'language', language, count(*) FROM own GROUP BY 2""")
+def entity_dossier_distributions(v: Views) -> DataFrame:
+    return graph.dossier_distributions(v.articles, v.mentions, _top_node(v))
+
+
+_COMPONENTS = """ends AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edges),
+walk AS (SELECT x AS node, x AS root FROM ends UNION SELECT e.y, w.root FROM walk w JOIN ends e ON e.x = w.node)"""
+
+
+@query(None)
+def entity_components(v: Views) -> DataFrame:
+    return graph.edge_components(v.edges)
+
+
+@query(None)
+def graph_communities(v: Views) -> DataFrame:
+    return graph.communities(v.edges)
+
+
+@query(None)
+def cluster_summary(v: Views) -> DataFrame:
+    return graph.cluster_summary(graph.communities(v.edges), v.nodes)
+
+
+@query(None)
+def relationship_triples(v: Views) -> DataFrame:
+    return graph.relationship_triples(v.articles, v.mentions)
+
+
+# ---- merging ----
+
+
+@query(None)
+def entity_similarity_join(v: Views) -> DataFrame:
+    return merge.similar_pairs(v.nodes)
+
+
+@query(None)
+def entity_clusters(v: Views) -> DataFrame:
+    return merge.clusters(merge.similar_pairs(v.nodes, 0.9), v.nodes)
+
+
+#: Nodes whose names begin with the same five letters stand for one knowledge-base item.
+_QID = "nq AS (SELECT *, 'Q' || substr(canonical, 1, 5) AS wikidata_id FROM nodes), best AS (SELECT wikidata_id, arg_min(node, (-mention_count, node)) AS canonical_node FROM nq GROUP BY 1 HAVING count(*) > 1), map AS (SELECT n.node, b.canonical_node FROM nq n JOIN best b USING (wikidata_id) WHERE n.node <> b.canonical_node)"
+
+
+def _with_ids(v: Views) -> DataFrame:
+    return v.nodes.withColumn("wikidata_id", F.concat(F.lit("Q"), F.substring("canonical", 1, 5)))
+
+
+@query(f", {_QID} SELECT node, canonical_node FROM map")
+def merge_qid_mapping(v: Views) -> DataFrame:
+    return merge.qid_mapping(_with_ids(v))
+
+
+_MOVED = "moved AS (SELECT coalesce(m.canonical_node, e.a) AS a, coalesce(n.canonical_node, e.b) AS b, weight FROM edges e LEFT JOIN map m ON m.node = e.a LEFT JOIN map n ON n.node = e.b)"
+
+
+@query(f", {_QID}, {_MOVED} SELECT least(a, b) AS a, greatest(a, b) AS b, max(weight) AS weight FROM moved WHERE a <> b GROUP BY 1, 2")
+def merge_apply_qid(v: Views) -> DataFrame:
+    return merge.merge_edges(v.edges, merge.qid_mapping(_with_ids(v)), "max")
+
+
+@query(f", {_QID}, {_MOVED} SELECT least(a, b) AS a, greatest(a, b) AS b, sum(weight)::BIGINT AS weight FROM moved WHERE a <> b GROUP BY 1, 2")
+def merge_apply_similarity(v: Views) -> DataFrame:
+    return merge.merge_edges(v.edges, merge.qid_mapping(_with_ids(v)), "sum")
+
+
+@query(f", {_QID} SELECT coalesce(m.canonical_node, n.node) AS node, sum(mention_count)::BIGINT AS mention_count FROM nodes n LEFT JOIN map m ON m.node = n.node GROUP BY 1")
+def merge_node_counts(v: Views) -> DataFrame:
+    return merge.merge_nodes(_with_ids(v), merge.qid_mapping(_with_ids(v))).select("node", "mention_count")
+
+
+@query(f""", {_QID} SELECT coalesce(m.canonical_node, t.subject) AS subject, coalesce(n.canonical_node, t.object) AS object, predicate, article_id, max(confidence) AS confidence
+  FROM triples t LEFT JOIN map m ON m.node = t.subject LEFT JOIN map n ON n.node = t.object GROUP BY 1, 2, 3, 4""")
+def merge_triples(v: Views) -> DataFrame:
+    return merge.merge_triples(v.triples, merge.qid_mapping(_with_ids(v)))
+
+
+# ---- stories ----
+
+
+@query("SELECT story_id, article_id FROM story_articles")
+def story_members(v: Views) -> DataFrame:
+    return v.story_articles
+
+
+@query("""SELECT s.story_id, coalesce(a.published_at, a.discovered_at)::DATE AS day, count(*) AS n, round_even(avg(a.sentiment_score), 4) AS avg_score, count(*) FILTER (a.sentiment_label = 'pos') AS pos,
+  count(*) FILTER (a.sentiment_label = 'neg') AS neg, count(*) FILTER (a.sentiment_label = 'neutral') AS neutral FROM story_articles s JOIN articles a ON a.id = s.article_id GROUP BY 1, 2""")
+def story_timeline(v: Views) -> DataFrame:
+    return stories.timeline(v.story_articles, v.articles)
+
+
+_DOMINANT = """, lang AS (SELECT story_id, language, count(*) AS c FROM story_articles s JOIN articles a ON a.id = s.article_id WHERE language IS NOT NULL GROUP BY 1, 2),
+sent AS (SELECT story_id, sentiment_label, count(*) AS c FROM story_articles s JOIN articles a ON a.id = s.article_id WHERE sentiment_label IS NOT NULL GROUP BY 1, 2),
+dom AS (SELECT story_id, l.language AS dominant_language, x.sentiment_label AS dominant_sentiment FROM (SELECT story_id, arg_min(language, (-c, language)) AS language FROM lang GROUP BY 1) l
+  FULL JOIN (SELECT story_id, arg_min(sentiment_label, (-c, sentiment_label)) AS sentiment_label FROM sent GROUP BY 1) x USING (story_id))"""
+
+
+@query(_DOMINANT + " SELECT * FROM dom")
+def story_dominants(v: Views) -> DataFrame:
+    return stories.dominants(v.story_articles, v.articles)
+
+
+@query(_DOMINANT + """, facts AS (SELECT story_id, count(*) AS member_count, round_even(avg(sentiment_score), 4) AS avg_score, min(discovered_at) AS first_seen, max(discovered_at) AS last_seen
+  FROM story_articles s JOIN articles a ON a.id = s.article_id GROUP BY 1), ns AS (SELECT story_id, array_to_string(list_sort(list_distinct(list(node))), ',') AS nodes FROM story_articles JOIN mentions USING (article_id) GROUP BY 1)
+  SELECT story_id, member_count, avg_score, first_seen, last_seen, dominant_language, dominant_sentiment, nodes FROM facts LEFT JOIN dom USING (story_id) LEFT JOIN ns USING (story_id)""")
+def story_recompute(v: Views) -> DataFrame:
+    return stories.story_recompute(v.story_articles, v.articles, v.mentions).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query("SELECT story_id, arg_min(title, (-length(title), article_id)) AS summary FROM story_articles s JOIN articles a ON a.id = s.article_id GROUP BY 1")
+def story_longest_summary(v: Views) -> DataFrame:
+    return stories.longest_summary(v.story_articles, v.articles.select(F.col("id").alias("article_id"), F.col("title").alias("summary")))
+
+
+@query(_DOMINANT + " SELECT story_id, dominant_language, dominant_sentiment FROM dom WHERE dominant_language = 'en' AND dominant_sentiment = 'pos'")
+def stories_list(v: Views) -> DataFrame:
+    return stories.listed(stories.dominants(v.story_articles, v.articles), "EN", "pos")
+
+
+@query("""SELECT s.article_id, a.title, a.source_id, a.published_at, a.discovered_at, o.name AS source FROM story_articles s JOIN articles a ON a.id = s.article_id JOIN sources o ON o.id = a.source_id
+  WHERE s.story_id = (SELECT min(story_id) FROM story_articles)""")
+def story_detail(v: Views) -> DataFrame:
+    row = v.story_articles.agg(F.min("story_id")).first()
+    return stories.members_in_order(v.story_articles, v.articles, v.sources, row[0] if row[0] is not None else -1).select("article_id", "title", "source_id", "published_at", "discovered_at", "source")
+
+
+@query("""SELECT a, b, shared, round_even(j, 4) AS jaccard FROM (SELECT x.article_id AS a, y.article_id AS b, count(*) AS shared, count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) AS j
+  FROM titles x JOIN titles y ON x.node = y.node AND x.article_id < y.article_id JOIN (SELECT article_id, count(*) AS n FROM titles GROUP BY 1) nx ON nx.article_id = x.article_id
+  JOIN (SELECT article_id, count(*) AS n FROM titles GROUP BY 1) ny ON ny.article_id = y.article_id GROUP BY 1, 2) WHERE j >= 0.5""")
+def jaccard_pairs(v: Views) -> DataFrame:
+    return stories.jaccard_pairs(v.titles)
+
+
+@query(None)
+def story_assignment(v: Views) -> DataFrame:
+    return stories.story_assignment(v.articles, v.titles)
+
+
+@query(f""", {_QID} SELECT story_id, array_to_string(list_sort(list_distinct(list(coalesce(m.canonical_node, x.node)))), ',') AS nodes FROM story_articles JOIN mentions x USING (article_id) LEFT JOIN map m ON m.node = x.node GROUP BY 1""")
+def story_repoint(v: Views) -> DataFrame:
+    sets = v.story_articles.join(v.mentions.select("article_id", "node"), "article_id").groupBy("story_id").agg(F.collect_set("node").alias("nodes"))
+    return stories.repoint(sets, merge.qid_mapping(_with_ids(v))).withColumn("nodes", F.array_join("nodes", ","))
+
+
+# ---- alerts and pipeline ----
+
+
+def _rules(v: Views) -> DataFrame:
+    rows = [(1, "words", "reason, season", None, None, None, "both", True), (2, "bad news", None, ["en", "de"], -0.3, None, "both", True), (3, "name", None, None, None, "LOC:thereon", "both", True), (4, "off", None, None, None, None, "both", False)]
+    return v.spark.createDataFrame(rows, alerts.RULES)
+
+
+_ALERTS = """, hits AS (SELECT 1 AS rule_id, id AS article_id, 'keyword: reason, season' AS reason FROM articles WHERE contains(lower(title || chr(10) || content), 'reason') OR contains(lower(title || chr(10) || content), 'season')
+  UNION ALL SELECT 2, id, 'language: en,de; sentiment <= -0.3' FROM articles WHERE language IN ('en', 'de') AND sentiment_score <= -0.3
+  UNION ALL SELECT 3, id, 'entity: LOC:thereon' FROM articles WHERE id IN (SELECT article_id FROM mentions WHERE node = 'LOC:thereon'))"""
+
+
+@query(_ALERTS + " SELECT rule_id::BIGINT AS rule_id, article_id, reason FROM hits")
+def alert_match(v: Views) -> DataFrame:
+    return alerts.match(v.articles, _rules(v), v.mentions)
+
+
+@query(_ALERTS + " SELECT rule_id::BIGINT AS rule_id, article_id, reason FROM hits WHERE article_id IN (SELECT id FROM articles WHERE discovered_at >= TIMESTAMP '2024-01-15') AND rule_id <> 2")
+def alerts_incremental(v: Views) -> DataFrame:
+    known = alerts.match(v.articles, _rules(v).where("id = 2"), v.mentions).select("rule_id", "article_id")
+    return alerts.scan(v.articles, _rules(v), v.mentions, known, "2024-01-15 00:00:00")
+
+
+@query("SELECT id, duplicate_of_id FROM articles WHERE duplicate_of_id IS NOT NULL")
+def dedup_content(v: Views) -> DataFrame:
+    return pipeline.dedup_content(v.articles)
+
+
+@query("""SELECT sha256(lower(regexp_replace(trim(url), '/+$', ''))) AS url_hash, min(page_id) AS page_id FROM pages GROUP BY 1""")
+def dedup_url(v: Views) -> DataFrame:
+    pages = v.table("pages").select("page_id", "url")
+    return pipeline.dedup_url(pages, pages.select(t.url_hash(F.col("url")).alias("url_hash")).limit(0), first="page_id").select("url_hash", "page_id")
+
+
+def _tries(v: Views) -> DataFrame:
+    """Events as articles at work: the type is the state, the value the retries."""
+    return v.table("events").select(
+        F.col("event_id").alias("id"), F.expr("CASE event_type WHEN 'view' THEN 'new' WHEN 'click' THEN 'fetched' WHEN 'purchase' THEN 'extracted' ELSE 'sentiment_done' END").alias("status"),
+        F.col("ts").alias("discovered_at"), F.expr("CASE WHEN value < 5 THEN NULL ELSE timestampadd(MINUTE, cast(value as int), ts) END").alias("started_at"), F.expr("cast(value % 5 as int)").alias("retry_count"),
+    )
+
+
+_TRIES = """, tries AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'new' WHEN 'click' THEN 'fetched' WHEN 'purchase' THEN 'extracted' ELSE 'sentiment_done' END AS status, ts AS discovered_at,
+  CASE WHEN value < 5 THEN NULL ELSE ts + to_minutes(CAST(floor(value) AS BIGINT)) END AS started_at, CAST(floor(value % 5) AS INT) AS retry_count FROM events)"""
+
+
+@query(_TRIES + " SELECT id, status, retry_count FROM tries WHERE status IN ('new', 'fetched') AND (started_at IS NULL OR started_at < TIMESTAMP '2024-01-20' - INTERVAL 5 MINUTE) AND retry_count < 3 ORDER BY discovered_at, id LIMIT 200")
+def claimable_articles(v: Views) -> DataFrame:
+    return pipeline.claimable(_tries(v), "extract", "2024-01-20 00:00:00", 200).select("id", "status", "retry_count")
+
+
+@query(_TRIES + """ SELECT id, CASE WHEN started_at IS NOT NULL THEN 'extracted' WHEN retry_count + 1 >= 3 THEN 'failed' ELSE 'new' END AS status, CASE WHEN started_at IS NULL THEN retry_count + 1 ELSE 0 END AS retry_count FROM tries WHERE status IN ('new', 'fetched')""")
+def retry_transition(v: Views) -> DataFrame:
+    rows = _tries(v).where("status in ('new', 'fetched')")
+    return pipeline.retry_transition(rows, F.col("started_at").isNull(), "extract").select("id", "status", "retry_count")
+
+
+# ---- text functions ----
+
+_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({0})), '\\s+', ' ', 'g'), '[^a-z ]', '', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"SELECT id, {_NORM.format('content')} AS norm FROM articles")
+def normalize_text(v: Views) -> DataFrame:
+    return v.articles.select("id", t.normalized(F.col("content")).alias("norm"))
+
+
+@query(f"SELECT id, len(list_filter(string_split({_NORM.format('content')}, ' '), lambda x: x <> ''))::INT AS n FROM articles")
+def tokenize(v: Views) -> DataFrame:
+    return v.articles.select("id", F.size(t.tokens(t.normalized(F.col("content")))).alias("n"))
+
+
+@query("""SELECT id, CASE WHEN trim(content) = '' THEN 'en' WHEN regexp_matches(content, '[Ѐ-ӿ]') THEN 'mk' WHEN regexp_matches(content, '[ğışĞİŞ]') THEN 'tr' WHEN regexp_matches(content, '[ëË]') THEN 'sq' ELSE 'en' END AS language FROM articles""")
+def detect_language(v: Views) -> DataFrame:
+    return v.articles.select("id", t.language_by_cues(F.col("content")).alias("language"))
+
+
+@query("SELECT page_id, sha256(lower(regexp_replace(trim(url), '/+$', ''))) AS url_hash FROM pages")
+def url_hash(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", t.url_hash(F.col("url")).alias("url_hash"))
+
+
+@query("SELECT id, len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> ''))::INT AS n FROM articles")
+def word_count(v: Views) -> DataFrame:
+    return v.articles.select("id", t.word_count(F.col("content")).alias("n"))
+
+
+@query(None)
+def extractive_summary(v: Views) -> DataFrame:
+    return v.articles.select("id", t.summary(F.col("content")).alias("summary"))
+
+
+@query(None)
+def detect_predicate(v: Views) -> DataFrame:
+    return v.articles.select("id", t.predicate(F.col("content")).alias("predicate"))
+
+
+@query("SELECT node, CASE WHEN canonical LIKE '%i' OR canonical LIKE '%e' OR canonical LIKE '%a' THEN canonical[:-2] WHEN regexp_matches(canonical, '(ov|it|ut|at|et|te|ja|ve|ne|se)$') THEN canonical[:-3] WHEN regexp_matches(canonical, '(ish|ski|ska|ova)$') THEN canonical[:-4] ELSE canonical END AS base FROM nodes")
+def base_form(v: Views) -> DataFrame:
+    return v.nodes.select("node", t.base_form(F.col("canonical")).alias("base"))
+
+
+@query(None)
+def lexicon_sentiment(v: Views) -> DataFrame:
+    rows = v.articles.select("id", t.lexicon_sentiment(t.normalized(F.col("content")), F.lit("mk")).alias("s"))
+    return rows.select("id", "s.score", "s.label", "s.hits")
+
+
+@query(None)
+def hash_embeddings(v: Views) -> DataFrame:
+    return v.articles.select("id", hash_embedding("content").alias("vector"))
+
+
+@query(None)
+def extract_stage(v: Views) -> DataFrame:
+    return pipeline.extract_stage(v.articles).select("id", "content_hash", "summary", "language", "word_count", "status")
+
+
+@query(None)
+def analyze_stage(v: Views) -> DataFrame:
+    return pipeline.analyze_stage(v.articles.withColumn("summary", F.col("title"))).select("id", "language", "sentiment_score", "sentiment_label", "status")
+
+
+# ---- pages and exports ----
+
+
+@query(None)
+def html_extract(v: Views) -> DataFrame:
+    return feeds.html_extract(v.table("pages"))
+
+
+@query(None)
+def homepage_links(v: Views) -> DataFrame:
+    return feeds.homepage_links(v.table("pages"), None)
+
+
+_CSV = "id::VARCHAR AS id, coalesce(title, '') AS title, coalesce(language, '') AS language, status, coalesce(sentiment_label, '') AS sentiment_label, coalesce(sentiment_score::VARCHAR, '') AS sentiment_score, source_id::VARCHAR AS source_id, strftime(discovered_at, '%Y-%m-%d %H:%M:%S') AS discovered_at"
+
+
+@query(f"SELECT {_CSV} FROM articles WHERE status = 'analyzed' AND discovered_at >= TIMESTAMP '2024-01-08'")
+def export_articles(v: Views) -> DataFrame:
+    return exports.export_articles(v.articles, status="analyzed", since="2024-01-08")
+
+
+@query(f", {_TOKENS} SELECT {_CSV} FROM toks WHERE list_contains(tokens, 'reason')")
+def export_search(v: Views) -> DataFrame:
+    return exports.export_search(v.articles, SearchRequest(q="reason"))
+
+
+@query(f"SELECT {_CSV} FROM articles WHERE id IN (SELECT article_id FROM story_articles WHERE story_id = (SELECT min(story_id) FROM story_articles))")
+def export_story(v: Views) -> DataFrame:
+    row = v.story_articles.agg(F.min("story_id")).first()
+    return exports.export_story(v.story_articles, v.articles, row[0] if row[0] is not None else -1)
+
+
+@query(None)
+def pdf_blocks(v: Views) -> DataFrame:
+    return exports.page_blocks(v.articles)
+
+
+# ---- generic shapes over the relational tables ----
+
+
+@query("SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS filled, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 4) AS rate FROM orders GROUP BY 1")
+def order_status_rates(v: Views) -> DataFrame:
+    rows = v.table("orders").groupBy("o_custkey").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("filled"))
+    return rows.withColumn("rate", F.round(F.col("filled") / F.col("total"), 4))
+
+
+@query("SELECT n.n_name, r.r_name, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2")
+def orders_by_nation(v: Views) -> DataFrame:
+    o, c, n, r = (v.table(x) for x in ("orders", "customer", "nation", "region"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy("n_name", "r_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def customers_without_orders(v: Views) -> DataFrame:
+    return v.table("customer").join(v.table("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS price, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def lineitem_summary(v: Views) -> DataFrame:
+    return v.table("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round_even(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def event_windows(v: Views) -> DataFrame:
+    rows = v.table("events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 2).alias("total"))
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+# ---- evaluation ----
+
+
+def _gold(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Mentions as gold spans, and those of the first title line as predictions."""
+    lang = v.articles.select(F.col("id").alias("article_id"), "language", F.length("title").alias("tl"))
+    rows = v.mentions.join(lang, "article_id").select(F.col("article_id").alias("id"), F.col("language").alias("lang"), "start", "stop", F.col("label").alias("type"), "tl")
+    return rows.drop("tl"), rows.where("stop <= tl").drop("tl")
+
+
+@query("""SELECT lang, type, tp, 0::BIGINT AS fp, fn, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, round_even(tp / (tp + fn), 4) AS recall,
+  round_even(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fn)) / (1 + tp / (tp + fn)) ELSE 0 END, 4) AS f1 FROM
+  (SELECT language AS lang, m.label AS type, count(*) FILTER (stop <= length(title)) AS tp, count(*) FILTER (stop > length(title)) AS fn FROM mentions m JOIN articles a ON a.id = m.article_id GROUP BY CUBE (language, m.label))""")
+def ner_prf(v: Views) -> DataFrame:
+    return evaluation.ner_prf(*_gold(v))
+
+
+@query(None)
+def ner_prf_relaxed(v: Views) -> DataFrame:
+    return evaluation.relaxed_matches(*_gold(v))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY 1")
+def latency_percentiles(v: Views) -> DataFrame:
+    return evaluation.latency_percentiles(v.table("events"), "event_type", "value")
+
+
+@query("""SELECT id, language, source_id FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY more, place) AS r FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY language, source_id ORDER BY place) <= 20 THEN 0 ELSE 1 END AS more
+  FROM (SELECT id, language, source_id, sha256('1:' || id) AS place FROM articles))) WHERE r <= 50""")
+def stratified_sample(v: Views) -> DataFrame:
+    return evaluation.stratified_sample(v.articles)

@@ -1 +1 @@
-"""To be filled."""
+"""Readers, and the news data model derived from the given tables."""

@@ -1 +1 @@
-"""To be filled."""
+"""The same operators over streams."""
