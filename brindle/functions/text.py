@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,8 +56,6 @@ def normalized(text: Column) -> Column:
 
 def normalized_exactly(text: Column) -> Column:
     """The same for every character, through Arrow."""
-    import pandas as pd
-
     _, _, several = fold_table()
     rare = {ord(c): p for c, p in several.items()}
 
@@ -130,24 +130,38 @@ def sentences(text: Column, ends: str = ".!?") -> Column:
     return F.filter(F.transform(parts, F.trim), lambda x: x != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def summary(text: Column, most: int = 220) -> Column:
     """The leading sentences of fair length that fit, in their order.
 
     A sentence's score falls with its place; one shorter than 40 or longer than 220
     characters loses 0.4. The best are taken until one no longer fits.
     """
-    every = sentences(text, ends=".!?…")
-    places = F.transform(every, lambda s, i: F.struct((-(1.0 - i / F.size(every)) + F.when(F.length(s).between(40, 220), 0.0).otherwise(0.4)).alias("loss"), i.alias("i"), s.alias("s")))
-    start = F.struct(F.lit(0).alias("used"), F.lit(True).alias("open"), F.array().cast("array<struct<i:int,s:string>>").alias("taken"))
-
-    def take(acc: Column, x: Column) -> Column:
-        fits = acc["open"] & ((acc["used"] == 0) | (acc["used"] + F.length(x["s"]) + 1 <= most))
-        more = F.concat(acc["taken"], F.array(F.struct(F.array_position(every, x["s"]).cast("int").alias("i"), x["s"].alias("s"))))
-        return F.struct((acc["used"] + F.when(fits, F.length(x["s"]) + 1).otherwise(0)).alias("used"), fits.alias("open"), F.when(fits, more).otherwise(acc["taken"]).alias("taken"))
-
-    picked = F.aggregate(F.array_sort(places), start, take, lambda a: F.array_join(F.transform(F.array_sort(a["taken"]), lambda t: t["s"]), " "))
-    total = F.aggregate(every, F.lit(0), lambda a, s: a + F.length(s))
-    return F.when(F.size(every) == 0, "").when(total <= most, F.array_join(every, " ")).otherwise(picked)
+
+    def picked(every: Column) -> Column:
+        def placed(s: Column, i: Column) -> Column:
+            loss = -(1.0 - i / F.size(every)) + F.when(F.length(s).between(40, 220), 0.0).otherwise(0.4)
+            return F.struct(loss.alias("loss"), i.alias("i"), s.alias("s"))
+
+        def take(acc: Column, x: Column) -> Column:
+            fits = acc["open"] & ((acc["used"] == 0) | (acc["used"] + F.length(x["s"]) + 1 <= most))
+            place = F.array_position(every, x["s"]).cast("int")  # an equal sentence's first place
+            more = F.concat(acc["taken"], F.array(F.struct(place.alias("i"), x["s"].alias("s"))))
+            return F.when(fits, F.struct((acc["used"] + F.length(x["s"]) + 1).alias("used"), F.lit(True).alias("open"), more.alias("taken"))).otherwise(
+                F.struct(acc["used"].alias("used"), F.lit(False).alias("open"), acc["taken"].alias("taken"))
+            )
+
+        start = F.struct(F.lit(0).alias("used"), F.lit(True).alias("open"), F.array().cast("array<struct<i:int,s:string>>").alias("taken"))
+        in_order = lambda a: F.array_join(F.transform(F.array_sort(a["taken"]), lambda t: t["s"]), " ")
+        chosen = F.aggregate(F.array_sort(F.transform(every, placed)), start, take, in_order)
+        total = F.aggregate(every, F.lit(0), lambda a, s: a + F.length(s))
+        return F.when(F.size(every) == 0, "").when(total <= most, F.array_join(every, " ")).otherwise(chosen)
+
+    return bound(sentences(text, ends=".!?…"), picked)
 
 
 def _phrases() -> list[tuple[str, str]]:
