@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as t
-from brindle.functions.vectors import cosine, hash_embedding
-from brindle.operators import alerts, analytics, evaluation, exports, graph, merge, pipeline, search, stories
+from brindle.functions.vectors import cosine, entity_similarity, hash_embedding, resolve_spans, span_iou
+from brindle.operators import alerts, analytics, evaluation, exports, graph, index, merge, pipeline, search, stories
 from brindle.operators.search import SearchRequest
 from brindle.plans.prelude import over
 from brindle.sources import feeds
@@ -647,3 +647,145 @@ def latency_percentiles(v: Views) -> DataFrame:
   FROM (SELECT id, language, source_id, sha256('1:' || id) AS place FROM articles))) WHERE r <= 50""")
 def stratified_sample(v: Views) -> DataFrame:
     return evaluation.stratified_sample(v.articles)
+
+
+# ---- further operators over the given tables ----
+
+
+@query(f""", {_TOKENS}, qs AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, '.', 1))), '[^a-z ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '')[1:2]) AS terms FROM benchmark)
+SELECT q.item_id AS query_id, t.id FROM qs q JOIN toks t ON list_has_all(t.tokens, q.terms) WHERE len(q.terms) > 0""")
+def search_many(v: Views) -> DataFrame:
+    """The first two words of each benchmark item as queries, all at once."""
+    words = t.tokens(t.normalized(F.split_part("text", F.lit("."), F.lit(1))))
+    queries = v.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.slice(words, 1, 2)).alias("terms"))
+    return index.search_many(index.postings(search.with_tokens(v.visible)), queries).select("query_id", "id")
+
+
+@query("SELECT vec_id, round(1 / (1 + exp(embedding[2]::DOUBLE - embedding[1]::DOUBLE) + exp(embedding[3]::DOUBLE - embedding[1]::DOUBLE)), 6) AS p_neg FROM embeddings WHERE embedding[1] > embedding[2] AND embedding[1] > embedding[3]")
+def softmax_sentiment(v: Views) -> DataFrame:
+    """The first three components of each vector as logits; those whose first is the greatest."""
+    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    rows = v.table("embeddings").select("vec_id", t.softmax_sentiment(logits).alias("s"))
+    return rows.where("s.label = 'neg'").select("vec_id", F.round(-F.col("s.score"), 6).alias("p_neg"))
+
+
+@query("""SELECT x.article_id, x.node AS a, y.node AS b, round_even(CASE WHEN least(x.stop, y.stop + 3) > greatest(x.start, y.start - 3) THEN (least(x.stop, y.stop + 3) - greatest(x.start, y.start - 3)) / (greatest(x.stop, y.stop + 3) - least(x.start, y.start - 3)) ELSE 0 END, 4) AS iou
+  FROM mentions x JOIN mentions y ON x.article_id = y.article_id AND x.node < y.node AND abs(x.start - y.start) < 30""")
+def span_overlaps(v: Views) -> DataFrame:
+    m = v.mentions.select("article_id", "node", "start", "stop")
+    pairs = m.toDF("article_id", "a", "a0", "a1").join(m.toDF("article_id", "b", "b0", "b1"), "article_id").where("a < b and abs(a0 - b0) < 30")
+    return pairs.select("article_id", "a", "b", F.bround(span_iou(F.col("a0"), F.col("a1"), F.col("b0") - 3, F.col("b1") + 3), 4).alias("iou"))
+
+
+@query(None)
+def resolve_mention_spans(v: Views) -> DataFrame:
+    """All places of an article's names in its text, leftmost and longest first."""
+    names = v.mentions.groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_set("text")).alias("names"))
+    return v.articles.join(names, "id").select("id", F.explode(resolve_spans("content", "names")).alias("s")).select("id", "s.start", "s.stop", "s.surface")
+
+
+@query(None)
+def entity_similarity_scores(v: Views) -> DataFrame:
+    """Names of a label that share five letters, with their similarity."""
+    n = v.nodes.select("label", F.substring("canonical", 1, 5).alias("p"), "canonical")
+    pairs = n.withColumnRenamed("canonical", "a").join(n.withColumnRenamed("canonical", "b"), ["label", "p"]).where("a < b")
+    return pairs.select("label", "a", "b", F.bround(entity_similarity("a", "b"), 4).alias("similarity"))
+
+
+@query(f""", {_QID}, cand AS (SELECT node, canonical, label, wikidata_id AS qid, substr(canonical, 1, length(canonical) - length(canonical) % 2) AS name, mention_count FROM nq),
+points AS (SELECT *, CASE WHEN name = canonical THEN 2.0 ELSE 0 END + CASE WHEN contains(canonical, name) OR contains(name, canonical) THEN 0.5 ELSE 0 END + CASE WHEN label = 'LOC' THEN 0.5 ELSE 0 END AS score FROM cand)
+SELECT node, qid, score::DOUBLE AS score FROM points WHERE score >= 1.5""")
+def wikidata_disambiguate(v: Views) -> DataFrame:
+    """One candidate per node, named like it but for a last odd letter, described as a city."""
+    name = F.substring(F.col("canonical"), F.lit(1), F.length("canonical") - F.length("canonical") % 2)
+    rows = _with_ids(v).select("node", "canonical", "label", F.col("wikidata_id").alias("qid"), name.alias("name"), F.lit("a city").alias("description"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(0).alias("place"))
+    return merge.disambiguate(rows)
+
+
+@query("SELECT node, mention_count FROM nodes WHERE mention_count >= 3 ORDER BY mention_count DESC, node LIMIT 200")
+def link_candidates(v: Views) -> DataFrame:
+    return merge.link_candidates(v.nodes.withColumn("wikidata_id", F.lit(None).cast("string"))).select("node", "mention_count")
+
+
+@query("SELECT x.id, 'keyword: q' || x.id || CASE WHEN x.language = 'en' THEN '; language: en' ELSE '' END AS reason FROM articles x")
+def alert_reason(v: Views) -> DataFrame:
+    none = F.lit(None).cast("string")
+    rules = v.articles.select("id", F.concat(F.lit("q"), F.col("id")).alias("query"), F.when(F.col("language") == "en", F.array("language")).alias("languages"), F.lit(None).cast("double").alias("min_sentiment"), none.alias("node"))
+    return rules.select("id", alerts.reason().alias("reason"))
+
+
+@query("SELECT id, CASE WHEN regexp_matches(regexp_replace(content, '<[^>]+>', ' ', 'g'), '[ğışĞIŞ]') THEN 'tr' WHEN regexp_matches(regexp_replace(content, '<[^>]+>', ' ', 'g'), '[ëË]') THEN 'sq' ELSE 'en' END AS language FROM articles")
+def redetect_language(v: Views) -> DataFrame:
+    return pipeline.redetect_language(v.articles, strict_compat=True).select("id", "language")
+
+
+@query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY url HAVING count(*) FILTER (length(html) > 5000) = 0")
+def seed_sources_upsert(v: Views) -> DataFrame:
+    """Pages as seeds; those of more than 5000 characters are there already."""
+    pages = v.table("pages")
+    seeds = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return pipeline.seed_sources(pages.where("length(html) > 5000"), seeds).select("url", "page_id")
+
+
+_CHANNEL = "CASE WHEN length(html) < 2000 THEN 'rss' WHEN length(html) < 3000 THEN 'sitemap' ELSE 'homepage' END"
+_PLACE = "CASE channel WHEN 'rss' THEN 1 WHEN 'sitemap' THEN 2 ELSE 3 END"
+
+
+@query(f"SELECT source_id, channel, url FROM (SELECT split_part(url, '/', 3) AS source_id, {_CHANNEL} AS channel, url FROM pages) p QUALIFY {_PLACE} = min({_PLACE}) OVER (PARTITION BY source_id)")
+def source_cascade(v: Views) -> DataFrame:
+    """Hosts as sources; a page's length stands for the channel that it came by."""
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    return pipeline.source_cascade(v.table("pages").select(host.alias("source_id"), F.expr(_CHANNEL).alias("channel"), "url")).select("source_id", "channel", "url")
+
+
+@query("SELECT source_id AS id, max(discovered_at) AS last_scanned_at, count(*)::BIGINT AS article_count, count(*) FILTER (status = 'failed') AS error_count FROM articles GROUP BY 1")
+def fetch_bookkeeping(v: Views) -> DataFrame:
+    fetched = v.articles.select("source_id", F.col("discovered_at").alias("at"), F.lit(1).alias("articles"), (F.col("status") == "failed").alias("failed"))
+    blank = v.sources.select("id", F.lit(None).cast("timestamp_ntz").alias("last_scanned_at"), F.lit(0).cast("long").alias("article_count"), F.lit(0).cast("long").alias("error_count"))
+    return pipeline.fetch_bookkeeping(blank, fetched)
+
+
+@query(None)
+def embed_stage(v: Views) -> DataFrame:
+    rows = v.articles.withColumns({"embedding": F.lit(None).cast("array<double>"), "summary": F.lit(None).cast("string"), "url": F.lit("")})
+    return pipeline.embed_stage(rows).select("id", "embedding")
+
+
+@query(None)
+def html_extraction_cascade(v: Views) -> DataFrame:
+    """No primary extractor is at hand, so the fallback decides."""
+    found = feeds.html_extract(v.table("pages"))
+    return feeds.extraction_cascade(found.limit(0), found)
+
+
+@query("SELECT bucket, sum(CASE WHEN language = 'en' THEN n ELSE 0 END)::BIGINT AS en, sum(CASE WHEN language = 'de' THEN n ELSE 0 END)::BIGINT AS de FROM (SELECT date_trunc('day', discovered_at)::TIMESTAMP AS bucket, language, count(*) AS n FROM visible GROUP BY 1, 2) GROUP BY bucket")
+def language_mix_pivot(v: Views) -> DataFrame:
+    return analytics.language_mix(v.articles).groupBy("bucket").pivot("language", ["en", "de"]).agg(F.sum("n")).na.fill(0)
+
+
+@query("SELECT canonical, label, mention_count FROM nodes WHERE canonical ILIKE '%ation%' ORDER BY mention_count DESC, node LIMIT 50")
+def entity_node_list(v: Views) -> DataFrame:
+    return v.nodes.where(F.col("canonical").ilike("%ation%")).orderBy(F.desc("mention_count"), "node").limit(50).select("canonical", "label", "mention_count")
+
+
+@query("SELECT name, enabled FROM sources WHERE enabled")
+def active_sources(v: Views) -> DataFrame:
+    from brindle.operators.commands import active_sources as active
+
+    return active(v.sources.withColumn("deleted", F.lit(False)), enabled_only=True).select("name", "enabled")
+
+
+@query("SELECT source_id, count(*) AS n, count(*) FILTER (length(content) < 100) AS short, max(length(content)) AS longest FROM articles GROUP BY 1")
+def source_content_stats(v: Views) -> DataFrame:
+    return v.articles.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.length("content") < 100).alias("short"), F.max(F.length("content")).alias("longest"))
+
+
+@query(None)
+def export_envelope(v: Views) -> DataFrame:
+    return exports.json_envelope(analytics.status_counts(v.articles).orderBy("status"), "json")
+
+
+@query(None)
+def story_blocks(v: Views) -> DataFrame:
+    best = stories.longest_summary(v.story_articles, v.articles.select(F.col("id").alias("article_id"), F.col("title").alias("summary")))
+    return exports.story_blocks(v.story_articles.select("story_id").distinct(), best)
