@@ -25,5 +25,6 @@ SQL: dict[str, str] = {
     "op1_rule_ledger": quality_rules.OP1_SQL,
     "op3_poisson_replicas": mixing.OP3_SQL,
     "op5_secret_scan": secrets.OP5_SQL,
+    "op6_feistel_shards": sharding.OP6_SQL,
     "op10_warc_archive": warc.OP10_SQL,
 }

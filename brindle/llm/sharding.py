@@ -110,3 +110,32 @@ def feistel_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, key:
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = feistel_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
+
+
+def _sql(seed: int = SEED, walks: int = 8) -> str:
+    """The same for DuckDB, with CRC-32 byte by byte; so many walks suffice on a table of a thousand rows."""
+    mixed = "((xor(x, x >> 16) % {p}) * {c}) % {p}".replace("{p}", str(PRIME))
+    levels, at = [], "start"
+    for w in range(walks):
+        first = f"SELECT k.*, CASE WHEN k.v < n.n THEN -1 ELSE k.v // n.m END AS l, CASE WHEN k.v < n.n THEN -1 ELSE k.v % n.m END AS r FROM {at} k, n" if w else f"SELECT k.*, k.v // n.m AS l, k.v % n.m AS r FROM {at} k, n"
+        levels.append(f"w{w} AS ({first})")
+        last = f"w{w}"
+        for i, (a, b, c) in enumerate(round_keys(seed)):
+            name = f"w{w}r{i}"
+            step = mixed.replace("{c}", str(c))
+            levels.append(f"{name} AS (SELECT k.* EXCLUDE (l, r, x), CASE WHEN l < 0 THEN l ELSE r END AS l, CASE WHEN l < 0 THEN r ELSE (l + ({step}) % n.m) % n.m END AS r FROM (SELECT *, ((r + {a}) % {PRIME} * {b}) % {PRIME} AS x FROM {last}) k, n)")
+            last = name
+        levels.append(f"done{w} AS (SELECT k.* EXCLUDE (l, r, v), CASE WHEN l < 0 THEN v ELSE l * n.m + r END AS v FROM {last} k, n)")
+        at = f"done{w}"
+    return f"""
+    WITH crc AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS x(i)),
+    docs AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+    sums AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM docs, crc),
+    n AS (SELECT count(*) AS n, CASE WHEN floor(sqrt(count(*))) * floor(sqrt(count(*))) >= count(*) THEN floor(sqrt(count(*)))::BIGINT ELSE floor(sqrt(count(*)))::BIGINT + 1 END AS m FROM documents),
+    start AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS v FROM sums),
+    {', '.join(levels)}
+    SELECT doc_id, size, text_crc32, 'rows' AS law, (v % {SHARDS})::INT AS shard, v // {SHARDS} AS slot, NULL::INT AS grown_shard FROM {at}
+    """
+
+
+OP6_SQL = _sql()
