@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rules are a user's few rows; beyond so many a scan refuses to start.
+MOST_RULES = 10_000
 RULES = "id long, name string, query string, languages array<string>, min_sentiment double, node string, match_in string, enabled boolean"
 
 
@@ -24,27 +26,30 @@ def reason() -> Column:
     return F.when(said == "", "rule match").otherwise(said)
 
 
+def _holds(r: Column) -> Column:
+    """Whether a rule's words, languages and score hold for the article of the row; what a rule leaves out holds."""
+    title, content = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
+    said = lambda t: ((r["match_in"] != "content") & F.contains(title, t)) | ((r["match_in"] != "title") & F.contains(content, t))
+    words = (F.size(r["terms"]) == 0) | F.exists(r["terms"], said)
+    languages = (F.size(F.coalesce(r["languages"], F.array().cast("array<string>"))) == 0) | F.array_contains(r["languages"], F.col("language"))
+    return F.coalesce(words & languages & (r["min_sentiment"].isNull() | (F.col("sentiment_score") <= r["min_sentiment"])), F.lit(False))
+
+
 def match(articles: DataFrame, rules: DataFrame, mentions: DataFrame, already: DataFrame | None = None) -> DataFrame:
     """(rule_id, article_id, reason): every enabled rule with every article that meets all of its parts; pairs in ``already`` are left out.
 
-    Rules are a user's few rows and are checked to be so before they are broadcast. Entity rules meet mentions by an equi-join,
+    Rules are counted before they are broadcast. Entity rules meet mentions by an equi-join,
     only rules without an entity look at all articles.
     """
-    live = rules.where("enabled").withColumn("terms", terms(F.col("query")))
-    if live.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 enabled rules")
-    a = articles.select(F.col("id").alias("article_id"), "title", "content", "language", "sentiment_score")
-    free = a.crossJoin(F.broadcast(live.where("node is null")))
-    named = mentions.select("node", "article_id").distinct().join(F.broadcast(live.where("node is not null")), "node").join(a, "article_id")
-    rows = free.unionByName(named)
-    text = F.lower(F.when(F.col("match_in") == "title", F.coalesce("title", F.lit(""))).when(F.col("match_in") == "content", F.coalesce("content", F.lit(""))).otherwise(F.concat_ws("\n", "title", "content")))
-    said = F.col("title").isNotNull() | F.col("content").isNotNull()
-    hits = rows.where(
-        ((F.size("terms") == 0) | (said & F.exists("terms", lambda t: F.contains(text, t))))
-        & ((F.size(F.coalesce("languages", F.array().cast("array<string>"))) == 0) | F.array_contains("languages", F.col("language")))
-        & (F.col("min_sentiment").isNull() | (F.col("sentiment_score") <= F.col("min_sentiment")))
-    )
-    found = hits.select(F.col("id").alias("rule_id"), "article_id", reason().alias("reason"))
+    live = rules.where("enabled").withColumn("terms", terms(F.col("query"))).withColumn("reason", reason())
+    if live.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} enabled rules")
+    a = articles.select(F.col("id").alias("article_id"), F.lower("title").alias("title"), F.lower("content").alias("content"), "language", "sentiment_score")
+    one = live.where("node is null").agg(F.collect_list(F.struct("id", "terms", "languages", "min_sentiment", "match_in", "reason")).alias("rules"))
+    # one row of rules stands beside every article; a rule becomes a row only where it holds
+    free = a.join(F.broadcast(one), F.lit(True)).select("article_id", F.explode(F.filter("rules", _holds)).alias("r")).select(F.col("r.id").alias("rule_id"), "article_id", "r.reason")
+    named = mentions.select("node", "article_id").distinct().join(F.broadcast(live.where("node is not null").withColumn("r", F.struct("id", "terms", "languages", "min_sentiment", "match_in", "reason"))), "node").join(a, "article_id")
+    found = free.unionByName(named.where(_holds(F.col("r"))).select(F.col("r.id").alias("rule_id"), "article_id", "r.reason"))
     return found.join(already, ["rule_id", "article_id"], "left_anti") if already is not None else found
 
 

@@ -73,8 +73,8 @@ def status_counts(articles: DataFrame) -> DataFrame:
 
 
 def health_counts(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    a = articles.agg(F.count("*").alias("articles"))
-    return a.crossJoin(sources.agg(F.count("*").alias("sources"), F.count_if("enabled").alias("enabled_sources")))  # one row each
+    rows = articles.select(F.lit(1).alias("a"), F.lit(0).alias("s"), F.lit(0).alias("e")).union(sources.select(F.lit(0), F.lit(1), F.when(F.col("enabled"), 1).otherwise(0)))
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("a", "articles"), ("s", "sources"), ("e", "enabled_sources"))])
 
 
 def overview_totals(articles: DataFrame) -> DataFrame:

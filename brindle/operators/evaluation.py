@@ -55,8 +55,8 @@ def latency_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
 def throughput(rows: DataFrame) -> DataFrame:
     """Mean and population deviation by replicas, and the speed-up over one replica."""
     per = rows.groupBy("replica_count").agg(F.avg("articles_per_min").alias("mean"), F.stddev_pop("articles_per_min").alias("std"))
-    one = per.where("replica_count = 1").select(F.col("mean").alias("one"))
-    return per.crossJoin(F.broadcast(one)).select("replica_count", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round(F.col("mean") / F.col("one"), 4).alias("speedup"))
+    one = rows.where("replica_count = 1").agg(F.avg("articles_per_min")).first()[0]  # a single number
+    return per.select("replica_count", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round(F.col("mean") / F.lit(one), 4).alias("speedup"))
 
 
 def merge_shares(rows: DataFrame) -> DataFrame:

@@ -15,13 +15,22 @@ def jaccard(a: str, b: str) -> F.Column:
 
 
 def jaccard_pairs(members: DataFrame, least: float = 0.5, key: str = "article_id", item: str = "node") -> DataFrame:
-    """(a, b, shared, jaccard) of all pairs a < b that share an item and reach the threshold, by an equi-join on items."""
-    each = members.select(key, item).distinct()
-    sizes = each.groupBy(key).agg(F.count("*").alias("n"))
-    shared = each.select(F.col(key).alias("a"), item).join(each.select(F.col(key).alias("b"), item), item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    rows = shared.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    value = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return rows.withColumn("jaccard", F.bround(value, 4)).where(value >= least).select("a", "b", "shared", "jaccard")
+    """(a, b, shared, jaccard) of all pairs a < b that reach the threshold.
+
+    Sets are ordered from rare to common items. Two sets that reach it share one of the
+    first n - ceil(least * n) + 1 items of either, so that only these are joined and
+    items that very many have seldom meet.
+    """
+    each = members.select(F.col(key).alias("k"), F.col(item).alias("x")).distinct()
+    common = each.groupBy("x").agg(F.count("*").alias("f"))
+    sets = each.join(common, "x").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda s: s["x"]).alias("s"))
+    n = F.size("s")
+    first = sets.select("k", "s", F.explode(F.slice("s", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("x"))
+    met = first.toDF("a", "sa", "x").join(first.toDF("b", "sb", "x"), "x").where("a < b")
+    fair = (F.size("sa") >= F.size("sb") * least - 1e-9) & (F.size("sb") >= F.size("sa") * least - 1e-9)
+    rows = met.where(fair).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
+    value = F.col("shared") / (F.col("both") - F.col("shared"))
+    return rows.where(value >= least).distinct().select("a", "b", "shared", F.bround(value, 4).alias("jaccard"))
 
 
 def replay(articles: list[tuple], least: float = 0.5, least_shared: int = 2, days: int = 7) -> list[tuple[int, int, float | None]]:

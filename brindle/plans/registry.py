@@ -19,8 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 AS_OF = "2024-03-15 00:00:00"
-#: A common name of the corpus, and words to search for.
-NODE, WORDS = "PER:thndors", "the or"
 
 
 def query(sql: str | None = None) -> Callable:
@@ -160,9 +158,9 @@ def node_mention_counts(v: Views) -> DataFrame:
 _TOKENS = """toks AS (SELECT *, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(replace(coalesce(title, '') || ' ' || coalesce(content, ''), 'ı', 'i'))), '\\s+', ' ', 'g'), '[^a-z ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '') AS tokens FROM visible)"""
 
 
-@query(f", {_TOKENS} SELECT id, title, round_even(list_sum(list_transform(range(1, len(list_filter(tokens, lambda x: x = 'reason')) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685, 4) AS rank FROM toks WHERE list_contains(tokens, 'reason')")
+@query(f", {_TOKENS} SELECT id, title, round_even(list_sum(list_transform(range(1, len(list_filter(tokens, lambda x: x = 'license')) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685, 4) AS rank FROM toks WHERE list_contains(tokens, 'license')")
 def search_ranked(v: Views) -> DataFrame:
-    return search.search(v.articles, SearchRequest(q="reason")).select("id", "title", "rank")
+    return search.search(v.articles, SearchRequest(q="license")).select("id", "title", "rank")
 
 
 @query(f", {_TOKENS} SELECT id, title FROM toks WHERE (list_contains(tokens, 'that') AND list_contains(tokens, 'with')) OR (list_contains(tokens, 'que') AND list_contains(tokens, 'para'))")
@@ -178,9 +176,9 @@ def search_filtered(v: Views) -> DataFrame:
     return search.search(v.articles, request, v.sources).select("id", "source", "language")
 
 
-@query("SELECT id, title FROM visible WHERE id IN (SELECT article_id FROM mentions WHERE canonical = 'thereon') OR id IN (SELECT article_id FROM mentions WHERE canonical = 'thereon')")
+@query("SELECT id, title FROM visible WHERE id IN (SELECT article_id FROM mentions WHERE canonical = 'enmentai')")
 def search_entity_semi(v: Views) -> DataFrame:
-    return search.search(v.articles, SearchRequest(entity="thereon"), mentions=v.mentions).select("id", "title")
+    return search.search(v.articles, SearchRequest(entity="enmentai"), mentions=v.mentions).select("id", "title")
 
 
 @query("SELECT id, title FROM visible WHERE id IN (SELECT article_id FROM triples WHERE predicate = 'met_with')")
@@ -427,13 +425,13 @@ def story_repoint(v: Views) -> DataFrame:
 
 
 def _rules(v: Views) -> DataFrame:
-    rows = [(1, "words", "reason, season", None, None, None, "both", True), (2, "bad news", None, ["en", "de"], -0.3, None, "both", True), (3, "name", None, None, None, "LOC:thereon", "both", True), (4, "off", None, None, None, None, "both", False)]
+    rows = [(1, "words", "license, ation", None, None, None, "both", True), (2, "bad news", None, ["en", "de"], -0.3, None, "both", True), (3, "name", None, None, None, "LOC:enmentai", "both", True), (4, "off", None, None, None, None, "both", False)]
     return v.spark.createDataFrame(rows, alerts.RULES)
 
 
-_ALERTS = """, hits AS (SELECT 1 AS rule_id, id AS article_id, 'keyword: reason, season' AS reason FROM articles WHERE contains(lower(title || chr(10) || content), 'reason') OR contains(lower(title || chr(10) || content), 'season')
+_ALERTS = """, hits AS (SELECT 1 AS rule_id, id AS article_id, 'keyword: license, ation' AS reason FROM articles WHERE contains(lower(title || chr(10) || content), 'license') OR contains(lower(title || chr(10) || content), 'ation')
   UNION ALL SELECT 2, id, 'language: en,de; sentiment <= -0.3' FROM articles WHERE language IN ('en', 'de') AND sentiment_score <= -0.3
-  UNION ALL SELECT 3, id, 'entity: LOC:thereon' FROM articles WHERE id IN (SELECT article_id FROM mentions WHERE node = 'LOC:thereon'))"""
+  UNION ALL SELECT 3, id, 'entity: LOC:enmentai' FROM articles WHERE id IN (SELECT article_id FROM mentions WHERE node = 'LOC:enmentai'))"""
 
 
 @query(_ALERTS + " SELECT rule_id::BIGINT AS rule_id, article_id, reason FROM hits")
@@ -568,9 +566,9 @@ def export_articles(v: Views) -> DataFrame:
     return exports.export_articles(v.articles, status="analyzed", since="2024-01-08")
 
 
-@query(f", {_TOKENS} SELECT {_CSV} FROM toks WHERE list_contains(tokens, 'reason')")
+@query(f", {_TOKENS} SELECT {_CSV} FROM toks WHERE list_contains(tokens, 'license')")
 def export_search(v: Views) -> DataFrame:
-    return exports.export_search(v.articles, SearchRequest(q="reason"))
+    return exports.export_search(v.articles, SearchRequest(q="license"))
 
 
 @query(f"SELECT {_CSV} FROM articles WHERE id IN (SELECT article_id FROM story_articles WHERE story_id = (SELECT min(story_id) FROM story_articles))")
@@ -600,9 +598,9 @@ def orders_by_nation(v: Views) -> DataFrame:
     return rows.groupBy("n_name", "r_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def customers_without_orders(v: Views) -> DataFrame:
-    return v.table("customer").join(v.table("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+def customers_without_large_orders(v: Views) -> DataFrame:
+    return v.table("customer").join(v.table("orders").where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS price, count(*) AS n FROM lineitem GROUP BY 1, 2")
