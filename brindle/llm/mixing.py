@@ -58,9 +58,10 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, t
     else:
         named = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
         weighed = sizes.withColumn("w", F.coalesce(named[F.coalesce("source", F.lit(""))], F.lit(0.0)))
-    sums = weighed.agg(F.sum("w").alias("all_w"), F.sum("documents").alias("all_n"))
-    rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") * float(total) / F.col("documents")).otherwise(F.lit(0.0))
-    return weighed.crossJoin(F.broadcast(sums)).select("source", "documents", rate.alias("rate"))  # sums is one row
+    weighed = cut_lineage(weighed)
+    all_w, all_n = weighed.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum("documents"), F.lit(0))).first()  # two numbers
+    rate = F.col("w") / F.lit(all_w) * F.lit(all_n) * float(total) / F.col("documents") if all_w > 0 else F.lit(0.0)
+    return weighed.select("source", "documents", rate.alias("rate"))
 
 
 def poisson_replicas(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float = TOTAL, seed: int = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:
