@@ -164,9 +164,12 @@ def one_of_each_group(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     All columns stay as they are. Rows that repeat a kept doc_id with the same text count as one document.
     """
     groups = near_duplicates(docs, most_bits)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"])
+    kept = cut_lineage(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct())
+    named = docs.join(kept.where("__kept is not null"), docs["doc_id"] == kept["__kept"], "left_semi")
+    # the join has dealt the rows by doc_id already, so this needs no further exchange
+    named = named.dropDuplicates(["doc_id", "text"])
+    nameless = docs.where("doc_id is null").join(F.broadcast(kept.where("__kept is null")), F.lit(True), "left_semi")  # one row at most
+    return named.unionByName(nameless.dropDuplicates(["text"]))
 
 
 def op9_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
