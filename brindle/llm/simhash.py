@@ -158,12 +158,11 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return fps.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """The documents whose doc_id is their component's smallest; a group of null doc_ids only keeps its rows.
+def first_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents whose doc_id is their component_id in ``groups``; a group of null doc_ids only keeps its rows.
 
     All columns stay as they are. Rows that repeat a kept doc_id with the same text count as one document.
     """
-    groups = near_duplicates(docs, most_bits)
     kept = cut_lineage(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct())
     named = docs.join(kept.where("__kept is not null"), docs["doc_id"] == kept["__kept"], "left_semi")
     # the join has dealt the rows by doc_id already, so this needs no further exchange
@@ -172,6 +171,11 @@ def one_of_each_group(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return named.unionByName(nameless.dropDuplicates(["text"]))
 
 
+def one_of_each_group(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The documents whose doc_id is their component's smallest, as first_of_each_group keeps them."""
+    return first_of_each_group(docs, near_duplicates(docs, most_bits))
+
+
 def op9_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import mixing, pieces, quality_ranking, secrets, simhash
+from brindle.llm import mixing, near_copies, pieces, quality_ranking, secrets
 from brindle.llm._common import table
 from brindle.session import table_path
 
@@ -21,8 +21,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates."""
-    return simhash.one_of_each_group(docs)
+    """Keeps the smallest doc_id of each group of near copies: five-word shingles of a Jaccard similarity of 0.8 or more."""
+    return near_copies.one_of_each_group(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
