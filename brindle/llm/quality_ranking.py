@@ -4,7 +4,8 @@ Each pair is a good and a bad labelled document; the chance that the first is
 preferred is the logistic function of the difference of their scores, and a score is
 linear in features of the text alone. The logistic loss of feature differences is
 minimised by Newton steps. A document is predicted good if its score lies above the
-quantile of the labelled scores that matches the share of bad labels.
+quantile of the labelled scores that matches the share of bad labels. Where a class is
+sampled, its rows weigh as many as they stand for, so the share is that of all labels.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm._common import map_arrow, small_batches, table, text_bytes
 from brindle.llm.quality_rules import measured
+from brindle.session import cut_lineage
 
 #: Labelled rows of each class that are used at most; the smallest hashes of doc_id are taken.
 MOST_LABELLED = 7_500
@@ -70,10 +72,11 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def fit(rows: np.ndarray, good: np.ndarray, most_pairs: int = MOST_PAIRS, seed: int = SEED) -> Ranking:
+def fit(rows: np.ndarray, good: np.ndarray, most_pairs: int = MOST_PAIRS, seed: int = SEED, totals: tuple[int, int] | None = None) -> Ranking:
     """Weights from pairs, and the threshold from the quantile of the labelled scores.
 
-    Without both classes there are no pairs: all weights are 0 and every score is 0.5.
+    ``totals`` are the bad and good labels that the rows were sampled from, by default the
+    rows themselves. Without both classes there are no pairs: all weights are 0 and every score is 0.5.
     """
     above, below = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(above) or not len(below):
@@ -90,10 +93,15 @@ def fit(rows: np.ndarray, good: np.ndarray, most_pairs: int = MOST_PAIRS, seed:
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    raw = np.sort(rows @ w)
-    k = len(below)  # so many of the labelled rows are to lie below the threshold
-    threshold = float((raw[k - 1] + raw[k]) / 2)
-    return Ranking(tuple(float(v) for v in w), threshold, max(float(raw.std()) / 4, 1e-9))
+    raw = rows @ w
+    n_bad, n_good = totals or (len(below), len(above))
+    stands = np.where(good, n_good / len(above), n_bad / len(below))  # labels that each row stands for
+    order = np.argsort(raw)
+    k = int(np.searchsorted(np.cumsum(stands[order]), n_bad * (1 - 1e-9)))  # so many labels are to lie below the threshold
+    k = min(k, len(raw) - 2)
+    threshold = float((raw[order[k]] + raw[order[k + 1]]) / 2)
+    spread = float(np.sqrt(np.average((raw - np.average(raw, weights=stands)) ** 2, weights=stands)))
+    return Ranking(tuple(float(v) for v in w), threshold, max(spread / 4, 1e-9))
 
 
 def _featured(docs: DataFrame, text: str) -> DataFrame:
@@ -112,12 +120,14 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", most_labelled: int = MOST_LABELLED) -> Ranking:
-    """A ranking from the labelled documents that aren't held out, at most ``most_labelled`` of each class.
+    """A ranking from the labelled documents that aren't held out, at most ``most_labelled`` of each class; the threshold's share is counted over all of them.
 
     A document that has both labels counts as bad; null labels and labels of unknown
     documents count for nothing. Of documents with the same doc_id one is used.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = cut_lineage(known.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
     sample = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(*order).limit(most_labelled).collect()]
     quality = {r["doc_id"]: r["quality"] for r in sample}
@@ -128,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", most_labelled:
     rows = _featured(docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__chosen"], "left_semi"), text)
     rows = sorted(tuple(r) for r in rows.groupBy("doc_id").agg(*[F.min(f).alias(f) for f in FEATURES]).collect())
     values = np.array([r[1:] for r in rows], float).reshape(-1, len(FEATURES))
-    return fit(values, np.array([quality[r[0]] == 1 for r in rows], bool))
+    return fit(values, np.array([quality[r[0]] == 1 for r in rows], bool), totals=(counts.get(0, 0), counts.get(1, 0)))
 
 
 def score(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:
