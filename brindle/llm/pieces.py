@@ -233,21 +233,25 @@ def _texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def encode(docs: DataFrame, model: str | None = None, carry: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, carry: Sequence[str] = ("doc_id",), text: str = "text", decoded: bool = False) -> DataFrame:
     """The carried columns, n_tokens, and ids (array of int) of each whole text, without begin or end ids.
 
+    With ``decoded`` the ids are decoded again, and decoded_sha256 is the digest of that text.
     A null or empty text has no ids. Repeated rows get a row each; an empty table gives none.
     Other columns, whatever their names, are left out.
     """
     carried = docs.select(*[docs[c] for c in carry], docs[text].alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1])
-    names = [*carry, "n_tokens", "ids"]
+    names = [*carry, "n_tokens", "ids", *["decoded_sha256"] * decoded]
 
     def work(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = encoder.encode(_texts(batch.column(len(carry))))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names)
+        columns = [*batch.columns[:-1], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+        if decoded:
+            columns.append(pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in ids], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    return _run(carried, model, f"{kinds}, n_tokens long, ids array<int>", work)
+    return _run(carried, model, f"{kinds}, n_tokens long, ids array<int>{', decoded_sha256 string' * decoded}", work)
 
 
 def decode(encoded: DataFrame, model: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:

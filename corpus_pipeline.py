@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of each document."""
-    return pieces.encode(docs, carry=("doc_id", "lang", "source"))
+    """doc_id, lang, source, n_tokens and ids of each document, and the digest of the text that the ids decode to."""
+    return pieces.encode(docs, carry=("doc_id", "lang", "source"), decoded=True)
 
 
 STAGES = [
