@@ -412,7 +412,7 @@ def jaccard_pairs(v: Views) -> DataFrame:
 
 @query(None)
 def story_assignment(v: Views) -> DataFrame:
-    return stories.story_assignment(v.articles, v.titles)
+    return stories.story_assignment(v.articles, v.mentions.where("status not in ('failed', 'duplicate')"))
 
 
 @query(f""", {_QID} SELECT story_id, array_to_string(list_sort(list_distinct(list(coalesce(m.canonical_node, x.node)))), ',') AS nodes FROM story_articles JOIN mentions x USING (article_id) LEFT JOIN map m ON m.node = x.node GROUP BY 1""")
