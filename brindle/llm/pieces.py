@@ -1,18 +1,18 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 Texts are cut where no piece of the vocabulary can reach across, and every different
-word is encoded once. The symbols of all words lie in one flat numpy array. In each
-round every word finds its pair of least rank by a segmented minimum, merges it, and
-the array is compacted, until no pair remains. A pair's places in a word are merged at
-once, from the left and without overlap, if no piece that could grow from the
-result has the same or a lower rank; else the leftmost place alone, as one merge after the
-other would do.
+word is encoded once. A word is cut further between characters that stand next to each
+other in no piece. The symbols of all these stretches lie in one flat numpy array. In each
+round every stretch finds its least rank by a segmented minimum, and merges the places that
+have it at once, from the left and without overlap, up to and with the first whose result
+makes a pair of the same or a lower rank with a neighbour: one merge after the other would
+turn to that pair next. Then the array is compacted, until no pair remains. A run of a symbol
+whose pieces all tie is merged by position: it falls into equal pieces that can't grow.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator, Sequence
 
@@ -27,8 +27,6 @@ SPACE = "▁"
 NO_PAIR = np.int64(1 << 30)
 #: Words whose encodings a task remembers at most.
 MOST_WORDS = 300_000
-#: A longer word with a run of so many spaces, whose pieces tie, is merged with a heap.
-LONG_WORD, LONG_RUN = 256, 32
 
 
 def default_model() -> str:
@@ -64,7 +62,7 @@ class Encoder:
         for s, i in symbol.items():
             if len(s) == 1:
                 self.of_char[ord(s)] = i
-        pairs = {}
+        pairs: dict[int, tuple[int, int]] = {}
         grows: dict[int, int] = {}  # least rank of a piece that has this one as a part of a pair
         for i in normal:
             p = v.pieces[i]
@@ -74,11 +72,11 @@ class Encoder:
                     pairs[a * self.width + b] = (i, v.rank[i])
                     for part in (a, b):
                         grows[part] = min(grows.get(part, v.rank[i]), v.rank[i])
-        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.ranks = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
-        self.safe = np.array([v.rank[i] >= 0 and grows.get(i, 1 << 30) > v.rank[i] for i in range(self.n)])
+        self.next_to = np.array(sorted({ord(a) << 21 | ord(b) for i in normal for a, b in zip(v.pieces[i], v.pieces[i][1:], strict=False)}), np.int64)
+        self.tied = [t for s in symbol.values() if (t := self._tied_run(s, pairs, grows))]
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(v.pieces) if v.is_byte[i]}
         self.piece_bytes = [bytes([int(p[3:5], 16)]) if v.is_byte[i] else p.replace(SPACE, " ").encode() if v.normal[i] else b"" for i, p in enumerate(v.pieces)]
         reach = [v.pieces[i] for i in normal]
@@ -86,6 +84,27 @@ class Encoder:
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if apart else "(?s).+")
         self.words: dict[str, tuple[list[int], bytes, bytes]] = {}
 
+    def _tied_run(self, s: int, pairs: dict[int, tuple[int, int]], grows: dict[int, int]) -> tuple[int, int, int, int, np.ndarray] | None:
+        """(symbol, rank, length, piece, what mustn't stand before) if a run of the symbol falls into pieces of that length.
+
+        All merges of such a run have one rank, none of their results grows at a lower one, and the piece that so many symbols
+        end as grows no further. Merging from the left then is a stack: what lies below its top never merges again.
+        """
+        hit = pairs.get(s * self.width + s)
+        if hit is None or grows.get(hit[0]) != hit[1]:
+            return None
+        rank, stack, chain = hit[1], [s], {s}
+        for length in range(2, 64):
+            stack.append(s)
+            while len(stack) > 1 and (hit := pairs.get(stack[-2] * self.width + stack[-1])):
+                if hit[1] != rank or grows.get(hit[0], rank) < rank:
+                    return None
+                stack[-2:] = [hit[0]]
+                chain.add(hit[0])
+            if len(stack) == 1 and stack[0] not in grows:
+                return s, rank, length, stack[0], np.array(sorted({k // self.width for k in pairs if k % self.width in chain}), np.int64)
+        return None
+
     def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; NO_PAIR where there is none."""
         key = left * self.width + right
@@ -93,89 +112,118 @@ class Encoder:
         hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.ranks[at], NO_PAIR), self.merged[at]
 
+    def _due(self, symbols: np.ndarray, part: np.ndarray, rank: np.ndarray, result: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The places that are merged in this round: those of their stretch's least rank, up to and with the first that makes a pair which comes before the others."""
+        place, equal = np.arange(len(symbols)), rank == least
+        starts = equal & ~np.r_[False, equal[:-1]]
+        run = place - np.maximum.accumulate(np.where(starts, place, 0))
+        at = np.flatnonzero(equal & (run % 2 == 0))
+        own, made, low = part[at], result[at], rank[at]
+        before, after = np.maximum(at - 1, 0), np.minimum(at + 2, len(symbols) - 1)
+        glued = np.r_[False, (at[1:] - at[:-1] == 2) & (own[1:] == own[:-1])]  # the symbol before is the result of the place before
+        left = np.where((at > 0) & (part[before] == own), np.where(glued, np.r_[0, made[:-1]], symbols[before]), -1)
+        right = np.where((at + 2 < len(symbols)) & (part[after] == own), symbols[after], -1)
+        turns = (self._pair(left, made)[0] <= low) | (self._pair(made, right)[0] <= low)
+        earlier = np.cumsum(turns) - turns
+        at_start = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], earlier, 0))
+        return at[earlier == at_start]
+
+    def _runs(self, symbols: np.ndarray, part: np.ndarray, least: np.ndarray) -> np.ndarray | None:
+        """Merges tied runs by position, in place; which symbols stay, or None if there was nothing to merge."""
+        kept = None
+        for s, rank, length, piece, apart in self.tied:
+            inside = (symbols == s) & (least == rank)
+            if not inside.any():
+                continue
+            begins = inside & ~np.r_[False, inside[:-1] & (part[1:] == part[:-1])]
+            start = np.flatnonzero(begins)
+            ends = np.r_[start[1:], len(symbols)]
+            size = np.add.reduceat(inside.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+            size = np.minimum(size, ends - start)
+            before = np.where((start > 0) & (part[np.maximum(start - 1, 0)] == part[start]), symbols[np.maximum(start - 1, 0)], -1)
+            whole = np.where(np.isin(before, apart), 0, size // length)
+            if not whole.any():
+                continue
+            kept = np.ones(len(symbols), bool) if kept is None else kept
+            n = whole * length
+            places = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) % length == 0
+            symbols[places[first]] = piece
+            kept[places[~first]] = False
+        return kept
+
     def merge(self, words: Sequence[str]) -> list[list[int]]:
         """The ids of each word; words aren't empty."""
         lengths = np.array([len(w) for w in words], np.int64)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         symbols, word = self.of_char[codes], np.repeat(np.arange(len(words)), lengths)
+        if not len(symbols):
+            return [[] for _ in words]
         char = np.where(symbols < 0, codes, 0)  # of what isn't in the vocabulary
+        two = codes[:-1] << 21 | codes[1:]
+        apart = self.next_to[np.minimum(np.searchsorted(self.next_to, two), len(self.next_to) - 1)] != two
+        fresh = np.r_[True, (word[1:] != word[:-1]) | apart]
+        part, owner = np.cumsum(fresh) - 1, word[fresh]
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rank, result = np.full(len(symbols), NO_PAIR), np.zeros(len(symbols), np.int64)
-        if len(symbols) > 1:
+
+        def ranked() -> tuple[np.ndarray, np.ndarray]:
+            rank, result = np.full(len(symbols), NO_PAIR), np.zeros(len(symbols), np.int64)
             rank[:-1], result[:-1] = self._pair(symbols[:-1], symbols[1:])
-            rank[:-1][word[1:] != word[:-1]] = NO_PAIR
+            rank[:-1][part[1:] != part[:-1]] = NO_PAIR
+            return rank, result
+
+        rank, result = ranked()
         while len(symbols):
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             size = np.diff(np.r_[first, len(symbols)])
-            place = np.arange(len(symbols))
-            best = np.minimum.reduceat(rank << 32 | place, first)  # least rank, then leftmost
-            open_ = best >> 32 < NO_PAIR
+            best = np.minimum.reduceat(rank, first)
+            open_ = best < NO_PAIR
             if not open_.all():
                 shut = np.repeat(~open_, size)
-                done.append((word[shut], symbols[shut], char[shut]))
+                done.append((part[shut], symbols[shut], char[shut]))
                 kept = ~shut
-                symbols, word, char, rank, result = symbols[kept], word[kept], char[kept], rank[kept], result[kept]
+                symbols, part, char, rank, result = symbols[kept], part[kept], char[kept], rank[kept], result[kept]
                 continue
-            at = best & 0xFFFFFFFF
-            safe = self.safe[result[at]]
-            if safe.any():
-                equal = (rank == np.repeat(best >> 32, size)) & np.repeat(safe, size)
-                starts = equal & ~np.r_[False, equal[:-1]]
-                run = place - np.maximum.accumulate(np.where(starts, place, 0))
-                at = np.sort(np.concatenate([np.flatnonzero(equal & (run % 2 == 0)), at[~safe]]))
+            least = np.repeat(best, size)
+            if self.tied and (kept := self._runs(symbols, part, least)) is not None:
+                symbols, part, char = symbols[kept], part[kept], char[kept]
+                rank, result = ranked()
+                continue
+            at = self._due(symbols, part, rank, result, least)
             symbols[at] = result[at]
             kept = np.ones(len(symbols), bool)
             kept[at + 1] = False
             moved = at - np.arange(len(at))  # where the merged symbols come to lie
-            symbols, word, char, rank, result = symbols[kept], word[kept], char[kept], rank[kept], result[kept]
+            symbols, part, char, rank, result = symbols[kept], part[kept], char[kept], rank[kept], result[kept]
             for i in (moved, moved[moved > 0] - 1):
                 last = i == len(symbols) - 1
                 j = np.where(last, i, i + 1)
                 r, m = self._pair(symbols[i], symbols[j])
-                rank[i] = np.where(last | (word[i] != word[j]), NO_PAIR, r)
+                rank[i] = np.where(last | (part[i] != part[j]), NO_PAIR, r)
                 result[i] = m
-        out: list[list[int]] = [[] for _ in words]
-        for w, s, c in done:
-            for k, i, ch in zip(w.tolist(), s.tolist(), c.tolist(), strict=True):
-                out[k].extend(self._ids(i, ch))
-        return out
-
-    def _ids(self, symbol: int, char: int) -> list[int]:
-        if 0 <= symbol < self.n:
-            return [symbol]
+        part, symbols, char = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(part, kind="stable")
+        return self._split(owner[part[order]], symbols[order], char[order], len(words))
+
+    def _split(self, word: np.ndarray, symbols: np.ndarray, char: np.ndarray, n: int) -> list[list[int]]:
+        """The ids of each word; a character that is no piece gives the ids of its bytes."""
+        rare = np.flatnonzero((symbols < 0) | (symbols >= self.n))
+        spelt = {i: self._bytes(s, c) for i, s, c in zip(rare.tolist(), symbols[rare].tolist(), char[rare].tolist(), strict=True)}
+        times = np.ones(len(symbols), np.int64)
+        times[rare] = [len(x) for x in spelt.values()]
+        ids, first = np.repeat(symbols, times), np.cumsum(times) - times
+        for i, x in spelt.items():
+            ids[first[i] : first[i] + len(x)] = x
+        flat, ends = ids.tolist(), np.cumsum(np.bincount(np.repeat(word, times), minlength=n)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _bytes(self, symbol: int, char: int) -> list[int]:
         c = chr(char) if symbol < 0 else self.char_of(symbol)
         return [self.byte_id[b] for b in c.encode()]
 
     def char_of(self, symbol: int) -> str:
         return chr(int(np.flatnonzero(self.of_char == symbol)[0]))
 
-    def merge_long(self, word: str) -> list[int]:
-        """The same for one word, one merge after the other."""
-        symbols = [int(self.of_char[ord(c)]) for c in word]
-        chars = [ord(c) for c in word]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i] if i >= 0 else len(word)
-            if i >= 0 and j < len(word) and symbols[i] >= 0 and symbols[j] >= 0 and (hit := self.pairs.get(symbols[i] * self.width + symbols[j])):
-                heapq.heappush(heap, (hit[1], i, symbols[i], symbols[j], hit[0]))
-
-        for i in range(len(word) - 1):
-            offer(i)
-        gone = [False] * len(word)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= len(word) or symbols[i] != a or symbols[j] != b:
-                continue
-            symbols[i], gone[j], after[i] = m, True, after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return [x for i in range(len(word)) if not gone[i] for x in self._ids(symbols[i], chars[i])]
-
     def cut_up(self, text: str) -> list[str]:
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -184,9 +232,7 @@ class Encoder:
         if len(self.words) > MOST_WORDS:
             self.words.clear()
         fresh = list(dict.fromkeys(w for t in texts for w in t if w not in self.words))
-        long = [w for w in fresh if len(w) > LONG_WORD and SPACE * LONG_RUN in w]
-        plain = [w for w in fresh if not (len(w) > LONG_WORD and SPACE * LONG_RUN in w)]
-        found = dict(zip(plain, self.merge(plain) if plain else [], strict=True)) | {w: self.merge_long(w) for w in long}
+        found = dict(zip(fresh, self.merge(fresh) if fresh else [], strict=True))
         for w, ids in found.items():
             self.words[w] = (ids, ",".join(map(str, ids)).encode(), self.decoded(ids))
 
