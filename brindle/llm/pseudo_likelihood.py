@@ -3,17 +3,25 @@
 Tokens are words in lower case. The FREQUENT words that the whole corpus has most often have
 classes of their own, all others are hashed to the rest of VOCABULARY classes. The network embeds the WINDOW
 classes on either side of a token, adds them up through one hidden layer, and gives a softmax over
-all classes. A document's score is the sum over its tokens of the log-probability given both
-sides. The network is trained in numpy: in each round every partition starts from the
-current weights, runs Adam over masked tokens of all its documents, and the weights of all
-partitions are averaged by the number of tokens seen, in an aggregation tree of bounded fan-in, so what
-is gathered grows with the corpus and what reaches the driver is one network.
+all classes. The chance of a word is that of its class times its share of the class, counted
+over the whole corpus, so that the table of words grows with the corpus and a word that occurs
+once is less likely than one that occurs often. A document's score is the sum over its tokens of
+the log-probability given both sides.
+
+Texts are cut into words once: a slice is a row of some documents with their words as numbers and
+a dictionary of its own. Words are counted by their dictionaries, and every slice gets the
+counts of its own words back, so that no table of all words is ever broadcast.
+
+The network is trained in numpy. Documents are dealt to groups by hash, about GROUP_TOKENS tokens each, and stand in
+hashed order within a group. In each round every group starts from the current weights and runs Adam over its masked
+tokens, and the weights of all groups are averaged by tokens in a tree of bounded fan-in. A
+token is masked in one of the rounds, by a hash of document and place. So every token is
+trained on, and neither weights nor scores depend on how the input is partitioned.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,36 +31,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm._common import small_batches, table, text_bytes
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, table_path
 
 VOCABULARY, FREQUENT, WINDOW, EMBEDDED, HIDDEN = 256, 192, 2, 12, 24
-#: Share of tokens that a training round masks, tokens in a step, rounds, step size, and seed.
-MASKED, STEP, ROUNDS, RATE, SEED = 0.15, 256, 2, 4e-3, 13
+#: Share of tokens that a training round masks (each token once over all rounds), tokens in a step, rounds, step size, and seed.
+MASKED, STEP, ROUNDS, RATE, SEED = 0.5, 512, 2, 6e-3, 13
+#: Tokens that one group of documents is to have.
+GROUP_TOKENS = 4_000_000
 #: Networks that are averaged in one row.
 FAN_IN = 32
-#: Different words that a task counts before it hands on their counts so far.
-MOST_COUNTED = 200_000
+#: Tokens and different words after which a slice ends; a text is never cut.
+SLICE_TOKENS, SLICE_WORDS = 1 << 19, 200_000
+SLICE = "slice long, words array<binary>, ns array<long>, doc_ids array<long>, lengths array<long>, tokens binary"
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all whole texts; words are bytes in lower case (ASCII letters only)."""
+class _Numbered(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def sliced(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of some documents: their words (bytes, ASCII letters in lower case) with counts, and each document's words as numbers, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        words, ids, parts, n = _Numbered(), [], [], 0
 
-        def handed_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
+        def ended() -> pa.RecordBatch:
+            flat = np.concatenate([np.zeros(0, np.uint32), *parts])
+            row = [0, list(words), np.bincount(flat, minlength=len(words)).tolist(), list(ids), [len(x) for x in parts], flat.tobytes()]
+            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            words.clear(), ids.clear(), parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["slice", "words", "ns", "doc_ids", "lengths", "tokens"])
 
         for batch in small_batches(batches, 200):
-            for t in text_bytes(batch.column(0)):
-                counts.update(t.lower().split())
-            if len(counts) > MOST_COUNTED:
-                yield handed_on()
-        yield handed_on()
+            for i, t in zip(batch.column(0).cast(pa.int64()).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                ids.append(i)
+                parts.append(np.array(list(map(words.__getitem__, t.lower().split())), np.uint32))
+                n += len(parts[-1])
+                if n >= SLICE_TOKENS or len(words) >= SLICE_WORDS or len(ids) >= SLICE_WORDS:
+                    yield ended()
+                    n = 0
+        if ids:
+            yield ended()
+
+    return docs.select("doc_id", text).mapInArrow(run, SLICE).withColumn("slice", F.monotonically_increasing_id())
+
+
+def written(slices: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder, so that their numbers hold and texts are cut up once."""
+    path = table_path(slices.sparkSession, "slices")
+    slices.write.option("compression", "zstd").parquet(path)
+    return slices.sparkSession.read.parquet(path)
+
+
+def _listed(slices: DataFrame) -> DataFrame:
+    """(slice, at, word, n): each slice's dictionary."""
+    return slices.select("slice", F.posexplode(F.arrays_zip("words", "ns")).alias("at", "w")).select("slice", "at", F.col("w.words").alias("word"), F.col("w.ns").alias("n"))
 
-    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def _counted(slices: DataFrame) -> DataFrame:
+    return slices.select(F.explode(F.arrays_zip("words", "ns")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.ns").alias("n"))
+
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) over all whole texts; words are bytes in lower case (ASCII letters only)."""
+    return _counted(sliced(docs, text))
 
 
 @dataclass(frozen=True)
@@ -64,21 +110,33 @@ class Words:
 
     @staticmethod
     def of(docs: DataFrame, frequent: int = FREQUENT, vocabulary: int = VOCABULARY) -> Words:
-        top = word_counts(docs).orderBy(F.desc("n"), "word").limit(frequent).collect()
+        return Words.among(word_counts(docs), frequent, vocabulary)
+
+    @staticmethod
+    def among(counts: DataFrame, frequent: int = FREQUENT, vocabulary: int = VOCABULARY) -> Words:
+        top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
         return Words(tuple(bytes(r["word"]) for r in top), vocabulary)
 
-    def classes(self, texts: list[bytes]) -> list[np.ndarray]:
+    @property
+    def rest(self) -> int:
+        """Classes of words that aren't frequent."""
+        return self.vocabulary - len(self.frequent)
+
+    def classes(self, words: list[bytes]) -> np.ndarray:
         known = {w: i for i, w in enumerate(self.frequent)}
-        first, rest = len(self.frequent), self.vocabulary - len(self.frequent)
-        out = []
-        for text in texts:
-            ids = []
-            for w in text.lower().split():
-                c = known.get(w)
-                if c is None:
-                    c = known[w] = first + zlib.crc32(w) % rest
-                ids.append(c)
-            out.append(np.array(ids, np.int64))
+        first, rest = len(self.frequent), self.rest
+        return np.array([c if (c := known.get(w)) is not None else first + zlib.crc32(w) % rest for w in words], np.int64)
+
+    def sizes(self, counts: DataFrame) -> np.ndarray:
+        """For each hashed class: its tokens, plus one for each of its words and one for what never occurs."""
+        shared = F.pmod(F.crc32("word"), F.lit(self.rest)).cast("int")
+        sums = counts.groupBy(shared.alias("class")).agg(F.sum(F.col("n") + 1).alias("n")).collect()  # a row for each class
+        own = counts.where(F.col("word").isin([F.lit(w) for w in self.frequent])).collect() if self.frequent else []  # FREQUENT rows
+        out = np.ones(self.rest)
+        for r in sums:
+            out[r["class"]] += r["n"]
+        for r in own:
+            out[zlib.crc32(bytes(r["word"])) % self.rest] -= r["n"] + 1
         return out
 
 
@@ -146,12 +204,18 @@ class Network:
         return x, h, z
 
     def log_probabilities(self, docs: list[np.ndarray]) -> list[np.ndarray]:
-        """The log-probability of each token of each document."""
+        """The log-probability of the class of each token of each document."""
         padded, places = self.placed(docs)
+        tall = np.abs(self.outer).sum(axis=0).max(initial=0) + np.abs(self.outer_bias).max(initial=0) > 60  # else no exponential overflows
         parts = []
         for s in range(0, len(places), 4096):  # contexts of few tokens exist at a time, however long a text is
             at = places[s : s + 4096]
-            parts.append(self.forward(self.around(padded, at))[2][np.arange(len(at)), padded[at]])
+            z = np.tanh(self.embedding[self.around(padded, at)].reshape(len(at), -1) @ self.inner + self.inner_bias) @ self.outer
+            z += self.outer_bias
+            if tall:
+                z -= z.max(axis=1, keepdims=True)
+            own = z[np.arange(len(at)), padded[at]]
+            parts.append(own - np.log(np.exp(z, out=z).sum(axis=1)))
         flat = np.concatenate([np.zeros(0), *parts])
         return np.split(flat, np.cumsum([len(d) for d in docs])[:-1]) if docs else []
 
@@ -183,41 +247,91 @@ class Adam:
             w -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def _train(docs: DataFrame, words: Words, start: Network, round_: int, masked: float) -> DataFrame:
-    """(part, tokens, weights) of the network that each partition arrives at over all of its documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, start))  # FREQUENT words and one network
+def _each(row: dict) -> list[np.ndarray]:
+    """The words of each document of a slice, as numbers."""
+    flat = np.frombuffer(row["tokens"], np.uint32)
+    return np.split(flat, np.cumsum(row["lengths"])[:-1]) if row["lengths"] else []
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time, so that the Python objects of one slice exist at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _dealt(slices: DataFrame, words: Words, groups: int) -> DataFrame:
+    """(part, place, classes): documents by group in hashed order; a repeated row is there once for each slice that has it."""
+    shared = slices.sparkSession.sparkContext.broadcast(words)  # FREQUENT words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, network = shared.value[0], shared.value[1].filled(shared.value[1].flat())
-        adam, seen, key = Adam(network), 0, 0
-        targets, contexts = np.zeros(0, np.int64), np.zeros((0, 2 * network.window), np.int64)
+        for row in _rows(batches):
+            of = shared.value.classes(row["words"]).astype(np.uint16)
+            found = {(i, of[d].tobytes()) for i, d in zip(row["doc_ids"], _each(row), strict=True) if len(d)}
+            ids, classes = zip(*sorted(found, key=repr), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.binary())], ["doc_id", "classes"])
 
-        def learn(least: int) -> None:
-            nonlocal targets, contexts, seen
-            while len(targets) >= max(least, 1):
-                adam.step(targets[:STEP], contexts[:STEP])
-                seen += len(targets[:STEP])
-                targets, contexts = targets[STEP:], contexts[STEP:]
+    docs = slices.mapInArrow(run, "doc_id long, classes binary").withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "classes"))
+    return docs.select(F.pmod("place", F.lit(groups)).alias("part"), "place", "classes")
+
+
+def chosen(place: int, n: int, round_: int, masked: float) -> np.ndarray:
+    """Which of a document's n tokens are masked in a round: over 1 / masked rounds each of them once."""
+    x = (np.arange(n, dtype=np.uint64) + np.uint64(place & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(11)).astype(np.float64) / 2**53 + round_ * masked) % 1.0 < masked
 
-        for batch in small_batches(batches, 200):
-            ids = batch.column(0).to_pylist()
-            key = key or zlib.crc32(repr(ids[0]).encode()) + 1
-            texts = words.classes(text_bytes(batch.column(1)))
-            padded, places = network.placed(texts)
-            places = places[np.random.default_rng([SEED, round_, zlib.crc32(repr(ids).encode())]).random(len(places)) < masked]
-            for s in range(0, len(places), 1 << 16):
-                at = places[s : s + (1 << 16)]
-                targets, contexts = np.concatenate([targets, padded[at]]), np.concatenate([contexts, network.around(padded, at)])
-                learn(STEP)
-        learn(1)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([seen], pa.int64()), pa.array([network.flat().tobytes()], pa.binary())], ["part", "tokens", "weights"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "part long, tokens long, weights binary")
+
+def _train(dealt: DataFrame, start: Network, round_: int, masked: float) -> DataFrame:
+    """(part, tokens, weights) of the network that each group arrives at."""
+    shared = dealt.sparkSession.sparkContext.broadcast(start)  # one network
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, adam, seen = None, None, None, 0
+        targets, contexts, n = [], [], 0
+
+        def learn(least: int) -> None:
+            nonlocal targets, contexts, n, seen
+            t, c = np.concatenate(targets), np.concatenate(contexts)
+            while n >= max(least, 1):
+                adam.step(t[:STEP], c[:STEP])
+                seen += len(t[:STEP])
+                t, c = t[STEP:], c[STEP:]
+                n = len(t)
+            targets, contexts = [t], [c]
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if n:
+                learn(1)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([adam.network.flat().tobytes()], pa.binary())], ["part", "tokens", "weights"])
+
+        for batch in small_batches(batches):
+            for group, place, classes in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if group != part:
+                    yield from ended()
+                    part, last, adam, seen = group, None, Adam(shared.value.filled(shared.value.flat())), 0
+                    targets, contexts, n = [], [], 0
+                if (place, classes) == last:
+                    continue
+                last = place, classes
+                padded, places = adam.network.placed([np.frombuffer(classes, np.uint16).astype(np.int64)])
+                places = places[chosen(place, len(places), round_, masked)]
+                for s in range(0, len(places), 1 << 16):
+                    at = places[s : s + (1 << 16)]
+                    targets.append(padded[at])
+                    contexts.append(adam.network.around(padded, at))
+                    n += len(at)
+                    if n >= 1 << 13:
+                        learn(STEP)
+        yield from ended()
+
+    together = dealt.repartition("part").sortWithinPartitions("part", "place", "classes")
+    return together.mapInArrow(run, "part long, tokens long, weights binary")
 
 
 def _averaged(networks: DataFrame) -> DataFrame:
-    """Networks averaged by tokens, FAN_IN at a time, until one is left."""
+    """Networks averaged by tokens, those of FAN_IN numbers that follow each other at a time, until one is left."""
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,52 +347,71 @@ def _averaged(networks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(tokens, pa.int64()), pa.array(weights, pa.binary())], ["part", "tokens", "weights"])
 
     ranked = cut_lineage(networks)
-    count = ranked.count()
-    while count > 1:
-        groups = -(-count // FAN_IN)
-        # dealt by number, so that no row gathers more than about FAN_IN networks
-        numbered = ranked.withColumn("__n", F.monotonically_increasing_id())
-        dealt = numbered.withColumn("part", F.pmod(F.expr("shiftright(__n, 33) * 31 + (__n & 8589934591)"), F.lit(groups)).cast("long"))
-        gathered = dealt.repartition(F.col("part")).groupBy("part").agg(F.sort_array(F.collect_list(F.struct("tokens", "weights"))).alias("all"))
-        gathered = gathered.select("part", F.col("all.tokens").alias("ns"), F.col("all.weights").alias("ws"))
+    while ranked.count() > 1:
+        up = F.floor(F.col("part") / FAN_IN).cast("long")
+        gathered = ranked.groupBy(up.alias("up")).agg(F.sort_array(F.collect_list(F.struct("part", "tokens", "weights"))).alias("all"))  # at most FAN_IN a row
+        gathered = gathered.select(F.col("up").alias("part"), F.col("all.tokens").alias("ns"), F.col("all.weights").alias("ws"))
         ranked = cut_lineage(gathered.mapInArrow(mean, "part long, tokens long, weights binary"))
-        count = ranked.count()
     return ranked
 
 
 def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, masked: float = MASKED, start: Network | None = None) -> Network:
     """A network trained on masked tokens of all whole texts; without a word in any it is the untrained one.
 
-    The result depends on how the input is partitioned, as every partition's first steps do.
+    Rows that repeat a doc_id and text are trained on once. The result doesn't depend on how the input is partitioned.
     """
+    return _trained(sliced(docs), words, rounds, masked, start)
+
+
+def _trained(slices: DataFrame, words: Words, rounds: int = ROUNDS, masked: float = MASKED, start: Network | None = None) -> Network:
     network = start or Network.fresh()
+    tokens = slices.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 4
+    dealt = _dealt(slices, words, max(1, -(-tokens // GROUP_TOKENS)))
     for i in range(rounds):
-        best = _averaged(_train(docs, words, network, i, masked)).collect()  # one row
+        best = _averaged(_train(dealt, network, i, masked)).collect()  # one row
         if best:
             network = network.filled(np.frombuffer(best[0]["weights"], np.float32))
     return network
 
 
-def score(docs: DataFrame, words: Words, network: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_probability, per_token) of each whole text.
+def score(docs: DataFrame, words: Words, network: Network, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_probability, per_token) of each whole text; ``counts`` are (word, n) of the corpus, by default of docs.
 
-    A null or blank text has no tokens, sum 0 and a null mean. Repeated rows get a row
-    each; an empty table gives none; other columns are left out.
+    A null or blank text has no tokens, sum 0 and a null mean. A word that the counts lack is as likely as one that occurs
+    nought times with all counts raised by one. Repeated rows get a row each; an empty table gives none; other columns are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, network))  # FREQUENT words and one network
+    slices = written(sliced(docs))
+    return _scored(slices, words, network, cut_lineage(_counted(slices)) if counts is None else counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, network = shared.value
-        for batch in small_batches(batches, 200):
-            texts = words.classes(text_bytes(batch.column(1)))
-            sums = [float(p.sum(dtype=np.float64)) for p in network.log_probabilities(texts)]
-            means = [s / len(t) if len(t) else None for s, t in zip(sums, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_probability", "per_token"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_probability double, per_token double")
+def _scored(slices: DataFrame, words: Words, network: Network, counts: DataFrame) -> DataFrame:
+    shared = slices.sparkSession.sparkContext.broadcast((words, network, words.sizes(counts)))  # FREQUENT words and one network
+    known = _listed(slices).select("slice", "at", "word").join(counts.select("word", F.col("n").alias("total")), "word", "left")
+    told = known.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("total", F.lit(0)).alias("total")))).alias("told"))  # one dictionary a row
+    whole = slices.select("slice", "words", "doc_ids", "lengths", "tokens").join(told.select("slice", F.col("told.total").alias("totals")), "slice", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, network, sizes = shared.value
+        first = len(words.frequent)
+        for row in _rows(batches):
+            of = words.classes(row["words"])
+            share = np.zeros(len(of))
+            rare = of >= first
+            share[rare] = np.log((np.array(row["totals"] or [], np.int64)[rare] + 1) / sizes[of[rare] - first])
+            docs = _each(row)
+            sums = []
+            for s in range(0, len(docs), 200):
+                some = docs[s : s + 200]
+                sums += [float(p.sum(dtype=np.float64) + share[d].sum()) for p, d in zip(network.log_probabilities([of[d] for d in some]), some, strict=True)]
+            means = [s / len(d) if len(d) else None for s, d in zip(sums, docs, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_probability", "per_token"])
+
+    return whole.mapInArrow(run, "doc_id long, n_tokens long, log_probability double, per_token double")
 
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    words = Words.of(docs)
-    return score(docs, words, train(docs, words))
+    """score() of all documents by a network and counts of the same documents; odd rows and empty tables as stated there."""
+    slices = written(sliced(table(spark, sf_dir, "documents")))
+    counts = cut_lineage(_counted(slices))
+    words = Words.among(counts)
+    return _scored(slices, words, _trained(slices, words), counts)
