@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm._common import WHITE, map_arrow, table, text_bytes
+from brindle.session import table_path
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -92,6 +93,8 @@ RULES = (
 )
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
 DEFAULT = Policy("web", 1, tuple(r.name for r in RULES))
+#: A later version of the policy, which lets loud texts pass.
+LENIENT = Policy("web", 2, tuple(r.name for r in RULES if r.name not in ("bangs", "capitals")))
 
 
 def mask(policy: Policy, rules: Sequence[Rule] = RULES) -> int:
@@ -135,14 +138,27 @@ def ablations(book: DataFrame, policies: Sequence[Policy], rules: Sequence[Rule]
     )
 
 
+def written_ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The ledger, read back from a table in the shared folder: policies and ablations never touch a text again."""
+    path = table_path(docs.sparkSession, "ledger")
+    ledger(docs, rules).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of three policies does, from a written ledger; an empty table gives no rows."""
+    return ablations(written_ledger(table(spark, sf_dir, "documents")), (BASE, DEFAULT, LENIENT))
+
+
 def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents with the verdict of the base and the default policy; nulls, repeated rows and empty tables as in ledger()."""
     book = ledger(table(spark, sf_dir, "documents"))
     base = ~passes(BASE)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(DEFAULT)).alias("kept"), "failed")
 
 
 _W = r"[^\x20\x09-\x0D]+"
-OP1_SQL = rf"""
+_BITS = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
 m AS (SELECT doc_id, text, w, len(w)::BIGINT AS n_words,
         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
@@ -158,6 +174,21 @@ rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id),
 facts AS (SELECT m.*, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words
           FROM m LEFT JOIN rep r ON m.doc_id = r.doc_id),
 bits AS (SELECT *, ({' + '.join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)})::BIGINT AS failed FROM facts)
+"""
+OP1_SQL = _BITS + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed & {mask(BASE)}) <> 0 AS base_failed, (failed & {mask(DEFAULT)}) = 0 AS kept, failed FROM bits
 """
+
+
+def _ablations_sql(policies: Sequence[Policy]) -> str:
+    bits = {r.name: 1 << r.bit for r in RULES}
+    cases = ", ".join(f"('{p.name}', {p.version}, '{name}', {mask(p)}, {bits[name]})" for p in policies for name in p.rules)
+    return _BITS + f""", cases(policy, version, rule, mask, bit) AS (VALUES {cases})
+SELECT policy, version, rule, count(*) FILTER ((failed & bit) <> 0) AS failing, count(*) FILTER ((failed & mask) = bit) AS failing_alone,
+       count(*) FILTER ((failed & mask) = 0) AS kept, count(*) FILTER ((failed & mask & ~bit) = 0) AS kept_without
+FROM bits, cases GROUP BY policy, version, rule
+"""
+
+
+ABLATIONS_SQL = _ablations_sql((BASE, DEFAULT, LENIENT))

@@ -28,3 +28,7 @@ SQL: dict[str, str] = {
     "op6_feistel_shards": sharding.OP6_SQL,
     "op10_warc_archive": warc.OP10_SQL,
 }
+
+#: Reports that operators make besides their main result.
+REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"rule_ablations": quality_rules.rule_ablations}
+REPORTS_SQL: dict[str, str] = {"rule_ablations": quality_rules.ABLATIONS_SQL}
