@@ -4,7 +4,8 @@ A candidate is a maximal run of at least WINDOW characters of one class. Its Sha
 entropy is followed by a window that slides one character at a time: counts per
 character, and the sum of c * log2(c), are changed only for the character that enters
 and the one that leaves. A candidate whose largest window entropy reaches its class's
-threshold is a secret unless the allow-list knows it. DataFrame functions only.
+threshold is a secret. The allow-list takes known stretches out of a candidate (alphabets, digits in order,
+examples), and what is left between them is judged by itself. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ WINDOW = 20
 #: Character classes of candidates: kind, class, least entropy in bits of a window. No window of 20 has exactly these entropies.
 CLASSES = (("entropy_hex", "[0-9A-Fa-f]", 3.01), ("entropy_base64", "[A-Za-z0-9+/=_-]", 3.87))
 WIDEST = CLASSES[-1][1]
-#: Candidates that are no secrets: words without a digit, mere numbers, alphabets and digits in order, and examples.
-ALLOWED = r"^[^0-9]*$|^[0-9+/=_-]*$|abcdefghij|ABCDEFGHIJ|0123456789|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]"
+#: Stretches that are no secrets: ten or more digits or letters in order (an alphabet, all digits), and examples. What is left of a candidate between them is still looked at.
+ALLOWED = r"abcdefghij(?:klmnopqrstuvwxyz)?|ABCDEFGHIJ(?:KLMNOPQRSTUVWXYZ)?|0123456789(?:abcdef|ABCDEF)?|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]"
+#: What is left is no secret if it is a mere number, or letters and marks that read like words: without capitals that change
+#: within two letters, and without seven consonants in a row.
+NUMBER, DIGIT = r"^[0-9+/=_-]*$", r"[0-9]"
+UNREADABLE = r"[A-Z][a-z][A-Z]|[a-z][A-Z][A-Z][a-z]|[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{7}"
 KINDS = tuple(f[0] for f in FORMS) + tuple(c[0] for c in CLASSES)
 MASK = "[SECRET]"
 
@@ -94,7 +99,13 @@ def _long_enough(pattern: str, group: int, least: int) -> Callable[[Column], Col
 
 
 def _risky(least: float) -> Callable[[Column], Column]:
-    return lambda x: ~x["hit"].rlike(ALLOWED) & (max_window_entropy(x["hit"]) >= least)
+    """Whether any stretch of a candidate, between what the allow-list knows, has a window of that entropy and doesn't read like words or a number."""
+
+    def secret(rest: Column) -> Column:
+        plain = rest.rlike(NUMBER) | ~(rest.rlike(DIGIT) | rest.rlike(UNREADABLE))
+        return F.when((F.length(rest) >= WINDOW) & ~plain, max_window_entropy(rest) >= least).otherwise(False)
+
+    return lambda x: F.exists(F.split(x["hit"], ALLOWED, -1), secret)
 
 
 def _kind_spans(text: Column, gate: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None) -> Column:
@@ -127,10 +138,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     A null or empty text has no spans. Rows are looked at one by one, so repeated rows
     have equal spans. A column of the input that is named spans is replaced.
     """
+    return docs.withColumn("spans", _found(F.col(text)))
+
+
+def _found(text: Column) -> Column:
     names = F.array(*[F.lit(x) for x in KINDS])
-    body = F.coalesce(F.col(text), F.lit(""))
-    ordered = F.array_sort(_spans(body))
-    return docs.withColumn("spans", F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.element_at(names, x["kind"] + 1).alias("kind"))))
+    ordered = F.array_sort(_spans(F.coalesce(text, F.lit(""))))
+    return F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.element_at(names, x["kind"] + 1).alias("kind")))
 
 
 def redacted(text: Column, spans: Column, by: str = MASK) -> Column:
@@ -148,15 +162,18 @@ def redacted(text: Column, spans: Column, by: str = MASK) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns; secrets in text are masked, and n_chars follows. Texts without secrets stay as they are."""
-    found = scan(docs.withColumnRenamed("spans", "__own_spans") if "spans" in docs.columns else docs)
-    masked = found.withColumn("text", redacted(F.col("text"), F.col("spans")))
+    name = "spans"
+    while name in docs.columns:  # a column of the input keeps its name
+        name = f"_{name}"
+    masked = docs.withColumn(name, _found(F.col("text")))
+    masked = masked.withColumn("text", redacted(F.col("text"), F.col(name)))
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    masked = masked.drop("spans")
-    return masked.withColumnRenamed("__own_spans", "spans").select(docs.columns) if "spans" in docs.columns else masked.select(docs.columns)
+        masked = masked.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return masked.select(docs.columns)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of all documents, counted and joined; odd rows and empty tables as stated there."""
     found = scan(table(spark, sf_dir, "documents")).select("doc_id", "spans")
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
     of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
@@ -180,8 +197,9 @@ def _sql() -> str:
     for k, (kind, chars, least) in enumerate(CLASSES, len(FORMS)):
         p = f"{chars}{{{WINDOW},}}"
         found.append(f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, gaps, hits, len(hits) AS n,
-            list_transform(hits, lambda h: NOT regexp_matches(h, '{ALLOWED}') AND
-              list_max(list_transform(range(1, length(h) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(h, i, {WINDOW}), ''), 'entropy'))) >= {least}) AS good
+            list_transform(hits, lambda h: len(list_filter(string_split_regex(h, '{ALLOWED}'), lambda x: length(x) >= {WINDOW} AND NOT regexp_matches(x, '{NUMBER}')
+              AND (regexp_matches(x, '{DIGIT}') OR regexp_matches(x, '{UNREADABLE}'))
+              AND list_max(list_transform(range(1, length(x) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(x, i, {WINDOW}), ''), 'entropy'))) >= {least})) > 0) AS good
             FROM (SELECT doc_id, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS hits FROM docs WHERE regexp_matches(text, '{p}'))""")
     counts = ", ".join(f"count(*) FILTER (kind = '{f[0]}') AS n_{f[0]}" for f in FORMS)
     return f"""

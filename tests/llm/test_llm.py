@@ -193,11 +193,12 @@ def brute_spans(text):
     for k, (kind, chars, least) in enumerate(secrets.CLASSES, len(secrets.FORMS)):
         for m in re.finditer(f"{chars}+", text):
             s = m[0]
-            if len(s) >= secrets.WINDOW and not re.search(secrets.ALLOWED, s):
-                windows = [s[i : i + secrets.WINDOW] for i in range(len(s) - secrets.WINDOW + 1)]
-                entropy = max(-sum(n / len(w) * math.log2(n / len(w)) for n in collections.Counter(w).values()) for w in windows)
-                if entropy >= least:
-                    out.append((m.start(), k, m.end(), kind))
+            windows = []
+            for part in re.split(secrets.ALLOWED, s) if len(s) >= secrets.WINDOW else []:  # what the allow-list leaves
+                if not re.search(secrets.NUMBER, part) and (re.search(secrets.DIGIT, part) or re.search(secrets.UNREADABLE, part)):
+                    windows += [part[i : i + secrets.WINDOW] for i in range(len(part) - secrets.WINDOW + 1)]
+            if max((-sum(n / len(w) * math.log2(n / len(w)) for n in collections.Counter(w).values()) for w in windows), default=0) >= least:
+                out.append((m.start(), k, m.end(), kind))
     return [(s, e, kind) for s, _, e, kind in sorted(out)]
 
 
