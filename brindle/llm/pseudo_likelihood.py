@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm._common import small_batches, table, text_bytes
@@ -87,15 +87,20 @@ def written(slices: DataFrame) -> DataFrame:
     return slices.sparkSession.read.parquet(path)
 
 
-def _listed(slices: DataFrame) -> DataFrame:
-    """(slice, at, word, n): each slice's dictionary."""
-    return slices.select("slice", F.posexplode(F.arrays_zip("words", "ns")).alias("at", "w")).select("slice", "at", F.col("w.words").alias("word"), F.col("w.ns").alias("n"))
-
-
 def _counted(slices: DataFrame) -> DataFrame:
     return slices.select(F.explode(F.arrays_zip("words", "ns")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.ns").alias("n"))
 
 
+def _ledger(slices: DataFrame) -> DataFrame:
+    """(slice, at, word, n, total, first) of every word of every slice: one exchange by word gives a word's total to all slices that have it, and marks one of them."""
+    listed = slices.select("slice", F.posexplode(F.arrays_zip("words", "ns")).alias("at", "w")).select("slice", "at", F.col("w.words").alias("word"), F.col("w.ns").alias("n"))
+    of = Window.partitionBy("word")
+    told = listed.withColumns({"total": F.sum("n").over(of), "first": F.row_number().over(of.orderBy("slice")) == 1})
+    path = table_path(slices.sparkSession, "words")
+    told.write.option("compression", "zstd").parquet(path)
+    return slices.sparkSession.read.parquet(path)
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all whole texts; words are bytes in lower case (ASCII letters only)."""
     return _counted(sliced(docs, text))
@@ -206,8 +211,7 @@ class Network:
     def log_probabilities(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """The log-probability of the class of each token of each document."""
         padded, places = self.placed(docs)
-        tall = np.abs(self.outer).sum(axis=0).max(initial=0) + np.abs(self.outer_bias).max(initial=0) > 60  # else no exponential overflows
-        parts = []
+        tall, parts = self.tall, []
         for s in range(0, len(places), 4096):  # contexts of few tokens exist at a time, however long a text is
             at = places[s : s + 4096]
             z = np.tanh(self.embedding[self.around(padded, at)].reshape(len(at), -1) @ self.inner + self.inner_bias) @ self.outer
@@ -220,10 +224,15 @@ class Network:
         return np.split(flat, np.cumsum([len(d) for d in docs])[:-1]) if docs else []
 
     def gradients(self, targets: np.ndarray, contexts: np.ndarray) -> list[np.ndarray]:
-        x, h, z = self.forward(contexts)
-        d = np.exp(z)
-        d[np.arange(len(targets)), targets] -= 1
-        d /= len(targets)
+        x = self.embedding[contexts].reshape(len(contexts), -1)
+        h = np.tanh(x @ self.inner + self.inner_bias)
+        d = h @ self.outer
+        d += self.outer_bias
+        if self.tall:
+            d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(axis=1, keepdims=True) * len(targets)
+        d[np.arange(len(targets)), targets] -= 1 / len(targets)
         dh = (d @ self.outer.T) * (1 - h * h)
         dx = (dh @ self.inner.T).reshape(contexts.size, -1)
         de = np.zeros_like(self.embedding)
@@ -232,6 +241,11 @@ class Network:
         de[ids] = np.add.reduceat(dx[order], first, axis=0)
         return [de, x.T @ dh, dh.sum(axis=0), h.T @ d, d.sum(axis=0)]
 
+    @property
+    def tall(self) -> bool:
+        """Whether an exponential could overflow."""
+        return bool(np.abs(self.outer).sum(axis=0).max(initial=0) + np.abs(self.outer_bias).max(initial=0) > 60)
+
 
 class Adam:
     def __init__(self, network: Network, rate: float = RATE) -> None:
@@ -261,17 +275,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _dealt(slices: DataFrame, words: Words, groups: int) -> DataFrame:
-    """(part, place, classes): documents by group in hashed order; a repeated row is there once for each slice that has it."""
+    """(part, place, classes): documents with words by group, and their hashed order."""
     shared = slices.sparkSession.sparkContext.broadcast(words)  # FREQUENT words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             of = shared.value.classes(row["words"]).astype(np.uint16)
-            found = {(i, of[d].tobytes()) for i, d in zip(row["doc_ids"], _each(row), strict=True) if len(d)}
-            ids, classes = zip(*sorted(found, key=repr), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.binary())], ["doc_id", "classes"])
+            flat = of[np.frombuffer(row["tokens"], np.uint32)] if len(of) else np.zeros(0, np.uint16)
+            ends = np.cumsum([0, *row["lengths"]]).astype(np.int32) * 2
+            classes = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), classes], ["doc_id", "classes"])
 
-    docs = slices.mapInArrow(run, "doc_id long, classes binary").withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "classes"))
+    docs = slices.mapInArrow(run, "doc_id long, classes binary").where(F.octet_length("classes") > 0).withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "classes"))
     return docs.select(F.pmod("place", F.lit(groups)).alias("part"), "place", "classes")
 
 
@@ -326,6 +341,7 @@ def _train(dealt: DataFrame, start: Network, round_: int, masked: float) -> Data
                         learn(STEP)
         yield from ended()
 
+    # a group's documents stand in one task, in an order that rows alone decide
     together = dealt.repartition("part").sortWithinPartitions("part", "place", "classes")
     return together.mapInArrow(run, "part long, tokens long, weights binary")
 
@@ -381,23 +397,37 @@ def score(docs: DataFrame, words: Words, network: Network, counts: DataFrame | N
     nought times with all counts raised by one. Repeated rows get a row each; an empty table gives none; other columns are left out.
     """
     slices = written(sliced(docs))
-    return _scored(slices, words, network, cut_lineage(_counted(slices)) if counts is None else counts)
+    ledger = _ledger(slices)
+    if counts is None:
+        counts = _totals(ledger)
+    else:
+        told = ledger.select("slice", "at", "word", "n").join(counts.select("word", F.col("n").alias("total")), "word", "left")
+        ledger = told.withColumn("total", F.coalesce("total", F.lit(0)))
+    return _scored(slices, words, network, words.sizes(counts), ledger)
+
+
+def _totals(ledger: DataFrame) -> DataFrame:
+    """(word, n) of the corpus."""
+    return ledger.where("first").select("word", F.col("total").alias("n"))
 
 
-def _scored(slices: DataFrame, words: Words, network: Network, counts: DataFrame) -> DataFrame:
-    shared = slices.sparkSession.sparkContext.broadcast((words, network, words.sizes(counts)))  # FREQUENT words and one network
-    known = _listed(slices).select("slice", "at", "word").join(counts.select("word", F.col("n").alias("total")), "word", "left")
-    told = known.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("total", F.lit(0)).alias("total")))).alias("told"))  # one dictionary a row
-    whole = slices.select("slice", "words", "doc_ids", "lengths", "tokens").join(told.select("slice", F.col("told.total").alias("totals")), "slice", "left")
+def _scored(slices: DataFrame, words: Words, network: Network, sizes: np.ndarray, ledger: DataFrame) -> DataFrame:
+    """Scores of all documents of the slices. A slice gets the totals of those of its words that other slices have as well; what only it has, it has counted itself."""
+    shared = slices.sparkSession.sparkContext.broadcast((words, network, sizes))  # FREQUENT words and one network
+    elsewhere = ledger.where("total <> n").select("slice", F.struct(F.col("at"), F.col("total")).alias("t"))
+    told = elsewhere.groupBy("slice").agg(F.collect_list("t").alias("told"))  # a slice's dictionary at most
+    told = told.select("slice", F.col("told.at").alias("ats"), F.col("told.total").alias("totals"))
+    whole = slices.select("slice", "words", "ns", "doc_ids", "lengths", "tokens").join(told, "slice", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, network, sizes = shared.value
         first = len(words.frequent)
         for row in _rows(batches):
             of = words.classes(row["words"])
-            share = np.zeros(len(of))
-            rare = of >= first
-            share[rare] = np.log((np.array(row["totals"] or [], np.int64)[rare] + 1) / sizes[of[rare] - first])
+            totals = np.array(row["ns"], np.int64)
+            totals[np.array(row["ats"] or [], np.int64)] = row["totals"] or []
+            share, rare = np.zeros(len(of)), of >= first
+            share[rare] = np.log((totals[rare] + 1) / sizes[of[rare] - first])
             docs = _each(row)
             sums = []
             for s in range(0, len(docs), 200):
@@ -412,6 +442,7 @@ def _scored(slices: DataFrame, words: Words, network: Network, counts: DataFrame
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """score() of all documents by a network and counts of the same documents; odd rows and empty tables as stated there."""
     slices = written(sliced(table(spark, sf_dir, "documents")))
-    counts = cut_lineage(_counted(slices))
+    ledger = _ledger(slices)
+    counts = _totals(ledger)
     words = Words.among(counts)
-    return _scored(slices, words, _trained(slices, words), counts)
+    return _scored(slices, words, _trained(slices, words), words.sizes(counts), ledger)
