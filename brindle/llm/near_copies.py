@@ -1,15 +1,20 @@
-"""Near copies by five-word shingles: min-hash bands find candidates, exact Jaccard similarity decides.
-
-A text's shingles are hashed to a set of 64-bit numbers. Texts with the same set meet in
-one row. Each set gets BANDS keys, each hashed from ROWS least values under seeded
-permutations; sets that share a key, and whose sizes allow the similarity, are candidates, and
-both sets are compared in full. A pair at a similarity of exactly 0.8 misses all keys
-with a chance of (1 - 0.8 ** 5) ** 24, less than one in ten thousand.
+"""SimHash near-dedup of five-word shingles: long fingerprints, softly decoded to Golay codewords, and exact Jaccard similarity.
+
+This is the method of simhash.py with the parameters that a stage on word shingles takes. A text's different shingles
+give a fingerprint of 23 bits for each of 2 * TABLES segments, and for each bit how far its count is from
+even. A segment is decoded to the codewords near it: the CHASE least certain bits are flipped in
+all ways, each word is decoded, and codewords are ordered by the certainty of the bits that they change.
+The index of the nearest codewords of two segments is the key under which a text is stored in
+a table; it asks for its PROBES likeliest pairs of codewords. Texts with the same set meet in
+one row. Sets that meet under a key, whose sizes allow the similarity, and whose first 64 bits are within FAR bits, are candidates, and
+both sets are compared in full. Of pairs at a similarity of exactly 0.8 the tables lose about one in a hundred
+(tests/llm/test_near_copies_recall.py), of more similar ones fewer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm._common import map_arrow, small_batches, text_bytes
-from brindle.llm.simhash import first_of_each_group
+from brindle.llm.simhash import first_of_each_group, golay
 from brindle.operators.components import connected_components
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, table_path
 
 WIDTH, LEAST = 5, 0.8
-BANDS, ROWS, SEED = 24, 5, 42
-CHUNK = 1 << 12  # shingles that are permuted at a time
+TABLES, PROBES, CHASE, SEED = 12, 8, 5, 42
+#: Bits in which the first 64 of two sets at the least similarity don't differ (10 are expected, with a deviation of 3).
+FAR = 25
+BITS = 23 * 2 * TABLES
+WORDS = -(-BITS // 64)
+CHUNK = 1 << 12  # shingles whose bits are counted at a time
 MOST_WORDS = 200_000  # words whose hashes a task keeps
+DECODED = 64  # texts that are decoded at a time
 
 _rng = np.random.default_rng(SEED)
 _odd = lambda n: _rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
-PLACES, FLIPS, FACTORS, FOLDS = _odd(WIDTH), _odd(BANDS * ROWS), _odd(BANDS * ROWS), _odd(ROWS)
+PLACES, FLIPS = _odd(WIDTH), _odd(WORDS)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,28 +77,73 @@ def copy_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63) if len(shingles) else 0
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS signed keys of a set; none of the empty one."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def margins(shingles: np.ndarray) -> np.ndarray:
+    """BITS signed bytes: how far the count of each bit over a set is from even, in 32nds of its deviation."""
+    ones = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(shingles), CHUNK):
-        least = np.minimum(least, ((shingles[i : i + CHUNK] ^ FLIPS[:, None]) * FACTORS[:, None]).min(axis=1))
-    folded = (least.reshape(BANDS, ROWS) * FOLDS).sum(axis=1, dtype=np.uint64)
-    return _mixed(folded + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+        words = _mixed(shingles[i : i + CHUNK, None] ^ FLIPS)
+        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    z = (2 * ones - len(shingles)) / np.sqrt(max(len(shingles), 1))
+    return np.clip(np.rint(z * 32), -127, 127).astype(np.int8)[:BITS]
+
+
+def codewords(m: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of 23 margins the indices of the nearest codewords, and their costs: the certainty of the bits that they change."""
+    code, sure = golay(), np.abs(m).astype(np.int64)
+    hard = (m > 0) @ (1 << np.arange(23))
+    doubtful = np.argsort(sure, axis=1, kind="stable")[:, :CHASE]
+    ways = (np.arange(1 << CHASE)[:, None] >> np.arange(CHASE) & 1).T
+    words = hard[:, None] ^ ((1 << doubtful) @ ways)
+    found = np.sort(words ^ code.error[code.syndrome(words)], axis=1)
+    changed = (found ^ hard[:, None])[:, :, None] >> np.arange(23) & 1
+    cost = (changed * sure[:, None, :]).sum(axis=2)
+    cost[:, 1:][found[:, 1:] == found[:, :-1]] = 1 << 20  # the same codeword again
+    order = np.argsort(cost, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(found, order, 1) >> 11, np.take_along_axis(cost, order, 1)
+
+
+def golay_keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stored, asked): a key for each text and table, and PROBES keys for each text and table, of rows of BITS margins."""
+    index, cost = codewords(m.reshape(-1, 23))
+    index, cost = (x.reshape(len(m), TABLES, 2, -1) for x in (index, cost))
+    ways = np.array(list(product(range(index.shape[3]), repeat=2)))
+    both = index[:, :, 0, ways[:, 0]] << 12 | index[:, :, 1, ways[:, 1]]
+    total = cost[:, :, 0, ways[:, 0]] + cost[:, :, 1, ways[:, 1]]
+    near = np.take_along_axis(both, np.argsort(total, axis=2, kind="stable")[:, :, :PROBES], 2)
+    table = np.arange(TABLES) << 24
+    return both[:, :, 0] | table, near | table[:, None]
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, n, keys) of each text."""
+    """(doc_id, text_hash, copy, n, margins) of each text; the empty set has no margins."""
     shingles = Shingles()
+    names = ["doc_id", "text_hash", "copy", "n", "margins"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(x) for x in text_bytes(batch.column(1))]
-        keys = [band_keys(s) for s in sets]
-        columns = [batch.column(0).cast(pa.int64()), pa.array([copy_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "n", "keys"])
+        sets = [shingles(x) for x in text_bytes(batch.column(2))]
+        columns = [batch.column(0).cast(pa.int64()), batch.column(1), pa.array([copy_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([margins(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    return map_arrow(hashed, work, "doc_id long, text_hash long, copy long, n long, margins binary")
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(key, copy, n, fp, asks): the keys under which a set is stored and those that it asks for; fp are its first 64 bits."""
 
-    return map_arrow(docs.select("doc_id", "text"), work, "doc_id long, copy long, n long, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, DECODED):
+            m = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, BITS)
+            if not len(m):
+                continue
+            stored, asked = golay_keys(m)
+            keys = np.concatenate([stored.reshape(len(m), -1), asked.reshape(len(m), -1)], axis=1)
+            fps = np.packbits(m[:, :64] > 0, axis=1, bitorder="little").view("<i8")[:, 0]
+            rows = np.repeat(np.arange(len(m)), keys.shape[1])
+            asks = np.tile(np.arange(keys.shape[1]) >= stored.shape[1], len(m))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(fps[rows], pa.int64()), pa.array(asks)], ["key", "copy", "n", "fp", "asks"])
+
+    return nodes.where("margins is not null").select("copy", "n", "margins").mapInArrow(run, "key long, copy long, n long, fp long, asks boolean")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -103,11 +158,14 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b) with a < b of the sets in ``copy`` that share a key of ``keys`` and whose sizes ``n`` allow the similarity, each once."""
-    each = nodes.select("copy", "n", F.explode("keys").alias("key"))
-    met = each.toDF("a", "na", "key").join(each.toDF("b", "nb", "key"), "key")
+    """(a, b) with a < b of the sets in ``copy`` that meet under a key, whose sizes ``n`` allow the similarity, and whose fingerprints are near, each once."""
+    dealt = _keyed(nodes).repartition("key")  # both sides of the join are read from this one exchange
+    stored = dealt.where("not asks").select("key", F.col("copy").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"))
+    asked = dealt.where("asks").select("key", F.col("copy").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"))
     fair = (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)
-    return met.where((F.col("a") < F.col("b")) & fair).select("a", "b").distinct()
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
+    met = stored.join(asked, "key").where((F.col("a") != F.col("b")) & fair & near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
@@ -126,6 +184,25 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def _grouped(docs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, text_hash, copy, root, component_id) of every row."""
+    spark, path = docs.sparkSession, table_path(docs.sparkSession, "signed")
+    _signed(docs).write.option("compression", "zstd").parquet(path)
+    signed = spark.read.parquet(path)
+    nodes = signed.groupBy("copy").agg(F.first("n").alias("n"), F.first("margins").alias("margins"))
+    pairs = cut_lineage(candidates(nodes, least))
+    met = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct()
+    few = cut_lineage(signed.groupBy("copy").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_hash")).alias("any")))
+    asked = few.join(met, "copy").select(F.col("any.col1").alias("key_id"), F.col("any.col2").alias("key_null"), F.col("any.text_hash").alias("key_hash"))
+    # one text of each set that met another
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"), "text")
+    sets = cut_lineage(_sets(texts.join(asked, ["key_id", "key_null", "key_hash"], "left_semi")))
+    roots = connected_components(verified(pairs, sets, least), "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("root"))
+    placed = few.select("copy", "first").join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return signed.select("doc_id", "text_hash", "copy").join(placed.join(smallest, "root").select("copy", "root", "component_id"), "copy")
+
+
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, copy, component_id): component_id is the smallest doc_id reachable over pairs that are as similar as ``least``.
 
@@ -133,22 +210,9 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     component_id unless all of its group are null. Repeated rows get a row each. An empty
     table gives no rows; other columns are left out.
     """
-    signed = cut_lineage(_signed(docs))
-    nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = cut_lineage(nodes)
-    pairs = cut_lineage(candidates(nodes, least))
-    met = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct()
-    asked = nodes.join(met, "copy").select(F.col("first").alias("__asked"))
-    texts = docs.select("doc_id", "text")
-    # null doc_ids can't be asked for, so all of their texts are looked at
-    asked_texts = texts.join(asked, F.col("doc_id") == F.col("__asked"), "left_semi").union(texts.where("doc_id is null"))
-    sets = cut_lineage(_sets(asked_texts))
-    roots = connected_components(verified(pairs, sets, least), "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("root"))
-    placed = nodes.select("copy", "first").join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return signed.select("doc_id", "copy").join(placed.join(smallest, "root").select("copy", "component_id"), "copy").select("doc_id", "copy", "component_id")
+    return _grouped(docs, least).select("doc_id", "copy", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents whose doc_id is the smallest of its group of near copies, as simhash.one_of_each_group keeps them."""
-    return first_of_each_group(docs, near_copies(docs, least))
+    """One document of each group of near copies, as simhash.first_of_each_group keeps them; also of ids that are null or repeated."""
+    return first_of_each_group(docs, _grouped(docs, least))

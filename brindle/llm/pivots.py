@@ -2,7 +2,8 @@
 
 A vector is described by its NEAREST nearest reference points (pivots). Two vectors are
 candidates if their descriptions share at least two pivots: the inverted lists are kept per
-pair of pivots, so whoever meets in a list shares both. Lists are compared in blocks of
+pair of pivots, so whoever meets in a list shares both. The number of pivots grows with the
+square root of the number of vectors, so that lists keep their length. Lists are compared in blocks of
 bounded size, and every candidate's cosine is verified in double precision. A pair that
 meets in several lists counts in the list of its two smallest shared pivots only, so blocks
 give sums per vector and never rows per pair.
@@ -19,18 +20,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm._common import join_measured, small_batches, table
+from brindle.llm._common import block_pairs, each_block, labels_within, small_batches, table
 from brindle.operators.components import connected_components
 from brindle.session import cut_lineage
 
 LEAST_COSINE = 0.9
-#: Reference points, taken from SAMPLED times as many vectors of smallest hash, no two of a cosine of
-#: APART or more, and seeded directions where these are too few; nearest ones that describe a vector.
-PIVOTS, SAMPLED, APART, NEAREST, SEED = 256, 4, 0.5, 7, 5
+#: Reference points: a power of two from the square root of the number of vectors times ROOT, within bounds. They are taken from
+#: SAMPLED times as many vectors of smallest hash, no two of a cosine of APART or more, and seeded directions where these are too few.
+PIVOTS, MOST_PIVOTS, ROOT, SAMPLED, APART, SEED = 256, 8192, 2, 4, 0.5, 5
+#: Nearest pivots that describe a vector, and those more for each doubling of the least number of pivots.
+NEAREST, MORE = 7, 1
+#: Lengths of vectors that get pivots of their own; vectors of rarer lengths share one list for each length.
+MOST_LENGTHS = 16
 #: Vectors of a list that are compared with so many others at a time.
 BLOCK = 1024
 
 
+def pivots_for(vectors: int) -> tuple[int, int]:
+    """(pivots, nearest) for so many vectors."""
+    doublings = 0
+    while PIVOTS << doublings < min(ROOT * vectors**0.5, MOST_PIVOTS):
+        doublings += 1
+    return PIVOTS << doublings, NEAREST + MORE * doublings
+
+
 def _kind(embeddings: DataFrame, column: str) -> str:
     return "<f8" if embeddings.schema[column].dataType == T.ArrayType(T.DoubleType()) else "<f4"
 
@@ -72,8 +85,8 @@ def spread(points: np.ndarray, most: int, least_apart: float = APART) -> np.ndar
 
 
 def choose_pivots(classes: DataFrame, kind: str, most: int = PIVOTS, seed: int = SEED) -> dict[int, np.ndarray]:
-    """Unit reference points for each length of vector, by its bytes; at most SAMPLED * ``most`` vectors are collected per length."""
-    lengths = [r[0] for r in classes.select(F.octet_length("raw").alias("n")).distinct().collect()]  # lengths of vectors are few
+    """Unit reference points for the commonest lengths of vectors, by their bytes; at most SAMPLED * ``most`` vectors are collected per length."""
+    lengths = [r[0] for r in classes.groupBy(F.octet_length("raw").alias("n")).count().orderBy(F.desc("count"), "n").limit(MOST_LENGTHS).collect()]
     out = {}
     for n in sorted(lengths):
         rows = classes.where(F.octet_length("raw") == n).orderBy(F.xxhash64(F.lit(seed), "raw"), "raw").limit(SAMPLED * most).collect()
@@ -89,30 +102,31 @@ def described(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.n
     return np.sort(order, axis=1)
 
 
-def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], kind: str, whole: bool) -> DataFrame:
-    """A row for each vector and pair of its pivots: the list's key, and with ``whole`` what comparing needs."""
-    pairs = np.array(list(combinations(range(NEAREST), 2)))
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors per length
+def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], kind: str, nearest: int) -> DataFrame:
+    """(key, c, tops): a row for each vector and pair of its pivots, with the list's key."""
+    pairs = np.array(list(combinations(range(nearest), 2)))
+    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # as many vectors as there are pivots, for MOST_LENGTHS lengths at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             raw = batch.column(1).to_pylist()
             for n in sorted({len(r) for r in raw}):
                 rows = np.array([i for i, r in enumerate(raw) if len(r) == n])
-                top = described(unit([raw[i] for i in rows], kind), shared.value[n])
-                keys = (top[:, pairs[:, 0]] * PIVOTS + top[:, pairs[:, 1]]) + n * PIVOTS * PIVOTS
-                columns, names = [pa.array(keys.ravel(), pa.int64())], ["key"]
-                if whole:
-                    at = pa.array(np.repeat(rows, len(pairs)))
-                    tops = pa.array([t.tobytes() for t in top.astype("<u2")], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), len(pairs))))
-                    columns += [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), tops]
-                    names += ["c", "raw", "n", "tops"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                if n not in shared.value:  # a rare length: one list of its own, under a pair that no pivots have
+                    keys, at = np.full(len(rows), -n), rows
+                    tops = np.tile(np.arange(nearest, dtype="<u2"), (len(rows), 1))
+                else:
+                    points = shared.value[n]
+                    tops = described(unit([raw[i] for i in rows], kind), points, nearest).astype("<u2")
+                    keys = (tops[:, pairs[:, 0]].astype(np.int64) * len(points) + tops[:, pairs[:, 1]] + n * len(points) ** 2).ravel()
+                    at = np.repeat(rows, len(pairs))
+                    tops = np.repeat(tops, len(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(at)), pa.array([t.tobytes() for t in tops], pa.binary())], ["key", "c", "tops"])
 
-    return classes.select("c", "raw", "n").mapInArrow(run, "key long, c long, raw binary, n long, tops binary" if whole else "key long")
+    return classes.select("c", "raw").mapInArrow(run, "key long, c long, tops binary")
 
 
-def compared(c: np.ndarray, raw: list[bytes], n: np.ndarray, tops: np.ndarray, side: np.ndarray, cross: bool, key: int, kind: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compared(c: np.ndarray, raw: list[bytes], n: np.ndarray, tops: np.ndarray, side: np.ndarray, cross: bool, key: int, kind: str, least: float, most: int = PIVOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, smallest c that its links reach here, links) of the rows of one block that have links counted in this list."""
     x = unit(raw, kind)
     if cross:
@@ -121,7 +135,7 @@ def compared(c: np.ndarray, raw: list[bytes], n: np.ndarray, tops: np.ndarray, s
         i, j = left[i], right[j]
     else:
         i, j = np.nonzero(np.triu(x @ x.T >= least, 1))
-    a, b = divmod(key % (PIVOTS * PIVOTS), PIVOTS)
+    a, b = divmod(key % (most * most), most) if key >= 0 else (0, 1)
     mine = np.zeros(len(i), bool)
     for s in range(0, len(i), 1 << 17):
         ti, tj = tops[i[s : s + (1 << 17)]], tops[j[s : s + (1 << 17)]]
@@ -132,48 +146,23 @@ def compared(c: np.ndarray, raw: list[bytes], n: np.ndarray, tops: np.ndarray, s
     links = np.zeros(len(c), np.int64)
     np.add.at(links, i, n[j])
     np.add.at(links, j, n[i])
-    label = c.copy()
-    while True:
-        old = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        if (old == label).all():
-            break
+    label = labels_within(len(c), i, j, c)
     rows = np.flatnonzero(links)
     return rows, label[rows], links[rows]
 
 
-def _compare(blocks: DataFrame, kind: str, least: float) -> DataFrame:
+def _compare(blocks: DataFrame, kind: str, least: float, most: int) -> DataFrame:
     """Runs over sorted blocks; the rows of one block, at most about two times BLOCK, are in memory at a time."""
 
-    def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(parts)
-        if t.num_rows < 2:
-            return None
-        c, raw, n = t["c"].to_numpy(), t["raw"].to_pylist(), t["n"].to_numpy()
-        tops = np.frombuffer(b"".join(t["tops"].to_pylist()), "<u2").reshape(len(raw), -1).astype(np.int64)
-        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        rows, label, links = compared(c, raw, n, tops, (t["chunk"].to_numpy() == hi).astype(int), lo != hi, t["key"][0].as_py(), kind, least)
-        return pa.RecordBatch.from_arrays([pa.array(c[rows]), pa.array(label), pa.array(links)], ["c", "label", "links"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at: tuple | None = None
-        for batch in batches:
-            ids = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            for s, e in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(ids)].tolist(), strict=True):
-                if e == s:
-                    continue
-                now = tuple(ids[s])
-                if held and now != at:
-                    if (out := finish(held)) is not None:
-                        yield out
-                    held = []
-                at = now
-                held.append(batch.slice(s, e - s))
-        if held and (out := finish(held)) is not None:
-            yield out
+        for t in each_block(batches):
+            if t.num_rows < 2:
+                continue
+            c, raw, n = t["c"].to_numpy(), t["raw"].to_pylist(), t["n"].to_numpy()
+            tops = np.frombuffer(b"".join(t["tops"].to_pylist()), "<u2").reshape(len(raw), -1).astype(np.int64)
+            lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+            rows, label, links = compared(c, raw, n, tops, (t["chunk"].to_numpy() == hi).astype(int), lo != hi, t["key"][0].as_py(), kind, least, most)
+            yield pa.RecordBatch.from_arrays([pa.array(c[rows]), pa.array(label), pa.array(links)], ["c", "label", "links"])
 
     return blocks.mapInArrow(run, "c long, label long, links long")
 
@@ -191,14 +180,14 @@ def linked(embeddings: DataFrame, least: float = LEAST_COSINE, key: str = "vec_i
     rows = cut_lineage(packed(embeddings, key, vector))
     classes = rows.where("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = cut_lineage(classes.withColumn("c", F.monotonically_increasing_id()))
-    pivots = choose_pivots(classes, kind)
-    sizes = _lists(classes, pivots, kind, whole=False).groupBy("key").agg(F.count("*").alias("rows"))
+    most, nearest = pivots_for(classes.count())
+    lists = cut_lineage(_lists(classes, choose_pivots(classes, kind, most), kind, nearest))
+    # a list of one vector has nobody to meet, so its vector isn't sent there
+    sizes = lists.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    sizes = cut_lineage(sizes)
     hot = cut_lineage(sizes.where(F.col("rows") > BLOCK).select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("chunks")))
-    listed = join_measured(_lists(classes, pivots, kind, whole=True), hot, "key", "left")
-    chunked = listed.withColumn("chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.expr("cast(pmod(xxhash64(c, key), chunks) as int)")))
-    other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = chunked.withColumn("other", other).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "c", "raw", "n", "tops")
-    found = cut_lineage(_compare(blocks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi"), kind, least))
+    met = lists.join(sizes.select("key"), "key", "left_semi").join(classes.select("c", "raw", "n"), "c")
+    found = cut_lineage(_compare(block_pairs(met, hot, "c", "c", "raw", "n", "tops"), kind, least, most))
     roots = connected_components(found, "c", "label").select(F.col("node").alias("c"), F.col("component").alias("root"))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     placed = classes.join(links, "c", "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -210,5 +199,6 @@ def linked(embeddings: DataFrame, least: float = LEAST_COSINE, key: str = "vec_i
 
 
 def op7_pivot_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """linked() of all embeddings; odd rows and empty tables as stated there."""
     found = linked(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

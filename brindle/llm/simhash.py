@@ -6,7 +6,9 @@ first 23 bits of a half are decoded to the index of the nearest codeword of the
 (23, 12) Golay code. A fingerprint is stored under its own index, and asks for its own
 and for those of its half with one clear bit set: of two halves that differ in one
 bit, the one with the bit clear finds the other. Block, half, the block's bits and the
-index are the join key; the distance is verified in the join.
+index are the join key; the distance is verified in the join. Under a key with many
+fingerprints they are compared in blocks, which give one row per fingerprint with the smallest
+that it reaches, and never a row per pair.
 """
 
 from __future__ import annotations
@@ -14,16 +16,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm._common import map_arrow, small_batches, table, text_bytes
+from brindle.llm._common import block_pairs, each_block, join_measured, labels_within, map_arrow, small_batches, table, text_bytes
 from brindle.operators.components import connected_components
 from brindle.session import cut_lineage
 
 SEED, MOST_BITS = 42, 3
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 CHUNK = 1 << 14  # shingles whose bits are counted at a time
+#: Fingerprints stored under a key beyond which they are compared in blocks, and the fingerprints of a block.
+HOT, BLOCK = 32, 512
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
@@ -122,14 +126,15 @@ def _keyed(nodes: DataFrame, name: str, make) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, f"key long, {name} long")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long; a null text has fingerprint 0."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: str | None = None) -> DataFrame:
+    """(doc_id, fp) and a further column of longs: fp is the fingerprint as a signed long; a null text has fingerprint 0."""
+    names = ["doc_id", "fp", *[extra] * (extra is not None)]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x) for x in text_bytes(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), *batch.columns[2:]], names)
 
-    return map_arrow(docs.select(key, text), work, "doc_id long, fp long")
+    return map_arrow(docs.select(key, text, *names[2:]), work, ", ".join(f"{n} long" for n in names))
 
 
 def links(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
@@ -142,6 +147,53 @@ def links(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _block_labels(blocks: DataFrame, most_bits: int) -> DataFrame:
+    """(a, b): fingerprints of a block with the smallest that they reach within it."""
+
+    def run(batches):
+        for t in each_block(batches):
+            fps, left = t["fp"].to_numpy(), t["chunk"].to_numpy() == t["lo"][0].as_py()
+            cross = t["lo"][0].as_py() != t["hi"][0].as_py()
+            one, two = (np.flatnonzero(left), np.flatnonzero(~left)) if cross else (np.arange(len(fps)),) * 2
+            bits = fps.view(np.uint64)
+            near = np.bitwise_count(bits[one][:, None] ^ bits[two][None, :]) <= most_bits
+            i, j = np.nonzero(near if cross else np.triu(near, 1))
+            label = labels_within(len(fps), one[i], two[j], fps)
+            rows = np.flatnonzero(label != fps)
+            yield pa.RecordBatch.from_arrays([pa.array(fps[rows]), pa.array(label[rows])], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def reaching(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(a, b): pairs over which the same fingerprints reach each other as over links(), without a row for every pair of a dense group."""
+    if not 0 <= most_bits <= 3:
+        raise ValueError("the keys find pairs within 3 bits")
+    stored, asked = _keyed(nodes, "fp", stored_keys), _keyed(nodes, "fp", asked_keys)
+    crowded = cut_lineage(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    few = join_measured(stored, crowded, "key", "left_anti").withColumnRenamed("fp", "a")
+    pairs = few.join(asked.withColumnRenamed("fp", "b"), "key").where((near <= most_bits) & (F.col("a") != F.col("b")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if crowded.isEmpty():
+        return pairs
+    many = join_measured(stored.union(asked), crowded, "key", "left_semi").distinct()
+    sizes = many.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hot = cut_lineage(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")))
+    return pairs.union(_block_labels(block_pairs(many, hot, "fp", "fp"), most_bits).distinct())
+
+
+def _grouped(docs: DataFrame, most_bits: int) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) of every row."""
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    fps = cut_lineage(fingerprints(hashed, extra="text_hash"))
+    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = connected_components(reaching(nodes, most_bits), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
 
@@ -150,32 +202,31 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     but is nobody's component_id unless all of its group are null. Repeated rows
     get a row each. An empty table gives no rows; other columns are left out.
     """
-    fps = cut_lineage(fingerprints(docs))
-    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(nodes, most_bits), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, most_bits).select("doc_id", "fp", "component_id")
 
 
 def first_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component_id in ``groups``; a group of null doc_ids only keeps its rows.
+    """One row of docs for each root in ``groups`` (doc_id, text_hash, root): that of the smallest doc_id (null last), then of the smallest text hash.
 
-    All columns stay as they are. Rows that repeat a kept doc_id with the same text count as one document.
+    So a group keeps one text even where ids are null or repeated with other texts. Rows that are equal in doc_id and
+    text count as one document; of those the one of the smallest hash over all columns stays. All columns stay as they are.
     """
-    kept = cut_lineage(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct())
-    named = docs.join(kept.where("__kept is not null"), docs["doc_id"] == kept["__kept"], "left_semi")
-    # the join has dealt the rows by doc_id already, so this needs no further exchange
-    named = named.dropDuplicates(["doc_id", "text"])
-    nameless = docs.where("doc_id is null").join(F.broadcast(kept.where("__kept is null")), F.lit(True), "left_semi")  # one row at most
-    return named.unionByName(nameless.dropDuplicates(["text"]))
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    kept = groups.groupBy("root").agg(F.min(own).alias("k")).select(F.coalesce("k.doc_id", F.lit(0)).alias("key_id"), F.col("k.nameless").alias("key_null"), F.col("k.text_hash").alias("key_hash"))
+    row = F.struct("*").alias("document")
+    named = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"), row)
+    keys = ["key_id", "key_null", "key_hash"]
+    # the join has dealt the rows by these keys already, so the window needs no further exchange
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("document")))
+    return named.join(kept, keys, "left_semi").withColumn("place", first).where("place = 1").select("document.*")
 
 
 def one_of_each_group(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, as first_of_each_group keeps them."""
-    return first_of_each_group(docs, near_duplicates(docs, most_bits))
+    """One document of each group, as first_of_each_group keeps them."""
+    return first_of_each_group(docs, _grouped(docs, most_bits))
 
 
 def op9_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents with fingerprints in hexadecimal; odd rows and empty tables as stated there."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

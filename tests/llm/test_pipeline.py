@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from brindle.llm import mixing, pieces, secrets
 from brindle.llm.registry import QUERIES, SQL
-from tests.llm.test_llm import SF, brute_fingerprint, brute_spans, empty, odd
+from tests.llm.test_llm import SF, brute_spans, empty, odd
+from tests.llm.test_near_copies import brute_groups
 
 
 def test_stages(spark, tmp_path):
@@ -29,12 +30,8 @@ def test_stages(spark, tmp_path):
     rejected = [r.quality for r in labels.collect() if r.doc_id not in good]
     assert rejected and sum(rejected) <= 0.1 * len(rejected)
     _, single = map(texts, kept[1])
-    prints = {i: brute_fingerprint(x) for i, x in good.items()}
-    for i in good:
-        if i not in single:
-            assert any((prints[i] ^ prints[j]).bit_count() <= 3 for j in good if j < i or j in single if j != i)
-    ids = list(single)
-    assert all((prints[a] ^ prints[b]).bit_count() > 3 for a in ids for b in ids if a < b)
+    groups, _ = brute_groups(good)  # five words and a similarity of 0.8, as a stage on word shingles is to take
+    assert set(single) == set(groups.values())
     _, masked = map(texts, kept[2])
     for i, x in single.items():
         assert (secrets.MASK in masked[i]) == bool(brute_spans(x)) and (brute_spans(x) or masked[i] == x)
