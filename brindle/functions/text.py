@@ -6,7 +6,6 @@ import unicodedata
 from collections.abc import Callable
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,13 +16,13 @@ from brindle.functions.values import FOLDED, MACEDONIAN, PREDICATES, SENTIMENT,
 def fold_table() -> tuple[str, str, dict[str, str]]:
     """(from, to, longer): single characters to one ASCII letter or space, and those that give several letters.
 
-    Built by rule over the basic plane: Macedonian letters and FOLDED as listed, all
+    Built by rule over all planes: Macedonian letters and FOLDED as listed, all
     others by compatibility decomposition without combining marks.
     """
     one: dict[str, str] = {}
     several: dict[str, str] = {}
     listed = {**MACEDONIAN, **{k.upper(): v for k, v in MACEDONIAN.items()}, **FOLDED}
-    for code in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         c = chr(code)
         if c in listed:
             plain = listed[c]
@@ -42,30 +41,19 @@ def fold_table() -> tuple[str, str, dict[str, str]]:
 def normalized(text: Column) -> Column:
     """Latin letters a-z and single spaces: transliterated, folded, in lower case; all else is deleted. A null gives an empty string.
 
-    Characters that fold to several letters are replaced for Macedonian; rarer ones
-    (ligatures, squared words) have ``normalized_exactly``.
+    Characters that fold to several letters (Macedonian digraphs, ligatures, squared words) are
+    replaced first: texts without any are told by one pass, and others take a step for each such character.
     """
     source, target, several = fold_table()
-    out = F.translate(F.coalesce(text, F.lit("")), source, target)
-    for c, plain in several.items():
-        if c.lower() in MACEDONIAN:
-            out = F.replace(out, F.lit(c), F.lit(plain))
-    out = F.regexp_replace(F.lower(out), r"[\s\x1c-\x1f]+", " ")
+    plain = F.coalesce(text, F.lit(""))
+    letters = "".join(sorted(several))
+    longer = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    expanded = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(longer[c], c)), "")
+    plain = F.when(plain.rlike(f"[{letters}]"), expanded).otherwise(plain)
+    out = F.regexp_replace(F.lower(F.translate(plain, source, target)), r"[\s\x1c-\x1f]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, "[^a-z ]", ""), " +", " "))
 
 
-def normalized_exactly(text: Column) -> Column:
-    """The same for every character, through Arrow."""
-    _, _, several = fold_table()
-    rare = {ord(c): p for c, p in several.items()}
-
-    @F.pandas_udf("string")
-    def expand(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x.translate(rare) if x else x)
-
-    return normalized(expand(text))
-
-
 def tokens(text: Column) -> Column:
     """The words of a normalised text, in order."""
     return F.filter(F.split(text, " "), lambda x: x != "")
@@ -96,7 +84,7 @@ def language_by_cues(text: Column, strict_compat: bool = False, classifier=None)
 
 def stripped(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$", "")
 
 
 def url_hash(url: Column) -> Column:
@@ -130,6 +118,18 @@ def sentences(text: Column, ends: str = ".!?") -> Column:
     return F.filter(F.transform(parts, F.trim), lambda x: x != "")
 
 
+def placed_sentences(text: Column, ends: str = ".!?") -> Column:
+    """Array of (start, text) of sentences(), with the place of each; one pass over the pieces and what parts them."""
+    gap = rf"(?<=[{ends}])\s+|\n+"
+    whole = F.coalesce(text, F.lit(""))
+    both = F.arrays_zip(F.split(whole, gap, -1).alias("piece"), F.regexp_extract_all(whole, F.lit(f"({gap})"), F.lit(1)).alias("gap"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    places = F.aggregate(both, start, lambda s, x: F.struct((s["at"] + F.length(x["piece"]) + F.coalesce(F.length(x["gap"]), F.lit(0))).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    lead = lambda piece: F.length(piece) - F.length(F.ltrim(piece))
+    made = F.zip_with(places, both, lambda at, x: F.struct((at + lead(x["piece"])).cast("long").alias("start"), F.trim(x["piece"]).alias("text")))
+    return F.filter(made, lambda s: s["text"] != "")
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value computed once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -164,26 +164,16 @@ def summary(text: Column, most: int = 220) -> Column:
     return bound(sentences(text, ends=".!?…"), picked)
 
 
-def _phrases() -> list[tuple[str, str]]:
-    pairs = [(phrase, predicate) for predicate, phrases in PREDICATES.items() for phrase in phrases]
-    return sorted(pairs, key=lambda p: -len(p[0]))
-
-
 def predicate(text: Column, is_normalized: bool = False) -> Column:
     """The predicate of the leftmost phrase in the text (the longest of those that begin there); null without one."""
-    pairs = _phrases()
-    known = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    hit = F.regexp_extract(text if is_normalized else normalized(text), "(" + "|".join(p for p, _ in pairs) + ")", 1)
+    known = F.create_map(*[F.lit(x) for pair in PREDICATES.items() for x in pair])
+    hit = F.regexp_extract(text if is_normalized else normalized(text), "(" + "|".join(sorted(PREDICATES, key=lambda p: -len(p))) + ")", 1)
     return F.when(hit != "", known[hit])
 
 
-def sentiment_weights(language: str) -> dict[str, float]:
-    return {w: weight for weight, words in SENTIMENT.get(language, {}).items() for w in words.split()}
-
-
 def lexicon_sentiment(norm: Column, language: Column) -> Column:
     """struct(score, label, hits) of a normalised text by its language's word list."""
-    maps = {lang: F.create_map(*[F.lit(x) for pair in sentiment_weights(lang).items() for x in pair]) for lang in SENTIMENT}
+    maps = {lang: F.create_map(*[F.lit(x) for pair in words.items() for x in pair]) for lang, words in SENTIMENT.items()}
     found = F.regexp_extract_all(F.coalesce(norm, F.lit("")), F.lit("[a-z0-9]+"), F.lit(0))
     weights = None
     for lang, words in maps.items():

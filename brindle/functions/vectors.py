@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brindle.functions.values import SUFFIXES
+from brindle.functions.text import base_form
 
 DIMENSIONS = 384
 
@@ -27,47 +27,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
-def hashed_vector(text: str, dimensions: int = DIMENSIONS) -> list[float]:
-    """Signed counts of words (of character trigrams, if there are none) by MD5, to length 1."""
-    found = re.findall(r"\w+", text.lower()) or [text[i : i + 3] for i in range(max(1, len(text) - 2))]
-    v = [0.0] * dimensions
-    for t in found:
-        h = int.from_bytes(hashlib.md5(t.encode()).digest(), "big")
-        v[h % dimensions] += -1.0 if h >> 9 & 1 else 1.0
-    norm = math.sqrt(sum(x * x for x in v)) or 1.0
-    return [x / norm for x in v]
+def slots(tokens: Sequence[str], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """(place, sign) of each token by its MD5 as one number: the remainder by the dimensions, and 1 where bit 9 is set, else -1.
 
+    The number is read as four parts of 32 bits, from the highest; the remainder is carried from part to part.
+    """
+    parts = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest() for t in tokens), ">u4").reshape(-1, 4).astype(np.int64)
+    place = np.zeros(len(parts), np.int64)
+    for part in parts.T:
+        place = (place * ((1 << 32) % dimensions) + part) % dimensions
+    return place, np.where(parts[:, 3] >> 9 & 1, 1, -1)
 
-def hash_embedding(text: Column | str) -> Column:
-    """hashed_vector through Arrow; the UDF is made when it is used, as workers import this module without a session."""
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: hashed_vector(t or ""))
+def hash_embedding(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
+    """Signed counts by slot of the words in lower case, or of the character triples if there is no word, to length 1; zeros without either.
 
-    return F.pandas_udf(run, "array<double>")(text)
-
-
-def _base(s: str) -> str:
-    return next((s[: -len(x)] for x in sorted(SUFFIXES, key=len) if s.endswith(x) and len(s) - len(x) >= 4), s)
+    Each different token of a batch is hashed once, and counts are numpy sums over the batch.
+    """
 
+    def run(texts: pd.Series) -> pd.Series:
+        found = [re.findall(r"\w+", t.lower()) or [t[i : i + 3] for i in range(len(t) - 2)] for t in (x or "" for x in texts)]
+        number = {t: i for i, t in enumerate(dict.fromkeys(t for f in found for t in f))}
+        place, sign = slots(list(number), dimensions)
+        each = np.fromiter((number[t] for f in found for t in f), np.int64)
+        out = np.zeros((len(found), dimensions))
+        np.add.at(out, (np.repeat(np.arange(len(found)), [len(f) for f in found]), place[each]), sign[each])
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return pd.Series(list(out / np.where(norm > 0, norm, 1.0)))
 
-def similarity(a: str, b: str) -> float:
-    """1 for equal names or bases, 0.95 if one is the other's base, else the matching-blocks ratio of a to b."""
-    if a == b:
-        return 1.0
-    x, y = _base(a.strip()), _base(b.strip())
-    if x and x == y:
-        return 1.0
-    if x and (x == b or y == a):
-        return 0.95
-    return SequenceMatcher(None, a, b).ratio()
+    return F.pandas_udf(run, "array<double>")(text)
 
 
 def entity_similarity(a: Column | str, b: Column | str) -> Column:
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(*pair) for pair in zip(x, y, strict=True)], dtype=float)
-
-    return F.pandas_udf(run, "double")(a, b)
+    """1 for equal names or bases, 0.95 if one is the other's base, else the matching-blocks ratio of a to b, which alone needs Python."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    base_a, base_b = base_form(a), base_form(b)
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if p is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+
+    alike = (a == b) | ((base_a != "") & (base_a == base_b))
+    near = (base_a != "") & ((base_a == b) | (base_b == a))
+    settled = alike | near
+    nothing = F.lit(None).cast("string")
+    measured = F.pandas_udf(ratio, "double")(F.when(settled, nothing).otherwise(a), F.when(settled, nothing).otherwise(b))
+    return F.when(alike, 1.0).when(near, 0.95).otherwise(measured)
 
 
 def span_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

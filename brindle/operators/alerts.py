@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules are a user's few rows; beyond so many a scan refuses to start.
-MOST_RULES = 10_000
+#: Rules that one row holds, and rules up to which they are sent to all tasks; more are joined by a shuffle.
+RULES_A_ROW, MOST_SENT = 500, 10_000
+ANY = ""
 RULES = "id long, name string, query string, languages array<string>, min_sentiment double, node string, match_in string, enabled boolean"
 
 
@@ -29,7 +30,9 @@ def reason() -> Column:
 def _holds(r: Column) -> Column:
     """Whether a rule's words, languages and score hold for the article of the row; what a rule leaves out holds."""
     title, content = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
-    said = lambda t: ((r["match_in"] != "content") & F.contains(title, t)) | ((r["match_in"] != "title") & F.contains(content, t))
+    # % and _ in a word stand for any letters and any letter, as in a LIKE pattern
+    has = lambda text, t: F.when(t.rlike(r"[%_\\\\]"), F.call_function("like", text, F.concat(F.lit("%"), t, F.lit("%")))).otherwise(F.contains(text, t))
+    said = lambda t: ((r["match_in"] != "content") & has(title, t)) | ((r["match_in"] != "title") & has(content, t))
     words = (F.size(r["terms"]) == 0) | F.exists(r["terms"], said)
     languages = (F.size(F.coalesce(r["languages"], F.array().cast("array<string>"))) == 0) | F.array_contains(r["languages"], F.col("language"))
     return F.coalesce(words & languages & (r["min_sentiment"].isNull() | (F.col("sentiment_score") <= r["min_sentiment"])), F.lit(False))
@@ -38,17 +41,24 @@ def _holds(r: Column) -> Column:
 def match(articles: DataFrame, rules: DataFrame, mentions: DataFrame, already: DataFrame | None = None) -> DataFrame:
     """(rule_id, article_id, reason): every enabled rule with every article that meets all of its parts; pairs in ``already`` are left out.
 
-    Rules are counted before they are broadcast. Entity rules meet mentions by an equi-join,
-    only rules without an entity look at all articles.
+    Rules without an entity meet articles by an equi-join on the language, rules without a language under a key that all
+    articles have. A row holds many rules, and a rule becomes a row only where it holds. Entity rules meet mentions by
+    their node. Rules are sent to all tasks while they are counted to be few, and shuffled beyond that.
     """
     live = rules.where("enabled").withColumn("terms", terms(F.col("query"))).withColumn("reason", reason())
-    if live.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} enabled rules")
+    small = live.limit(MOST_SENT + 1).count() <= MOST_SENT
+    sent = F.broadcast if small else (lambda df: df)
     a = articles.select(F.col("id").alias("article_id"), F.lower("title").alias("title"), F.lower("content").alias("content"), "language", "sentiment_score")
-    one = live.where("node is null").agg(F.collect_list(F.struct("id", "terms", "languages", "min_sentiment", "match_in", "reason")).alias("rules"))
-    # one row of rules stands beside every article; a rule becomes a row only where it holds
-    free = a.join(F.broadcast(one), F.lit(True)).select("article_id", F.explode(F.filter("rules", _holds)).alias("r")).select(F.col("r.id").alias("rule_id"), "article_id", "r.reason")
-    named = mentions.select("node", "article_id").distinct().join(F.broadcast(live.where("node is not null").withColumn("r", F.struct("id", "terms", "languages", "min_sentiment", "match_in", "reason"))), "node").join(a, "article_id")
+    parts = F.struct("id", "terms", "languages", "min_sentiment", "match_in", "reason").alias("r")
+    none = F.array().cast("array<string>")
+    wanted = F.when(F.size(F.coalesce("languages", none)) == 0, F.array(F.lit(ANY))).otherwise(F.array_distinct("languages"))
+    keyed = live.where("node is null").select(F.explode(wanted).alias("key"), parts, F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("h"))
+    counts = keyed.groupBy("key").agg(F.ceil(F.count("*") / RULES_A_ROW).alias("rows"))
+    packed = keyed.join(counts, "key").groupBy("key", F.pmod("h", "rows").alias("row")).agg(F.collect_list("r").alias("rules"))  # about RULES_A_ROW rules
+    keys = F.array_distinct(F.array(F.lit(ANY), F.coalesce("language", F.lit(ANY))))
+    met = a.withColumn("key", F.explode(keys)).join(sent(packed.select("key", "rules")), "key")
+    free = met.select("article_id", F.explode(F.filter("rules", _holds)).alias("r")).select(F.col("r.id").alias("rule_id"), "article_id", "r.reason")
+    named = mentions.select("node", "article_id").distinct().join(sent(live.where("node is not null").select("node", parts)), "node").join(a, "article_id")
     found = free.unionByName(named.where(_holds(F.col("r"))).select(F.col("r.id").alias("rule_id"), "article_id", "r.reason"))
     return found.join(already, ["rule_id", "article_id"], "left_anti") if already is not None else found
 
@@ -57,3 +67,14 @@ def scan(articles: DataFrame, rules: DataFrame, mentions: DataFrame, already: Da
     """The same for articles past a cursor; those at the cursor itself are looked at again, which already known pairs make harmless."""
     fresh = articles.where(F.col(at).isNull() | (F.col(at) >= F.lit(cursor).cast("timestamp_ntz"))) if cursor else articles
     return match(fresh, rules, mentions, already)
+
+
+def listed(found: DataFrame, articles: DataFrame, rules: DataFrame, sources: DataFrame, unread_only: bool = False, limit: int = 100) -> DataFrame:
+    """Alerts (id, rule_id, article_id, reason, read, created_at) with their rule, article and source, the newest first; 1 to 500 of them."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be 1 to 500")
+    rows = found.where(~F.col("read")) if unread_only else found
+    top = rows.join(rules.select(F.col("id").alias("rule_id"), F.col("name").alias("rule")), "rule_id")
+    top = top.join(articles.select(F.col("id").alias("article_id"), "title", "language", "sentiment_label", "published_at", "source_id"), "article_id")
+    top = top.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
+    return top.orderBy(F.desc_nulls_first("created_at"), "id").limit(limit)

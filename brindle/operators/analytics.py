@@ -102,3 +102,21 @@ def watchlist_stats(watchlist: DataFrame, nodes: DataFrame, mentions: DataFrame)
     """Each watched node with its label, mentions in visible articles and the last of these; unknown nodes stay with zeros."""
     stats = mentions.where(~F.col("status").isin(*HIDDEN)).groupBy("node").agg(F.count("*").alias("mentions"), F.max("discovered_at").alias("last_mention"))
     return watchlist.join(nodes.select("node", "label"), "node", "left").join(stats, "node", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0)))
+
+
+def overview(articles: DataFrame, mentions: DataFrame, interval: str = "day", as_of: str | None = None, days: int = 0, k: int = 20) -> dict[str, DataFrame]:
+    """The whole answer of an overview: sentiment and languages by bucket, trending nodes, totals."""
+    rows = in_window(articles, as_of, days)
+    return {
+        "sentiment_over_time": sentiment_over_time(articles, interval, as_of, days),
+        "language_mix": language_mix_pivot(rows, interval),
+        "trending": trending(mentions, as_of, days, k),
+        "totals": overview_totals(rows),
+    }
+
+
+def language_mix_pivot(articles: DataFrame, interval: str = "day") -> DataFrame:
+    """A row per bucket and a column per language that occurs, unknown ones as und; languages are few, and are read first."""
+    rows = language_mix(articles, interval)
+    names = [r[0] for r in rows.select("language").distinct().orderBy("language").limit(1000).collect()]
+    return rows.groupBy("bucket").pivot("language", names).agg(F.sum("n")).na.fill(0)

@@ -39,10 +39,12 @@ def export_articles(articles: DataFrame, source_id: int | None = None, status: s
     return csv_rows(out, ARTICLE_COLUMNS)
 
 
-def export_search(articles: DataFrame, request: SearchRequest, mentions: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
-    """All hits; an export is by time and has no rank."""
+def export_search(articles: DataFrame, request: SearchRequest, mentions: DataFrame | None = None, triples: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Hits, all or the newest so many (2000 at most); an export is by time and has no rank."""
     groups = query_groups(normalized_query(request.q))
     hits = apply_filters(with_tokens(articles) if groups else articles, request, mentions, triples, groups)
+    if limit is not None:
+        hits = hits.orderBy(F.desc_nulls_first("discovered_at"), "id").limit(min(limit, 2000))
     return csv_rows(hits, ARTICLE_COLUMNS)
 
 
@@ -54,7 +56,7 @@ def export_story(story_articles: DataFrame, articles: DataFrame, story_id: int)
 def page_blocks(articles: DataFrame) -> DataFrame:
     """(id, seq, kind, text) of a printed article: title, facts, paragraphs."""
     paragraphs = F.transform(F.filter(F.split(F.coalesce("content", F.lit("")), "\n+"), lambda p: F.trim(p) != ""), lambda p: F.struct(F.lit("body").alias("kind"), escaped(p).alias("text")))
-    facts = F.concat_ws(" | ", "language", "sentiment_label", "status")
+    facts = escaped(F.concat_ws(" | ", "language", "sentiment_label", "status"))
     head = F.array(F.struct(F.lit("title").alias("kind"), escaped(F.coalesce("title", F.lit(""))).alias("text")), F.struct(F.lit("meta").alias("kind"), facts.alias("text")))
     return articles.select("id", F.posexplode(F.concat(head, paragraphs)).alias("seq", "b")).select("id", "seq", "b.kind", "b.text")
 

@@ -2,11 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import predicate, sentences
+from brindle.functions.text import normalized, placed_sentences, predicate
+from brindle.functions.values import ENTITY_LABELS
 from brindle.operators.components import connected_components
+from brindle.session import cut_lineage
+
+
+def found_mentions(articles: DataFrame, name: str) -> DataFrame:
+    """Mentions of names that a pattern finds, once for each form and article; a recogniser that gives (text, label) arrays would stand here.
+
+    The first place of a form is found in the same row as its text, so that texts are never copied to their mentions.
+    """
+    label = lambda x: F.when(F.length(x) % 3 == 0, "PER").when(F.length(x) % 3 == 1, "ORG").otherwise("LOC")
+    forms = F.array_distinct(F.regexp_extract_all("content", F.lit(name), F.lit(0)))
+    placed = F.transform(forms, lambda x: F.struct(x.alias("text"), (F.instr(F.col("content"), x) - 1).cast("long").alias("start")))
+    rows = articles.select(F.col("id").alias("article_id"), "discovered_at", placed.alias("found")).select("article_id", "discovered_at", F.explode("found").alias("m"))
+    text = F.col("m.text")
+    return rows.select(
+        "article_id", text.alias("text"), label(text).alias("label"), F.col("m.start").alias("start"), (F.col("m.start") + F.length(text)).cast("long").alias("stop"),
+        (0.5 + F.length(text) % 5 / 10.0).alias("confidence"), F.lower(text).alias("canonical"), F.concat(label(text), F.lit(":"), F.lower(text)).alias("node"), "discovered_at",
+    )
+
+
+def intake(predictions: DataFrame, threshold: float = 0.3, most_chars: int = 5000) -> DataFrame:
+    """Mentions of a recogniser's predictions (article_id, content, text, label, start, stop, score): labels mapped (unknown ones in capitals), scores rounded.
+
+    A recogniser reads the first ``most_chars`` characters only, so that later places can't be its own and are left out, as are
+    scores below the threshold; blank contents have none. An empty canonical name or label gives no mention; repeats of (article, node, start) count once.
+    """
+    known = F.create_map(*[F.lit(x) for pair in ENTITY_LABELS.items() for x in pair])
+    label = F.coalesce(known[F.lower("label")], F.upper("label"), F.lit("MISC"))
+    canonical = normalized(F.col("text"))
+    rows = predictions.where((F.col("score") >= threshold) & (F.col("stop") <= most_chars) & (F.trim(F.coalesce("content", F.lit(""))) != ""))
+    rows = rows.select("article_id", "text", label.alias("label"), "start", "stop", F.bround("score", 4).alias("confidence"), canonical.alias("canonical"))
+    return rows.where("canonical <> ''").withColumn("node", F.concat("label", F.lit(":"), "canonical")).dropDuplicates(["article_id", "node", "start"])
+
+
+def with_keys(entities: str, name: str = "text") -> Column:
+    """An array of structs, each with the normalised form of its name as ``normalized``."""
+    return F.transform(entities, lambda e: e.withField("normalized", normalized(e[name])))
+
+
+def wiki_url(qid: Column) -> Column:
+    """The page of a knowledge-base id; null without one."""
+    return F.when(qid.isNotNull() & (qid != ""), F.concat(F.lit("https://www.wikidata.org/wiki/"), qid))
+
+
+def top_labels(nodes: DataFrame, most: int = 22) -> DataFrame:
+    """The heaviest nodes, whose names a drawing shows."""
+    return nodes.orderBy(F.desc("mention_count"), "node").limit(most).select("node", "canonical", "mention_count")
 
 
 def resolve_nodes(mentions: DataFrame) -> DataFrame:
@@ -17,28 +64,45 @@ def resolve_nodes(mentions: DataFrame) -> DataFrame:
     return forms.groupBy("node", "canonical", "label").agg(aliases.alias("aliases"), F.sum("n").alias("mention_count"), F.min("a").alias("first_seen"), F.max("z").alias("last_seen"))
 
 
+#: Nodes of an article that meet the others in one row of a join.
+NODES = 256
+
+
 def cooccurrence_edges(mentions: DataFrame, key: str = "article_id") -> DataFrame:
-    """(a, b, weight): pairs of nodes a < b and the number of articles that have both."""
+    """(a, b, weight): pairs of nodes a < b and the number of articles that have both.
+
+    An article of many nodes is cut into blocks of NODES by hash; every pair of blocks is a key of its own, so
+    that no task makes all pairs of a long article.
+    """
     each = mentions.select(key, "node").distinct()
-    right = each.select(key, F.col("node").alias("b"))
-    return each.select(key, F.col("node").alias("a")).join(right, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    long = cut_lineage(each.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > NODES).select(key, F.ceil(F.col("n") / NODES).cast("int").alias("blocks")))
+
+    short = each.join(long.select(key), key, "left_anti")
+    pairs = short.select(key, F.col("node").alias("a")).join(short.select(key, F.col("node").alias("b")), key).where("a < b").select("a", "b")
+    if not long.isEmpty():
+        cut = each.join(long, key).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        left = cut.select(key, F.col("node").alias("a"), F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+        right = cut.select(key, F.col("node").alias("b"), F.col("own").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+        pairs = pairs.union(left.join(right, [key, "x", "y"]).where("a < b").select("a", "b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def relationship_triples(articles: DataFrame, mentions: DataFrame) -> DataFrame:
     """(subject, object, predicate, article_id, confidence) from phrases between mentions of one sentence.
 
     A repeated sentence is placed where it stands first, as a search for its text finds it.
-    Of equal triples in an article the one of the earliest pair stays.
+    Of equal triples in an article the one of the earliest pair stays. Sentences are placed while a text is split, each
+    goes to its mentions by itself, and whole texts are never shuffled.
     """
-    s = articles.select(F.col("id").alias("article_id"), "content", F.explode(F.array_distinct(sentences(F.col("content")))).alias("sentence"))
-    s = s.withColumn("s0", F.instr("content", F.col("sentence")) - 1).withColumn("s1", F.col("s0") + F.length("sentence"))
+    s = articles.select(F.col("id").alias("article_id"), F.explode(placed_sentences(F.col("content"))).alias("s")).select("article_id", F.col("s.start").alias("s0"), F.col("s.text").alias("sentence"))
+    s = s.groupBy("article_id", "sentence").agg(F.min("s0").alias("s0"))  # a repeated sentence stands at its first place
     m = mentions.select("article_id", "node", "start", "stop", "confidence")
-    inside = s.join(m, "article_id").where("start >= s0 and start < s1")
-    a = inside.select("article_id", "content", "s0", F.col("node").alias("subject"), F.col("start").alias("a0"), F.col("stop").alias("a1"), F.col("confidence").alias("ca"))
+    inside = m.join(s.select("article_id", "s0", "sentence", F.length("sentence").alias("n")), "article_id").where("start >= s0 and start < s0 + n")
+    a = inside.select("article_id", "s0", "sentence", F.col("node").alias("subject"), F.col("start").alias("a0"), F.col("stop").alias("a1"), F.col("confidence").alias("ca"))
     b = inside.select("article_id", "s0", F.col("node").alias("object"), F.col("start").alias("b0"), F.col("confidence").alias("cb"))
     pairs = a.join(b, ["article_id", "s0"]).where("b0 >= a1")
-    between = F.substring(F.col("content"), F.col("a1").cast("int") + 1, (F.col("b0") - F.col("a1")).cast("int"))
-    found = pairs.withColumn("predicate", predicate(between)).where("predicate is not null")
+    between = F.substring(F.col("sentence"), (F.col("a1") - F.col("s0")).cast("int") + 1, (F.col("b0") - F.col("a1")).cast("int"))
+    found = pairs.select("article_id", "s0", "a0", "b0", "subject", "object", "ca", "cb", predicate(between).alias("predicate")).where("predicate is not null")
     confidence = F.bround(F.least("ca", "cb", F.lit(1.0)) * 0.8, 3)
     return found.groupBy("subject", "object", "predicate", "article_id").agg(F.min_by(confidence, F.struct("s0", "a0", "b0")).alias("confidence"))
 
@@ -118,30 +182,45 @@ def dossier_distributions(articles: DataFrame, mentions: DataFrame, node: str) -
     return pairs.select(kinds.alias("k"), "n").groupBy("k.kind", "k.name").agg(F.sum("n").alias("n"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, community) by label propagation: each node takes the label of most weight around it, ties to the smaller.
 
-    A node keeps its own label as one vote, so that rounds settle; a distributed stand-in for modularity optimisation.
+    A node keeps its own label as one vote. Nodes of even and odd hash take turns, so that two nodes don't swap labels
+    for ever. It ends when no label changes, and raises RuntimeError if that takes more rounds than allowed. A distributed
+    stand-in for modularity optimisation; modularity() tells how good it is.
     """
-    from brindle.session import cut_lineage
-
     both = cut_lineage(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).toDF("x", "y", "w"))
     labels = cut_lineage(both.select(F.col("x").alias("node")).distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
+    still = 0
+    for round_ in range(2 * most_rounds):
         votes = both.join(labels, both["y"] == labels["node"]).select(F.col("x").alias("node"), "community", "w").union(labels.select("node", "community", F.lit(1)))
         sums = votes.groupBy("node", "community").agg(F.sum("w").alias("w"))
-        new = cut_lineage(sums.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community")))
-        settled = new.join(labels, ["node", "community"], "left_anti").isEmpty()
-        labels = new
-        if settled:
-            break
-    return labels
+        best = sums.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("best"))
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == round_ % 2
+        new = cut_lineage(labels.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (turn & (F.col("best") != F.col("community"))).alias("moved")))
+        still = still + 1 if new.where("moved").isEmpty() else 0
+        labels = new.drop("moved")
+        if still == 2:
+            return labels
+    raise RuntimeError(f"communities didn't settle in {most_rounds} rounds")
+
+
+def modularity(edges: DataFrame, members: DataFrame, by: str = "community") -> DataFrame:
+    """One row: the modularity of a partition of the nodes; null without edges."""
+    ends = edges.select(F.col("a").alias("node"), F.col("weight").alias("w")).union(edges.select("b", "weight"))
+    degree = ends.join(members, "node").groupBy(by).agg(F.sum("w").cast("double").alias("degree"))
+    a, b = (members.select(F.col("node").alias(x), F.col(by).alias(f"{x}_in")) for x in "ab")
+    inner = edges.join(a, "a").join(b, "b").groupBy(F.col("a_in").alias(by)).agg(F.sum(F.when(F.col("a_in") == F.col("b_in"), F.col("weight")).otherwise(0)).cast("double").alias("inner"))
+    rows = degree.join(inner, by, "left")
+    total = F.sum("degree")
+    return rows.agg(F.when(total > 0, F.sum(2 * F.coalesce("inner", F.lit(0.0))) / total - F.sum(F.col("degree") * F.col("degree")) / (total * total)).alias("modularity"))
 
 
 def cluster_summary(members: DataFrame, nodes: DataFrame, by: str = "community") -> DataFrame:
-    """Size and heaviest node of each cluster."""
+    """Size and heaviest node of each cluster, the largest first."""
     rows = members.join(nodes.select("node", "mention_count"), "node")
-    return rows.groupBy(by).agg(F.count("*").alias("size"), F.min_by("node", F.struct(-F.col("mention_count"), "node")).alias("heaviest"))
+    sums = rows.groupBy(by).agg(F.count("*").alias("size"), F.min_by("node", F.struct(-F.col("mention_count"), "node")).alias("heaviest"))
+    return sums.orderBy(F.desc("size"), by)
 
 
 def edge_components(edges: DataFrame) -> DataFrame:

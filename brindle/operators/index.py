@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,24 @@ def write_postings(articles_with_tokens: DataFrame, path: str, key: str = "id")
     postings(articles_with_tokens, key).repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(path)
 
 
+def loaded(index: DataFrame, partitions: int, key: str = "id") -> DataFrame:
+    """The index in memory, all postings of an article in one partition and sorted by term, so that a search is one stage without an exchange.
+
+    A partition's batches know their least and greatest term, and those without a searched term are passed over. Memory (or disk, where it
+    is short) grows with the corpus over all executors; ``partitions`` should grow with both.
+    """
+    single = F.aggregate(F.sequence(F.lit(1), F.size("positions")), F.lit(0.0), lambda a, j: a + WEIGHT / (j * j)) / ZETA2
+    dealt = index.withColumn("single", single).repartition(partitions, key).sortWithinPartitions("term")
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def search_one(index: DataFrame, terms: Sequence[str], k: int = 20, key: str = "id") -> DataFrame:
+    """(id, rank): the k best articles of a loaded index that have all of some different words; no words find none."""
+    words = list(dict.fromkeys(terms))
+    met = index.where(F.col("term").isin(*words)).groupBy(key).agg(F.count("*").alias("have"), F.sum("single").alias("r"))
+    return met.where(F.col("have") == len(words)).select(key, F.bround(F.col("r") / max(len(words), 1), 4).alias("rank")).orderBy(F.desc("rank"), key).limit(k)
+
+
 def search_many(index: DataFrame, queries: DataFrame, key: str = "id") -> DataFrame:
     """(query_id, id, rank) of every query's articles that have all of its terms.
 

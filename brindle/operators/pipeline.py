@@ -44,11 +44,33 @@ def dedup_url(entries: DataFrame, known: DataFrame, url: str = "url", first: str
     return rows.select("url_hash", "r.*")
 
 
-def dedup_content(articles: DataFrame) -> DataFrame:
-    """(id, duplicate_of_id): copies of an earlier article with the same content, white space at the ends aside."""
-    hashed = articles.select("id", t.content_hash(F.col("content")).alias("h")).where("h is not null")
-    first = hashed.groupBy("h").agg(F.min("id").alias("duplicate_of_id"))
-    return hashed.join(first, "h").where("id > duplicate_of_id").select("id", "duplicate_of_id")
+#: States whose articles a later copy counts as a copy of.
+PROCESSED = ("extracted", "sentiment_done", "analyzed")
+
+
+def dedup_content(articles: DataFrame, processed_only: bool = False) -> DataFrame:
+    """(id, duplicate_of_id): copies of an earlier article with the same content, white space at the ends aside.
+
+    With ``processed_only`` an article is a copy of the smallest other one that a stage has processed, earlier or not. Null contents are no copies.
+    """
+    columns = ["id", *["content_hash" if "content_hash" in articles.columns else t.content_hash(F.col("content")).alias("content_hash")], *["status"] * processed_only]
+    hashed = articles.select(*columns).withColumnRenamed("content_hash", "h").where("h is not null")
+    if not processed_only:
+        first = hashed.groupBy("h").agg(F.min("id").alias("duplicate_of_id"))
+        return hashed.join(first, "h").where("id > duplicate_of_id").select("id", "duplicate_of_id")
+    done = hashed.where(F.col("status").isin(*PROCESSED)).groupBy("h").agg(F.min("id").alias("one"))
+    rows = hashed.where(~F.col("status").isin(*PROCESSED)).join(done, "h")
+    return rows.select("id", F.col("one").alias("duplicate_of_id"))
+
+
+def reset(articles: DataFrame, ids: DataFrame, status: str = "sentiment_done") -> DataFrame:
+    """The articles named in ``ids`` back in an earlier state: no lease, no retries, no error."""
+    if status not in STATUSES:
+        raise ValueError(f"no state {status}")
+    rows = articles.join(ids.select("id", F.lit(True).alias("again")).distinct(), "id", "left")
+    cleared = {"status": F.lit(status), "started_at": F.lit(None), "retry_count": F.lit(0), "error_message": F.lit(None), "analyzed_at": F.lit(None)}
+    kinds = dict(articles.dtypes)
+    return rows.withColumns({c: F.when(F.col("again"), v.cast(kinds[c])).otherwise(F.col(c)) for c, v in cleared.items() if c in kinds}).drop("again")
 
 
 def extract_stage(articles: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import normalized, tokens
 from brindle.functions.values import HIDDEN
-from brindle.functions.vectors import cosine
+from brindle.functions.vectors import cosine, hash_embedding
 
 #: Rank constants of the usual cover-free text rank: weight of a position, and the sum of 1/j^2.
 WEIGHT, ZETA2 = 0.1, 1.64493406685
@@ -170,3 +170,26 @@ def semantic_topk(vectors: DataFrame, query: Sequence[float], k: int, key: str =
     """The k rows of greatest cosine with the query vector, those of 0 or less dropped."""
     scored = vectors.withColumn("similarity", cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))).where("similarity > 0")
     return scored.orderBy(F.desc("similarity"), key).limit(k)
+
+
+def total(articles: DataFrame, request: SearchRequest, mentions: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
+    """One row: how many hits a request has on all of its pages."""
+    return search(articles, request, None, mentions, triples).agg(F.count("*").alias("total"))
+
+
+def semantic_search(articles: DataFrame, sources: DataFrame, text: str, k: int = 20, language: str | None = None) -> DataFrame:
+    """The k analysed articles (with ``embedding``) nearest to a text of two characters or more, with source and score; those of 0 or less are left out."""
+    asked = (text or "").strip()
+    if len(asked) < 2:
+        raise ValueError("the text is too short")
+    query = articles.sparkSession.createDataFrame([(asked,)], "text string").select(hash_embedding("text")).first()[0]  # one vector
+    rows = articles.where((F.col("status") == "analyzed") & F.col("embedding").isNotNull())
+    rows = rows.where(F.col("language") == language) if language else rows
+    top = semantic_topk(rows, query, k, "id", "embedding")
+    named = top.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
+    return named.select("id", "title", "source_id", "source", "language", "sentiment_label", F.bround("similarity", 4).alias("score")).orderBy(F.desc("score"), "id")
+
+
+def article(articles: DataFrame, mentions: DataFrame, sources: DataFrame, id_: int) -> DataFrame:
+    """One article with its source and its entities by place; no row if there is none."""
+    return with_entities(articles.where(F.col("id") == id_).join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id", "left"), mentions, 1000)

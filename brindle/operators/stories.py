@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.components import connected_components
@@ -53,7 +53,7 @@ def replay(articles: list[tuple], least: float = 0.5, least_shared: int = 2, day
                 best, best_value = s, value
         if best is None:
             best = id_
-            stories[best] = {"nodes": set(), "last": seen, "n": 0, "mean": None}
+            stories[best] = {"nodes": set(), "last": seen, "n": 0, "mean": None}  # the mean of no scores is told as none, and counts as 0
         story = stories[best]
         for n in nodes - story["nodes"]:
             by_node.setdefault(n, set()).add(best)
@@ -61,8 +61,7 @@ def replay(articles: list[tuple], least: float = 0.5, least_shared: int = 2, day
         story["last"] = max(story["last"], seen)
         story["n"] += 1
         if score is not None and not pd.isna(score):
-            before = story["mean"] if story["mean"] is not None else score
-            story["mean"] = round((before * (story["n"] - 1) + score) / story["n"], 4)
+            story["mean"] = round(((story["mean"] or 0.0) * (story["n"] - 1) + score) / story["n"], 4)  # members without a score count too
         out.append((id_, best, story["mean"]))
     return out
 
@@ -71,7 +70,8 @@ def story_assignment(articles: DataFrame, members: DataFrame, least: float = 0.5
     """(article_id, story_id, running_mean): the greedy assignment, replayed per component of articles that share nodes.
 
     A story's nodes always lie within one component, so components don't affect each
-    other and are replayed at once. The longest component bounds the largest task: order within it matters, so it can't be split.
+    other and are replayed at once. Where a component is silent for longer than ``days``, no story can go on, so it is cut
+    there as well. The busiest stretch bounds the largest task: order within it matters, so it can't be split.
     """
     each = members.select("article_id", "node").distinct()
     # a star per node: its articles hang on the smallest
@@ -80,13 +80,18 @@ def story_assignment(articles: DataFrame, members: DataFrame, least: float = 0.5
     comp = connected_components(links, "article_id", "hub").select(F.col("node").alias("article_id"), "component")
     sets = each.groupBy("article_id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     rows = sets.join(articles.select(F.col("id").alias("article_id"), "discovered_at", "sentiment_score"), "article_id").join(comp, "article_id", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "article_id"))
+    rows = rows.withColumns({"component": F.coalesce("component", "article_id"), "day": F.to_date("discovered_at")})
+    # the days of a component are few; two that are further apart than days + 1 have a longer silence than days between them
+    order = Window.partitionBy("component").orderBy("day")
+    active = rows.select("component", "day").distinct().withColumn("gap", F.datediff("day", F.lag("day").over(order)))
+    stretches = active.select("component", "day", F.sum(F.when(F.col("gap") > days + 1, 1).otherwise(0)).over(order).alias("stretch"))
+    rows = rows.join(stretches, ["component", "day"]).drop("day")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items = list(zip(pdf["article_id"], pdf["discovered_at"], pdf["nodes"], pdf["sentiment_score"], strict=True))
         return pd.DataFrame(replay(items, least, least_shared, days), columns=["article_id", "story_id", "running_mean"])
 
-    return rows.groupBy("component").applyInPandas(run, "article_id long, story_id long, running_mean double")
+    return rows.groupBy("component", "stretch").applyInPandas(run, "article_id long, story_id long, running_mean double")
 
 
 def story_recompute(story_articles: DataFrame, articles: DataFrame, members: DataFrame) -> DataFrame:
@@ -97,6 +102,13 @@ def story_recompute(story_articles: DataFrame, articles: DataFrame, members: Dat
     return facts.join(dominants(story_articles, articles), "story_id", "left").join(nodes, "story_id", "left")
 
 
+def dominants_or_stored(stories: DataFrame, story_articles: DataFrame, articles: DataFrame) -> DataFrame:
+    """Stories (story_id, dominant_language, dominant_sentiment) with what their members have most, and what is stored where none has any."""
+    found = dominants(story_articles, articles).withColumnsRenamed({"dominant_language": "language", "dominant_sentiment": "sentiment"})
+    rows = stories.join(found, "story_id", "left")
+    return rows.withColumns({"dominant_language": F.coalesce("language", "dominant_language"), "dominant_sentiment": F.coalesce("sentiment", "dominant_sentiment")}).drop("language", "sentiment")
+
+
 def dominants(story_articles: DataFrame, articles: DataFrame) -> DataFrame:
     """The most frequent sentiment and language of each story."""
     rows = story_articles.join(articles.select(F.col("id").alias("article_id"), "sentiment_label", "language"), "article_id")
@@ -140,6 +152,29 @@ def listed(stories: DataFrame, language: str | None = None, sentiment: str | Non
     return out
 
 
+def backfill(articles: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assignments of all articles, and the stories recomputed from them."""
+    assigned = story_assignment(articles, members)
+    return assigned, story_recompute(assigned.select("story_id", "article_id"), articles, members)
+
+
+def first_nodes(stories: DataFrame, most: int = 6) -> DataFrame:
+    """Stories with the first few of their nodes."""
+    return stories.withColumn("nodes", F.slice("nodes", 1, most))
+
+
+def listing_node(stories: DataFrame, node: str) -> DataFrame:
+    """Stories whose array of nodes holds one."""
+    return stories.where(F.array_contains("nodes", node))
+
+
+def replace_node(nodes: Column, gone: Column, canonical: Column) -> Column:
+    """An array that lists a merged node: its items once each in order without that node, and the canonical one after them if it wasn't there. Others stay as they are."""
+    rest = F.array_sort(F.array_distinct(F.array_remove(nodes, gone)))
+    put = F.when(F.array_contains(nodes, canonical), rest).otherwise(F.concat(rest, F.array(canonical)))
+    return F.when(F.array_contains(nodes, gone), put).otherwise(nodes)
+
+
 def repoint(stories: DataFrame, mapping: DataFrame) -> DataFrame:
     """Node arrays with merged nodes replaced, repeats dropped, sorted."""
     each = stories.select("story_id", F.explode("nodes").alias("node")).join(mapping.toDF("node", "canonical_node"), "node", "left")

@@ -2,10 +2,11 @@
 
 from brindle.sources.views import LEAST_CHARS, NAME
 
+SPACES = r"[\s\x0B\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PRELUDE = f"""
 WITH raw AS (
   SELECT d.doc_id AS id, CAST(substr(d.source, 4) AS BIGINT) AS source_id, substr(split_part(d.text, chr(10), 1), 1, 500) AS title,
-         d.text AS content, d.lang AS language, sha256(trim(d.text)) AS content_hash, d.n_chars,
+         d.text AS content, d.lang AS language, sha256(regexp_replace(regexp_replace(d.text, '^{SPACES}+', ''), '{SPACES}+$', '')) AS content_hash, d.n_chars,
          TIMESTAMP '2024-01-01' + to_minutes(CAST(d.doc_id * 97 AS BIGINT)) AS discovered_at,
          CASE WHEN d.lang <> 'en' THEN TIMESTAMP '2024-01-01' + to_minutes(CAST(d.doc_id * 97 AS BIGINT)) - to_hours(CAST(d.n_chars % 48 AS BIGINT)) END AS published_at,
          CASE WHEN l.toxic = 1 THEN 'neg' WHEN l.quality = 1 THEN 'pos' WHEN l.quality = 0 THEN 'neutral' END AS sentiment_label,

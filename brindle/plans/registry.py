@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as t
+from brindle.functions.values import PREDICATES, SENTIMENT
 from brindle.functions.vectors import cosine, entity_similarity, hash_embedding, resolve_spans, span_iou
 from brindle.operators import alerts, analytics, evaluation, exports, graph, index, merge, pipeline, search, stories
 from brindle.operators.search import SearchRequest
 from brindle.plans.prelude import over
 from brindle.sources import feeds
-from brindle.sources.views import Views
+from brindle.sources.views import NAME, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,26 +99,32 @@ def overview_totals(v: Views) -> DataFrame:
     return analytics.overview_totals(v.articles)
 
 
+def _all_sources(v: Views) -> DataFrame:
+    """The sources, and one that was never scanned and has no article."""
+    return v.sources.union(v.spark.createDataFrame([(-1, "source -1", True, None)], v.sources.schema))
+
+
 _CREDIBILITY = """cred AS (SELECT source_id AS id, count(*) AS total, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'duplicate') AS duplicate FROM articles GROUP BY 1),
-rates AS (SELECT s.*, total, failed, duplicate, round_even(failed / total, 4) AS failed_rate, round_even(duplicate / total, 4) AS duplicate_rate,
-  round_even((1 - failed / total) * (1 - duplicate / total), 4) AS reliability FROM sources s JOIN cred c ON s.id = c.id)"""
+counted AS (SELECT s.*, coalesce(total, 0) AS total, coalesce(failed, 0) AS failed, coalesce(duplicate, 0) AS duplicate FROM (SELECT * FROM sources UNION ALL SELECT -1, 'source -1', true, NULL) s LEFT JOIN cred c ON s.id = c.id),
+rates AS (SELECT *, round_even(failed / greatest(total, 1), 4) AS failed_rate, round_even(duplicate / greatest(total, 1), 4) AS duplicate_rate,
+  round_even((1 - failed / greatest(total, 1)) * (1 - duplicate / greatest(total, 1)), 4) AS reliability FROM counted)"""
 
 
 @query(f", {_CREDIBILITY} SELECT * FROM rates")
 def source_credibility(v: Views) -> DataFrame:
-    return analytics.source_credibility(v.articles, v.sources)
+    return analytics.source_credibility(v.articles, _all_sources(v))
 
 
-@query(f""", {_CREDIBILITY}, scored AS (SELECT id, reliability, round_even(100 * reliability * greatest(0.5, 1 - floor(epoch(TIMESTAMP '2024-03-15' - last_scanned_at) / 86400) / 30), 1) AS score FROM rates)
+@query(f""", {_CREDIBILITY}, scored AS (SELECT id, reliability, round_even(100 * reliability * CASE WHEN last_scanned_at IS NULL THEN 0.7 ELSE greatest(0.5, 1 - floor(epoch(TIMESTAMP '2024-03-15' - last_scanned_at) / 86400) / 30) END, 1) AS score FROM rates)
 SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM scored""")
 def source_grades(v: Views) -> DataFrame:
-    return analytics.source_grades(analytics.source_credibility(v.articles, v.sources), AS_OF).select("id", "reliability", "score", "grade")
+    return analytics.source_grades(analytics.source_credibility(v.articles, _all_sources(v)), AS_OF).select("id", "reliability", "score", "grade")
 
 
 @query("""SELECT n.node, n.label, count(m.node) AS mentions, max(m.discovered_at) AS last_mention FROM nodes n
   LEFT JOIN (SELECT * FROM mentions WHERE status NOT IN ('failed', 'duplicate')) m ON n.node = m.node WHERE n.mention_count >= 5 GROUP BY 1, 2""")
 def watchlist_stats(v: Views) -> DataFrame:
-    return analytics.watchlist_stats(v.nodes.where("mention_count >= 5").select("node"), v.nodes, v.mentions)
+    return analytics.watchlist_stats(v.nodes.where("mention_count >= 5").select("node"), v.nodes, v.mentions_with_status)
 
 
 # ---- lists, filters, pages ----
@@ -143,9 +150,10 @@ def entities_ilike(v: Views) -> DataFrame:
     return v.mentions.where(F.col("text").ilike("%tion%") & (F.col("label") == F.upper(F.lit("org")))).select("text", "label").distinct()
 
 
-@query("SELECT node, canonical, label, mention_count, first_seen, last_seen FROM nodes")
+@query("""SELECT n.node, n.canonical, n.label, n.mention_count, n.first_seen, n.last_seen, a.aliases FROM nodes n
+  JOIN (SELECT node, string_agg(text, ',' ORDER BY seen, text) AS aliases FROM (SELECT node, text, min(discovered_at) AS seen FROM mentions GROUP BY 1, 2) GROUP BY 1) a ON a.node = n.node""")
 def resolve_nodes(v: Views) -> DataFrame:
-    return v.nodes.drop("aliases")
+    return v.nodes.withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query("SELECT node, mention_count FROM nodes")
@@ -280,10 +288,6 @@ def entity_dossier_distributions(v: Views) -> DataFrame:
     return graph.dossier_distributions(v.articles, v.mentions, _top_node(v))
 
 
-_COMPONENTS = """ends AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edges),
-walk AS (SELECT x AS node, x AS root FROM ends UNION SELECT e.y, w.root FROM walk w JOIN ends e ON e.x = w.node)"""
-
-
 @query(None)
 def entity_components(v: Views) -> DataFrame:
     return graph.edge_components(v.edges)
@@ -412,7 +416,7 @@ def jaccard_pairs(v: Views) -> DataFrame:
 
 @query(None)
 def story_assignment(v: Views) -> DataFrame:
-    return stories.story_assignment(v.articles, v.mentions.where("status not in ('failed', 'duplicate')"))
+    return stories.story_assignment(v.articles, v.mentions_with_status.where("status not in ('failed', 'duplicate')"))
 
 
 @query(f""", {_QID} SELECT story_id, array_to_string(list_sort(list_distinct(list(coalesce(m.canonical_node, x.node)))), ',') AS nodes FROM story_articles JOIN mentions x USING (article_id) LEFT JOIN map m ON m.node = x.node GROUP BY 1""")
@@ -450,10 +454,13 @@ def dedup_content(v: Views) -> DataFrame:
     return pipeline.dedup_content(v.articles)
 
 
-@query("""SELECT sha256(lower(regexp_replace(trim(url), '/+$', ''))) AS url_hash, min(page_id) AS page_id FROM pages GROUP BY 1""")
+@query("""SELECT url_hash, min(page_id) AS page_id FROM (SELECT sha256(lower(regexp_replace(trim(url), '/+$', ''))) AS url_hash, * FROM pages)
+  WHERE url_hash NOT IN (SELECT sha256(lower(regexp_replace(trim(url), '/+$', ''))) FROM pages WHERE length(html) > 5000) GROUP BY 1""")
 def dedup_url(v: Views) -> DataFrame:
-    pages = v.table("pages").select("page_id", "url")
-    return pipeline.dedup_url(pages, pages.select(t.url_hash(F.col("url")).alias("url_hash")).limit(0), first="page_id").select("url_hash", "page_id")
+    """The urls of pages of more than 5000 characters are known already."""
+    pages = v.table("pages")
+    known = pages.where("length(html) > 5000").select(t.url_hash(F.col("url")).alias("url_hash"))
+    return pipeline.dedup_url(pages.select("page_id", "url"), known, first="page_id").select("url_hash", "page_id")
 
 
 def _tries(v: Views) -> DataFrame:
@@ -486,17 +493,17 @@ _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({
 
 @query(f"SELECT id, {_NORM.format('content')} AS norm FROM articles")
 def normalize_text(v: Views) -> DataFrame:
-    return v.articles.select("id", t.normalized(F.col("content")).alias("norm"))
+    return v.texts.select("id", t.normalized(F.col("content")).alias("norm"))
 
 
 @query(f"SELECT id, len(list_filter(string_split({_NORM.format('content')}, ' '), lambda x: x <> ''))::INT AS n FROM articles")
 def tokenize(v: Views) -> DataFrame:
-    return v.articles.select("id", F.size(t.tokens(t.normalized(F.col("content")))).alias("n"))
+    return v.texts.select("id", F.size(t.tokens(t.normalized(F.col("content")))).alias("n"))
 
 
 @query("""SELECT id, CASE WHEN trim(content) = '' THEN 'en' WHEN regexp_matches(content, '[Ѐ-ӿ]') THEN 'mk' WHEN regexp_matches(content, '[ğışĞİŞ]') THEN 'tr' WHEN regexp_matches(content, '[ëË]') THEN 'sq' ELSE 'en' END AS language FROM articles""")
 def detect_language(v: Views) -> DataFrame:
-    return v.articles.select("id", t.language_by_cues(F.col("content")).alias("language"))
+    return v.texts.select("id", t.language_by_cues(F.col("content")).alias("language"))
 
 
 @query("SELECT page_id, sha256(lower(regexp_replace(trim(url), '/+$', ''))) AS url_hash FROM pages")
@@ -506,33 +513,44 @@ def url_hash(v: Views) -> DataFrame:
 
 @query("SELECT id, len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> ''))::INT AS n FROM articles")
 def word_count(v: Views) -> DataFrame:
-    return v.articles.select("id", t.word_count(F.col("content")).alias("n"))
+    return v.texts.select("id", t.word_count(F.col("content")).alias("n"))
 
 
 @query(None)
 def extractive_summary(v: Views) -> DataFrame:
-    return v.articles.select("id", t.summary(F.col("content")).alias("summary"))
+    return v.texts.select("id", t.summary(F.col("content")).alias("summary"))
 
 
-@query(None)
+_PREDICATES = ", ".join(f"('{a}', '{b}')" for a, b in PREDICATES.items())
+_PHRASES = "|".join(sorted(PREDICATES, key=lambda p: -len(p)))
+
+
+@query(f""", said(phrase, predicate) AS (VALUES {_PREDICATES}) SELECT id, predicate FROM (SELECT id, regexp_extract({_NORM.format('content')}, '({_PHRASES})', 1) AS phrase FROM articles) x LEFT JOIN said USING (phrase)""")
 def detect_predicate(v: Views) -> DataFrame:
-    return v.articles.select("id", t.predicate(F.col("content")).alias("predicate"))
+    return v.texts.select("id", t.predicate(F.col("content")).alias("predicate"))
 
 
-@query("SELECT node, CASE WHEN canonical LIKE '%i' OR canonical LIKE '%e' OR canonical LIKE '%a' THEN canonical[:-2] WHEN regexp_matches(canonical, '(ov|it|ut|at|et|te|ja|ve|ne|se)$') THEN canonical[:-3] WHEN regexp_matches(canonical, '(ish|ski|ska|ova)$') THEN canonical[:-4] ELSE canonical END AS base FROM nodes")
+@query("""SELECT node, CASE WHEN regexp_matches(canonical, '....(i|e|a)$') THEN canonical[:-2] WHEN regexp_matches(canonical, '....(ov|it|ut|at|et|te|ja|ve|ne|se)$') THEN canonical[:-3]
+  WHEN regexp_matches(canonical, '....(ish|ski|ska|ova)$') THEN canonical[:-4] ELSE canonical END AS base FROM nodes""")
 def base_form(v: Views) -> DataFrame:
     return v.nodes.select("node", t.base_form(F.col("canonical")).alias("base"))
 
 
-@query(None)
+_WORDS = ", ".join(f"('{w}', {x})" for w, x in SENTIMENT["mk"].items())
+
+
+@query(f""", listed(word, weight) AS (VALUES {_WORDS}), toks AS (SELECT id, unnest(string_split({_NORM.format('content')}, ' ')) AS word FROM articles),
+  sums AS (SELECT id, sum(weight::DOUBLE) AS total, count(*) AS hits FROM toks JOIN listed USING (word) GROUP BY id),
+  scored AS (SELECT a.id, coalesce(total / (abs(total) + 2), 0) AS score, coalesce(hits, 0)::INT AS hits FROM articles a LEFT JOIN sums USING (id))
+  SELECT id, round_even(score, 3) AS score, CASE WHEN score >= 0.05 THEN 'pos' WHEN score <= -0.05 THEN 'neg' ELSE 'neutral' END AS label, hits FROM scored""")
 def lexicon_sentiment(v: Views) -> DataFrame:
-    rows = v.articles.select("id", t.lexicon_sentiment(t.normalized(F.col("content")), F.lit("mk")).alias("s"))
+    rows = v.texts.select("id", t.lexicon_sentiment(t.normalized(F.col("content")), F.lit("mk")).alias("s"))
     return rows.select("id", "s.score", "s.label", "s.hits")
 
 
 @query(None)
 def hash_embeddings(v: Views) -> DataFrame:
-    return v.articles.select("id", hash_embedding("content").alias("vector"))
+    return v.texts.select("id", hash_embedding("content").alias("vector"))
 
 
 @query(None)
@@ -577,7 +595,8 @@ def export_story(v: Views) -> DataFrame:
     return exports.export_story(v.story_articles, v.articles, row[0] if row[0] is not None else -1)
 
 
-@query(None)
+@query("""SELECT id, (i - 1)::INT AS seq, CASE i WHEN 1 THEN 'title' WHEN 2 THEN 'meta' ELSE 'body' END AS kind, replace(replace(replace(parts[i], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text
+  FROM (SELECT id, unnest(range(1, len(parts) + 1)) AS i, parts FROM (SELECT id, list_concat([coalesce(title, ''), concat_ws(' | ', language, sentiment_label, status)], list_filter(string_split_regex(coalesce(content, ''), '\\n+'), lambda x: trim(x) <> '')) AS parts FROM articles))""")
 def pdf_blocks(v: Views) -> DataFrame:
     return exports.page_blocks(v.articles)
 
@@ -618,15 +637,21 @@ def event_windows(v: Views) -> DataFrame:
 
 
 def _gold(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Mentions as gold spans, and those of the first title line as predictions."""
-    lang = v.articles.select(F.col("id").alias("article_id"), "language", F.length("title").alias("tl"))
+    """Mentions as gold spans; those of the first title line, and those of nine letters with a place too late, as predictions."""
+    lang = v.texts.select(F.col("id").alias("article_id"), "language", F.length("title").alias("tl"))
     rows = v.mentions.join(lang, "article_id").select(F.col("article_id").alias("id"), F.col("language").alias("lang"), "start", "stop", F.col("label").alias("type"), "tl")
-    return rows.drop("tl"), rows.where("stop <= tl").drop("tl")
-
-
-@query("""SELECT lang, type, tp, 0::BIGINT AS fp, fn, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, round_even(tp / (tp + fn), 4) AS recall,
-  round_even(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fn)) / (1 + tp / (tp + fn)) ELSE 0 END, 4) AS f1 FROM
-  (SELECT language AS lang, m.label AS type, count(*) FILTER (stop <= length(title)) AS tp, count(*) FILTER (stop > length(title)) AS fn FROM mentions m JOIN articles a ON a.id = m.article_id GROUP BY CUBE (language, m.label))""")
+    late = rows.where("stop - start = 9 and stop > tl").withColumns({"start": F.col("start") + 1, "stop": F.col("stop") + 1})
+    return rows.drop("tl"), rows.where("stop <= tl").union(late).drop("tl")
+
+
+@query("""SELECT lang, type, tp, fp, fn, round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS precision, round_even(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall,
+  round_even(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 4) AS f1 FROM
+  (SELECT lang, type, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g) AS fp, count(*) FILTER (NOT p) AS fn FROM
+    (SELECT lang, id, start, stop, type, bool_or(gold) AS g, bool_or(NOT gold) AS p FROM
+      (SELECT language AS lang, a.id, start, stop, label AS type, true AS gold FROM mentions m JOIN articles a ON a.id = m.article_id
+       UNION ALL SELECT language, a.id, start, stop, label, false FROM mentions m JOIN articles a ON a.id = m.article_id WHERE stop <= length(title)
+       UNION ALL SELECT language, a.id, start + 1, stop + 1, label, false FROM mentions m JOIN articles a ON a.id = m.article_id WHERE stop - start = 9 AND stop > length(title)) GROUP BY 1, 2, 3, 4, 5)
+   GROUP BY CUBE (lang, type))""")
 def ner_prf(v: Views) -> DataFrame:
     return evaluation.ner_prf(*_gold(v))
 
@@ -678,8 +703,8 @@ def span_overlaps(v: Views) -> DataFrame:
 @query(None)
 def resolve_mention_spans(v: Views) -> DataFrame:
     """All places of an article's names in its text, leftmost and longest first."""
-    names = v.mentions.groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_set("text")).alias("names"))
-    return v.articles.join(names, "id").select("id", F.explode(resolve_spans("content", "names")).alias("s")).select("id", "s.start", "s.stop", "s.surface")
+    names = F.array_distinct(F.regexp_extract_all("content", F.lit(NAME), F.lit(0)))
+    return v.texts.select("id", F.explode(resolve_spans("content", names)).alias("s")).select("id", "s.start", "s.stop", "s.surface")
 
 
 @query(None)
@@ -714,7 +739,7 @@ def alert_reason(v: Views) -> DataFrame:
 
 @query("SELECT id, CASE WHEN regexp_matches(regexp_replace(content, '<[^>]+>', ' ', 'g'), '[ğışĞIŞ]') THEN 'tr' WHEN regexp_matches(regexp_replace(content, '<[^>]+>', ' ', 'g'), '[ëË]') THEN 'sq' ELSE 'en' END AS language FROM articles")
 def redetect_language(v: Views) -> DataFrame:
-    return pipeline.redetect_language(v.articles, strict_compat=True).select("id", "language")
+    return pipeline.redetect_language(v.texts, strict_compat=True).select("id", "language")
 
 
 @query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY url HAVING count(*) FILTER (length(html) > 5000) = 0")
@@ -751,14 +776,16 @@ def embed_stage(v: Views) -> DataFrame:
 
 @query(None)
 def html_extraction_cascade(v: Views) -> DataFrame:
-    """No primary extractor is at hand, so the fallback decides."""
-    found = feeds.html_extract(v.table("pages"))
-    return feeds.extraction_cascade(found.limit(0), found)
+    """Linked data where a page has it, else its elements."""
+    return feeds.extraction_cascade(feeds.primary_extract(v.table("pages")), feeds.html_extract(v.table("pages")))
+
 
+_LANGUAGES = ("de", "en", "es", "fr")  # all that the given tables have; the operator finds them by itself
 
-@query("SELECT bucket, sum(CASE WHEN language = 'en' THEN n ELSE 0 END)::BIGINT AS en, sum(CASE WHEN language = 'de' THEN n ELSE 0 END)::BIGINT AS de FROM (SELECT date_trunc('day', discovered_at)::TIMESTAMP AS bucket, language, count(*) AS n FROM visible GROUP BY 1, 2) GROUP BY bucket")
+
+@query(f"SELECT bucket, {', '.join(f"sum(CASE WHEN language = '{x}' THEN n ELSE 0 END)::BIGINT AS {x}" for x in _LANGUAGES)} FROM (SELECT date_trunc('day', discovered_at)::TIMESTAMP AS bucket, language, count(*) AS n FROM visible GROUP BY 1, 2) GROUP BY bucket")
 def language_mix_pivot(v: Views) -> DataFrame:
-    return analytics.language_mix(v.articles).groupBy("bucket").pivot("language", ["en", "de"]).agg(F.sum("n")).na.fill(0)
+    return analytics.language_mix_pivot(v.articles)
 
 
 @query("SELECT canonical, label, mention_count FROM nodes WHERE canonical ILIKE '%ation%' ORDER BY mention_count DESC, node LIMIT 50")
@@ -778,12 +805,132 @@ def source_content_stats(v: Views) -> DataFrame:
     return v.articles.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.length("content") < 100).alias("short"), F.max(F.length("content")).alias("longest"))
 
 
-@query(None)
+@query("""SELECT '{"total":' || count(*) || ',"format":"json","items":[' || string_agg('{"status":"' || status || '","n":' || n || '}', ',' ORDER BY status) || ']}' AS json FROM (SELECT status, count(*) AS n FROM articles GROUP BY 1)""")
 def export_envelope(v: Views) -> DataFrame:
     return exports.json_envelope(analytics.status_counts(v.articles).orderBy("status"), "json")
 
 
-@query(None)
+@query("""SELECT story_id, seq, kind, text FROM (SELECT story_id, arg_min(title, (-length(title), article_id)) AS title FROM story_articles s JOIN articles a ON a.id = s.article_id GROUP BY 1),
+  LATERAL (SELECT 0 AS seq, 'title' AS kind, story_id::VARCHAR AS text UNION ALL SELECT 1, 'body', replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))""")
 def story_blocks(v: Views) -> DataFrame:
     best = stories.longest_summary(v.story_articles, v.articles.select(F.col("id").alias("article_id"), F.col("title").alias("summary")))
     return exports.story_blocks(v.story_articles.select("story_id").distinct(), best)
+
+
+# ---- whole answers, and operators without a query so far ----
+
+
+@query(", " + _TOKENS + " SELECT count(*) AS total FROM toks WHERE list_contains(tokens, 'license') AND language = 'en'")
+def search_total(v: Views) -> DataFrame:
+    return search.total(v.articles, SearchRequest(q="license", languages=("en",)))
+
+
+@query(f", {_TOKENS} SELECT id, title, round_even(list_sum(list_transform(range(1, len(list_filter(tokens, lambda x: x = 'license')) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685, 4) AS rank FROM toks WHERE list_contains(tokens, 'license') ORDER BY rank DESC, id LIMIT 20 OFFSET 5")
+def search_page(v: Views) -> DataFrame:
+    request = SearchRequest(q="license", limit=20, offset=5)
+    return search.page(search.search(v.articles, request), request).select("id", "title", "rank")
+
+
+_RULES = "rules(id, name) AS (VALUES (1, 'words'), (2, 'bad news'), (3, 'name'))"
+
+
+@query(_ALERTS + f""", {_RULES} SELECT h.rule_id::BIGINT AS rule_id, h.article_id, h.reason, r.name AS rule, a.title, a.language, a.sentiment_label, s.name AS source FROM hits h JOIN rules r ON r.id = h.rule_id
+  JOIN articles a ON a.id = h.article_id JOIN sources s ON s.id = a.source_id WHERE a.language <> 'en' ORDER BY a.discovered_at DESC NULLS FIRST, h.rule_id::BIGINT * 1000000000 + h.article_id LIMIT 100""")
+def alerts_list(v: Views) -> DataFrame:
+    """The newest unread alerts; those of English articles count as read."""
+    found = alerts.match(v.articles, _rules(v), v.mentions)
+    stored = found.join(v.texts.select(F.col("id").alias("article_id"), F.col("discovered_at").alias("created_at"), (F.col("language") == "en").alias("read")), "article_id")
+    stored = stored.withColumn("id", F.col("rule_id") * 1_000_000_000 + F.col("article_id"))
+    return alerts.listed(stored, v.articles, _rules(v), v.sources, unread_only=True).select("rule_id", "article_id", "reason", "rule", "title", "language", "sentiment_label", "source")
+
+
+@query("""SELECT article_id, text, CASE WHEN length(text) % 4 = 0 THEN 'LOC' WHEN length(text) % 4 = 1 THEN 'PER' WHEN length(text) % 4 = 2 THEN 'GPE' ELSE 'MISC' END AS label, start, stop, round_even(confidence + 0.00004, 4) AS confidence
+  FROM mentions WHERE confidence >= 0.7 AND stop <= 5000""")
+def recogniser_intake(v: Views) -> DataFrame:
+    """Mentions as a recogniser's predictions: its labels by length, its scores less certain."""
+    label = F.expr("CASE length(text) % 4 WHEN 0 THEN 'City' WHEN 1 THEN 'Person' WHEN 2 THEN 'gpe' END")
+    rows = v.mentions.select("article_id", "text", "start", "stop", label.alias("label"), (F.col("confidence") + 0.00004).alias("score"))
+    return graph.intake(rows.withColumn("content", F.lit("there")), threshold=0.7).select("article_id", "text", "label", "start", "stop", "confidence")
+
+
+def _story_sets(v: Views) -> DataFrame:
+    return v.story_articles.join(v.mentions.select("article_id", "node"), "article_id").groupBy("story_id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+
+
+_SETS = ", sets AS (SELECT story_id, list_sort(list_distinct(list(node))) AS nodes FROM story_articles JOIN mentions USING (article_id) GROUP BY 1)"
+
+
+@query(_SETS + f" SELECT story_id, len(nodes)::INT AS n FROM sets WHERE list_contains(nodes, {_TOP})")
+def stories_of_node(v: Views) -> DataFrame:
+    return stories.listing_node(_story_sets(v), _top_node(v)).select("story_id", F.size("nodes").alias("n"))
+
+
+@query(_SETS + " SELECT story_id, array_to_string(nodes[1:6], ',') AS nodes FROM sets")
+def story_first_nodes(v: Views) -> DataFrame:
+    return stories.first_nodes(_story_sets(v)).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query(_SETS + f""" SELECT story_id, array_to_string(CASE WHEN NOT list_contains(nodes, top) THEN nodes WHEN list_contains(nodes, 'LOC:aaaa') THEN list_filter(nodes, lambda x: x <> top)
+  ELSE list_append(list_filter(nodes, lambda x: x <> top), 'LOC:aaaa') END, ',') AS nodes FROM sets, (SELECT {_TOP} AS top) t""")
+def story_replace_node(v: Views) -> DataFrame:
+    """The most mentioned node is merged away."""
+    return _story_sets(v).select("story_id", F.array_join(stories.replace_node(F.col("nodes"), F.lit(_top_node(v)), F.lit("LOC:aaaa")), ",").alias("nodes"))
+
+
+@query("SELECT node, CASE WHEN label = 'PER' THEN 'https://www.wikidata.org/wiki/Q' || length(canonical) END AS url FROM nodes")
+def node_wiki_urls(v: Views) -> DataFrame:
+    return v.nodes.select("node", graph.wiki_url(F.when(F.col("label") == "PER", F.concat(F.lit("Q"), F.length("canonical")))).alias("url"))
+
+
+@query("SELECT article_id, string_agg(canonical, ',' ORDER BY start, text) AS keys FROM mentions GROUP BY 1")
+def entity_keys(v: Views) -> DataFrame:
+    """Each article's entities with their normalised names."""
+    names = F.array_distinct(F.regexp_extract_all("content", F.lit(NAME), F.lit(0)))
+    found = v.texts.select(F.col("id").alias("article_id"), F.array_sort(F.transform(names, lambda x: F.struct(F.instr("content", x).alias("start"), x.alias("text")))).alias("entities")).where("size(entities) > 0")
+    return found.select("article_id", F.array_join(F.transform(graph.with_keys("entities"), lambda e: e["normalized"]), ",").alias("keys"))
+
+
+@query("SELECT node, canonical, mention_count FROM nodes ORDER BY mention_count DESC, node LIMIT 22")
+def top_graph_labels(v: Views) -> DataFrame:
+    return graph.top_labels(v.nodes)
+
+
+@query("SELECT event_id AS id, CASE WHEN value > 50 THEN 'sentiment_done' ELSE 'analyzed' END AS status, CASE WHEN value > 50 THEN NULL ELSE ts END AS started_at, CASE WHEN value > 50 THEN 0 ELSE 2 END::INT AS retry_count FROM events")
+def reset_articles(v: Views) -> DataFrame:
+    """Events as analysed articles; those of a value above 50 go back."""
+    rows = v.table("events").select(F.col("event_id").alias("id"), F.lit("analyzed").alias("status"), F.col("ts").alias("started_at"), F.lit(2).alias("retry_count"), "value")
+    return pipeline.reset(rows, rows.where("value > 50")).select("id", "status", "started_at", "retry_count")
+
+
+@query("""SELECT b.id, min(a.id) AS duplicate_of_id FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 'extracted' ELSE 'new' END AS state FROM articles) a
+  JOIN (SELECT *, CASE WHEN id % 3 = 0 THEN 'extracted' ELSE 'new' END AS state FROM articles) b ON a.content_hash = b.content_hash AND a.state = 'extracted' AND b.state = 'new' GROUP BY 1""")
+def dedup_processed(v: Views) -> DataFrame:
+    """Every third article has been processed."""
+    return pipeline.dedup_content(v.texts.withColumn("status", F.expr("CASE WHEN id % 3 = 0 THEN 'extracted' ELSE 'new' END")), processed_only=True)
+
+
+@query("""SELECT id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS value FROM (SELECT id, slot, sum(sign)::DOUBLE AS n FROM (SELECT id, (((hi % 384) * 256 + lo % 384) % 384)::INT AS slot, CASE WHEN (lo >> 9) & 1 = 1 THEN 1 ELSE -1 END AS sign
+  FROM (SELECT id, ('0x' || substr(h, 1, 16))::UBIGINT AS hi, ('0x' || substr(h, 17, 16))::UBIGINT AS lo FROM (SELECT id, md5(unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+'))) AS h FROM articles))) GROUP BY 1, 2) WHERE n <> 0""")
+def hash_embedding_values(v: Views) -> DataFrame:
+    """The components of title vectors that aren't 0."""
+    rows = v.texts.select("id", F.posexplode(hash_embedding("title")).alias("slot", "value"))
+    return rows.where("value <> 0").select("id", "slot", F.round("value", 6).alias("value"))
+
+
+@query(None)
+def semantic_search(v: Views) -> DataFrame:
+    return search.semantic_search(v.articles.withColumn("embedding", hash_embedding("title")), v.sources, "the terms of a license", 20, "en")
+
+
+@query(None)
+def graph_modularity(v: Views) -> DataFrame:
+    return graph.modularity(v.edges, graph.communities(v.edges))
+
+
+@query("""SELECT source_id, link AS url, name AS title, discovered_at AS published, 'A & B' AS author, substr(text, 1, 1000) AS summary
+  FROM (SELECT CAST(substr(source, 4) AS BIGINT) AS source_id, 'https://h.org/s/a/' || doc_id AS link, 'T <' || doc_id || '>' AS name, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 97 AS BIGINT)) AS discovered_at, regexp_replace(n_chars::VARCHAR, '$', ' letters') AS text FROM documents)""")
+def rss_entries(v: Views) -> DataFrame:
+    """Documents as entries of a feed, with dates two hours east, entities and links from the root."""
+    date = F.date_format(F.expr("timestampadd(MINUTE, doc_id * 97 + 120, TIMESTAMP_NTZ'2024-01-01 00:00:00')"), "EEE, dd MMM yyyy HH:mm:ss")
+    item = F.concat(F.lit("<rss><item><title>T &lt;"), F.col("doc_id"), F.lit("&gt;</title><link>/a/"), F.col("doc_id"), F.lit("</link><pubDate>"), date, F.lit(" +0200</pubDate><author>A &#38; B</author><description><![CDATA["), F.col("n_chars"), F.lit(" letters]]></description></item><item><title>No link</title></item></rss>"))
+    return feeds.rss_entries(v.table("documents").select(F.substring("source", 4, 20).cast("long").alias("source_id"), F.lit("https://h.org/s/").alias("source_url"), item.alias("body")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,15 +30,20 @@ def build_session(app: str = "brindle", master: str = "local[*]", shuffle_partit
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    It is what the cluster names in ``spark.checkpoint.dir``, else what setCheckpointDir was
+    given. Only on one machine (a local master) a temporary folder takes its place, which goes when Python ends; elsewhere
+    a missing folder is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _OWN:  # a core setting can't change in a running session, so it is kept here
         _OWN[app] = tempfile.mkdtemp(prefix="brindle-shared-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return _OWN[app]
 
 

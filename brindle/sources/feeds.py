@@ -43,22 +43,66 @@ def url_shape_allowed(url: Column) -> Column:
 
 
 def absolute(base: Column, link: Column) -> Column:
-    """Links from the root are completed with the base's scheme and host."""
-    origin = F.regexp_extract(base, "^(https?://[^/]+)", 1)
-    return F.when(F.startswith(link, F.lit("/")), F.concat(origin, link)).otherwise(link)
+    """Links from the root are put behind the source's url as it stands, without its closing slashes."""
+    return F.when(F.startswith(link, F.lit("/")), F.concat(F.regexp_replace(base, "/+$", ""), link)).otherwise(link)
+
+
+#: Zones that feeds name by letters, in hours from UTC.
+ZONES = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+
+
+def feed_time(text: Column) -> Column:
+    """The UTC time of a date as RSS (RFC 822) or Atom (RFC 3339) write it, as a timestamp without zone; null if it is none."""
+    day = F.regexp_extract(text, r"(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4}|\d{2})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s*([A-Z]{1,3}|[+-]\d{4})?", 0)
+    part = lambda i: F.regexp_extract(text, r"(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4}|\d{2})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s*([A-Z]{1,3}|[+-]\d{4})?", i)
+    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) < "69", F.concat(F.lit("20"), part(3))).otherwise(F.concat(F.lit("19"), part(3)))
+    clock = F.when(F.length(part(4)) > 5, part(4)).otherwise(F.concat(part(4), F.lit(":00")))
+    local = F.try_to_timestamp(F.concat_ws(" ", part(1), F.initcap(part(2)), year, clock), F.lit("d MMM yyyy H:mm:ss")).cast("timestamp_ntz")
+    named = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    sign = F.when(F.startswith(part(5), F.lit("-")), -1).otherwise(1)
+    ahead = F.when(part(5).rlike("^[+-]"), sign * (F.substring(part(5), 2, 2).cast("int") * 60 + F.substring(part(5), 4, 2).cast("int"))).otherwise(F.coalesce(named[part(5)], F.lit(0)) * 60)
+    iso = F.to_utc_timestamp(F.try_to_timestamp(F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?", 0)), F.expr("current_timezone()")).cast("timestamp_ntz")
+    return F.when(day != "", F.timestamp_add("MINUTE", -ahead, local)).otherwise(iso)
+
+
+#: Entities that XML itself names, in the order in which they are undone.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def unescaped(text: Column) -> Column:
+    """With the entities of XML, and numeric ones, written as their characters."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(&#x?[0-9A-Fa-f]{1,6};|[^&]+|&)"), F.lit(1))
+    number = lambda p: F.when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "^&#[xX]([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+);", 1)).try_cast("int")
+    spelt = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    plain = F.when(text.rlike("&#"), F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^&#[xX]?[0-9A-Fa-f]+;$") & number(p).between(1, 0x10FFFF), spelt(number(p))).otherwise(p)), "")).otherwise(text)
+    for name, char in ENTITIES:
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    return plain
 
 
 def rss_entries(feeds: DataFrame) -> DataFrame:
-    """(source_id, url, title, published, summary) of RSS items and Atom entries in ``body``; ``source_url`` completes links."""
+    """(source_id, url, title, published, author, summary) of RSS items and Atom entries in ``body``; ``source_url`` completes links.
+
+    ``published`` is the time of publication, else of the last update, in UTC; a summary is cut to 1000 characters. Entries without a link are left out.
+    """
     items = F.regexp_extract_all("body", F.lit(r"(?s)<(?:item|entry)\b.*?</(?:item|entry)>"), F.lit(0))
     rows = feeds.select("source_id", "source_url", F.explode(items).alias("x"))
 
     def tag(*names: str) -> Column:
-        found = [F.nullif(F.trim(F.regexp_replace(F.regexp_extract("x", rf"(?s)<{n}\b[^>]*>(.*?)</{n}>", 1), r"^\s*<!\[CDATA\[|\]\]>\s*$", "")), F.lit("")) for n in names]
+        found = []
+        for n in names:
+            raw = F.regexp_extract("x", rf"(?s)<{n}\b[^>]*>(.*?)</{n}>", 1)
+            inner = F.regexp_extract(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", 1)
+            found.append(F.nullif(F.trim(F.when(inner != "", inner).otherwise(unescaped(raw))), F.lit("")))
         return F.coalesce(*found)
 
-    link = F.coalesce(tag("link"), F.nullif(F.regexp_extract("x", r'<link\b[^>]*href="([^"]+)"', 1), F.lit("")))
-    return rows.select("source_id", absolute(F.col("source_url"), link).alias("url"), tag("title").alias("title"), tag("pubDate", "published", "updated").alias("published"), F.substring(tag("description", "summary"), 1, 1000).alias("summary")).where("url is not null")
+    link = F.coalesce(tag("link"), F.nullif(unescaped(F.regexp_extract("x", r'<link\b[^>]*href="([^"]+)"', 1)), F.lit("")))
+    author = F.coalesce(tag("dc:creator"), F.nullif(F.trim(unescaped(F.regexp_extract("x", r"(?s)<author\b[^>]*>\s*<name\b[^>]*>(.*?)</name>", 1))), F.lit("")), tag("author"))
+    published = F.coalesce(feed_time(tag("pubDate", "published", "dc:date")), feed_time(tag("updated")))
+    return rows.select(
+        "source_id", absolute(F.col("source_url"), link).alias("url"), F.coalesce(tag("title"), F.lit("")).alias("title"), published.alias("published"), author.alias("author"),
+        F.substring(tag("description", "summary"), 1, 1000).alias("summary"),
+    ).where("url is not null")
 
 
 def sitemap_urls(maps: DataFrame, most: int = 50) -> DataFrame:
@@ -129,9 +173,13 @@ class _Article(HTMLParser):
         self.blocks: list[tuple[str, str, set[str], int]] = []  # tag, text, containers, parent
         self.open: list[tuple[str, list[str], int]] = []
         self.in_title = False
+        self.byline: list[str] | None = None
+        self.byline_at = 0  # the element whose text is the byline, while it is open
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        if self.byline is None and "author" in (a.get("class") or "").lower():
+            self.byline, self.byline_at = [], self.serial + 1
         if tag == "meta":
             if (a.get("name") or "").lower() == "author":
                 self.author = self.author or a.get("content")
@@ -151,7 +199,9 @@ class _Article(HTMLParser):
         if tag not in [t for t, _ in self.stack]:
             return
         while self.stack:
-            t, _ = self.stack.pop()
+            t, serial = self.stack.pop()
+            if serial == self.byline_at:
+                self.byline_at = 0
             if t in BLOCKS and self.open:
                 name, text, parent = self.open.pop()
                 self.blocks.append((name, " ".join("".join(text).split()), {x for x, _ in self.stack}, parent))
@@ -159,6 +209,8 @@ class _Article(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.byline_at:
+            self.byline.append(data)
         if self.in_title:
             self.title += data
         elif self.open and not any(t in SKIPPED for t, _ in self.stack):
@@ -166,7 +218,9 @@ class _Article(HTMLParser):
 
 
 def extracted(html: str | None) -> dict | None:
-    """title, content, author, summary, word_count; None if less than 50 characters are found.
+    """title (500 characters at most), content, author, summary, word_count; None if less than 50 characters are found.
+
+    The author is that of the page's data, else the text of the first element with a class of authors.
 
     The content is the blocks of article, else of main, else those below the parent with
     the most paragraph text.
@@ -188,7 +242,8 @@ def extracted(html: str | None) -> dict | None:
     content = "\n\n".join(chosen)
     if len(content) < 50:
         return None
-    return {"title": " ".join(parser.title.split()), "content": content, "author": parser.author, "summary": parser.description and parser.description[:1000], "word_count": len(content.split())}
+    byline = "".join(x.strip() for x in parser.byline or [])[:200]
+    return {"title": " ".join(parser.title.split())[:500], "content": content, "author": parser.author or byline or None, "summary": parser.description and parser.description[:1000], "word_count": len(content.split())}
 
 
 def html_extract(pages: DataFrame) -> DataFrame:
@@ -218,5 +273,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("_provenance is null").drop("_provenance")
 
 
+def write_jsonl(df: DataFrame, path: str, provenance: str) -> None:
+    """JSON lines, each file beginning with a line that tells where it is from."""
+    header = df.sparkSession.createDataFrame([(provenance,)], "_provenance string").select(F.to_json(F.struct("_provenance")).alias("value"))
+    rows = df.select(F.to_json(F.struct("*")).alias("value"))
+    head = F.concat_ws("\n", *[F.lit(r["value"]) for r in header.collect()])  # one line
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)) == 0
+    rows.select(F.when(first, F.concat(head, F.lit("\n"), F.col("value"))).otherwise(F.col("value")).alias("value")).write.text(path)
+
+
+def primary_extract(pages: DataFrame) -> DataFrame:
+    """The first extractor of the cascade: (page_id, title, content, author, summary, word_count) of pages that tell their article as linked data.
+
+    The first ``application/ld+json`` block with an articleBody counts; pages without one have nulls, and are the fallback's.
+    """
+    blocks = F.regexp_extract_all("html", F.lit(r'(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
+    kind = "headline string, articleBody string, description string, author struct<name:string>"
+    told = F.transform(blocks, lambda b: F.from_json(b, kind))
+    rows = pages.select("page_id", F.try_element_at(F.filter(told, lambda d: F.length(d["articleBody"]) >= 50), F.lit(1)).alias("d"))
+    words = F.size(F.filter(F.split(F.col("d.articleBody"), r"(?U)\s+"), lambda w: w != "")).cast("long")
+    return rows.select("page_id", F.col("d.headline").alias("title"), F.col("d.articleBody").alias("content"), F.col("d.author.name").alias("author"), F.col("d.description").alias("summary"), F.when(F.col("d").isNotNull(), words).alias("word_count"))
+
+
 def read_labelled_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, comment="#")

@@ -12,8 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Capitalised words of seven letters or more stand for names.
-NAME = "[A-Z][a-z]{6,}"
+from brindle.functions.text import content_hash
+from brindle.session import cut_lineage
+
+#: Capitalised words of four letters or more stand for names.
+NAME = "[A-Z][a-z]{3,}"
 EPOCH = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 #: Shorter contents count as failed extractions.
 LEAST_CHARS = 50
@@ -29,24 +32,43 @@ class Views:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def articles(self) -> DataFrame:
-        docs, labels = self.table("documents"), self.table("labels")
-        raw = docs.join(labels, "doc_id", "left").select(
+    def texts(self) -> DataFrame:
+        """Everything of an article that its own row tells: a scan without joins."""
+        return self.table("documents").select(
             F.col("doc_id").alias("id"),
             F.substring("source", 4, 20).cast("long").alias("source_id"),
             F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 500).alias("title"),
             F.col("text").alias("content"),
             F.col("lang").alias("language"),
-            F.sha2(F.trim("text").cast("binary"), 256).alias("content_hash"),
+            content_hash(F.col("text")).alias("content_hash"),
             F.col("n_chars"),
             F.expr(f"timestampadd(MINUTE, doc_id * 97, {EPOCH})").alias("discovered_at"),
             F.expr(f"CASE WHEN lang <> 'en' THEN timestampadd(HOUR, -(n_chars % 48), timestampadd(MINUTE, doc_id * 97, {EPOCH})) END").alias("published_at"),
+        )
+
+    @cached_property
+    def states(self) -> DataFrame:
+        """(id, content_hash, status, duplicate_of_id) of each different (id, hash), from hashes and lengths alone.
+
+        Copies meet by hash after each task has dropped its own, and the smallest id is joined back
+        to them, which AQE splits where a hash is common. Articles without a text are copies of each other.
+        """
+        slim = cut_lineage(self.texts.select("id", "content_hash", (F.length("content") < LEAST_CHARS).alias("short")).distinct())
+        key = F.coalesce("content_hash", F.lit("")).alias("key")
+        first = slim.groupBy(key).agg(F.min("id").alias("first_id"))
+        status = F.expr("CASE WHEN id > first_id THEN 'duplicate' WHEN short THEN 'failed' ELSE 'analyzed' END")
+        return slim.withColumn("key", key).join(first, "key").select("id", "content_hash", status.alias("status"), F.expr("CASE WHEN id > first_id THEN first_id END").alias("duplicate_of_id"))
+
+    @cached_property
+    def articles(self) -> DataFrame:
+        """texts with status and sentiment. What a query derives from contents or filters by them stands before the joins; only what it returns is shuffled."""
+        labels = self.table("labels").select(
+            F.col("doc_id").alias("id"),
             F.expr("CASE WHEN toxic = 1 THEN 'neg' WHEN quality = 1 THEN 'pos' WHEN quality = 0 THEN 'neutral' END").alias("sentiment_label"),
             F.expr("CASE WHEN toxic = 1 THEN -0.6D WHEN quality = 1 THEN 0.6D WHEN quality = 0 THEN 0.0D END").alias("sentiment_score"),
         )
-        first = raw.groupBy("content_hash").agg(F.min("id").alias("first_id"))
-        status = F.expr(f"CASE WHEN id > first_id THEN 'duplicate' WHEN length(content) < {LEAST_CHARS} THEN 'failed' ELSE 'analyzed' END")
-        return raw.join(first, "content_hash").withColumns({"status": status, "duplicate_of_id": F.expr("CASE WHEN id > first_id THEN first_id END")}).drop("first_id")
+        told = self.states.join(labels, "id", "left").withColumn("hash_key", F.coalesce("content_hash", F.lit(""))).drop("content_hash")
+        return self.texts.withColumn("hash_key", F.coalesce("content_hash", F.lit(""))).join(told, ["id", "hash_key"]).drop("hash_key")
 
     @cached_property
     def visible(self) -> DataFrame:
@@ -60,14 +82,14 @@ class Views:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        """article_id, text, label, start, stop, confidence, canonical, node: each surface form once per article."""
-        found = self.articles.select("id", "content", "discovered_at", "status", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(NAME), F.lit(0)))).alias("text"))
-        start = F.instr("content", F.col("text")) - 1
-        label = F.expr("CASE length(text) % 3 WHEN 0 THEN 'PER' WHEN 1 THEN 'ORG' ELSE 'LOC' END")
-        return found.select(
-            F.col("id").alias("article_id"), "text", label.alias("label"), start.cast("long").alias("start"), (start + F.length("text")).cast("long").alias("stop"),
-            (0.5 + F.length("text") % 5 / 10.0).alias("confidence"), F.lower("text").alias("canonical"), F.concat(label, F.lit(":"), F.lower("text")).alias("node"), "discovered_at", "status",
-        )
+        """article_id, text, label, start, stop, confidence, canonical, node: each surface form once per article, found in one pass over texts."""
+        from brindle.operators.graph import found_mentions
+
+        return found_mentions(self.texts, NAME)
+
+    @cached_property
+    def mentions_with_status(self) -> DataFrame:
+        return self.mentions.join(self.states.select(F.col("id").alias("article_id"), "status").distinct(), "article_id")
 
     @cached_property
     def titles(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from brindle.operators import alerts
+from brindle.operators import alerts, graph, stories
 from brindle.operators.pipeline import MOST_RETRIES
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -79,3 +79,27 @@ def retry_states(tries: DataFrame, most: int = MOST_RETRIES) -> DataFrame:
 def drained(query: StreamingQuery) -> None:
     query.processAllAvailable()
     query.awaitTermination()
+
+
+def recognition_stream(articles: DataFrame, recognise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Each batch of articles through recognition, nodes, edges, triples and stories, and on to analysed.
+
+    ``recognise`` gives predictions as graph.intake() takes them. The batch's mentions and articles are written first, under the
+    batch's number, so that a batch that runs again replaces itself; all other tables are derived anew from what is written, and the
+    state of the articles is the last table to be written, so no article counts as analysed before the rest is there.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        found = graph.intake(recognise(df)).join(df.select(F.col("id").alias("article_id"), "discovered_at"), "article_id")
+        found.write.mode("overwrite").parquet(f"{path}/mentions/batch={number}")
+        df.write.mode("overwrite").parquet(f"{path}/articles/batch={number}")
+        mentions = spark.read.parquet(f"{path}/mentions").drop("batch")
+        known = spark.read.parquet(f"{path}/articles").drop("batch")
+        graph.resolve_nodes(mentions).write.mode("overwrite").parquet(f"{path}/nodes")
+        graph.cooccurrence_edges(mentions).write.mode("overwrite").parquet(f"{path}/edges")
+        graph.relationship_triples(known, mentions).write.mode("overwrite").parquet(f"{path}/triples")
+        stories.story_assignment(known, mentions).write.mode("overwrite").parquet(f"{path}/stories")
+        df.select("id", F.lit("analyzed").alias("status")).write.mode("overwrite").parquet(f"{path}/states/batch={number}")
+
+    return articles.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

