@@ -58,13 +58,22 @@ def hash_embedding(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
     return F.pandas_udf(run, "array<double>")(text)
 
 
-def entity_similarity(a: Column | str, b: Column | str) -> Column:
-    """1 for equal names or bases, 0.95 if one is the other's base, else the matching-blocks ratio of a to b, which alone needs Python."""
+def entity_similarity(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
+    """1 for equal names or bases, 0.95 if one is the other's base, else the matching-blocks ratio of a to b, which alone needs Python.
+
+    A ratio whose upper bounds, by lengths and by letters in common, lie below ``least`` is not worked out and counts as 0.
+    """
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     base_a, base_b = base_form(a), base_form(b)
 
+    def one(p: str | None, q: str | None) -> float:
+        if p is None or q is None:
+            return 0.0
+        found = SequenceMatcher(None, p, q)
+        return found.ratio() if found.real_quick_ratio() >= least and found.quick_ratio() >= least else 0.0
+
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if p is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([one(*pair) for pair in zip(x, y, strict=True)], dtype=float)
 
     alike = (a == b) | ((base_a != "") & (base_a == base_b))
     near = (base_a != "") & ((base_a == b) | (base_b == a))

@@ -20,7 +20,7 @@ def similar_pairs(nodes: DataFrame, least: float = 0.8) -> DataFrame:
     base = nodes.where("canonical <> ''").select("node", "canonical", "label", F.substring("canonical", 1, 1).alias("first"), F.length("canonical").alias("len"))
     right = base.select("label", "first", F.col("node").alias("b"), F.col("canonical").alias("cb"), F.explode(F.sequence(F.col("len") - 2, F.col("len") + 2)).alias("len"))
     pairs = base.withColumnRenamed("node", "a").join(right, ["label", "first", "len"]).where("a < b")
-    return pairs.withColumn("similarity", entity_similarity("canonical", "cb")).where(F.col("similarity") >= least).select("a", "b", F.bround("similarity", 4).alias("similarity"))
+    return pairs.withColumn("similarity", entity_similarity("canonical", "cb", least)).where(F.col("similarity") >= least).select("a", "b", F.bround("similarity", 4).alias("similarity"))
 
 
 def clusters(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
