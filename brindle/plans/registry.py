@@ -934,3 +934,66 @@ def rss_entries(v: Views) -> DataFrame:
     date = F.date_format(F.expr("timestampadd(MINUTE, doc_id * 97 + 120, TIMESTAMP_NTZ'2024-01-01 00:00:00')"), "EEE, dd MMM yyyy HH:mm:ss")
     item = F.concat(F.lit("<rss><item><title>T &lt;"), F.col("doc_id"), F.lit("&gt;</title><link>/a/"), F.col("doc_id"), F.lit("</link><pubDate>"), date, F.lit(" +0200</pubDate><author>A &#38; B</author><description><![CDATA["), F.col("n_chars"), F.lit(" letters]]></description></item><item><title>No link</title></item></rss>"))
     return feeds.rss_entries(v.table("documents").select(F.substring("source", 4, 20).cast("long").alias("source_id"), F.lit("https://h.org/s/").alias("source_url"), item.alias("body")))
+
+
+@query("SELECT id, content_hash FROM articles")
+def content_hash(v: Views) -> DataFrame:
+    return v.texts.select("id", "content_hash")
+
+
+@query("SELECT language, array_to_string(list_sort(list(sentiment_label || ':' || n)), ',') AS counts FROM (SELECT language, sentiment_label, count(*) AS n FROM articles WHERE sentiment_label IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+def sentiment_by_language_map(v: Views) -> DataFrame:
+    rows = analytics.sentiment_by_language_map(v.articles)
+    each = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return rows.select("language", F.array_join(F.array_sort(each), ",").alias("counts"))
+
+
+@query(_SETS + f" SELECT story_id FROM sets WHERE list_has_any(nodes, [{_TOP}, 'PER:nobody'])")
+def stories_overlapping(v: Views) -> DataFrame:
+    none = F.lit(None).cast("string")
+    sets = _story_sets(v).withColumns({"dominant_language": none, "dominant_sentiment": none})
+    return stories.listed(sets, nodes=[_top_node(v), "PER:nobody"]).select("story_id")
+
+
+_BY_LABEL = "bl AS (SELECT *, 'Q' || substr(canonical, 1, 4) AS q FROM nodes), bb AS (SELECT q, label, arg_min(node, (-mention_count, node)) AS canonical_node FROM bl GROUP BY 1, 2 HAVING count(*) > 1)"
+
+
+@query(f", {_BY_LABEL} SELECT n.node, b.canonical_node FROM bl n JOIN bb b USING (q, label) WHERE n.node <> b.canonical_node")
+def merge_by_label(v: Views) -> DataFrame:
+    """The narrower merge, among nodes of one label."""
+    return merge.qid_mapping(v.nodes.withColumn("wikidata_id", F.concat(F.lit("Q"), F.substring("canonical", 1, 4))), by_label=True)
+
+
+_RUNS = "runs AS (SELECT (user_id % 4 + 1)::INT AS replica_count, value AS articles_per_min FROM events)"
+
+
+@query(f""", {_RUNS}, per AS (SELECT replica_count, avg(articles_per_min) AS mean, stddev_pop(articles_per_min) AS std FROM runs GROUP BY 1)
+  SELECT replica_count, round(mean, 4) AS mean, round(std, 4) AS std, round(mean / (SELECT mean FROM per WHERE replica_count = 1), 4) AS speedup FROM per""")
+def throughput(v: Views) -> DataFrame:
+    """Events as runs of some workers."""
+    return evaluation.throughput(v.table("events").select((F.col("user_id") % 4 + 1).cast("int").alias("replica_count"), F.col("value").alias("articles_per_min")))
+
+
+@query("""SELECT strategy, round_even(100.0 * count(*) FILTER (label = 'correct_merge') / count(*), 1) AS correct_merge, round_even(100.0 * count(*) FILTER (label = 'false_merge') / count(*), 1) AS false_merge,
+  round_even(100.0 * count(*) FILTER (label = 'ambiguous') / count(*), 1) AS ambiguous FROM
+  (SELECT event_type AS strategy, CASE WHEN value < 20 THEN 'correct_merge' WHEN value < 60 THEN 'false_merge' WHEN value < 80 THEN 'ambiguous' END AS label FROM events) WHERE label IS NOT NULL GROUP BY 1""")
+def merge_shares(v: Views) -> DataFrame:
+    """Events as judged merges; those of a value of 80 or more aren't judged."""
+    label = F.expr("CASE WHEN value < 20 THEN 'correct_merge' WHEN value < 60 THEN 'false_merge' WHEN value < 80 THEN 'ambiguous' END")
+    return evaluation.merge_shares(v.table("events").select(F.col("event_type").alias("strategy"), label.alias("label")))
+
+
+@query("SELECT event_type AS service, round(max(mb), 4) AS peak, round(avg(mb), 4) AS mean FROM (SELECT event_type, CASE WHEN event_id % 3 = 0 THEN event_id * 1024.0 WHEN event_id % 3 = 1 THEN event_id ELSE event_id / 1024.0 END::DOUBLE AS mb FROM events) GROUP BY 1")
+def resource_peaks(v: Views) -> DataFrame:
+    """Events as memory readings in three units."""
+    text = F.concat("event_id", F.expr("CASE event_id % 3 WHEN 0 THEN 'GiB' WHEN 1 THEN 'MiB' ELSE 'KiB' END"), F.lit(" / 64GiB"))
+    rows = v.table("events").select(F.col("event_type").alias("service"), t.memory_mb(text).alias("memory_mb"))
+    return evaluation.resource_peaks(rows).select("service", F.round("peak", 4).alias("peak"), F.round("mean", 4).alias("mean"))
+
+
+@query("SELECT lang AS source_id, unnest(list(url ORDER BY doc_id)[1:50]) AS url FROM (SELECT lang, doc_id, 'https://h.org/' || CASE doc_id % 3 WHEN 0 THEN 'news/' WHEN 1 THEN 'story/' ELSE 'about/' END || doc_id AS url FROM documents) WHERE url NOT LIKE '%about%' GROUP BY lang")
+def sitemap_urls(v: Views) -> DataFrame:
+    """The documents of a language as a sitemap, in order; its first 50 article places count."""
+    loc = F.concat(F.lit("<url><loc> https://h.org/"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'news/' WHEN 1 THEN 'story/' ELSE 'about/' END"), F.col("doc_id"), F.lit(" </loc></url>"))
+    maps = v.table("documents").groupBy(F.col("lang").alias("source_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", loc.alias("loc")))), lambda x: x["loc"]), "").alias("body"))
+    return feeds.sitemap_urls(maps)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from ipaddress import ip_address
@@ -35,6 +36,53 @@ def url_allowed(url: str, resolve: Callable[[str], list[str]] | None = None) ->
         return all(map(address_allowed, addresses)) and (bool(addresses) or resolve is None)
 
 
+class Refused(ValueError):
+    """An address that must not be read, or an answer that is no page."""
+
+
+#: (url, address) -> status, headers in lower case, the body in pieces; it must connect to that address and follow no redirect.
+Get = Callable[[str, str], tuple[int, dict[str, str], Iterator[bytes]]]
+
+
+def guarded_fetch(url: str, get: Get, resolve: Callable[[str], list[str]], most_redirects: int = 5, most_bytes: int = 5 << 20) -> tuple[int, dict[str, str], bytes]:
+    """Reads a url through ``get``, which is told the address to connect to, so that a name can't change between check and use.
+
+    Every redirect is checked like the first url. More redirects or bytes than allowed are refused.
+    """
+    for _ in range(most_redirects + 1):
+        if not url_allowed(url, resolve):
+            raise Refused(f"not allowed: {url}")
+        host = urlsplit(url).hostname or ""
+        try:
+            address = str(ip_address(host))
+        except ValueError:
+            address = resolve(host)[0]
+        if not address_allowed(address):
+            raise Refused(f"not allowed: {address}")
+        status, headers, pieces = get(url, address)
+        if status in (301, 302, 303, 307, 308) and headers.get("location"):
+            url = urljoin(url, headers["location"])
+            continue
+        body = b""
+        for piece in pieces:
+            body += piece
+            if len(body) > most_bytes:
+                raise Refused(f"more than {most_bytes} bytes: {url}")
+        return status, headers, body
+    raise Refused(f"more than {most_redirects} redirects: {url}")
+
+
+def decoded_body(status: int, headers: dict[str, str], body: bytes) -> str | None:
+    """The text of an answer by the charset that its header, then its first kilobyte names, else UTF-8; wrong bytes are replaced. None for a status of 400 or more."""
+    if status >= 400:
+        return None
+    found = re.search(r"charset=[\"']?([\w-]+)", headers.get("content-type", ""), re.I) or re.search(r"(?:charset|encoding)=[\"']?([\w-]+)", body[:1024].decode("latin-1"), re.I)
+    try:
+        return body.decode(found[1] if found else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def url_shape_allowed(url: Column) -> Column:
     """The part of the same check that needs no look-up, within the JVM."""
     host = F.try_parse_url(url, F.lit("HOST"))

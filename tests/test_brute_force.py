@@ -324,3 +324,23 @@ def test_search_in_a_loaded_index(spark):
     many = {r.id: r.rank for r in index.search_many(loaded, spark.createDataFrame([(0, ["that"])], "query_id long, terms array<string>")).collect()}
     assert one and one == many
     loaded.unpersist()
+
+
+def test_guarded_fetch():
+    public = lambda host: ["93.184.216.34"] if host != "inner.org" else ["10.0.0.1"]
+    pages = {"https://a.org/": (302, {"location": "/b"}, []), "https://a.org/b": (200, {"content-type": "text/html; charset=latin-1"}, ["é".encode("latin-1"), b"x"]), "https://c.org/": (302, {"location": "http://inner.org/"}, []), "https://d.org/": (302, {"location": "https://d.org/"}, []), "https://e.org/": (200, {}, [b"x" * 600] * 3)}
+    seen = []
+
+    def get(url, address):
+        seen.append((url, address))
+        return pages[url]
+
+    answer = feeds.guarded_fetch("https://a.org/", get, public)
+    assert feeds.decoded_body(*answer) == "éx" and seen == [("https://a.org/", "93.184.216.34"), ("https://a.org/b", "93.184.216.34")]
+    for url in ("https://c.org/", "https://d.org/", "https://u:p@a.org/", "http://127.0.0.1/"):
+        with pytest.raises(feeds.Refused):
+            feeds.guarded_fetch(url, get, public)
+    with pytest.raises(feeds.Refused):
+        feeds.guarded_fetch("https://e.org/", get, public, most_bytes=1000)
+    assert feeds.decoded_body(404, {}, b"x") is None and feeds.decoded_body(200, {"content-type": "text/html; charset=nonsense"}, b"ok") == "ok"
+    assert feeds.decoded_body(200, {}, '<?xml version="1.0" encoding="iso-8859-1"?>é'.encode("latin-1")).endswith("é")
