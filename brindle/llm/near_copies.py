@@ -7,7 +7,8 @@ all ways, each word is decoded, and codewords are ordered by the certainty of th
 The index of the nearest codewords of two segments is the key under which a text is stored in
 a table; it asks for its PROBES likeliest pairs of codewords. Texts with the same set meet in
 one row. Sets that meet under a key, whose sizes allow the similarity, and whose first 64 bits are within FAR bits, are candidates, and
-both sets are compared in full. Of pairs at a similarity of exactly 0.8 the tables lose about one in a hundred
+both sets are compared in full. At first each set is compared with the smallest of each key that it is stored
+under, and sets that this brings together are never paired again, so that a dense group doesn't give a row per pair. Of pairs at a similarity of exactly 0.8 the tables lose about one in a hundred
 (tests/llm/test_near_copies_recall.py), of more similar ones fewer.
 """
 
@@ -128,22 +129,23 @@ def _signed(docs: DataFrame) -> DataFrame:
     return map_arrow(hashed, work, "doc_id long, text_hash long, copy long, n long, margins binary")
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
-    """(key, copy, n, fp, asks): the keys under which a set is stored and those that it asks for; fp are its first 64 bits."""
+def _keyed(nodes: DataFrame, asks: bool) -> DataFrame:
+    """(key, copy, n, fp, root): the keys under which a set is stored, or those that it asks for; fp are its first 64 bits."""
+    names = ["key", "copy", "n", "fp", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, DECODED):
-            m = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, BITS)
+            m = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, BITS)
             if not len(m):
                 continue
-            stored, asked = golay_keys(m)
-            keys = np.concatenate([stored.reshape(len(m), -1), asked.reshape(len(m), -1)], axis=1)
+            keys = golay_keys(m)[asks].reshape(len(m), -1)
             fps = np.packbits(m[:, :64] > 0, axis=1, bitorder="little").view("<i8")[:, 0]
             rows = np.repeat(np.arange(len(m)), keys.shape[1])
-            asks = np.tile(np.arange(keys.shape[1]) >= stored.shape[1], len(m))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(fps[rows], pa.int64()), pa.array(asks)], ["key", "copy", "n", "fp", "asks"])
+            copy, n, root = (batch.column(i).take(pa.array(rows)) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), copy, n, pa.array(fps[rows], pa.int64()), root], names)
 
-    return nodes.where("margins is not null").select("copy", "n", "margins").mapInArrow(run, "key long, copy long, n long, fp long, asks boolean")
+    given = nodes.where("margins is not null").select("copy", "n", "root", "margins")
+    return given.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -157,14 +159,12 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), work, "copy long, shingles binary").dropDuplicates(["copy"])
 
 
-def candidates(nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b) with a < b of the sets in ``copy`` that meet under a key, whose sizes ``n`` allow the similarity, and whose fingerprints are near, each once."""
-    dealt = _keyed(nodes).repartition("key")  # both sides of the join are read from this one exchange
-    stored = dealt.where("not asks").select("key", F.col("copy").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"))
-    asked = dealt.where("asks").select("key", F.col("copy").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"))
+def _met(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b) with a < b, each once: sets of different roots that meet under a key, whose sizes allow the similarity, and whose fingerprints are near."""
+    one, two = left.toDF("key", "a", "na", "fa", "ra"), right.toDF("key", "b", "nb", "fb", "rb")
     fair = (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
-    met = stored.join(asked, "key").where((F.col("a") != F.col("b")) & fair & near)
+    met = one.join(two, "key").where((F.col("ra") != F.col("rb")) & fair & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -189,15 +189,25 @@ def _grouped(docs: DataFrame, least: float) -> DataFrame:
     spark, path = docs.sparkSession, table_path(docs.sparkSession, "signed")
     _signed(docs).write.option("compression", "zstd").parquet(path)
     signed = spark.read.parquet(path)
-    nodes = signed.groupBy("copy").agg(F.first("n").alias("n"), F.first("margins").alias("margins"))
-    pairs = cut_lineage(candidates(nodes, least))
-    met = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct()
     few = cut_lineage(signed.groupBy("copy").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_hash")).alias("any")))
-    asked = few.join(met, "copy").select(F.col("any.col1").alias("key_id"), F.col("any.col2").alias("key_null"), F.col("any.text_hash").alias("key_hash"))
-    # one text of each set that met another
-    texts = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"), "text")
-    sets = cut_lineage(_sets(texts.join(asked, ["key_id", "key_null", "key_hash"], "left_semi")))
-    roots = connected_components(verified(pairs, sets, least), "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("root"))
+    nodes = signed.groupBy("copy").agg(F.first("n").alias("n"), F.first("margins").alias("margins"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of some pairs that are as similar as that; one text of each set is looked at."""
+        met = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct()
+        asked = few.join(met, "copy").select(F.col("any.col1").alias("key_id"), F.col("any.col2").alias("key_null"), F.col("any.text_hash").alias("key_hash"))
+        texts = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"), "text")
+        keys = ["key_id", "key_null", "key_hash"]
+        return verified(pairs, cut_lineage(_sets(texts.join(asked, keys, "left_semi"))), least)
+
+    stored = cut_lineage(_keyed(nodes.withColumn("root", F.col("copy")), False))
+    smallest = stored.groupBy("key").agg(F.min(F.struct("copy", "n", "fp", "root")).alias("s")).select("key", "s.*")
+    linked = cut_lineage(similar(cut_lineage(_met(stored, smallest, least))))
+    so_far = connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("known"))
+    rooted = lambda df: df.join(so_far, "copy", "left").withColumn("root", F.coalesce("known", "copy")).drop("known")
+    others = _met(rooted(stored.drop("root")).select("key", "copy", "n", "fp", "root"), _keyed(rooted(nodes), True), least)
+    linked = linked.union(similar(cut_lineage(others)))
+    roots = connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("root"))
     placed = few.select("copy", "first").join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     return signed.select("doc_id", "text_hash", "copy").join(placed.join(smallest, "root").select("copy", "root", "component_id"), "copy")
