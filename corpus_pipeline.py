@@ -2,7 +2,9 @@
 
 Each stage function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. Extra columns are carried along by the first four.
-Nulls, empty texts, repeated rows and empty tables are treated as the operators' docstrings say.
+Nulls, empty texts, repeated rows and empty tables are treated as the operators' docstrings say: rows that repeat
+a doc_id and text are one document from the second stage on, and a group of near copies keeps one text
+even where doc_ids are null or repeated with other texts.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies: five-word shingles of a Jaccard similarity of 0.8 or more."""
+    """Keeps one document of each group of near copies, that of the smallest doc_id: SimHash of five-word shingles by Golay keys, and a Jaccard similarity of 0.8 or more."""
     return near_copies.one_of_each_group(docs)
 
 
