@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, pieces, pivots, pseudo_likelihood, quality_ranking, quality_rules, secrets, sharding, simhash, warc
+from brindle.llm import mixing, pieces, pivots, pseudo_likelihood, quality_ranking, quality_rules, secrets, sharding, simhash, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_ledger": quality_rules.op1_rule_ledger,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_simhash_near_dups": simhash.op9_simhash_near_dups,
     "op10_warc_archive": warc.op10_warc_archive,
+    "op12_suffix_dedup": suffixes.op12_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
