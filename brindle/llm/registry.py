@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, pieces, pivots, pseudo_likelihood, quality_ranking, quality_rules, secrets, sharding, simhash, suffixes, warc
+from brindle.llm import elkan, mixing, pieces, pivots, pseudo_likelihood, quality_ranking, quality_rules, secrets, sharding, simhash, suffixes, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_ledger": quality_rules.op1_rule_ledger,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_simhash_near_dups": simhash.op9_simhash_near_dups,
     "op10_warc_archive": warc.op10_warc_archive,
+    "op11_whitening": whitening.op11_whitening,
     "op12_suffix_dedup": suffixes.op12_suffix_dedup,
+    "op13_elkan_clusters": elkan.op13_elkan_clusters,
 }
 
 SQL: dict[str, str] = {
@@ -28,6 +30,7 @@ SQL: dict[str, str] = {
     "op5_secret_scan": secrets.OP5_SQL,
     "op6_feistel_shards": sharding.OP6_SQL,
     "op10_warc_archive": warc.OP10_SQL,
+    "op13_elkan_clusters": elkan.OP13_SQL,
 }
 
 #: Reports that operators make besides their main result.
