@@ -301,7 +301,7 @@ def _groups(pieces: DataFrame, most: int, *holder: str) -> tuple[DataFrame, Data
     """(counted, hot) of rows (key, c1, c2, ...): different contexts with n, m (of their key) and one holder's columns; keys of more than ``most`` contexts."""
     counted = pieces.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*holder)).alias("h"))
     counted = cut_lineage(counted.select("key", "c1", "c2", "n", "h.*"))
-    sizes = counted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = cut_lineage(counted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     return counted.join(sizes, "key", "left"), cut_lineage(sizes.where(F.col("m") > most).select("key"))
 
 
@@ -387,7 +387,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
     path = table_path(docs.sparkSession, "contexts")
     _pieces(_keyed(docs), length).write.option("compression", "zstd").parquet(path)
     pieces = docs.sparkSession.read.parquet(path).withColumnRenamed("a", "key")
-    again = pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    again = cut_lineage(pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))  # a written side lets the join split a hot anchor
     pieces = cut_lineage(pieces.join(again, "key", "left_semi"))
     counted, hot = _groups(pieces, most, "id0", "th", "pos", "len", "at")
     strings = cut_lineage(_texts(docs, counted.where("m > 1").drop("n", "m")))
