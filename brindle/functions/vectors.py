@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.patterns import leftmost_longest
 from brindle.functions.text import base_form
 
 DIMENSIONS = 384
@@ -89,21 +90,29 @@ def span_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return F.when(common > 0, common / (F.greatest(a_end, b_end) - F.least(a_start, b_start))).otherwise(0.0)
 
 
-def leftmost_longest(text: str, surfaces: Sequence[str]) -> list[tuple[int, int, str]]:
-    """Places of the surfaces that don't overlap: the leftmost, and there the longest, is taken first."""
-    found = sorted(((m.start(), -len(s), s) for s in dict.fromkeys(surfaces) if s for m in re.finditer(f"(?={re.escape(s)})", text)))
-    out, free = [], 0
-    for start, minus, s in found:
-        if start >= free:
-            out.append((start, start - minus, s))
-            free = start - minus
-    return out
+#: Bytes of surfaces that one automaton holds, or little more.
+SURFACE_BYTES = 1 << 16
 
 
 def resolve_spans(text: Column | str, surfaces: Column | str) -> Column:
-    """array of (start, stop, surface) of an array of surfaces in a text."""
+    """array of (start, stop, surface) of an array of surfaces in a text: those that don't overlap, the leftmost and there the longest first.
+
+    One automaton finds the surfaces of many rows in one pass over their texts. Null and empty surfaces have no place.
+    """
+
+    def spans(texts: list[bytes], lists: list[list[bytes]]) -> list[list[dict]]:
+        return [[{"start": p, "stop": q, "surface": s.decode()} for p, q, s in found] for found in leftmost_longest(texts, lists)]
 
     def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("start", "stop", "surface"), x, strict=True)) for x in leftmost_longest(t or "", [] if s is None else list(s))] for t, s in zip(texts, lists, strict=True)])
+        out, held, size = [], ([], []), 0
+        for t, own in zip(texts, lists, strict=True):
+            known = [s.encode() for s in (() if own is None else own) if s]
+            held[0].append((t or "").encode())
+            held[1].append(known)
+            size += sum(map(len, known))
+            if size > SURFACE_BYTES:
+                out += spans(*held)
+                held, size = ([], []), 0
+        return pd.Series(out + spans(*held), index=texts.index)
 
     return F.pandas_udf(run, "array<struct<start:int,stop:int,surface:string>>")(text, surfaces)

@@ -56,12 +56,21 @@ def top_labels(nodes: DataFrame, most: int = 22) -> DataFrame:
     return nodes.orderBy(F.desc("mention_count"), "node").limit(most).select("node", "canonical", "mention_count")
 
 
-def resolve_nodes(mentions: DataFrame) -> DataFrame:
-    """One node per canonical name and label: aliases (first seen first), mention_count, first_seen, last_seen."""
+def forms(mentions: DataFrame) -> DataFrame:
+    """(node, canonical, label, text, n, a, z): each form of a node's name with its mentions, and when it was seen first and last."""
     named = mentions.where("canonical <> ''")
-    forms = named.groupBy("node", "canonical", "label", "text").agg(F.count("*").alias("n"), F.min("discovered_at").alias("a"), F.max("discovered_at").alias("z"))
+    return named.groupBy("node", "canonical", "label", "text").agg(F.count("*").alias("n"), F.min("discovered_at").alias("a"), F.max("discovered_at").alias("z"))
+
+
+def nodes_of(each: DataFrame) -> DataFrame:
+    """One node per canonical name and label of some forms: aliases (first seen first), mention_count, first_seen, last_seen."""
     aliases = F.transform(F.array_sort(F.collect_list(F.struct("a", "text"))), lambda x: x["text"])
-    return forms.groupBy("node", "canonical", "label").agg(aliases.alias("aliases"), F.sum("n").alias("mention_count"), F.min("a").alias("first_seen"), F.max("z").alias("last_seen"))
+    return each.groupBy("node", "canonical", "label").agg(aliases.alias("aliases"), F.sum("n").alias("mention_count"), F.min("a").alias("first_seen"), F.max("z").alias("last_seen"))
+
+
+def resolve_nodes(mentions: DataFrame) -> DataFrame:
+    """The nodes of some mentions."""
+    return nodes_of(forms(mentions))
 
 
 #: Nodes of an article that meet the others in one row of a join.
@@ -182,12 +191,12 @@ def dossier_distributions(articles: DataFrame, mentions: DataFrame, node: str) -
     return pairs.select(kinds.alias("k"), "n").groupBy("k.kind", "k.name").agg(F.sum("n").alias("n"))
 
 
-def communities(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def propagated(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, community) by label propagation: each node takes the label of most weight around it, ties to the smaller.
 
     A node keeps its own label as one vote. Nodes of even and odd hash take turns, so that two nodes don't swap labels
-    for ever. It ends when no label changes, and raises RuntimeError if that takes more rounds than allowed. A distributed
-    stand-in for modularity optimisation; modularity() tells how good it is.
+    for ever. It ends when no label changes, and raises RuntimeError if that takes more rounds than allowed. Cheaper and
+    coarser than communities.communities(), which raises modularity.
     """
     both = cut_lineage(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).toDF("x", "y", "w"))
     labels = cut_lineage(both.select(F.col("x").alias("node")).distinct().withColumn("community", F.col("node")))

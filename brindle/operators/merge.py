@@ -2,25 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import ceil
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import normalized
+from brindle.functions.text import base_form, normalized
 from brindle.functions.values import TYPE_HINTS
 from brindle.functions.vectors import entity_similarity
 from brindle.operators.components import connected_components
 
 
-def similar_pairs(nodes: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, similarity) with a < b: same label and first letter, lengths at most 2 apart, similar names.
+#: How far apart the lengths of similar names are, and the letters of a gram: of two names that are long enough, and of others.
+APART, LONG_GRAM, GRAM = 2, 3, 2
+
 
-    Blocks are label, first letter and length, so that only names of near length meet; the
-    pairs are verified through Arrow.
+def _need(n: int, other: int, least: float, q: int) -> int | None:
+    """How many grams of q letters two names of these lengths share at least if their ratio reaches ``least``; None if it can't.
+
+    The ratio is twice the letters in matching blocks over both lengths. A letter of the one that isn't matched breaks
+    q of its grams, and one of the other breaks q - 1.
     """
-    base = nodes.where("canonical <> ''").select("node", "canonical", "label", F.substring("canonical", 1, 1).alias("first"), F.length("canonical").alias("len"))
-    right = base.select("label", "first", F.col("node").alias("b"), F.col("canonical").alias("cb"), F.explode(F.sequence(F.col("len") - 2, F.col("len") + 2)).alias("len"))
-    pairs = base.withColumnRenamed("node", "a").join(right, ["label", "first", "len"]).where("a < b")
-    return pairs.withColumn("similarity", entity_similarity("canonical", "cb", least)).where(F.col("similarity") >= least).select("a", "b", F.bround("similarity", 4).alias("similarity"))
+    matched = ceil((n + other) * least / 2 - 1e-9)
+    return n - q + 1 - q * (n - matched) - (q - 1) * (other - matched) if matched <= min(n, other) else None
+
+
+def _long_from(least: float, most: int = 400) -> int:
+    """The length from which names of at least that length always share a long gram."""
+    met = [n for n in range(1, most) if any((x := _need(n, n + d, least, LONG_GRAM)) is not None and x < 1 for d in range(-APART, APART + 1) if n + d > 0)]
+    return max(met, default=0) + APART + 1
+
+
+def _shared_grams(n: Column, other: Column, least: float, q: int) -> Column:
+    """_need() of columns."""
+    matched = F.ceil((n + other) * least / 2 - 1e-9)
+    return F.when(matched <= F.least(n, other), n - q + 1 - q * (n - matched) - (q - 1) * (other - matched))
+
+
+def _grams(name: Column, q: int) -> Column:
+    """Grams of a name with their places; a repeated one counts its occurrences."""
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - q + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring(name, i, F.lit(q)).alias("g")))
+    return F.transform(letters, lambda x: F.struct(F.concat(x["g"], F.lit("#"), F.size(F.filter(F.slice(letters, F.lit(1), x["at"]), lambda y: y["g"] == x["g"]))).alias("gram"), x["at"].alias("at")))
+
+
+def _near_lengths(df: DataFrame) -> DataFrame:
+    return df.withColumn("len2", F.explode(F.sequence(F.col("len") - APART, F.col("len") + APART)))
+
+
+def _by_gram(names: DataFrame, least: float, q: int, fits: Column) -> DataFrame:
+    """(a, b, ca, cb) of names (node, canonical, label, first, len) that share a rare gram near the same place, and enough grams of all; ``fits`` says of lengths la and lb which pairs are asked for."""
+    n = F.col("len")
+    needs = [_shared_grams(n, n + d, least, q) for d in range(-APART, APART + 1)]
+    each = names.select("*", F.explode(_grams(F.col("canonical"), q)).alias("x")).select("node", "canonical", "label", "first", "len", "x.gram", "x.at")
+    common = each.groupBy("label", "first", "gram").agg(F.count("*").alias("f"))
+    listed = each.join(common, ["label", "first", "gram"]).groupBy("node", "canonical", "label", "first", "len").agg(F.array_sort(F.collect_list(F.struct("f", "gram", "at"))).alias("x"))
+    # a need of none is met by what the caller does with short names, so one gram is asked for here
+    rare = listed.withColumn("need", F.greatest(F.least(*needs), F.lit(1))).where("need is not null")
+    rare = rare.select("node", "canonical", "label", "first", "len", F.explode(F.slice("x", F.lit(1), F.greatest(F.size("x") - F.col("need") + 1, F.lit(1)).cast("int"))).alias("y"))
+    rare = rare.select("node", "canonical", "label", "first", "len", "y.gram", "y.at")
+    one = rare.toDF("a", "ca", "label", "first", "la", "gram", "ata")
+    two = _near_lengths(rare).select(F.col("node").alias("b"), F.col("canonical").alias("cb"), "label", "first", F.col("len").alias("lb"), "gram", F.col("at").alias("atb"), F.col("len2").alias("la"))
+    la, lb = F.col("la"), F.col("lb")
+    bag = lambda c: F.transform(_grams(F.col(c), q), lambda x: x["gram"])
+    enough = F.size(F.array_intersect(bag("ca"), bag("cb"))) >= F.greatest(_shared_grams(la, lb, least, q), _shared_grams(lb, la, least, q))
+    loose = la + lb - 2 * F.ceil((la + lb) * least / 2 - 1e-9)  # letters that aren't matched
+    met = one.join(two, ["label", "first", "gram", "la"]).where((F.col("a") < F.col("b")) & fits & (F.abs(F.col("ata") - F.col("atb")) <= loose))
+    return met.where(enough).select("a", "b", "ca", "cb")
+
+
+def candidate_pairs(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, ca, cb) with a < b: nodes of one label and first letter, lengths at most APART apart, that may be similar, each pair once.
+
+    An inverted index of grams: similar names share so many that one of the rarest of each is among them, and near the same
+    place. So only rare grams are listed, and a hot one is split like any skewed join key; pairs that meet must share enough grams of all. Names that may be too short to share
+    a long gram meet by short ones, those so short that no gram need be shared meet by length, and
+    names whose base is the other's base or the other itself meet by that.
+    """
+    kept = nodes.where("canonical <> ''").select("node", "canonical", "label", F.substring("canonical", 1, 1).alias("first"), F.length("canonical").alias("len"))
+    n, both = F.col("len"), F.least("la", "lb")
+    long = _long_from(least)
+    found = _by_gram(kept.where(n >= long), least, LONG_GRAM, both >= long).union(_by_gram(kept.where(n < long + APART), least, GRAM, both < long))
+    # lengths of which one may share no gram with the other
+    needs = [_shared_grams(n, n + d, least, GRAM) for d in range(-APART, APART + 1)]
+    short = kept.withColumn("need", F.least(*needs)).where((F.col("need") <= 0) & (n < long + APART)).drop("need")
+    others = _near_lengths(kept).select(F.col("node").alias("b"), F.col("canonical").alias("cb"), "label", "first", F.col("len").alias("lb"), F.col("len2").alias("la"))
+    met = short.toDF("a", "ca", "label", "first", "la").join(others, ["label", "first", "la"]).where("a <> b")
+    ordered = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"))
+    based = kept.withColumn("key", F.explode(F.array_distinct(F.array("canonical", base_form(F.col("canonical")))))).where("key <> ''")
+    bases = based.toDF("a", "ca", "label", "first", "la", "key").join(based.toDF("b", "cb", "label", "first", "lb", "key"), ["label", "first", "key"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= APART))
+    return found.union(ordered).union(bases.select("a", "b", "ca", "cb")).distinct()
+
+
+def similar_pairs(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, similarity) with a < b: same label and first letter, lengths at most 2 apart, similar names; the ratio of candidates is worked out through Arrow."""
+    pairs = candidate_pairs(nodes, least).withColumn("similarity", entity_similarity("ca", "cb", least))
+    return pairs.where(F.col("similarity") >= least).select("a", "b", F.bround("similarity", 4).alias("similarity"))
 
 
 def clusters(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.components import connected_components
+from brindle.session import cut_lineage
 
 
 def jaccard(a: str, b: str) -> F.Column:
@@ -33,6 +35,13 @@ def jaccard_pairs(members: DataFrame, least: float = 0.5, key: str = "article_id
     return rows.where(value >= least).distinct().select("a", "b", "shared", F.bround(value, 4).alias("jaccard"))
 
 
+def _mean_after(n: int, mean: float | None, score: float | None) -> tuple[int, float | None]:
+    """(n, mean) with one more member; members without a score count too."""
+    if score is None or pd.isna(score):
+        return n + 1, mean
+    return n + 1, round(((mean or 0.0) * n + score) / (n + 1), 4)
+
+
 def replay(articles: list[tuple], least: float = 0.5, least_shared: int = 2, days: int = 7) -> list[tuple[int, int, float | None]]:
     """(article_id, story_id, running mean score) of articles (id, seen, nodes, score) in order of (seen, id).
 
@@ -59,39 +68,145 @@ def replay(articles: list[tuple], least: float = 0.5, least_shared: int = 2, day
             by_node.setdefault(n, set()).add(best)
         story["nodes"] |= nodes
         story["last"] = max(story["last"], seen)
-        story["n"] += 1
-        if score is not None and not pd.isna(score):
-            story["mean"] = round(((story["mean"] or 0.0) * (story["n"] - 1) + score) / story["n"], 4)  # members without a score count too
+        story["n"], story["mean"] = _mean_after(story["n"], story["mean"], score)
         out.append((id_, best, story["mean"]))
     return out
 
 
+def _rare_first(members: DataFrame, articles: DataFrame) -> DataFrame:
+    """(article_id, at, bucket, nodes) of articles with nodes and a time: nodes from rare to common."""
+    each = members.where("article_id is not null and node is not null").select("article_id", "node").distinct()
+    common = each.groupBy("node").agg(F.count("*").alias("f"))
+    sets = each.join(common, "node").groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "node"))), lambda s: s["node"]).alias("nodes"))
+    timed = articles.where("id is not null and discovered_at is not null").groupBy(F.col("id").alias("article_id")).agg(F.min("discovered_at").alias("at"))
+    return sets.join(timed, "article_id")
+
+
+def _shared_enough(sets: DataFrame, first: DataFrame, held: DataFrame, least: float, least_shared: int, days: int) -> DataFrame:
+    """(article_id, at, bucket, story_id, value): stories that an article may join by nodes, as they are just before it.
+
+    first: (story_id, node, first) with the first article that brought the node. An article that joins has so many nodes of the story that one of its
+    rarest is among them, so only those look for stories, and only for stories of the same or the last stretch of ``days``.
+    """
+    n = F.size("nodes")
+    need = F.greatest(F.ceil(n * least - 1e-9).cast("int"), F.lit(least_shared))
+    asked = sets.where(n >= least_shared).select("article_id", "at", "bucket", F.explode(F.slice("nodes", F.lit(1), n - need + 1)).alias("node"))
+    spans = held.groupBy("story_id").agg(F.min("bucket").alias("b0"), (F.max("bucket") + 1).alias("b1"))
+    kept = first.join(spans, "story_id").select("story_id", "node", "first", F.explode(F.sequence("b0", "b1")).alias("bucket"))
+    met = asked.join(kept, ["node", "bucket"]).where(F.col("first") < F.struct("at", "article_id")).select("article_id", "story_id").distinct()
+    lists = first.groupBy("story_id").agg(F.collect_list(F.struct("node", "first")).alias("held"))  # no more than twice the nodes of its largest article
+    both = met.join(sets, "article_id").join(lists, "story_id")
+    own = F.struct("at", "article_id")
+    before = both.withColumn("before", F.transform(F.filter("held", lambda x: x["first"] < own), lambda x: x["node"])).drop("held")
+    shared = F.size(F.array_intersect("before", "nodes"))
+    value = shared / (F.size("before") + n - shared)
+    return before.where((shared >= least_shared) & (value >= least)).select("article_id", "at", "bucket", "story_id", value.alias("value"))
+
+
+def _still_open(found: DataFrame, held: DataFrame, days: int) -> DataFrame:
+    """Those of found whose story had its last article before them within so many days. The last one is a running maximum over a story's stretch, or the maximum of the stretch before."""
+    both = held.select("story_id", "bucket", "at", "article_id", F.lit(1).alias("member"), F.lit(None).cast("double").alias("value"))
+    both = both.unionByName(found.select("story_id", "bucket", "at", "article_id", F.lit(0).alias("member"), "value"))
+    # an article that asks stands before itself as a member
+    so_far = Window.partitionBy("story_id", "bucket").orderBy("at", "article_id", "member").rowsBetween(Window.unboundedPreceding, -1)
+    asked = both.withColumn("near", F.max(F.when(F.col("member") == 1, F.col("at"))).over(so_far)).where("member = 0")
+    earlier = held.groupBy("story_id", (F.col("bucket") + 1).alias("bucket")).agg(F.max("at").alias("before"))
+    last = F.coalesce("near", "before")
+    return asked.join(earlier, ["story_id", "bucket"], "left").where(last >= F.col("at") - F.expr(f"interval {int(days)} days"))
+
+
+def _running_means(rows: DataFrame) -> DataFrame:
+    """(article_id, story_id, running_mean): each story's rows stream by in order; the mean of a story is carried from row to row.
+
+    A row without an article_id tells what a story begins with (n0, mean0).
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        story, n, mean = None, 0, None
+        for frame in frames:
+            means, begun = [], frame["n0"].notna()
+            for s, score, n0, mean0 in zip(frame["story_id"].tolist(), frame["score"].tolist(), frame["n0"].tolist(), frame["mean0"].tolist(), strict=True):
+                if s != story:
+                    story, n, mean = s, 0, None
+                if pd.notna(n0):
+                    n, mean = int(n0), None if pd.isna(mean0) else mean0
+                else:
+                    n, mean = _mean_after(n, mean, score)
+                means.append(mean)
+            out = pd.DataFrame({"article_id": frame["article_id"], "story_id": frame["story_id"], "running_mean": pd.array(means, dtype="Float64")})[~begun]
+            yield out.astype({"article_id": "int64"})
+
+    order = F.expr("article_id is not null")
+    ordered = rows.repartition("story_id").sortWithinPartitions("story_id", order, "at", "article_id").select("article_id", "story_id", "score", "n0", "mean0")
+    return ordered.mapInPandas(run, "article_id long, story_id long, running_mean double")
+
+
+def assignments(articles: DataFrame, members: DataFrame, least: float = 0.5, least_shared: int = 2, days: int = 7, known: DataFrame | None = None) -> DataFrame:
+    """(article_id, at, story_id) of the greedy assignment, as replay() makes it, worked out by all articles at once.
+
+    An article's decision depends only on what earlier articles did. So a round lets every article decide by the
+    stories that the last round's decisions make of the articles before it, and begins with each on its own. What the first k articles decide is
+    final after k rounds at most, so where a round changes nothing, all is as in the replay; chains of decisions that change each other are short, and
+    rounds few. A round is joins and aggregations: a story's nodes with the article that brought each first, an inverted index
+    of nodes and stretches of ``days``, and a running maximum per story and stretch.
+
+    ``known`` are stories (story_id, nodes, last_at) of earlier articles, which these articles may go on with, even those that are a little late.
+    """
+    bucket = F.floor(F.datediff(F.to_date("at"), F.lit("1970-01-01")) / days).cast("int")
+    sets = cut_lineage(_rare_first(members, articles).withColumn("bucket", bucket))
+    own = sets.select("article_id", "at", "bucket", F.col("article_id").alias("story_id"))
+    held, before = own, None
+    if known is not None:
+        kind = dict(sets.dtypes)["at"]
+        lo = F.lit(sets.agg(F.min("at")).first()[0]).cast(kind)
+        open_ = cut_lineage(known.where(F.col("last_at") >= lo - F.expr(f"interval {int(days)} days")))
+        ago = F.struct(F.lit("0001-01-01").cast(kind).alias("at"), F.lit(-(1 << 63)).alias("article_id"))
+        before = open_.select("story_id", F.explode("nodes").alias("node"), ago.alias("first"))
+        # its last article, and one before all of these for those that come late
+        ends = open_.select("story_id", F.explode(F.array_distinct(F.array(F.col("last_at").cast(kind), F.least(F.col("last_at").cast(kind), lo)))).alias("at"))
+        ends = ends.select(F.lit(-(1 << 63)).alias("article_id"), "at", bucket.alias("bucket"), "story_id")
+    while True:
+        each = sets.select("article_id", "at", F.explode("nodes").alias("node")).join(held.select("article_id", "story_id"), "article_id")
+        brought = each.select("story_id", "node", F.struct("at", "article_id").alias("first"))
+        first = cut_lineage((brought if before is None else brought.union(before)).groupBy("story_id", "node").agg(F.min("first").alias("first")))
+        all_held = held if before is None else held.unionByName(ends)
+        found = _still_open(_shared_enough(sets, first, all_held, least, least_shared, days), all_held, days)
+        best = found.groupBy("article_id").agg(F.min_by("story_id", F.struct(-F.col("value"), "story_id")).alias("best"))
+        now = held.join(best, "article_id", "left").select("article_id", "at", "bucket", F.coalesce("best", "article_id").alias("story_id"), (F.coalesce("best", "article_id") != F.col("story_id")).alias("changed"))
+        now = cut_lineage(now)
+        held = now.drop("changed")
+        if now.where("changed").isEmpty():
+            return held.drop("bucket")
+
+
+def _with_means(assigned: DataFrame, articles: DataFrame, known: DataFrame | None) -> DataFrame:
+    scores = articles.groupBy(F.col("id").alias("article_id")).agg(F.min_by("sentiment_score", "discovered_at").alias("score"))
+    rows = assigned.join(scores, "article_id").select("article_id", "at", "story_id", "score", F.lit(None).cast("long").alias("n0"), F.lit(None).cast("double").alias("mean0"))
+    if known is not None:
+        begun = known.join(assigned.select("story_id").distinct(), "story_id", "left_semi")
+        rows = rows.unionByName(begun.select(F.lit(None).cast("long").alias("article_id"), F.col("last_at").alias("at"), "story_id", F.lit(None).cast("double").alias("score"), F.col("n").alias("n0"), F.col("mean").alias("mean0")))
+    return _running_means(rows)
+
+
 def story_assignment(articles: DataFrame, members: DataFrame, least: float = 0.5, least_shared: int = 2, days: int = 7) -> DataFrame:
-    """(article_id, story_id, running_mean): the greedy assignment, replayed per component of articles that share nodes.
+    """(article_id, story_id, running_mean) of articles (id, discovered_at, sentiment_score) with nodes (article_id, node).
 
-    A story's nodes always lie within one component, so components don't affect each
-    other and are replayed at once. Where a component is silent for longer than ``days``, no story can go on, so it is cut
-    there as well. The busiest stretch bounds the largest task: order within it matters, so it can't be split.
+    Articles without nodes, an id or a time are in no story. Repeated members count once, and a repeated article at its
+    earliest time. Empty tables give no rows.
     """
-    each = members.select("article_id", "node").distinct()
-    # a star per node: its articles hang on the smallest
-    hubs = each.groupBy("node").agg(F.min("article_id").alias("hub"))
-    links = each.join(hubs, "node").select("article_id", "hub")
-    comp = connected_components(links, "article_id", "hub").select(F.col("node").alias("article_id"), "component")
-    sets = each.groupBy("article_id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    rows = sets.join(articles.select(F.col("id").alias("article_id"), "discovered_at", "sentiment_score"), "article_id").join(comp, "article_id", "left")
-    rows = rows.withColumns({"component": F.coalesce("component", "article_id"), "day": F.to_date("discovered_at")})
-    # the days of a component are few; two that are further apart than days + 1 have a longer silence than days between them
-    order = Window.partitionBy("component").orderBy("day")
-    active = rows.select("component", "day").distinct().withColumn("gap", F.datediff("day", F.lag("day").over(order)))
-    stretches = active.select("component", "day", F.sum(F.when(F.col("gap") > days + 1, 1).otherwise(0)).over(order).alias("stretch"))
-    rows = rows.join(stretches, ["component", "day"]).drop("day")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = list(zip(pdf["article_id"], pdf["discovered_at"], pdf["nodes"], pdf["sentiment_score"], strict=True))
-        return pd.DataFrame(replay(items, least, least_shared, days), columns=["article_id", "story_id", "running_mean"])
-
-    return rows.groupBy("component", "stretch").applyInPandas(run, "article_id long, story_id long, running_mean double")
+    return _with_means(assignments(articles, members, least, least_shared, days), articles, None)
+
+
+def continued(articles: DataFrame, members: DataFrame, known: DataFrame, least: float = 0.5, least_shared: int = 2, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(assignment, stories) of new articles after known stories (story_id, nodes, last_at, n, mean): story_assignment() of the new ones, and the stories that they begin or change."""
+    assigned = cut_lineage(assignments(articles, members, least, least_shared, days, known))
+    means = cut_lineage(_with_means(assigned, articles, known))
+    last = assigned.join(means.select("article_id", "running_mean"), "article_id").groupBy("story_id").agg(F.max("at").alias("at"), F.count("*").alias("more"), F.max_by("running_mean", F.struct("at", "article_id")).alias("mean"))
+    brought = members.where("node is not null").join(assigned.select("article_id", "story_id"), "article_id").groupBy("story_id").agg(F.collect_set("node").alias("new"))
+    old = known.select("story_id", "nodes", "last_at", "n")
+    rows = last.join(brought, "story_id").join(old, "story_id", "left")
+    nodes = F.array_sort(F.array_union(F.coalesce("nodes", F.array().cast("array<string>")), F.col("new")))
+    return means, rows.select("story_id", nodes.alias("nodes"), F.greatest("at", "last_at").alias("last_at"), (F.coalesce("n", F.lit(0)) + F.col("more")).alias("n"), "mean")
 
 
 def story_recompute(story_articles: DataFrame, articles: DataFrame, members: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as t
 from brindle.functions.values import PREDICATES, SENTIMENT
 from brindle.functions.vectors import cosine, entity_similarity, hash_embedding, resolve_spans, span_iou
-from brindle.operators import alerts, analytics, evaluation, exports, graph, index, merge, pipeline, search, stories
+from brindle.operators import alerts, analytics, communities, evaluation, exports, graph, index, merge, pipeline, search, stories
 from brindle.operators.search import SearchRequest
 from brindle.plans.prelude import over
 from brindle.sources import feeds
@@ -295,12 +295,12 @@ def entity_components(v: Views) -> DataFrame:
 
 @query(None)
 def graph_communities(v: Views) -> DataFrame:
-    return graph.communities(v.edges)
+    return communities.communities(v.edges)
 
 
 @query(None)
 def cluster_summary(v: Views) -> DataFrame:
-    return graph.cluster_summary(graph.communities(v.edges), v.nodes)
+    return graph.cluster_summary(communities.communities(v.edges), v.nodes)
 
 
 @query(None)
@@ -342,6 +342,13 @@ def merge_apply_qid(v: Views) -> DataFrame:
     return merge.merge_edges(v.edges, merge.qid_mapping(_with_ids(v)), "max")
 
 
+@query(None)
+def merge_similarity_clusters(v: Views) -> DataFrame:
+    """Nodes after a merge of the clusters of similar names, with the aliases of all that went into them."""
+    nodes = v.nodes
+    return merge.merge_nodes(nodes, merge.clusters(merge.similar_pairs(nodes, 0.9), nodes)).withColumn("aliases", F.array_join("aliases", ","))
+
+
 @query(f", {_QID}, {_MOVED} SELECT least(a, b) AS a, greatest(a, b) AS b, sum(weight)::BIGINT AS weight FROM moved WHERE a <> b GROUP BY 1, 2")
 def merge_apply_similarity(v: Views) -> DataFrame:
     return merge.merge_edges(v.edges, merge.qid_mapping(_with_ids(v)), "sum")
@@ -419,6 +426,13 @@ def story_assignment(v: Views) -> DataFrame:
     return stories.story_assignment(v.articles, v.mentions_with_status.where("status not in ('failed', 'duplicate')"))
 
 
+@query(None)
+def story_backfill(v: Views) -> DataFrame:
+    """Every story of the assignment, recomputed from its members."""
+    found = stories.backfill(v.articles, v.mentions_with_status.where("status not in ('failed', 'duplicate')"))[1]
+    return found.withColumn("nodes", F.array_join("nodes", ","))
+
+
 @query(f""", {_QID} SELECT story_id, array_to_string(list_sort(list_distinct(list(coalesce(m.canonical_node, x.node)))), ',') AS nodes FROM story_articles JOIN mentions x USING (article_id) LEFT JOIN map m ON m.node = x.node GROUP BY 1""")
 def story_repoint(v: Views) -> DataFrame:
     sets = v.story_articles.join(v.mentions.select("article_id", "node"), "article_id").groupBy("story_id").agg(F.collect_set("node").alias("nodes"))
@@ -924,7 +938,7 @@ def semantic_search(v: Views) -> DataFrame:
 
 @query(None)
 def graph_modularity(v: Views) -> DataFrame:
-    return graph.modularity(v.edges, graph.communities(v.edges))
+    return graph.modularity(v.edges, graph.propagated(v.edges))
 
 
 @query("""SELECT source_id, link AS url, name AS title, discovered_at AS published, 'A & B' AS author, substr(text, 1, 1000) AS summary

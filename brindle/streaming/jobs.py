@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from brindle.operators import alerts, graph, stories
 from brindle.operators.pipeline import MOST_RETRIES
+from brindle.session import cut_lineage
+from brindle.sources.versions import Append, Buckets, Store, Version, bucket_of
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -81,25 +83,59 @@ def drained(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def recognition_stream(articles: DataFrame, recognise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of articles through recognition, nodes, edges, triples and stories, and on to analysed.
+#: Buckets of the graph's tables; a batch replaces those that its keys fall in.
+BUCKETS = 64
+
+
+def _merged(store: Store, base: Version, table: str, keys: tuple[str, ...], delta: DataFrame, merge: Callable[[DataFrame], DataFrame], buckets: int) -> tuple[Buckets, tuple[int, ...]]:
+    """A bucketed table with a batch's rows merged in: only the buckets of the batch's keys are read and replaced."""
+    touched = tuple(sorted(r[0] for r in delta.select(bucket_of(keys, buckets)).distinct().collect()))
+    rows = delta if table not in base.tables else store.read(table, base, touched).unionByName(delta)
+    return Buckets(merge(rows), keys, buckets, touched), touched
+
+
+def apply_recognised(store: Store, articles: DataFrame, recognise: Callable[[DataFrame], DataFrame], number: int, buckets: int = BUCKETS) -> Version:
+    """A batch of articles through recognition, nodes, edges, triples and stories, and on to analysed: one version of all tables.
 
-    ``recognise`` gives predictions as graph.intake() takes them. The batch's mentions and articles are written first, under the
-    batch's number, so that a batch that runs again replaces itself; all other tables are derived anew from what is written, and the
-    state of the articles is the last table to be written, so no article counts as analysed before the rest is there.
+    ``recognise`` gives predictions as graph.intake() takes them. Each batch adds what it contributes: forms of names, weights of edges and new members of
+    stories are merged with the stored rows of the same keys, in their buckets; texts and mentions of earlier batches aren't read. Batches are numbered
+    upwards, and one that is known to the newest version changes nothing. A batch that dies leaves the version before it as it is. An article comes in
+    one batch only.
     """
+    base = store.latest()
+    if number <= base.notes.get("batch", -1):
+        return base
+    batch = articles.dropDuplicates(["id"])
+    found = cut_lineage(graph.intake(recognise(batch)).join(batch.select(F.col("id").alias("article_id"), "discovered_at"), "article_id"))
+    forms = lambda df: df.groupBy("node", "canonical", "label", "text").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
+    new_forms = cut_lineage(graph.forms(found))
+    all_forms, touched = _merged(store, base, "forms", ("node",), new_forms, forms, buckets)
+    weights = lambda df: df.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    edges, _ = _merged(store, base, "edges", ("a", "b"), cut_lineage(graph.cooccurrence_edges(found)), weights, buckets)
+    states = "story_id long, nodes array<string>, last_at timestamp_ntz, n long, mean double"
+    known = store.read("stories", base) if "stories" in base.tables else store.spark.createDataFrame([], states)
+    members = found.select("article_id", "node")
+    assigned, stories_now = stories.continued(batch, members, known)
+    stories_now = cut_lineage(stories_now.select("story_id", "nodes", F.col("last_at").cast("timestamp_ntz").alias("last_at"), F.col("n").cast("long").alias("n"), "mean"))
+    story_buckets = tuple(sorted(r[0] for r in stories_now.select(bucket_of(("story_id",), buckets)).distinct().collect()))
+    kept = known if "stories" not in base.tables else store.read("stories", base, story_buckets).join(stories_now.select("story_id"), "story_id", "left_anti").select(*stories_now.columns)
+    changes = {
+        "mentions": Append(found),
+        "forms": all_forms,
+        "nodes": Buckets(graph.nodes_of(all_forms.rows), ("node",), buckets, touched),
+        "edges": edges,
+        "triples": Append(graph.relationship_triples(batch, found)),
+        "stories": Buckets(kept.unionByName(stories_now), ("story_id",), buckets, story_buckets),
+        "story_articles": Append(assigned),
+        "states": Append(batch.select("id", F.lit("analyzed").alias("status"))),
+    }
+    return store.commit(base, changes, batch=number)
+
+
+def recognition_stream(articles: DataFrame, recognise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """apply_recognised() of each batch of a stream, into a store of versions at ``path``; a batch that runs again adds nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        found = graph.intake(recognise(df)).join(df.select(F.col("id").alias("article_id"), "discovered_at"), "article_id")
-        found.write.mode("overwrite").parquet(f"{path}/mentions/batch={number}")
-        df.write.mode("overwrite").parquet(f"{path}/articles/batch={number}")
-        mentions = spark.read.parquet(f"{path}/mentions").drop("batch")
-        known = spark.read.parquet(f"{path}/articles").drop("batch")
-        graph.resolve_nodes(mentions).write.mode("overwrite").parquet(f"{path}/nodes")
-        graph.cooccurrence_edges(mentions).write.mode("overwrite").parquet(f"{path}/edges")
-        graph.relationship_triples(known, mentions).write.mode("overwrite").parquet(f"{path}/triples")
-        stories.story_assignment(known, mentions).write.mode("overwrite").parquet(f"{path}/stories")
-        df.select("id", F.lit("analyzed").alias("status")).write.mode("overwrite").parquet(f"{path}/states/batch={number}")
+        apply_recognised(Store(df.sparkSession, path), df, recognise, number)
 
     return articles.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

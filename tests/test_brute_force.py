@@ -13,6 +13,7 @@ from brindle.functions.values import ENTITY_LABELS, PREDICATES
 from brindle.operators import alerts, commands, evaluation, graph, merge, pipeline, search, stories
 from brindle.plans.registry import QUERIES
 from brindle.sources import feeds
+from brindle.sources.versions import Store
 from brindle.sources.views import NAME, Views
 from brindle.streaming import jobs
 
@@ -62,7 +63,7 @@ def test_communities_and_their_summary(spark):
     v = Views(spark, SF)
     rng = [("a", 6), ("b", 6), ("c", 5)]
     edges = [(f"{g}{i}", f"{g}{j}", 3) for g, n in rng for i in range(n) for j in range(i + 1, n)] + [("a0", "b0", 1), ("b1", "c1", 1), ("x", "y", 1)]
-    members = graph.communities(spark.createDataFrame(edges, "a string, b string, weight long"))
+    members = graph.propagated(spark.createDataFrame(edges, "a string, b string, weight long"))
     by = collections.defaultdict(set)
     for r in members.collect():
         by[r.community].add(r.node)
@@ -80,7 +81,7 @@ def test_communities_and_their_summary(spark):
     counts = {r.node: r.mention_count for r in nodes.collect()}
     assert [(r.size, r.heaviest) for r in rows] == [(len(by[r.community]), min(by[r.community], key=lambda n: (-counts[n], n))) for r in rows] and [r.size for r in rows] == sorted((r.size for r in rows), reverse=True)
     with pytest.raises(RuntimeError):
-        graph.communities(v.edges, most_rounds=1)
+        graph.propagated(v.edges, most_rounds=1)
 
 
 def split(text):
@@ -288,12 +289,12 @@ def test_recognition_as_one_batch(spark, tmp_path):
         made = F.explode(F.array(*[F.struct(F.lit(n).alias("text"), F.lit("person").alias("label"), F.lit(p).cast("long").alias("start"), F.lit(p + len(n)).cast("long").alias("stop"), F.lit(0.9).alias("score")) for n, p in (("Alpha", 0), ("Beta", 15))]))
         return df.select(F.col("id").alias("article_id"), "content", made.alias("m")).select("article_id", "content", "m.*")
 
-    for again in range(2):  # run anew, each batch replaces itself
+    for again in range(2):  # run anew, a batch adds nothing
         jobs.recognition_stream(jobs.stream_of(spark, str(tmp_path / "in"), a.schema), recognise, str(tmp_path / "out"), str(tmp_path / f"cp{again}")).awaitTermination()
-    out = lambda kind: spark.read.parquet(str(tmp_path / "out" / kind))
+    out = Store(spark, str(tmp_path / "out")).read
     assert {(r.node, r.mention_count) for r in out("nodes").collect()} == {("PER:alpha", 4), ("PER:beta", 4)}
     assert out("edges").first().weight == 4 and {r.predicate for r in out("triples").collect()} == {"met_with"}
-    assert out("triples").count() == 4 and {r.story_id for r in out("stories").collect()} == {0} and out("states").count() == 4
+    assert out("triples").count() == 4 and {r.story_id for r in out("story_articles").collect()} == {0} and out("states").count() == 4
 
 
 def test_stream_of_a_stage_and_sessions(spark, tmp_path):
