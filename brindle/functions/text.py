@@ -49,7 +49,9 @@ def normalized(text: Column) -> Column:
     letters = "".join(sorted(several))
     longer = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     expanded = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(longer[c], c)), "")
-    plain = F.when(plain.rlike(f"[{letters}]"), expanded).otherwise(plain)
+    # texts of ASCII have none of them, and of others deleting them tells
+    has = plain.rlike(r"[^\x00-\x7F]") & (F.length(F.translate(plain, letters, "")) < F.length(plain))
+    plain = F.when(has, expanded).otherwise(plain)
     out = F.regexp_replace(F.lower(F.translate(plain, source, target)), r"[\s\x1c-\x1f]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, "[^a-z ]", ""), " +", " "))
 

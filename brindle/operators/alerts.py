@@ -85,24 +85,34 @@ def _keyword_rows(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in pairs], pa.int64()), pa.array([ids[i] for _, i in pairs], pa.int64())], ["rule_id", "article_id"])
 
 
-def match(articles: DataFrame, rules: DataFrame, mentions: DataFrame, already: DataFrame | None = None) -> DataFrame:
+def match(articles: DataFrame, rules: DataFrame, mentions: DataFrame, already: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(rule_id, article_id, reason): every enabled rule with every article that meets all of its parts; pairs in ``already`` are left out.
 
     Rules with words find them through an automaton, in time that doesn't depend on the number of rules. Rules without words or entity meet articles, without their texts, by an equi-join on the language,
     rules without a language under a key that all articles have; words with wildcards take that way with texts. A row holds many rules, and a rule becomes a row only where it holds. Entity rules meet mentions by
     their node. Rules are sent to all tasks while they are counted to be few, and shuffled beyond that.
+    With ``texts`` (id, title, content, language) words are looked for in those, so that articles that come out of a join bring their scores only.
     """
     live = rules.where("enabled").withColumn("terms", terms(F.col("query"))).withColumn("reason", reason())
     small = live.limit(MOST_SENT + 1).count() <= MOST_SENT
     sent = F.broadcast if small else (lambda df: df)
     a = articles.select(F.col("id").alias("article_id"), F.lower("title").alias("title"), F.lower("content").alias("content"), "language", "sentiment_score")
-    wild = F.exists("terms", lambda t: t.rlike(WILD))
-    free = live.where("node is null")
-    plain = _keyword_matches(a, free.where((F.size("terms") > 0) & ~wild)).join(sent(live.select(F.col("id").alias("rule_id"), "reason")), "rule_id")
-    bare = _joined(a.withColumns({"title": F.lit(""), "content": F.lit("")}), free.where(F.size("terms") == 0), sent)
-    found = plain.select("rule_id", "article_id", "reason").union(bare).union(_joined(a, free.where(wild), sent))
+    slim = a.withColumns({"title": F.lit(""), "content": F.lit("")})
+    worded, wild = F.size("terms") > 0, F.exists("terms", lambda t: t.rlike(WILD))
+    free, entity = live.where("node is null"), live.where("node is not null")
+    told = live.select(F.col("id").alias("rule_id"), "reason", "min_sentiment")
+    if texts is None:
+        plain = _keyword_matches(a, free.where(worded & ~wild)).join(sent(told), "rule_id")
+    else:
+        lowered = texts.select(F.col("id").alias("article_id"), F.lower("title").alias("title"), F.lower("content").alias("content"), "language", F.lit(float("-inf")).alias("sentiment_score"))
+        plain = _keyword_matches(lowered, free.where(worded & ~wild)).join(sent(told), "rule_id").join(articles.select(F.col("id").alias("article_id"), "sentiment_score"), "article_id")
+        plain = plain.where(F.col("min_sentiment").isNull() | (F.col("sentiment_score") <= F.col("min_sentiment")))
+    found = plain.select("rule_id", "article_id", "reason").union(_joined(slim, free.where(~worded), sent))
+    some = live.agg(F.count_if(wild & F.col("node").isNull()).alias("wild"), F.count_if(worded & F.col("node").isNotNull()).alias("entity")).first()
+    if some["wild"]:
+        found = found.union(_joined(a, free.where(wild), sent))
     parts = F.struct("id", "terms", "languages", "min_sentiment", "match_in", "reason").alias("r")
-    named = mentions.select("node", "article_id").distinct().join(sent(live.where("node is not null").select("node", parts)), "node").join(a, "article_id")
+    named = mentions.select("node", "article_id").distinct().join(sent(entity.select("node", parts)), "node").join(a if some["entity"] else slim, "article_id")
     found = found.unionByName(named.where(_holds(F.col("r"))).select(F.col("r.id").alias("rule_id"), "article_id", "r.reason"))
     return found.join(already, ["rule_id", "article_id"], "left_anti") if already is not None else found
 
@@ -120,10 +130,10 @@ def _joined(a: DataFrame, rules: DataFrame, sent) -> DataFrame:
     return met.select("article_id", F.explode(F.filter("rules", _holds)).alias("r")).select(F.col("r.id").alias("rule_id"), "article_id", "r.reason")
 
 
-def scan(articles: DataFrame, rules: DataFrame, mentions: DataFrame, already: DataFrame, cursor: str | None, at: str = "discovered_at") -> DataFrame:
+def scan(articles: DataFrame, rules: DataFrame, mentions: DataFrame, already: DataFrame, cursor: str | None, at: str = "discovered_at", texts: DataFrame | None = None) -> DataFrame:
     """The same for articles past a cursor; those at the cursor itself are looked at again, which already known pairs make harmless."""
-    fresh = articles.where(F.col(at).isNull() | (F.col(at) >= F.lit(cursor).cast("timestamp_ntz"))) if cursor else articles
-    return match(fresh, rules, mentions, already)
+    fresh = lambda df: df.where(F.col(at).isNull() | (F.col(at) >= F.lit(cursor).cast("timestamp_ntz"))) if cursor else df
+    return match(fresh(articles), rules, mentions, already, None if texts is None else fresh(texts))
 
 
 def listed(found: DataFrame, articles: DataFrame, rules: DataFrame, sources: DataFrame, unread_only: bool = False, limit: int = 100) -> DataFrame:

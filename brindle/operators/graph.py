@@ -83,7 +83,7 @@ def cooccurrence_edges(mentions: DataFrame, key: str = "article_id") -> DataFram
     An article of many nodes is cut into blocks of NODES by hash; every pair of blocks is a key of its own, so
     that no task makes all pairs of a long article.
     """
-    each = mentions.select(key, "node").distinct()
+    each = cut_lineage(mentions.select(key, "node").distinct())  # read three times; the texts behind it once
     long = cut_lineage(each.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > NODES).select(key, F.ceil(F.col("n") / NODES).cast("int").alias("blocks")))
 
     short = each.join(long.select(key), key, "left_anti")

@@ -140,12 +140,24 @@ def normalized_query(q: str | None) -> str:
     return " ".join(re.sub(r"[^a-z\s]", "", " ".join(plain.split())).split())
 
 
-def search(articles: DataFrame, request: SearchRequest, sources: DataFrame | None = None, mentions: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
-    """All hits with their rank (0 without a query), not yet cut to a page."""
+def scored(texts: DataFrame, request: SearchRequest) -> DataFrame:
+    """Texts that have a request's words, with ``rank`` and without their contents; search() takes rows with a rank as found."""
     groups = query_groups(normalized_query(request.q))
-    base = with_tokens(articles) if groups else articles
-    hits = apply_filters(base, request, mentions, triples, groups)
-    hits = hits.withColumn("rank", F.bround(text_rank(F.col("tokens"), groups), 4) if groups else F.lit(0.0)).drop("tokens")
+    if not groups:
+        return texts.withColumn("rank", F.lit(0.0)).drop("content")
+    body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    # exploded out of an array of one, tokens are worked out once for filter and rank
+    rows = texts.select("*", F.explode(F.array(tokens(normalized(body)))).alias("tokens")).where(matches(F.col("tokens"), groups))
+    return rows.withColumn("rank", F.bround(text_rank(F.col("tokens"), groups), 4)).drop("tokens", "content")
+
+
+def search(articles: DataFrame, request: SearchRequest, sources: DataFrame | None = None, mentions: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
+    """All hits with their rank (0 without a query), not yet cut to a page. Articles that scored() has ranked aren't searched again."""
+    ranked = "rank" in articles.columns
+    groups = [] if ranked else query_groups(normalized_query(request.q))
+    hits = apply_filters(with_tokens(articles) if groups else articles, request, mentions, triples, groups)
+    if not ranked:
+        hits = hits.withColumn("rank", F.bround(text_rank(F.col("tokens"), groups), 4) if groups else F.lit(0.0)).drop("tokens")
     if sources is not None:
         hits = hits.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id", "left")
     return hits

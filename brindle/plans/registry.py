@@ -168,12 +168,13 @@ _TOKENS = """toks AS (SELECT *, list_filter(string_split(trim(regexp_replace(reg
 
 @query(f", {_TOKENS} SELECT id, title, round_even(list_sum(list_transform(range(1, len(list_filter(tokens, lambda x: x = 'license')) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685, 4) AS rank FROM toks WHERE list_contains(tokens, 'license')")
 def search_ranked(v: Views) -> DataFrame:
-    return search.search(v.articles, SearchRequest(q="license")).select("id", "title", "rank")
+    return search.search(v.found(SearchRequest(q="license")), SearchRequest(q="license")).select("id", "title", "rank")
 
 
 @query(f", {_TOKENS} SELECT id, title FROM toks WHERE (list_contains(tokens, 'that') AND list_contains(tokens, 'with')) OR (list_contains(tokens, 'que') AND list_contains(tokens, 'para'))")
 def search_match(v: Views) -> DataFrame:
-    return search.search(v.articles, SearchRequest(q="that with OR que para")).select("id", "title")
+    request = SearchRequest(q="that with OR que para")
+    return search.search(v.found(request), request).select("id", "title")
 
 
 @query("SELECT id, s.name AS source, language FROM visible JOIN (SELECT id AS sid, name FROM sources) s ON source_id = sid WHERE language IN ('en', 'de') AND sentiment_label IN ('pos', 'neutral') AND discovered_at >= TIMESTAMP '2024-01-05' AND discovered_at <= TIMESTAMP '2024-02-20'")
@@ -305,7 +306,7 @@ def cluster_summary(v: Views) -> DataFrame:
 
 @query(None)
 def relationship_triples(v: Views) -> DataFrame:
-    return graph.relationship_triples(v.articles, v.mentions)
+    return graph.relationship_triples(v.texts, v.mentions)
 
 
 # ---- merging ----
@@ -454,13 +455,13 @@ _ALERTS = """, hits AS (SELECT 1 AS rule_id, id AS article_id, 'keyword: license
 
 @query(_ALERTS + " SELECT rule_id::BIGINT AS rule_id, article_id, reason FROM hits")
 def alert_match(v: Views) -> DataFrame:
-    return alerts.match(v.articles, _rules(v), v.mentions)
+    return alerts.match(v.articles, _rules(v), v.mentions, texts=v.texts)
 
 
 @query(_ALERTS + " SELECT rule_id::BIGINT AS rule_id, article_id, reason FROM hits WHERE article_id IN (SELECT id FROM articles WHERE discovered_at >= TIMESTAMP '2024-01-15') AND rule_id <> 2")
 def alerts_incremental(v: Views) -> DataFrame:
-    known = alerts.match(v.articles, _rules(v).where("id = 2"), v.mentions).select("rule_id", "article_id")
-    return alerts.scan(v.articles, _rules(v), v.mentions, known, "2024-01-15 00:00:00")
+    known = alerts.match(v.articles, _rules(v).where("id = 2"), v.mentions, texts=v.texts).select("rule_id", "article_id")
+    return alerts.scan(v.articles, _rules(v), v.mentions, known, "2024-01-15 00:00:00", texts=v.texts)
 
 
 @query("SELECT id, duplicate_of_id FROM articles WHERE duplicate_of_id IS NOT NULL")
@@ -569,12 +570,12 @@ def hash_embeddings(v: Views) -> DataFrame:
 
 @query(None)
 def extract_stage(v: Views) -> DataFrame:
-    return pipeline.extract_stage(v.articles).select("id", "content_hash", "summary", "language", "word_count", "status")
+    return pipeline.extract_stage(v.texts).select("id", "content_hash", "summary", "language", "word_count", "status")
 
 
 @query(None)
 def analyze_stage(v: Views) -> DataFrame:
-    return pipeline.analyze_stage(v.articles.withColumn("summary", F.col("title"))).select("id", "language", "sentiment_score", "sentiment_label", "status")
+    return pipeline.analyze_stage(v.texts.withColumn("summary", F.col("title"))).select("id", "language", "sentiment_score", "sentiment_label", "status")
 
 
 # ---- pages and exports ----
@@ -816,7 +817,7 @@ def active_sources(v: Views) -> DataFrame:
 
 @query("SELECT source_id, count(*) AS n, count(*) FILTER (length(content) < 100) AS short, max(length(content)) AS longest FROM articles GROUP BY 1")
 def source_content_stats(v: Views) -> DataFrame:
-    return v.articles.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.length("content") < 100).alias("short"), F.max(F.length("content")).alias("longest"))
+    return v.texts.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.length("content") < 100).alias("short"), F.max(F.length("content")).alias("longest"))
 
 
 @query("""SELECT '{"total":' || count(*) || ',"format":"json","items":[' || string_agg('{"status":"' || status || '","n":' || n || '}', ',' ORDER BY status) || ']}' AS json FROM (SELECT status, count(*) AS n FROM articles GROUP BY 1)""")
@@ -842,7 +843,7 @@ def search_total(v: Views) -> DataFrame:
 @query(f", {_TOKENS} SELECT id, title, round_even(list_sum(list_transform(range(1, len(list_filter(tokens, lambda x: x = 'license')) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685, 4) AS rank FROM toks WHERE list_contains(tokens, 'license') ORDER BY rank DESC, id LIMIT 20 OFFSET 5")
 def search_page(v: Views) -> DataFrame:
     request = SearchRequest(q="license", limit=20, offset=5)
-    return search.page(search.search(v.articles, request), request).select("id", "title", "rank")
+    return search.page(search.search(v.found(request), request), request).select("id", "title", "rank")
 
 
 _RULES = "rules(id, name) AS (VALUES (1, 'words'), (2, 'bad news'), (3, 'name'))"
@@ -852,7 +853,7 @@ _RULES = "rules(id, name) AS (VALUES (1, 'words'), (2, 'bad news'), (3, 'name'))
   JOIN articles a ON a.id = h.article_id JOIN sources s ON s.id = a.source_id WHERE a.language <> 'en' ORDER BY a.discovered_at DESC NULLS FIRST, h.rule_id::BIGINT * 1000000000 + h.article_id LIMIT 100""")
 def alerts_list(v: Views) -> DataFrame:
     """The newest unread alerts; those of English articles count as read."""
-    found = alerts.match(v.articles, _rules(v), v.mentions)
+    found = alerts.match(v.articles, _rules(v), v.mentions, texts=v.texts)
     stored = found.join(v.texts.select(F.col("id").alias("article_id"), F.col("discovered_at").alias("created_at"), (F.col("language") == "en").alias("read")), "article_id")
     stored = stored.withColumn("id", F.col("rule_id") * 1_000_000_000 + F.col("article_id"))
     return alerts.listed(stored, v.articles, _rules(v), v.sources, unread_only=True).select("rule_id", "article_id", "reason", "rule", "title", "language", "sentiment_label", "source")

@@ -61,14 +61,24 @@ class Views:
 
     @cached_property
     def articles(self) -> DataFrame:
-        """texts with status and sentiment. What a query derives from contents or filters by them stands before the joins; only what it returns is shuffled."""
+        """texts with status and sentiment; whole contents go through the joins if a query reads them above. One that derives something from contents puts it on texts, and takes articles_of() that."""
+        return self.articles_of(self.texts)
+
+    def found(self, request) -> DataFrame:
+        """The articles with a request's words, with their rank and without contents: words are looked for before anything is joined."""
+        from brindle.operators.search import scored
+
+        return self.articles_of(scored(self.texts, request))
+
+    def articles_of(self, texts: DataFrame) -> DataFrame:
+        """Rows made of texts, with id and content_hash, and their status and sentiment."""
         labels = self.table("labels").select(
             F.col("doc_id").alias("id"),
             F.expr("CASE WHEN toxic = 1 THEN 'neg' WHEN quality = 1 THEN 'pos' WHEN quality = 0 THEN 'neutral' END").alias("sentiment_label"),
             F.expr("CASE WHEN toxic = 1 THEN -0.6D WHEN quality = 1 THEN 0.6D WHEN quality = 0 THEN 0.0D END").alias("sentiment_score"),
         )
         told = self.states.join(labels, "id", "left").withColumn("hash_key", F.coalesce("content_hash", F.lit(""))).drop("content_hash")
-        return self.texts.withColumn("hash_key", F.coalesce("content_hash", F.lit(""))).join(told, ["id", "hash_key"]).drop("hash_key")
+        return texts.withColumn("hash_key", F.coalesce("content_hash", F.lit(""))).join(told, ["id", "hash_key"]).drop("hash_key")
 
     @cached_property
     def visible(self) -> DataFrame:

@@ -243,13 +243,25 @@ def test_null_texts_stay(spark, tmp_path):
         assert QUERIES[name](spark, str(tmp_path)).count() >= (5 if name in ("normalize_text", "word_count", "extractive_summary") else 0)
 
 
-@pytest.mark.parametrize("name", ["word_count", "normalize_text", "tokenize", "sentiment_over_time", "status_counts", "cooccurrence_edges", "resolve_nodes"])
+SLIM = ["word_count", "normalize_text", "tokenize", "sentiment_over_time", "status_counts", "cooccurrence_edges", "search_ranked", "search_match", "search_page", "extract_stage", "analyze_stage", "source_content_stats", "alert_match", "alerts_list", "export_search"]
+
+
+def exchanged(df):
+    """The columns that each exchange of a plan gets."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [set(re.findall(r"(\w+)#\d+", columns)) for columns in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", plan)]
+
+
+@pytest.mark.parametrize("name", SLIM)
 def test_no_text_is_shuffled(spark, name):
-    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    for line in plan.splitlines():
-        if "Exchange" in line:
-            assert "content#" not in line and ("text#" not in line or name == "resolve_nodes")  # there it is the form of a name
-    assert ("Exchange" in plan) == (name not in ("word_count", "normalize_text", "tokenize"))
+    found = exchanged(QUERIES[name](spark, SF))
+    assert not any(columns & {"content", "tokens", "html"} for columns in found)
+    assert bool(found) == (name not in ("word_count", "normalize_text", "tokenize", "extract_stage", "analyze_stage"))
+
+
+def test_shuffled_texts_are_seen(spark):
+    texts = Views(spark, SF).texts
+    assert any("content" in columns for columns in exchanged(texts.repartition("id").select(F.length("content"))))
 
 
 def test_long_articles_are_cut_into_blocks(spark, monkeypatch):
