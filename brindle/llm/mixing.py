@@ -130,15 +130,25 @@ def poisson_replicas(docs: DataFrame, weights: dict[str, float] | None = None, t
     cut = many.withColumn(place, F.explode(F.arrays_zip(sums.alias("first"), blocks.alias("sizes")))).drop(counts)
     inner = F.arrays_zip(_sums_before(F.col(f"{place}.sizes"), F.col(f"{place}.first")).alias("first"), F.col(f"{place}.sizes").alias("size"))
     each = cut.withColumn(place, F.explode(inner)).where(F.col(f"{place}.size") > 0)
-    each = each.repartition(F.xxhash64(F.col(key), F.col(f"{place}.first"), F.monotonically_increasing_id()))
+    each = each.repartition(F.xxhash64(F.lit(f"part:{seed}"), F.col(key), F.col(f"{place}.first"), _row_hash(each, kept)))
     return exploded(few, zero, F.col("replicas")).unionByName(exploded(each, F.col(f"{place}.first"), F.col(f"{place}.size")))
 
 
+def _row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """A hash of a row's own values, maps aside, which can't be hashed."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return F.xxhash64(F.lit(0), *[F.col(c) for c in columns if "map<" not in kinds[c]])
+
+
 def shuffled(replicas: DataFrame, seed: int = SEED, key: str = "doc_id") -> DataFrame:
-    """The replicas dealt over all partitions and ordered within them by a hash of seed, key and replica; each is computed once."""
+    """The replicas dealt over all partitions and ordered within them by a hash of seed, key and replica, and of the row; each is computed once.
+
+    A place depends on the row alone, so a task that is run again after a lost executor sends its rows where they went before, in whatever order they reach it.
+    Rows that are equal in all columns share a place.
+    """
     place, tie = _own("place", replicas.columns), _own("tie", replicas.columns)
     at = F.xxhash64(F.lit(f"place:{seed}"), F.coalesce(F.col(key), F.lit(-1).cast("long")), F.col("replica"))
-    placed = replicas.withColumns({place: at, tie: F.monotonically_increasing_id()})  # the tie parts repeated rows
+    placed = replicas.withColumns({place: at, tie: _row_hash(replicas, replicas.columns)})
     return placed.repartition(F.col(place), F.col(tie)).sortWithinPartitions(place, tie).drop(place, tie)
 
 
