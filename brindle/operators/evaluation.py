@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import cut_lineage
+
 
 def prf(counts: DataFrame) -> DataFrame:
     """Precision, recall and F1 columns from tp, fp, fn; 0 where undefined."""
@@ -47,9 +49,56 @@ def relaxed_matches(gold: DataFrame, predicted: DataFrame, least: float = 0.5) -
     return rows.groupBy("id", "type").applyInPandas(run, f"id {dict(gold.dtypes)['id']}, type string, tp long, fp long, fn long")
 
 
+#: Parts into which a range of values is cut at a time, and values of a range that are put in order.
+PARTS, MOST_ORDERED = 1024, 10_000
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(by, share, value): interpolated percentiles of each group, by selecting ranks; no group's values are gathered.
+
+    The values of a group are counted in equal parts of their range; the part that holds a wanted rank is the next range, until it has few values
+    or only one different. Those few are put in order. A null group is a group. Nulls and values that aren't finite are left out; groups without others give no row.
+    """
+    base = rows.select(F.struct(F.col(by).alias("k")).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')")
+    per = base.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share")
+    at = F.col("share") * (F.col("n") - 1)
+    both = F.explode(F.array(F.floor(at), F.ceil(at))).alias("rank")
+    ranges = cut_lineage(per.select("*", wanted).select("*", both).select("g", "share", "n", F.col("rank").alias("all"), "rank", "lo", "hi", F.col("n").alias("c")).distinct())
+    while True:
+        wide = (F.col("c") > MOST_ORDERED) & (F.col("lo") < F.col("hi"))
+        open_ = ranges.where(wide)
+        if open_.isEmpty():
+            break
+        spans = cut_lineage(open_.select("g", "lo", "hi").distinct())
+        sent = F.broadcast(spans) if spans.limit(10_001).count() <= 10_000 else spans
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * PARTS), F.lit(PARTS - 1))  # halves don't overflow
+        counted = base.join(sent, "g").where("v between lo and hi").groupBy("g", "lo", "hi", part.alias("part"))
+        counted = counted.agg(F.count("*").alias("c"), F.min("v").alias("lo2"), F.max("v").alias("hi2"))
+        order = Window.partitionBy("g", "lo", "hi").orderBy("part")  # PARTS rows at most
+        counted = counted.withColumn("before", F.sum("c").over(order) - F.col("c"))
+        found = open_.drop("c").join(counted, ["g", "lo", "hi"]).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c")))
+        found = found.select("g", "share", "n", "all", (F.col("rank") - F.col("before")).alias("rank"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "c")
+        ranges = cut_lineage(ranges.where(~wide).unionByName(found))
+    single = ranges.where("lo = hi").select("g", "share", "n", "all", F.col("lo").alias("x"))
+    few = ranges.where("lo < hi")
+    spans = cut_lineage(few.select("g", "lo", "hi").distinct())
+    sent = F.broadcast(spans) if spans.limit(10_001).count() <= 10_000 else spans
+    place = F.row_number().over(Window.partitionBy("g", "lo", "hi").orderBy("v")) - 1  # MOST_ORDERED rows at most
+    ordered = base.join(sent, "g").where("v between lo and hi").withColumn("rank", place)
+    each = single.unionByName(few.join(ordered, ["g", "lo", "hi", "rank"]).select("g", "share", "n", "all", F.col("v").alias("x")))
+    pos = F.col("share") * (F.col("n") - 1)
+    low, high = F.max(F.when(F.col("all") == F.floor(pos), F.col("x"))), F.max(F.when(F.col("all") == F.ceil(pos), F.col("x")))
+    ends = each.groupBy("g", "share", "n").agg(low.alias("low"), high.alias("high"))
+    exact = F.when(F.floor(pos) == F.ceil(pos), F.col("low")).otherwise((F.ceil(pos) - pos) * F.col("low") + (pos - F.floor(pos)) * F.col("high"))
+    return ends.select(F.col("g.k").alias(by), "share", exact.alias("value"))
+
+
 def latency_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Interpolated median and 95th percentile, and the mean."""
-    return rows.groupBy(by).agg(*[F.round(x, 4).alias(n) for x, n in ((F.expr(f"percentile({value}, 0.5)"), "p50"), (F.expr(f"percentile({value}, 0.95)"), "p95"), (F.avg(value), "mean"))], F.count("*").alias("n"))
+    found = percentiles(rows, by, value, (0.5, 0.95)).groupBy(by).agg(*[F.round(F.max(F.when(F.col("share") == p, F.col("value"))), 4).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))])
+    all_ = rows.groupBy(by).agg(F.round(F.avg(value), 4).alias("mean"), F.count("*").alias("n"))
+    return all_.join(found.withColumnRenamed(by, "__by"), all_[by].eqNullSafe(F.col("__by")), "left").select(by, "p50", "p95", "mean", "n")
 
 
 def throughput(rows: DataFrame) -> DataFrame:

@@ -70,9 +70,10 @@ def positions(words: Column, word: str) -> Column:
 
 
 def text_rank(words: Column, groups: Sequence[Sequence[str]]) -> Column:
-    """One term or alternatives: the mean over terms of 0.1 * sum 1/j^2 over its places, by ZETA2.
-    Several terms in conjunction: places of different terms combine by nearness. With groups of both kinds
-    the terms are ranked as alternatives, an approximation."""
+    """The rank by the outermost operator of the query, as the database's ranking works: it looks at that operator only, and then at all different words.
+
+    Alternatives, of words or of conjunctions, and single words: the mean over the words of 0.1 * sum 1/j^2 over their places, by ZETA2. A
+    conjunction: places of different words combine by nearness."""
     terms = sorted({w for g in groups for w in g})
     if not terms:
         return F.lit(0.0)

@@ -201,3 +201,14 @@ def test_evaluation(spark):
     assert {r.replica_count: (r.mean, r.std, r.speedup) for r in t.collect()} == {1: (15.0, 5.0, 1.0), 2: (30.0, 0.0, 2.0)}
     m = evaluation.merge_shares(spark.createDataFrame([("s", "correct_merge"), ("s", "false_merge"), ("s", None)], "strategy string, label string")).first()
     assert (m.correct_merge, m.false_merge) == (50.0, 50.0)
+
+
+def test_rank_of_mixed_groups(spark):
+    """The outermost operator decides: alternatives are ranked by all of their words, whatever stands within them; hand values."""
+    a = spark.createDataFrame([(1, "", "alpha beta gamma"), (2, "", "alpha alpha beta"), (3, "", "gamma gamma"), (4, "", "alpha")], "id long, title string, content string")
+    a = a.selectExpr("*", "'analyzed' as status", "'en' as language", "timestamp_ntz'2024-01-01' as discovered_at")
+    hits = {r.id: r.rank for r in search.search(a, search.SearchRequest(q="alpha beta or gamma")).collect()}
+    once, twice = 0.1 / 1.64493406685, (0.1 + 0.1 / 4) / 1.64493406685
+    assert hits == {1: round(3 * once / 3, 4), 2: round((twice + once) / 3, 4), 3: round(twice / 3, 4)}
+    told = search.scored(a, search.SearchRequest(q="alpha beta or gamma"))
+    assert {r.id: r.rank for r in told.collect()} == hits and "content" not in told.columns
