@@ -13,7 +13,7 @@ from brindle.functions.vectors import cosine, entity_similarity, hash_embedding,
 from brindle.operators import alerts, analytics, communities, evaluation, exports, graph, index, merge, pipeline, search, stories
 from brindle.operators.search import SearchRequest
 from brindle.plans.prelude import over
-from brindle.sources import feeds
+from brindle.sources import density, feeds
 from brindle.sources.views import NAME, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -791,8 +791,10 @@ def embed_stage(v: Views) -> DataFrame:
 
 @query(None)
 def html_extraction_cascade(v: Views) -> DataFrame:
-    """Linked data where a page has it, else its elements."""
-    return feeds.extraction_cascade(feeds.primary_extract(v.table("pages")), feeds.html_extract(v.table("pages")))
+    """The densest text of a page, else its linked data, else its elements."""
+    pages = v.table("pages")
+    linked = feeds.extraction_cascade(feeds.primary_extract(pages), feeds.html_extract(pages))
+    return feeds.extraction_cascade(density.density_extract(pages), linked)
 
 
 _LANGUAGES = ("de", "en", "es", "fr")  # all that the given tables have; the operator finds them by itself
