@@ -130,7 +130,8 @@ def poisson_replicas(docs: DataFrame, weights: dict[str, float] | None = None, t
     cut = many.withColumn(place, F.explode(F.arrays_zip(sums.alias("first"), blocks.alias("sizes")))).drop(counts)
     inner = F.arrays_zip(_sums_before(F.col(f"{place}.sizes"), F.col(f"{place}.first")).alias("first"), F.col(f"{place}.sizes").alias("size"))
     each = cut.withColumn(place, F.explode(inner)).where(F.col(f"{place}.size") > 0)
-    each = each.repartition(F.xxhash64(F.lit(f"part:{seed}"), F.col(key), F.col(f"{place}.first"), _row_hash(each, kept)))
+    dealt = _own("part_dealt", each.columns)  # as a column: a partitioning by an expression over all columns takes the planner very long
+    each = each.withColumn(dealt, F.xxhash64(F.lit(f"part:{seed}"), F.col(key), F.col(f"{place}.first"), _row_hash(each, kept))).repartition(dealt).drop(dealt)
     return exploded(few, zero, F.col("replicas")).unionByName(exploded(each, F.col(f"{place}.first"), F.col(f"{place}.size")))
 
 
