@@ -7,8 +7,8 @@ all ways, each word is decoded, and codewords are ordered by the certainty of th
 The index of the nearest codewords of two segments is the key under which a text is stored in
 a table; it asks for its PROBES likeliest pairs of codewords. Texts with the same set meet in
 one row. Sets that meet under a key, whose sizes allow the similarity, and whose first 64 bits are within FAR bits, are candidates, and
-both sets are compared in full. At first each set is compared with the smallest of each key that it is stored
-under, and sets that this brings together are never paired again, so that a dense group doesn't give a row per pair. Of pairs at a similarity of exactly 0.8 the tables lose about one in a hundred
+both sets are compared in full. At first each set is compared with the smallest of a key that it is stored
+under, table by table, and sets that this brings together are never paired again: a dense group has grown together after a table or two, and gives about a row for each of its members. Of pairs at a similarity of exactly 0.8 the tables lose about one in a hundred
 (tests/llm/test_near_copies_recall.py), of more similar ones fewer.
 """
 
@@ -30,6 +30,8 @@ from brindle.session import cut_lineage, table_path
 
 WIDTH, LEAST = 5, 0.8
 TABLES, PROBES, CHASE, SEED = 12, 8, 5, 42
+#: Tables whose keys are looked at together, one after the other.
+STEPS = (1, 1, 2, 3, 5)
 #: Bits in which the first 64 of two sets at the least similarity don't differ (10 are expected, with a deviation of 3).
 FAR = 25
 BITS = 23 * 2 * TABLES
@@ -116,35 +118,35 @@ def golay_keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, copy, n, margins) of each text; the empty set has no margins."""
+    """(doc_id, text_hash, copy, n, fp, margins) of each text: fp are the first 64 bits of its fingerprint; the empty set has neither."""
     shingles = Shingles()
-    names = ["doc_id", "text_hash", "copy", "n", "margins"]
+    names = ["doc_id", "text_hash", "copy", "n", "fp", "margins"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x) for x in text_bytes(batch.column(2))]
-        columns = [batch.column(0).cast(pa.int64()), batch.column(1), pa.array([copy_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([margins(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+        certain = [margins(x) if len(x) else None for x in sets]
+        fps = [None if m is None else int(np.packbits(m[:64] > 0, bitorder="little").view("<i8")[0]) for m in certain]
+        columns = [batch.column(0).cast(pa.int64()), batch.column(1), pa.array([copy_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps, pa.int64()), pa.array([None if m is None else m.tobytes() for m in certain], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names)
 
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return map_arrow(hashed, work, "doc_id long, text_hash long, copy long, n long, margins binary")
+    return map_arrow(hashed, work, "doc_id long, text_hash long, copy long, n long, fp long, margins binary")
 
 
 def _keyed(nodes: DataFrame, asks: bool) -> DataFrame:
-    """(key, copy, n, fp, root): the keys under which a set is stored, or those that it asks for; fp are its first 64 bits."""
-    names = ["key", "copy", "n", "fp", "root"]
+    """(key, copy, root) of nodes (copy, root, margins): the keys under which a set is stored, or those that it asks for."""
+    names = ["key", "copy", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, DECODED):
-            m = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, BITS)
+            m = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, BITS)
             if not len(m):
                 continue
             keys = golay_keys(m)[asks].reshape(len(m), -1)
-            fps = np.packbits(m[:, :64] > 0, axis=1, bitorder="little").view("<i8")[:, 0]
-            rows = np.repeat(np.arange(len(m)), keys.shape[1])
-            copy, n, root = (batch.column(i).take(pa.array(rows)) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), copy, n, pa.array(fps[rows], pa.int64()), root], names)
+            rows = pa.array(np.repeat(np.arange(len(m)), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), *(batch.column(i).take(rows) for i in range(2))], names)
 
-    given = nodes.where("margins is not null").select("copy", "n", "root", "margins")
+    given = nodes.where("margins is not null").select("copy", "root", "margins")
     return given.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
@@ -159,13 +161,17 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), work, "copy long, shingles binary").dropDuplicates(["copy"])
 
 
-def _met(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b) with a < b, each once: sets of different roots that meet under a key, whose sizes allow the similarity, and whose fingerprints are near."""
-    one, two = left.toDF("key", "a", "na", "fa", "ra"), right.toDF("key", "b", "nb", "fb", "rb")
+def _met(left: DataFrame, right: DataFrame, facts: DataFrame, least: float) -> DataFrame:
+    """(a, b) with a < b, each once: sets of different roots that meet under a key, whose sizes allow the similarity, and whose fingerprints are near.
+
+    Rows of keys carry no more than needed to leave out pairs of one root; facts (copy, n, fp) are fetched for the pairs that are left.
+    """
+    one, two = left.toDF("key", "a", "ra"), right.toDF("key", "b", "rb")
+    met = one.join(two, "key").where(F.col("ra") != F.col("rb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = met.join(facts.toDF("a", "na", "fa"), "a").join(facts.toDF("b", "nb", "fb"), "b")
     fair = (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
-    met = one.join(two, "key").where((F.col("ra") != F.col("rb")) & fair & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return both.where(fair & near).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
@@ -190,7 +196,8 @@ def _grouped(docs: DataFrame, least: float) -> DataFrame:
     _signed(docs).write.option("compression", "zstd").parquet(path)
     signed = spark.read.parquet(path)
     few = cut_lineage(signed.groupBy("copy").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_hash")).alias("any")))
-    nodes = signed.groupBy("copy").agg(F.first("n").alias("n"), F.first("margins").alias("margins"))
+    nodes = signed.groupBy("copy").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("margins").alias("margins"))
+    facts = cut_lineage(signed.where("fp is not null").select("copy", "n", "fp").dropDuplicates(["copy"]))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of some pairs that are as similar as that; one text of each set is looked at."""
@@ -200,12 +207,21 @@ def _grouped(docs: DataFrame, least: float) -> DataFrame:
         keys = ["key_id", "key_null", "key_hash"]
         return verified(pairs, cut_lineage(_sets(texts.join(asked, keys, "left_semi"))), least)
 
-    stored = cut_lineage(_keyed(nodes.withColumn("root", F.col("copy")), False))
-    smallest = stored.groupBy("key").agg(F.min(F.struct("copy", "n", "fp", "root")).alias("s")).select("key", "s.*")
-    linked = cut_lineage(similar(cut_lineage(_met(stored, smallest, least))))
-    so_far = connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("known"))
-    rooted = lambda df: df.join(so_far, "copy", "left").withColumn("root", F.coalesce("known", "copy")).drop("known")
-    others = _met(rooted(stored.drop("root")).select("key", "copy", "n", "fp", "root"), _keyed(rooted(nodes), True), least)
+    stored = cut_lineage(_keyed(nodes.withColumn("root", F.col("copy")), False).select("key", "copy"))
+    none = spark.createDataFrame([], "copy long, known long")
+
+    def rooted(df: DataFrame, so_far: DataFrame) -> DataFrame:
+        return df.join(so_far, "copy", "left").withColumn("root", F.coalesce("known", "copy")).drop("known")
+
+    linked, so_far, table = None, none, 0
+    for step in STEPS:
+        some = rooted(stored.where((F.col("key") >= F.lit(table << 24)) & (F.col("key") < F.lit((table + step) << 24))), so_far).select("key", "copy", "root")
+        table += step
+        smallest = some.groupBy("key").agg(F.min(F.struct("copy", "root")).alias("s")).select("key", "s.*")
+        found = similar(cut_lineage(_met(some, smallest, facts, least)))
+        linked = cut_lineage(found if linked is None else linked.union(found))
+        so_far = cut_lineage(connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("known")))
+    others = _met(rooted(stored, so_far).select("key", "copy", "root"), _keyed(rooted(nodes, so_far), True), facts, least)
     linked = linked.union(similar(cut_lineage(others)))
     roots = connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("root"))
     placed = few.select("copy", "first").join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
