@@ -267,6 +267,28 @@ def listed(stories: DataFrame, language: str | None = None, sentiment: str | Non
     return out
 
 
+def named_node(nodes: DataFrame, name: str) -> str | None:
+    """The most mentioned node whose canonical name holds a text, in any case; % and _ stand for letters as in LIKE."""
+    row = nodes.where(F.col("canonical").ilike(f"%{name}%")).orderBy(F.desc("mention_count"), "node").select("node").first()
+    return None if row is None else row[0]
+
+
+def answer(stories: DataFrame, story_articles: DataFrame, summaries: DataFrame, nodes: DataFrame, language: str | None = None, sentiment: str | None = None, entity: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest stories (1 to 200) with their first six nodes as (canonical, label) and their longest summary (article_id, summary); by an entity's name, those that its node is in."""
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be 1 to 200")
+    rows = listed(stories, language, sentiment)
+    if entity:
+        node = named_node(nodes, entity)
+        rows = rows.limit(0) if node is None else listing_node(rows, node)
+    top = cut_lineage(rows.orderBy(F.desc("last_seen"), "story_id").limit(limit))  # of stories that are answered
+    each = first_nodes(top).select("story_id", F.posexplode("nodes").alias("pos", "node")).join(nodes.select("node", "canonical", "label"), "node")
+    named = each.groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical", "label"))).alias("entities"))
+    named = named.withColumn("entities", F.transform("entities", lambda x: F.struct(x["canonical"].alias("canonical"), x["label"].alias("label"))))
+    longest = longest_summary(story_articles.join(top.select("story_id"), "story_id", "left_semi"), summaries)
+    return top.join(named, "story_id", "left").join(longest, "story_id", "left")
+
+
 def backfill(articles: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Assignments of all articles, and the stories recomputed from them."""
     assigned = story_assignment(articles, members)

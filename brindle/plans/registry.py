@@ -972,6 +972,21 @@ def stories_overlapping(v: Views) -> DataFrame:
     return stories.listed(sets, nodes=[_top_node(v), "PER:nobody"]).select("story_id")
 
 
+@query(_DOMINANT + _SETS + """, f AS (SELECT story_id, max(discovered_at) AS last_seen FROM story_articles s JOIN articles a ON a.id = s.article_id GROUP BY 1),
+one AS (SELECT node FROM nodes WHERE canonical ILIKE '%ENT%' ORDER BY mention_count DESC, node LIMIT 1),
+hits AS (SELECT story_id, last_seen, nodes FROM sets JOIN f USING (story_id) WHERE list_contains(nodes, (SELECT node FROM one)) ORDER BY last_seen DESC, story_id LIMIT 50),
+tops AS (SELECT story_id, array_to_string(list(n.canonical || '/' || n.label ORDER BY pos), ',') AS entities FROM (SELECT story_id, unnest(nodes[1:6]) AS node, unnest(range(len(nodes[1:6]))) AS pos FROM hits) h JOIN nodes n USING (node) GROUP BY 1),
+longest AS (SELECT story_id, arg_min(title, (-length(title), article_id)) AS summary FROM story_articles s JOIN articles a ON a.id = s.article_id GROUP BY 1)
+SELECT story_id, last_seen, dominant_language, dominant_sentiment, entities, summary FROM hits LEFT JOIN tops USING (story_id) LEFT JOIN longest USING (story_id) LEFT JOIN dom USING (story_id)""")
+def stories_answer(v: Views) -> DataFrame:
+    """The newest stories of the most mentioned node with a text in its name."""
+    rows = stories.story_recompute(v.story_articles, v.articles, v.mentions)
+    summaries = v.articles.select(F.col("id").alias("article_id"), F.col("title").alias("summary"))
+    found = stories.answer(rows, v.story_articles, summaries, v.nodes, entity="ENT")
+    told = F.array_join(F.transform("entities", lambda e: F.concat(e["canonical"], F.lit("/"), e["label"])), ",")
+    return found.select("story_id", "last_seen", "dominant_language", "dominant_sentiment", told.alias("entities"), "summary")
+
+
 _BY_LABEL = "bl AS (SELECT *, 'Q' || substr(canonical, 1, 4) AS q FROM nodes), bb AS (SELECT q, label, arg_min(node, (-mention_count, node)) AS canonical_node FROM bl GROUP BY 1, 2 HAVING count(*) > 1)"
 
 

@@ -66,3 +66,17 @@ def test_backfill_is_the_assignment_recomputed(spark):
     for r in QUERIES["story_assignment"](spark, SF).collect():
         sizes[r.story_id] = sizes.get(r.story_id, 0) + 1
     assert {s: r.member_count for s, r in found.items()} == sizes
+
+
+def test_answers_by_name(spark):
+    nodes = spark.createDataFrame([("PER:anna", "anna", "PER", 1), ("LOC:annaba", "annaba", "LOC", 9)], "node string, canonical string, label string, mention_count long")
+    day = pd.Timestamp("2024-03-01").to_pydatetime()
+    rows = spark.createDataFrame([(1, "en", "pos", ["LOC:annaba"], day), (2, "en", None, ["PER:anna"], day)], "story_id long, dominant_language string, dominant_sentiment string, nodes array<string>, last_seen timestamp_ntz")
+    held = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "story_id long, article_id long")
+    summaries = spark.createDataFrame([(5, "a"), (6, "longer"), (7, None)], "article_id long, summary string")
+    assert stories.named_node(nodes, "ANNA") == "LOC:annaba" and stories.named_node(nodes, "zzz") is None
+    got = stories.answer(rows, held, summaries, nodes, entity="Anna").collect()
+    assert [(r.story_id, r.summary, [tuple(e) for e in r.entities]) for r in got] == [(1, "longer", [("annaba", "LOC")])]
+    assert stories.answer(rows, held, summaries, nodes, entity="zzz").count() == 0 and stories.answer(rows, held, summaries, nodes, "EN", "POS").count() == 1
+    with pytest.raises(ValueError):
+        stories.answer(rows, held, summaries, nodes, limit=0)
