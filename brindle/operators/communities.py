@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import cut_lineage
+from brindle.session import next_round
 
 #: A level ends where all moves together promise, or a round of moves that can't get in each other's way brings, less modularity than this.
 LEAST_GAIN = 1e-3
@@ -61,7 +61,7 @@ def _apart(step: DataFrame) -> DataFrame:
 def _level(both: DataFrame, total: float, most_rounds: int) -> tuple[DataFrame, float, int]:
     """(labels, modularity, communities) of a level's nodes, each of which begins on its own."""
     sums = both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("degree"), F.sum(F.when(F.col("x") == F.col("y"), F.col("w")).otherwise(0.0)).alias("loop"))
-    best = cut_lineage(_step(both, sums.select("node", F.col("node").alias("community"), "degree", "loop"), total))
+    best = next_round(_step(both, sums.select("node", F.col("node").alias("community"), "degree", "loop"), total))
     quality, communities, hope = _quality(best, total)
     careful = False
     for round_ in range(most_rounds):
@@ -69,7 +69,7 @@ def _level(both: DataFrame, total: float, most_rounds: int) -> tuple[DataFrame,
             break
         asked = _apart(best) if careful else best.withColumn("moves", (F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(2)) == 0) & (F.col("gain") > 1e-9))
         moved = F.when(F.col("moves"), F.col("best")).otherwise(F.col("community"))
-        step = cut_lineage(_step(both, asked.select("node", moved.alias("community"), "degree", "loop"), total))
+        step = next_round(_step(both, asked.select("node", moved.alias("community"), "degree", "loop"), total))
         now, n, ahead = _quality(step, total)
         if now - quality < LEAST_GAIN:  # moves got in each other's way, or little is left
             if careful:
@@ -83,7 +83,7 @@ def _level(both: DataFrame, total: float, most_rounds: int) -> tuple[DataFrame,
 def _contracted(both: DataFrame, labels: DataFrame) -> DataFrame:
     ends = [labels.select(F.col("node").alias(c), F.col("community").alias(f"{c}_in")) for c in "xy"]
     inner = both.join(ends[0], "x").join(ends[1], "y")
-    return cut_lineage(inner.groupBy(F.col("x_in").alias("x"), F.col("y_in").alias("y")).agg(F.sum("w").alias("w")))
+    return next_round(inner.groupBy(F.col("x_in").alias("x"), F.col("y_in").alias("y")).agg(F.sum("w").alias("w")))
 
 
 def levels(edges: DataFrame, most_levels: int = 10, most_rounds: int = 12) -> DataFrame:
@@ -94,7 +94,7 @@ def levels(edges: DataFrame, most_levels: int = 10, most_rounds: int = 12) -> Da
     """
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("weight") > 0)).select("a", "b", F.col("weight").cast("double").alias("w"))
     one = e.union(e.select("b", "a", "w")).toDF("x", "y", "w")  # a loop is there twice, as both of its ends count
-    both = cut_lineage(one.groupBy("x", "y").agg(F.sum("w").alias("w")))
+    both = next_round(one.groupBy("x", "y").agg(F.sum("w").alias("w")))
     total = both.agg(F.sum("w")).first()[0]
     whole = both.select(F.col("x").alias("node")).distinct()
     if not total:
@@ -106,7 +106,7 @@ def levels(edges: DataFrame, most_levels: int = 10, most_rounds: int = 12) -> Da
             break
         quality = now
         at = labels if at is None else at.join(labels.toDF("community", "next"), "community").select("node", F.col("next").alias("community"))
-        at = cut_lineage(at)
+        at = next_round(at)
         names = at.groupBy("community").agg(F.min("node").alias("name"))
         out.append(at.join(names, "community").select("node", F.lit(level).alias("level"), F.col("name").alias("community")))
         if communities == 1:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import cut_lineage
+from brindle.session import next_round
 
 
 def _toward_minimum(pairs: DataFrame) -> DataFrame:
@@ -32,13 +32,13 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    e = cut_lineage(e)
+    e = next_round(e)
     for _ in range(max_rounds):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
         large = _toward_minimum(both).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = _toward_minimum(large.select(F.col("u").alias("x"), F.col("v").alias("y")))
         small = down.select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("x", "m"))
-        e = cut_lineage(small.distinct())
+        e = next_round(small.distinct())
         # a star forest: every node has one parent, and no parent has one
         marks = e.select(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("v", F.lit(0), F.lit(1)))
         rough = marks.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below = 1 and above = 1)")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, next_round
 
 
 def prf(counts: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share")
     at = F.col("share") * (F.col("n") - 1)
     both = F.explode(F.array(F.floor(at), F.ceil(at))).alias("rank")
-    ranges = cut_lineage(per.select("*", wanted).select("*", both).select("g", "share", "n", F.col("rank").alias("all"), "rank", "lo", "hi", F.col("n").alias("c")).distinct())
+    ranges = next_round(per.select("*", wanted).select("*", both).select("g", "share", "n", F.col("rank").alias("all"), "rank", "lo", "hi", F.col("n").alias("c")).distinct())
     while True:
         wide = (F.col("c") > MOST_ORDERED) & (F.col("lo") < F.col("hi"))
         open_ = ranges.where(wide)
@@ -79,7 +79,7 @@ def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]
         counted = counted.withColumn("before", F.sum("c").over(order) - F.col("c"))
         found = open_.drop("c").join(counted, ["g", "lo", "hi"]).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c")))
         found = found.select("g", "share", "n", "all", (F.col("rank") - F.col("before")).alias("rank"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "c")
-        ranges = cut_lineage(ranges.where(~wide).unionByName(found))
+        ranges = next_round(ranges.where(~wide).unionByName(found))
     single = ranges.where("lo = hi").select("g", "share", "n", "all", F.col("lo").alias("x"))
     few = ranges.where("lo < hi")
     spans = cut_lineage(few.select("g", "lo", "hi").distinct())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions.text import normalized, placed_sentences, predicate
 from brindle.functions.values import ENTITY_LABELS
 from brindle.operators.components import connected_components
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, next_round
 
 
 def found_mentions(articles: DataFrame, name: str) -> DataFrame:
@@ -206,7 +206,7 @@ def propagated(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         sums = votes.groupBy("node", "community").agg(F.sum("w").alias("w"))
         best = sums.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("best"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == round_ % 2
-        new = cut_lineage(labels.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (turn & (F.col("best") != F.col("community"))).alias("moved")))
+        new = next_round(labels.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (turn & (F.col("best") != F.col("community"))).alias("moved")))
         still = still + 1 if new.where("moved").isEmpty() else 0
         labels = new.drop("moved")
         if still == 2:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, next_round
 
 
 def jaccard(a: str, b: str) -> F.Column:
@@ -153,7 +153,7 @@ def assignments(articles: DataFrame, members: DataFrame, least: float = 0.5, lea
     ``known`` are stories (story_id, nodes, last_at) of earlier articles, which these articles may go on with, even those that are a little late.
     """
     bucket = F.floor(F.datediff(F.to_date("at"), F.lit("1970-01-01")) / days).cast("int")
-    sets = cut_lineage(_rare_first(members, articles).withColumn("bucket", bucket))
+    sets = next_round(_rare_first(members, articles).withColumn("bucket", bucket))
     own = sets.select("article_id", "at", "bucket", F.col("article_id").alias("story_id"))
     held, before = own, None
     if known is not None:
@@ -168,12 +168,12 @@ def assignments(articles: DataFrame, members: DataFrame, least: float = 0.5, lea
     while True:
         each = sets.select("article_id", "at", F.explode("nodes").alias("node")).join(held.select("article_id", "story_id"), "article_id")
         brought = each.select("story_id", "node", F.struct("at", "article_id").alias("first"))
-        first = cut_lineage((brought if before is None else brought.union(before)).groupBy("story_id", "node").agg(F.min("first").alias("first")))
+        first = next_round((brought if before is None else brought.union(before)).groupBy("story_id", "node").agg(F.min("first").alias("first")))
         all_held = held if before is None else held.unionByName(ends)
         found = _still_open(_shared_enough(sets, first, all_held, least, least_shared, days), all_held, days)
         best = found.groupBy("article_id").agg(F.min_by("story_id", F.struct(-F.col("value"), "story_id")).alias("best"))
         now = held.join(best, "article_id", "left").select("article_id", "at", "bucket", F.coalesce("best", "article_id").alias("story_id"), (F.coalesce("best", "article_id") != F.col("story_id")).alias("changed"))
-        now = cut_lineage(now)
+        now = next_round(now)
         held = now.drop("changed")
         if now.where("changed").isEmpty():
             return held.drop("bucket")

@@ -61,3 +61,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def next_round(df: DataFrame) -> DataFrame:
+    """A written table in place of a checkpoint, for loops.
+
+    A checkpoint keeps the size that its plan was estimated to have, and joins multiply such estimates: after some rounds they
+    are numbers of thousands of digits, and planning takes longer than the work. The size of a written table is that of its files.
+    """
+    path = table_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
