@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from brindle.llm._common import map_arrow, small_batches, text_bytes
 from brindle.llm.simhash import first_of_each_group, golay
 from brindle.operators.components import connected_components
-from brindle.session import cut_lineage, table_path
+from brindle.session import cut_lineage, next_round, table_path
 
 WIDTH, LEAST = 5, 0.8
 TABLES, PROBES, CHASE, SEED = 12, 8, 5, 42
@@ -218,11 +218,11 @@ def _grouped(docs: DataFrame, least: float) -> DataFrame:
         some = rooted(stored.where((F.col("key") >= F.lit(table << 24)) & (F.col("key") < F.lit((table + step) << 24))), so_far).select("key", "copy", "root")
         table += step
         smallest = some.groupBy("key").agg(F.min(F.struct("copy", "root")).alias("s")).select("key", "s.*")
-        found = similar(cut_lineage(_met(some, smallest, facts, least)))
-        linked = cut_lineage(found if linked is None else linked.union(found))
-        so_far = cut_lineage(connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("known")))
+        found = similar(next_round(_met(some, smallest, facts, least)))
+        linked = next_round(found if linked is None else linked.union(found))
+        so_far = next_round(connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("known")))
     others = _met(rooted(stored, so_far).select("key", "copy", "root"), _keyed(rooted(nodes, so_far), True), facts, least)
-    linked = linked.union(similar(cut_lineage(others)))
+    linked = linked.union(similar(next_round(others)))
     roots = connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("root"))
     placed = few.select("copy", "first").join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
