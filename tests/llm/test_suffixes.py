@@ -101,3 +101,10 @@ def test_query_is_brute_force(spark):
         want[d.doc_id] = (len(x), len(x) - len(kept), len(spans) // 2, hashlib.sha256(kept).hexdigest())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op12_suffix_dedup(spark, sf).collect()}
     assert got == want and any(v[1] for v in want.values())
+
+
+def test_steps_are_written_tables(spark):
+    """The plan of the result doesn't grow with the steps that cut a group."""
+    df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(invented(5))], DOC)
+    plan = suffixes.repeated_spans(df, 48, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") < 6 and "LogicalRDD" not in plan
