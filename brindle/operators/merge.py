@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from math import ceil
+from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, comb
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +14,15 @@ from brindle.functions.text import base_form, normalized
 from brindle.functions.values import TYPE_HINTS
 from brindle.functions.vectors import entity_similarity
 from brindle.operators.components import connected_components
+from brindle.session import next_round
 
 
 #: How far apart the lengths of similar names are, and the letters of a gram: of two names that are long enough, and of others.
 APART, LONG_GRAM, GRAM = 2, 3, 2
+#: Ways to leave letters out of a name beyond which names of its length meet by grams, and the greatest length that is tried.
+WAYS, LONGEST = 2000, 64
+#: Names that a task lists, and candidates whose similarity a task works out.
+NAMES, PAIRS = 10_000, 50_000
 
 
 def _need(n: int, other: int, least: float, q: int) -> int | None:
@@ -33,6 +41,50 @@ def _long_from(least: float, most: int = 400) -> int:
     return max(met, default=0) + APART + 1
 
 
+def _matched(n: int, other: int, least: float) -> int:
+    """Letters in matching blocks that two names of these lengths have at least if their ratio reaches ``least``."""
+    return ceil((n + other) * least / 2 - 1e-9)
+
+
+def _short_to(least: float) -> int:
+    """The greatest length up to which names have WAYS or fewer ways to keep the letters that match in one of a near length."""
+    for n in range(1, LONGEST + 1):
+        if any(comb(n, m) > WAYS for o in range(max(n - APART, 1), n + APART + 1) if (m := _matched(n, o, least)) <= min(n, o)):
+            return n - 1
+    return LONGEST
+
+
+def _by_kept_letters(names: DataFrame, least: float) -> DataFrame:
+    """(a, b, ca, cb) of names (node, canonical, label, first, len) that have as many letters in common, in their order, as matching blocks would need.
+
+    Each name is listed under what is left of it when the letters that needn't match are left out, once for each length that a name of
+    its label and first letter has. The names of a key all have those letters in common, so that hardly more pairs are made than are similar.
+    """
+    lengths = names.select("label", "first", F.col("len").alias("other")).distinct()
+    near = lengths.withColumn("len", F.explode(F.sequence(F.col("other") - APART, F.col("other") + APART)))
+    asked = names.join(F.broadcast(near.groupBy("label", "first", "len").agg(F.collect_set("other").alias("others"))), ["label", "first", "len"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for *own, size, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for o in others:
+                    if (m := _matched(size, o, least)) <= min(size, o):
+                        rows += [(*own, size, o, k) for k in {"".join(c) for c in combinations(own[1], m)}]
+                if len(rows) > PAIRS:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+                    rows = []
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+    schema = pa.schema([(c, pa.string()) for c in ("node", "canonical", "label", "first")] + [("len", pa.int32()), ("other", pa.int32()), ("kept", pa.string())])
+    asked = asked.select("node", "canonical", "label", "first", "len", "others").repartition(ceil(names.count() / NAMES) or 1, "node")
+    each = asked.mapInArrow(run, "node string, canonical string, label string, first string, len int, other int, kept string")
+    key = F.xxhash64("label", "first", F.least("len", "other"), F.greatest("len", "other"), "kept").alias("key")
+    each = next_round(each.select("node", "canonical", "label", "first", "len", "other", key))
+    side = lambda p, l, o: each.select(F.col("node").alias(p), F.col("canonical").alias(f"c{p}"), F.col("len").alias(l), F.col("other").alias(o), "key", "label", "first")
+    return side("a", "la", "lb").join(side("b", "lb", "la"), ["key", "label", "first", "la", "lb"]).where("a < b").select("a", "b", "ca", "cb").distinct()
+
+
 def _shared_grams(n: Column, other: Column, least: float, q: int) -> Column:
     """_need() of columns."""
     matched = F.ceil((n + other) * least / 2 - 1e-9)
@@ -73,29 +125,40 @@ def _by_gram(names: DataFrame, least: float, q: int, fits: Column) -> DataFrame:
 def candidate_pairs(nodes: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, ca, cb) with a < b: nodes of one label and first letter, lengths at most APART apart, that may be similar, each pair once.
 
-    An inverted index of grams: similar names share so many that one of the rarest of each is among them, and near the same
-    place. So only rare grams are listed, and a hot one is split like any skewed join key; pairs that meet must share enough grams of all. Names that may be too short to share
-    a long gram meet by short ones, those so short that no gram need be shared meet by length, and
-    names whose base is the other's base or the other itself meet by that.
+    Names meet by the letters that they have in common. Names so long that there are too many ways to leave letters out
+    meet by an inverted index of grams: similar names share so many that one of the rarest of each is among them, and near the same
+    place; a hot one is split like any skewed join key, and pairs that meet must share enough grams of all. Names
+    whose base is the other's base or the other itself meet by that.
     """
     kept = nodes.where("canonical <> ''").select("node", "canonical", "label", F.substring("canonical", 1, 1).alias("first"), F.length("canonical").alias("len"))
-    n, both = F.col("len"), F.least("la", "lb")
-    long = _long_from(least)
-    found = _by_gram(kept.where(n >= long), least, LONG_GRAM, both >= long).union(_by_gram(kept.where(n < long + APART), least, GRAM, both < long))
-    # lengths of which one may share no gram with the other
-    needs = [_shared_grams(n, n + d, least, GRAM) for d in range(-APART, APART + 1)]
-    short = kept.withColumn("need", F.least(*needs)).where((F.col("need") <= 0) & (n < long + APART)).drop("need")
-    others = _near_lengths(kept).select(F.col("node").alias("b"), F.col("canonical").alias("cb"), "label", "first", F.col("len").alias("lb"), F.col("len2").alias("la"))
-    met = short.toDF("a", "ca", "label", "first", "la").join(others, ["label", "first", "la"]).where("a <> b")
-    ordered = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"))
+    kept = next_round(kept)
+    n, both, either = F.col("len"), F.least("la", "lb"), F.greatest("la", "lb")
+    short, long = _short_to(least), _long_from(least)
+    found = _by_kept_letters(kept.where(n <= short), least)
+    more = kept.where(n > short - APART)
+    if not kept.where(n > short).isEmpty():
+        far = either > short
+        found = found.union(_by_gram(more.where(n >= long), least, LONG_GRAM, far & (both >= long))).union(_by_gram(more.where(n < long + APART), least, GRAM, far & (both < long)))
+        # lengths of which one may share no gram with the other
+        needs = [_shared_grams(n, n + d, least, GRAM) for d in range(-APART, APART + 1)]
+        gramless = more.withColumn("need", F.least(*needs)).where((F.col("need") <= 0) & (n < long + APART)).drop("need")
+        others = _near_lengths(more).select(F.col("node").alias("b"), F.col("canonical").alias("cb"), "label", "first", F.col("len").alias("lb"), F.col("len2").alias("la"))
+        met = gramless.toDF("a", "ca", "label", "first", "la").join(others, ["label", "first", "la"]).where((F.col("a") != F.col("b")) & far)
+        found = found.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb")))
     based = kept.withColumn("key", F.explode(F.array_distinct(F.array("canonical", base_form(F.col("canonical")))))).where("key <> ''")
     bases = based.toDF("a", "ca", "label", "first", "la", "key").join(based.toDF("b", "cb", "label", "first", "lb", "key"), ["label", "first", "key"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= APART))
-    return found.union(ordered).union(bases.select("a", "b", "ca", "cb")).distinct()
+    return found.union(bases.select("a", "b", "ca", "cb")).distinct()
+
+
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs of names in parts of about PAIRS, written once: they are few bytes, which would be put together in few tasks, and much work."""
+    pairs = next_round(pairs)
+    return pairs.repartition(ceil(pairs.count() / PAIRS) or 1)
 
 
 def similar_pairs(nodes: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, similarity) with a < b: same label and first letter, lengths at most 2 apart, similar names; the ratio of candidates is worked out through Arrow."""
-    pairs = candidate_pairs(nodes, least).withColumn("similarity", entity_similarity("ca", "cb", least))
+    pairs = spread(candidate_pairs(nodes, least)).withColumn("similarity", entity_similarity("ca", "cb", least))
     return pairs.where(F.col("similarity") >= least).select("a", "b", F.bround("similarity", 4).alias("similarity"))
 
 

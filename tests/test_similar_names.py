@@ -56,6 +56,24 @@ def test_names_of_one_letter_and_length_meet_few(spark):
     assert merge.candidate_pairs(nodes, 0.9).count() < n
 
 
+def test_lower_ratios_meet_few_too(spark):
+    """At 0.8 names of ten letters share so few grams that those pair thousands that aren't similar."""
+    n = 5_000
+    rows = spark.range(n).select(F.concat(F.lit("a"), F.substring(F.md5(F.col("id").cast("string")), 1, 9)).alias("canonical"))
+    nodes = rows.select(F.concat(F.lit("PER:"), "canonical").alias("node"), "canonical", F.lit("PER").alias("label"))
+    assert merge.candidate_pairs(nodes, 0.8).count() < n / 5
+
+
+def test_long_names_and_longer_ones_meet(spark):
+    """Names on both sides of the length up to which ways to leave letters out are few."""
+    n = merge._short_to(0.8)
+    x = "abcdefghijklmnopqrstuvwxyz"[:n]
+    rows = [(y, y, "PER") for y in (x, x[:-2], x + "z", x + "zy", x[:5] + "q" + x[5:], x[:4] + x[5:])]
+    got = {(r.a, r.b) for r in merge.similar_pairs(spark.createDataFrame(rows, "node string, canonical string, label string")).collect()}
+    want = {(a, b) for a, *_ in rows for b, *_ in rows if a < b and abs(len(a) - len(b)) <= 2 and similarity({y: y for y, *_ in rows}, a, b) >= 0.8}
+    assert got == want and len(want) > 5
+
+
 def test_merge_over_clusters(spark):
     found = {r.node: r for r in QUERIES["merge_similarity_clusters"](spark, "/root/testdata/sf0.001").collect()}
     from brindle.sources.views import Views
