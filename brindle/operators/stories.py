@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,23 +17,45 @@ def jaccard(a: str, b: str) -> F.Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
+#: Members of a set that meet others in one row, and pairs of members that a task makes.
+MEMBERS, MADE = 1000, 1_000_000
+
+
 def jaccard_pairs(members: DataFrame, least: float = 0.5, key: str = "article_id", item: str = "node") -> DataFrame:
     """(a, b, shared, jaccard) of all pairs a < b that reach the threshold.
 
-    Sets are ordered from rare to common items. Two sets that reach it share one of the
+    Equal sets meet once. Sets are ordered from rare to common items. Two sets that reach it share one of the
     first n - ceil(least * n) + 1 items of either, so that only these are joined and
-    items that very many have seldom meet.
+    items that very many have seldom meet. Pairs of sets are then written out to their members, in blocks: the result
+    grows with the square of a set's members, but no task makes more than its share of it.
     """
-    each = members.select(F.col(key).alias("k"), F.col(item).alias("x")).distinct()
-    common = each.groupBy("x").agg(F.count("*").alias("f"))
-    sets = each.join(common, "x").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda s: s["x"]).alias("s"))
+    each = members.select(F.col(key).alias("k"), F.col(item).alias("x")).where("k is not null and x is not null").distinct()
+    whole = each.groupBy("k").agg(F.array_sort(F.collect_set("x")).alias("s"))
+    whole = next_round(whole.select("k", "s", F.sha2(F.to_json("s"), 256).alias("sid")))
+    per = next_round(whole.groupBy("sid").agg(F.count("*").alias("n"), F.first("s").alias("s")))
+    items = per.select("sid", F.explode("s").alias("x"))
+    common = items.groupBy("x").agg(F.count("*").alias("f"))
+    sets = items.join(common, "x").groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda s: s["x"]).alias("s"))
     n = F.size("s")
-    first = sets.select("k", "s", F.explode(F.slice("s", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("x"))
-    met = first.toDF("a", "sa", "x").join(first.toDF("b", "sb", "x"), "x").where("a < b")
-    fair = (F.size("sa") >= F.size("sb") * least - 1e-9) & (F.size("sb") >= F.size("sa") * least - 1e-9)
-    rows = met.where(fair).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
+    first = sets.select("sid", "s", F.explode(F.slice("s", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("x"))
+    met = first.toDF("i", "si", "x").join(first.toDF("j", "sj", "x"), "x").where("i < j")
+    fair = (F.size("si") >= F.size("sj") * least - 1e-9) & (F.size("sj") >= F.size("si") * least - 1e-9)
+    rows = met.where(fair).select("i", "j", F.size(F.array_intersect("si", "sj")).cast("long").alias("shared"), (F.size("si") + F.size("sj")).alias("both"))
+    same = per.where("n > 1").select(F.col("sid").alias("i"), F.col("sid").alias("j"), F.size("s").cast("long").alias("shared"), (2 * F.size("s")).alias("both"))
     value = F.col("shared") / (F.col("both") - F.col("shared"))
-    return rows.where(value >= least).distinct().select("a", "b", "shared", F.bround(value, 4).alias("jaccard"))
+    pairs = rows.union(same).where(value >= least).distinct().select("i", "j", "shared", F.bround(value, 4).alias("jaccard"))
+
+    parts = per.select("sid", F.ceil(F.col("n") / MEMBERS).alias("parts"))
+    block = F.pmod(F.xxhash64("k"), F.col("parts"))
+    blocks = next_round(whole.join(parts, "sid").groupBy("sid", block.alias("block")).agg(F.collect_list("k").alias("ks")))
+    side = lambda c: blocks.toDF(c, f"{c}_block", f"{c}_ks")
+    # equal sets: each block with those not before it
+    met = next_round(pairs.join(side("i"), "i").join(side("j"), "j").where("i <> j or i_block <= j_block"))
+    made = met.agg(F.sum(F.size("i_ks").cast("long") * F.size("j_ks"))).first()[0] or 0
+    dealt = met.repartition(ceil(made / MADE) or 1, "i", "i_block", "j", "j_block")
+    one = dealt.select("i", "j", "i_block", "j_block", "shared", "jaccard", "j_ks", F.explode("i_ks").alias("a"))
+    two = one.select("i", "j", "i_block", "j_block", "shared", "jaccard", "a", F.explode("j_ks").alias("b")).where("i <> j or i_block <> j_block or a < b")
+    return two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "jaccard")
 
 
 def _mean_after(n: int, mean: float | None, score: float | None) -> tuple[int, float | None]:
