@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +37,51 @@ def relaxed_matches(gold: DataFrame, predicted: DataFrame, least: float = 0.5) -
     """(id, type, tp, fp, fn): within an article and type, predictions take the free gold span of greatest overlap above ``least``, in order."""
     rows = gold.select("id", "type", "start", "stop", F.lit(1).alias("is_gold")).union(predicted.select("id", "type", "start", "stop", F.lit(0)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf[pdf.is_gold == 1].sort_values(["start", "stop"])[["start", "stop"]].values.tolist()
-        p = pdf[pdf.is_gold == 0].sort_values(["start", "stop"])[["start", "stop"]].values.tolist()
-        free, tp = set(range(len(g))), 0
+    def matched(g: list[tuple], p: list[tuple]) -> int:
+        free, starts, tp = [True] * len(g), [a for a, _ in g], 0
+        longest = max((b - a for a, b in g), default=0)
         for a, b in p:
-            iou = [((min(b, g[i][1]) - max(a, g[i][0])) / (max(b, g[i][1]) - min(a, g[i][0])), -i) for i in free]
+            # only spans that overlap reach a share of 0 or more
+            near = range(bisect_left(starts, a - longest), bisect_left(starts, b)) if least >= 0 else range(len(g))
+            iou = [((min(b, g[i][1]) - max(a, g[i][0])) / (max(b, g[i][1]) - min(a, g[i][0])), -i) for i in near if free[i]]
             top = max(iou, default=(0.0, 0))
             if top[0] > least:
-                free.discard(-top[1])
+                free[-top[1]] = False
                 tp += 1
-        return pd.DataFrame({"id": [pdf.id.iloc[0]], "type": [pdf.type.iloc[0]], "tp": [tp], "fp": [len(p) - tp], "fn": [len(g) - tp]})
-
-    return rows.groupBy("id", "type").applyInPandas(run, f"id {dict(gold.dtypes)['id']}, type string, tp long, fp long, fn long")
+        return tp
+
+    kinds = dict(gold.dtypes)
+    names = ["id", "type", "tp", "fp", "fn"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, spans, out = None, ([], []), []
+
+        def closed() -> tuple:
+            tp = matched(spans[1], spans[0])
+            return *at, tp, len(spans[0]) - tp, len(spans[1]) - tp
+
+        def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+            types = [batch.schema.field("id").type, pa.string()] + [pa.int64()] * 3
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate(types)], names)
+
+        batch = None
+        for batch in batches:
+            for id_, kind, a, b, is_gold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (id_, kind):
+                    if at is not None:
+                        out.append(closed())
+                    at, spans = (id_, kind), ([], [])
+                spans[is_gold].append((a, b))
+            if out:
+                yield made(batch)
+                out = []
+        if at is not None:
+            out.append(closed())
+            yield made(batch)
+
+    # many small groups in one pass over a sorted part: a call for each of them takes far longer than their work
+    parts = rows.repartition("id", "type").sortWithinPartitions("id", "type", "start", "stop")
+    return parts.mapInArrow(run, f"id {kinds['id']}, type string, tp long, fp long, fn long")
 
 
 #: Parts into which a range of values is cut at a time, and values of a range that are put in order.
