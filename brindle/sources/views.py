@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import content_hash
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, next_round
 
 #: Capitalised words of four letters or more stand for names.
 NAME = "[A-Z][a-z]{3,}"
@@ -92,10 +92,10 @@ class Views:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        """article_id, text, label, start, stop, confidence, canonical, node: each surface form once per article, found in one pass over texts."""
+        """article_id, text, label, start, stop, confidence, canonical, node: each surface form once per article, found in one pass over texts and written, as nodes, edges and triples all read them."""
         from brindle.operators.graph import found_mentions
 
-        return found_mentions(self.texts, NAME)
+        return next_round(found_mentions(self.texts, NAME))
 
     @cached_property
     def mentions_with_status(self) -> DataFrame:
