@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,27 +82,37 @@ def resolve_nodes(mentions: DataFrame) -> DataFrame:
     return nodes_of(forms(mentions))
 
 
-#: Nodes of an article that meet the others in one row of a join.
-NODES = 256
+#: Nodes of an article that meet others in one row, and pairs of nodes that a task counts.
+NODES, PAIRS = 256, 1_000_000
 
 
 def cooccurrence_edges(mentions: DataFrame, key: str = "article_id") -> DataFrame:
     """(a, b, weight): pairs of nodes a < b and the number of articles that have both.
 
-    An article of many nodes is cut into blocks of NODES by hash; every pair of blocks is a key of its own, so
-    that no task makes all pairs of a long article.
+    An article's nodes are ordered from rare to common, and each node is sent the list of those after it, so that a pair is counted
+    where its rarer node is: a shuffled row holds many pairs, and a common node gets few lists. The lists are dealt to so many tasks
+    that each counts about PAIRS pairs. An article of many nodes is cut into blocks of NODES; every pair of
+    blocks is a row of its own, so that no task makes all pairs of a long article.
     """
-    each = cut_lineage(mentions.select(key, "node").distinct())  # read three times; the texts behind it once
-    long = cut_lineage(each.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > NODES).select(key, F.ceil(F.col("n") / NODES).cast("int").alias("blocks")))
-
-    short = each.join(long.select(key), key, "left_anti")
-    pairs = short.select(key, F.col("node").alias("a")).join(short.select(key, F.col("node").alias("b")), key).where("a < b").select("a", "b")
-    if not long.isEmpty():
-        cut = each.join(long, key).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-        left = cut.select(key, F.col("node").alias("a"), F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-        right = cut.select(key, F.col("node").alias("b"), F.col("own").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-        pairs = pairs.union(left.join(right, [key, "x", "y"]).where("a < b").select("a", "b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight"))
+    each = next_round(mentions.select(key, "node").where(F.col(key).isNotNull() & F.col("node").isNotNull()).distinct())  # read twice; the texts behind it once
+    common = each.groupBy("node").agg(F.count("*").alias("f"))
+    rare_first = F.transform(F.array_sort(F.collect_list(F.struct("f", "node"))), lambda x: x["node"])
+    sets = next_round(each.join(common, "node").groupBy(key).agg(rare_first.alias("nodes")).select("nodes", F.size("nodes").alias("n")).where("n > 1"))
+    made, most = sets.agg(F.sum(F.col("n").cast("long") * (F.col("n") - 1) / 2), F.max("n")).first()
+
+    after = F.slice("nodes", F.col("i") + 2, F.col("n"))
+    lists = sets.where(F.col("n") <= NODES).select("nodes", "n", F.posexplode("nodes").alias("i", "own")).where("i < n - 1").select("own", after.alias("others"))
+    if (most or 0) > NODES:
+        last = F.ceil(F.col("n") / NODES).cast("int") - 1
+        cut = sets.where(F.col("n") > NODES).select("nodes", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("x"))
+        cut = cut.select("nodes", "x", F.explode(F.sequence("x", "last")).alias("y"))
+        block = lambda c: F.slice("nodes", F.col(c) * NODES + 1, F.lit(NODES))
+        cut = cut.select("x", "y", block("x").alias("xs"), block("y").alias("nodes")).repartition(ceil(made / PAIRS), F.xxhash64("xs"), "x", "y")
+        spread = cut.select("x", "y", "nodes", F.size("nodes").alias("n"), F.posexplode("xs").alias("i", "own"))
+        lists = lists.union(spread.select("own", F.when(F.col("x") == F.col("y"), after).otherwise(F.col("nodes")).alias("others")))
+    dealt = lists.repartition(ceil((made or 0) / PAIRS) or 1, "own").select("own", F.explode("others").alias("other"))
+    weights = dealt.groupBy("own", "other").agg(F.count("*").alias("weight"))
+    return weights.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "weight")
 
 
 def relationship_triples(articles: DataFrame, mentions: DataFrame) -> DataFrame:
