@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from brindle.functions.text import normalized, placed_sentences, predicate
 from brindle.functions.values import ENTITY_LABELS
 from brindle.operators.components import connected_components
+from brindle.operators.ends import few, numbered_ends, with_labels
 from brindle.session import cut_lineage, next_round
 
 
@@ -217,19 +218,26 @@ def propagated(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for ever. It ends when no label changes, and raises RuntimeError if that takes more rounds than allowed. Cheaper and
     coarser than communities.communities(), which raises modularity.
     """
-    both = cut_lineage(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).toDF("x", "y", "w"))
-    labels = cut_lineage(both.select(F.col("x").alias("node")).distinct().withColumn("community", F.col("node")))
-    still = 0
+    both, names = numbered_ends(edges.select("a", "b", F.col("weight").alias("w")))
+    labels = names.select("node", F.col("node").alias("community"))
+    still, small = 0, few(names)
     for round_ in range(2 * most_rounds):
-        votes = both.join(labels, both["y"] == labels["node"]).select(F.col("x").alias("node"), "community", "w").union(labels.select("node", "community", F.lit(1)))
-        sums = votes.groupBy("node", "community").agg(F.sum("w").alias("w"))
-        best = sums.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("best"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == round_ % 2
-        new = next_round(labels.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (turn & (F.col("best") != F.col("community"))).alias("moved")))
+        # only those whose turn it is ask; their votes are added up where their edges lie
+        turn = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == round_ % 2  # noqa: E731, B023
+        asked = with_labels(both.where(turn("x")), labels.select(F.col("node").alias("y"), "community"), "y", small)
+        votes = asked.groupBy(F.col("x").alias("node"), "community").agg(F.sum("w").alias("w"))
+        own = labels.toDF("node", "own").where(turn("node"))
+        best = F.min_by("community", F.struct(-(F.col("w") + F.when(F.col("community") == F.col("own"), 1).otherwise(0)), "community"))
+        there = with_labels(votes, own, "node", small).groupBy("node").agg(best.alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("w"))).alias("w_own"), F.max("w").alias("most"))
+        new = labels.join(there, "node", "left")
+        # its own label has one vote, also where no neighbour has it
+        lone = F.col("w_own").isNull() & ((F.col("most") < 1) | ((F.col("most") == 1) & (F.col("community") < F.col("best"))))
+        best = F.when(lone, F.col("community")).otherwise(F.coalesce("best", "community"))
+        new = next_round(new.select("node", best.alias("community"), (best != F.col("community")).alias("moved")))
         still = still + 1 if new.where("moved").isEmpty() else 0
         labels = new.drop("moved")
         if still == 2:
-            return labels
+            return labels.join(names, "node").select(F.col("name").alias("node"), "community").join(names.toDF("community", "least"), "community").select("node", F.col("least").alias("community"))
     raise RuntimeError(f"communities didn't settle in {most_rounds} rounds")
 
 

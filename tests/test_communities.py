@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import communities, graph
+from brindle.operators import communities, ends, graph
 
 EDGES = "a string, b string, weight long"
 
@@ -96,3 +96,31 @@ def test_odd_edges(spark):
     assert found == {"a": "a", "b": "a", "c": "c"}
     assert communities.communities(spark.createDataFrame([], EDGES)).count() == 0
     assert communities.numbered(communities.communities(spark.createDataFrame([], EDGES))).count() == 0
+
+
+def test_rounds_shuffle_no_edges(spark):
+    edges = spark.createDataFrame(planted(4, 3, 9, 0.7, 0.1), EDGES)
+    both, names = ends.numbered_ends(edges.select("a", "b", F.col("weight").alias("w")))
+    assert [r.name for r in names.orderBy("node").collect()] == sorted({n for e in edges.collect() for n in e[:2]})
+    assert {(r.x < r.y, r.n) for r in both.groupBy((F.col("x") < F.col("y")).alias("up"), "x", "y").agg(F.count("*").alias("n")).collect()} == {(True, 1), (False, 1)}
+    labels = names.select("node", F.col("node").alias("community"))
+    votes = ends.with_labels(both, labels.toDF("y", "community"), "y", True).groupBy("x", "community").agg(F.sum("w"))
+    assert "hashpartitioning(x" not in votes._jdf.queryExecution().executedPlan().toString()
+    # beyond the bound of a broadcast the sums are the same
+    want = {tuple(r) for r in votes.collect()}
+    shuffled = ends.with_labels(both, labels.toDF("y", "community"), "y", False).groupBy("x", "community").agg(F.sum("w"))
+    assert {tuple(r) for r in shuffled.collect()} == want
+
+
+def test_propagation_is_the_plain_one(spark):
+    edges = planted(6, 3, 7, 0.5, 0.1)
+    got = {r.node: r.community for r in graph.propagated(spark.createDataFrame(edges, EDGES)).collect()}
+    near = defaultdict(lambda: defaultdict(int))
+    for a, b, w in edges:
+        near[a][b] += w
+        near[b][a] += w
+    for n, v in near.items():  # settled: no label around has more weight, or as much and a smaller name
+        votes = defaultdict(int, {got[n]: 1})
+        for m, w in v.items():
+            votes[got[m]] += w
+        assert got[n] == min(votes, key=lambda c: (-votes[c], c))
