@@ -5,7 +5,8 @@ edges are the sums of those between communities; what lies within is a loop. A r
 joins and aggregations over edges: every node weighs its neighbours' communities by the modularity that
 it would gain there. Nodes take turns by hash, so that neighbours seldom move at once on old sums, and
 of two lone nodes only the one of the larger name moves. A round that lowers modularity is taken back, and from then on only
-moves are made that touch different communities, which can't get in each other's way. Only sums and counts reach the driver.
+moves are made that touch different communities, which can't get in each other's way. Nodes are numbers in the order of their names
+while this goes on, and edges are written once a level, dealt by their first end. Only sums and counts reach the driver.
 """
 
 from __future__ import annotations
@@ -13,28 +14,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.ends import by_first, few, numbered_ends, with_labels
 from brindle.session import next_round
 
 #: A level ends where all moves together promise, or a round of moves that can't get in each other's way brings, less modularity than this.
 LEAST_GAIN = 1e-3
 
 
-def _step(both: DataFrame, labels: DataFrame, total: float) -> DataFrame:
+def _step(both: DataFrame, labels: DataFrame, total: float, small: bool) -> DataFrame:
     """(node, community, degree, loop, inner, best, gain) of each node under the labels (node, community, degree, loop).
 
     inner is its weight to its own community, loops included; gain is what moving to ``best`` adds to the weight within communities above what chance would give.
+    Votes are added up where a node's edges lie, so that edges are read and never shuffled, as long as labels can be broadcast.
     """
-    sums = labels.groupBy("community").agg(F.sum("degree").alias("all"), F.count("*").alias("size"))
-    known = labels.join(sums, "community")
-    votes = both.where("x <> y").join(known.select(F.col("node").alias("y"), "community", "all", "size"), "y")
-    votes = votes.groupBy(F.col("x").alias("node"), "community").agg(F.sum("w").alias("w"), F.first("all").alias("all"), F.first("size").alias("size"))
+    known = next_round(labels.join(labels.groupBy("community").agg(F.sum("degree").alias("all"), F.count("*").alias("size")), "community"))
+    sums = known.groupBy("community").agg(F.first("all").alias("all"), F.first("size").alias("size"))
+    votes = with_labels(both.where("x <> y"), known.select(F.col("node").alias("y"), "community"), "y", small).groupBy(F.col("x").alias("node"), "community").agg(F.sum("w").alias("w"))
     own = known.select(F.col("community").alias("own"), "node", "degree", "loop", F.col("all").alias("own_all"), F.col("size").alias("own_size"))
+    votes = with_labels(with_labels(votes, sums, "community", small), own, "node", small)
     value = lambda w, rest: w - F.col("degree") * rest / total
     there = F.col("community") != F.col("own")
     # two nodes on their own would swap places
     allowed = there & ((F.col("size") > 1) | (F.col("own_size") > 1) | (F.col("community") < F.col("own")))
     best = F.min(F.when(allowed, F.struct((-value(F.col("w"), F.col("all"))).alias("minus"), "community")))
-    rows = votes.join(own, "node", "right").groupBy("node", "own", "degree", "loop", "own_all").agg(best.alias("best"), F.coalesce(F.max(F.when(~there, F.col("w"))), F.lit(0.0)).alias("w_own"))
+    told = votes.groupBy("node").agg(best.alias("best"), F.max(F.when(~there, F.col("w"))).alias("w_own"))
+    rows = own.join(told, "node", "left").withColumn("w_own", F.coalesce("w_own", F.lit(0.0)))
     gain = -F.col("best.minus") - value(F.col("w_own"), F.col("own_all") - F.col("degree"))
     return rows.select("node", F.col("own").alias("community"), "degree", "loop", (F.col("w_own") + F.col("loop")).alias("inner"), F.col("best.community").alias("best"), F.coalesce(gain, F.lit(0.0)).alias("gain"))
 
@@ -58,10 +62,10 @@ def _apart(step: DataFrame) -> DataFrame:
     return step.join(both, "node", "left").withColumn("moves", F.coalesce("moves", F.lit(False)))
 
 
-def _level(both: DataFrame, total: float, most_rounds: int) -> tuple[DataFrame, float, int]:
+def _level(both: DataFrame, total: float, most_rounds: int, small: bool) -> tuple[DataFrame, float, int]:
     """(labels, modularity, communities) of a level's nodes, each of which begins on its own."""
     sums = both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("degree"), F.sum(F.when(F.col("x") == F.col("y"), F.col("w")).otherwise(0.0)).alias("loop"))
-    best = next_round(_step(both, sums.select("node", F.col("node").alias("community"), "degree", "loop"), total))
+    best = next_round(_step(both, sums.select("node", F.col("node").alias("community"), "degree", "loop"), total, small))
     quality, communities, hope = _quality(best, total)
     careful = False
     for round_ in range(most_rounds):
@@ -69,7 +73,7 @@ def _level(both: DataFrame, total: float, most_rounds: int) -> tuple[DataFrame,
             break
         asked = _apart(best) if careful else best.withColumn("moves", (F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(2)) == 0) & (F.col("gain") > 1e-9))
         moved = F.when(F.col("moves"), F.col("best")).otherwise(F.col("community"))
-        step = next_round(_step(both, asked.select("node", moved.alias("community"), "degree", "loop"), total))
+        step = next_round(_step(both, asked.select("node", moved.alias("community"), "degree", "loop"), total, small))
         now, n, ahead = _quality(step, total)
         if now - quality < LEAST_GAIN:  # moves got in each other's way, or little is left
             if careful:
@@ -80,10 +84,11 @@ def _level(both: DataFrame, total: float, most_rounds: int) -> tuple[DataFrame,
     return best.select("node", "community"), quality, communities
 
 
-def _contracted(both: DataFrame, labels: DataFrame) -> DataFrame:
+def _contracted(both: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
     ends = [labels.select(F.col("node").alias(c), F.col("community").alias(f"{c}_in")) for c in "xy"]
-    inner = both.join(ends[0], "x").join(ends[1], "y")
-    return next_round(inner.groupBy(F.col("x_in").alias("x"), F.col("y_in").alias("y")).agg(F.sum("w").alias("w")))
+    inner = with_labels(with_labels(both, ends[1], "y", small).groupBy("x", "y_in").agg(F.sum("w").alias("w")), ends[0], "x", small)
+    sums = next_round(inner.groupBy(F.col("x_in").alias("x"), F.col("y_in").alias("y")).agg(F.sum("w").alias("w")))
+    return by_first(sums, sums.count())
 
 
 def levels(edges: DataFrame, most_levels: int = 10, most_rounds: int = 12) -> DataFrame:
@@ -93,25 +98,24 @@ def levels(edges: DataFrame, most_levels: int = 10, most_rounds: int = 12) -> Da
     without a positive weight are left out. Modularity never falls from level to level. An empty table gives no rows.
     """
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("weight") > 0)).select("a", "b", F.col("weight").cast("double").alias("w"))
-    one = e.union(e.select("b", "a", "w")).toDF("x", "y", "w")  # a loop is there twice, as both of its ends count
-    both = next_round(one.groupBy("x", "y").agg(F.sum("w").alias("w")))
-    total = both.agg(F.sum("w")).first()[0]
-    whole = both.select(F.col("x").alias("node")).distinct()
+    both, names = numbered_ends(e)
+    total, small = both.agg(F.sum("w")).first()[0], few(names)
     if not total:
-        return whole.select("node", F.lit(1).alias("level"), F.col("node").alias("community"))
+        return names.select("node", F.lit(1).alias("level"), F.col("node").alias("community"))
     out, quality, at = [], None, None
     for level in range(1, most_levels + 1):
-        labels, now, communities = _level(both, total, most_rounds)
+        labels, now, communities = _level(both, total, most_rounds, small)
         if quality is not None and now - quality < LEAST_GAIN:
             break
         quality = now
         at = labels if at is None else at.join(labels.toDF("community", "next"), "community").select("node", F.col("next").alias("community"))
         at = next_round(at)
-        names = at.groupBy("community").agg(F.min("node").alias("name"))
-        out.append(at.join(names, "community").select("node", F.lit(level).alias("level"), F.col("name").alias("community")))
+        named = at.join(names.toDF("node", "name"), "node")
+        least = named.groupBy("community").agg(F.min("name").alias("least"))
+        out.append(named.join(least, "community").select(F.col("name").alias("node"), F.lit(level).alias("level"), F.col("least").alias("community")))
         if communities == 1:
             break
-        both = _contracted(both, labels)
+        both = _contracted(both, labels, small)
     found = out[0]
     for more in out[1:]:
         found = found.union(more)
