@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm._common import block_pairs, each_block, join_measured, labels_within, map_arrow, small_batches, table, text_bytes
 from brindle.operators.components import connected_components
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, next_round
 
 SEED, MOST_BITS = 42, 3
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -169,7 +169,8 @@ def reaching(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(a, b): pairs over which the same fingerprints reach each other as over links(), without a row for every pair of a dense group."""
     if not 0 <= most_bits <= 3:
         raise ValueError("the keys find pairs within 3 bits")
-    stored, asked = _keyed(nodes, "fp", stored_keys), _keyed(nodes, "fp", asked_keys)
+    # written, as both are read again where keys are crowded
+    stored, asked = (next_round(_keyed(nodes, "fp", make)) for make in (stored_keys, asked_keys))
     crowded = cut_lineage(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     few = join_measured(stored, crowded, "key", "left_anti").withColumnRenamed("fp", "a")
