@@ -101,7 +101,7 @@ def levels(edges: DataFrame, most_levels: int = 10, most_rounds: int = 12) -> Da
     both, names = numbered_ends(e)
     total, small = both.agg(F.sum("w")).first()[0], few(names)
     if not total:
-        return names.select("node", F.lit(1).alias("level"), F.col("node").alias("community"))
+        return names.select(F.col("name").alias("node"), F.lit(1).alias("level"), F.col("name").alias("community"))
     out, quality, at = [], None, None
     for level in range(1, most_levels + 1):
         labels, now, communities = _level(both, total, most_rounds, small)
