@@ -94,8 +94,9 @@ def _counted(slices: DataFrame) -> DataFrame:
 def _ledger(slices: DataFrame) -> DataFrame:
     """(slice, at, word, n, total, first) of every word of every slice: one exchange by word gives a word's total to all slices that have it, and marks one of them."""
     listed = slices.select("slice", F.posexplode(F.arrays_zip("words", "ns")).alias("at", "w")).select("slice", "at", F.col("w.words").alias("word"), F.col("w.ns").alias("n"))
-    of = Window.partitionBy("word")
-    told = listed.withColumns({"total": F.sum("n").over(of), "first": F.row_number().over(of.orderBy("slice")) == 1})
+    of = Window.partitionBy("word").orderBy("slice")  # one order for both, so that rows are sorted once
+    whole = of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = listed.withColumns({"total": F.sum("n").over(whole), "first": F.row_number().over(of) == 1})
     path = table_path(slices.sparkSession, "words")
     told.write.option("compression", "zstd").parquet(path)
     return slices.sparkSession.read.parquet(path)
@@ -211,35 +212,48 @@ class Network:
     def log_probabilities(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """The log-probability of the class of each token of each document."""
         padded, places = self.placed(docs)
-        tall, parts = self.tall, []
-        for s in range(0, len(places), 4096):  # contexts of few tokens exist at a time, however long a text is
-            at = places[s : s + 4096]
-            z = np.tanh(self.embedding[self.around(padded, at)].reshape(len(at), -1) @ self.inner + self.inner_bias) @ self.outer
-            z += self.outer_bias
+        tall, parts, outer = self.tall, [], self.with_bias
+        ones = np.ones(self.vocabulary, outer.dtype)
+        for s in range(0, len(places), 1024):  # contexts of few tokens exist at a time, however long a text is
+            at = places[s : s + 1024]
+            z = self.hidden(self.embedding[self.around(padded, at)].reshape(len(at), -1)) @ outer
             if tall:
                 z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(at)), padded[at]]
-            parts.append(own - np.log(np.exp(z, out=z).sum(axis=1)))
+            own = z.ravel()[np.arange(len(at)) * self.vocabulary + padded[at]]
+            parts.append(own - np.log(np.exp(z, out=z) @ ones))
         flat = np.concatenate([np.zeros(0), *parts])
         return np.split(flat, np.cumsum([len(d) for d in docs])[:-1]) if docs else []
 
+    @property
+    def with_bias(self) -> np.ndarray:
+        """The outer weights with their bias as a last row."""
+        return np.vstack([self.outer, self.outer_bias])
+
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """The hidden layer of some inputs, with a last column of ones."""
+        h = np.ones((len(x), self.inner.shape[1] + 1), x.dtype)
+        np.tanh(x @ self.inner + self.inner_bias, out=h[:, :-1])
+        return h
+
     def gradients(self, targets: np.ndarray, contexts: np.ndarray) -> list[np.ndarray]:
-        x = self.embedding[contexts].reshape(len(contexts), -1)
-        h = np.tanh(x @ self.inner + self.inner_bias)
-        d = h @ self.outer
-        d += self.outer_bias
+        n, embedded = len(targets), self.embedding.shape[1]
+        x = self.embedding[contexts].reshape(n, -1)
+        h = self.hidden(x)
+        d = h @ self.with_bias
         if self.tall:
             d -= d.max(axis=1, keepdims=True)
         np.exp(d, out=d)
-        d /= d.sum(axis=1, keepdims=True) * len(targets)
-        d[np.arange(len(targets)), targets] -= 1 / len(targets)
-        dh = (d @ self.outer.T) * (1 - h * h)
-        dx = (dh @ self.inner.T).reshape(contexts.size, -1)
-        de = np.zeros_like(self.embedding)
-        order = np.argsort(contexts.ravel(), kind="stable")
-        ids, first = np.unique(contexts.ravel()[order], return_index=True)
-        de[ids] = np.add.reduceat(dx[order], first, axis=0)
-        return [de, x.T @ dh, dh.sum(axis=0), h.T @ d, d.sum(axis=0)]
+        # rows aren't divided by their sums, which the narrow sides of the products take instead
+        sums = d @ np.ones(self.vocabulary, d.dtype)
+        d.ravel()[np.arange(n) * self.vocabulary + targets] -= sums
+        share = (1 / (sums * n))[:, None]
+        outer = (h * share).T @ d
+        h = h[:, :-1]
+        dh = (d @ self.outer.T) * share * (1 - h * h)
+        dx = dh @ self.inner.T
+        at = (contexts.ravel() * embedded)[:, None] + np.arange(embedded)
+        de = np.bincount(at.ravel(), dx.ravel(), self.embedding.size).reshape(self.embedding.shape).astype(self.embedding.dtype)
+        return [de, x.T @ dh, dh.sum(axis=0), outer[:-1], outer[-1]]
 
     @property
     def tall(self) -> bool:
@@ -261,12 +275,6 @@ class Adam:
             w -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def _each(row: dict) -> list[np.ndarray]:
-    """The words of each document of a slice, as numbers."""
-    flat = np.frombuffer(row["tokens"], np.uint32)
-    return np.split(flat, np.cumsum(row["lengths"])[:-1]) if row["lengths"] else []
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """One row at a time, so that the Python objects of one slice exist at a time."""
     for batch in batches:
@@ -275,7 +283,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _dealt(slices: DataFrame, words: Words, groups: int) -> DataFrame:
-    """(part, place, classes): documents with words by group, and their hashed order."""
+    """(part, place, classes): documents with words by group, in their hashed order; a group's documents stand in one task, in an order that rows alone decide. Written once for all rounds, in the same partitions."""
     shared = slices.sparkSession.sparkContext.broadcast(words)  # FREQUENT words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +294,9 @@ def _dealt(slices: DataFrame, words: Words, groups: int) -> DataFrame:
             classes = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), classes], ["doc_id", "classes"])
 
-    docs = slices.mapInArrow(run, "doc_id long, classes binary").where(F.octet_length("classes") > 0).withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "classes"))
-    return docs.select(F.pmod("place", F.lit(groups)).alias("part"), "place", "classes")
+    docs = slices.select("words", "doc_ids", "lengths", "tokens").mapInArrow(run, "doc_id long, classes binary").where(F.octet_length("classes") > 0).withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "classes"))
+    dealt = docs.select(F.pmod("place", F.lit(groups)).alias("part"), "place", "classes")
+    return cut_lineage(dealt.repartition("part").sortWithinPartitions("part", "place", "classes"))
 
 
 def chosen(place: int, n: int, round_: int, masked: float) -> np.ndarray:
@@ -341,9 +350,7 @@ def _train(dealt: DataFrame, start: Network, round_: int, masked: float) -> Data
                         learn(STEP)
         yield from ended()
 
-    # a group's documents stand in one task, in an order that rows alone decide
-    together = dealt.repartition("part").sortWithinPartitions("part", "place", "classes")
-    return together.mapInArrow(run, "part long, tokens long, weights binary")
+    return dealt.mapInArrow(run, "part long, tokens long, weights binary")
 
 
 def _averaged(networks: DataFrame) -> DataFrame:
@@ -414,29 +421,31 @@ def _totals(ledger: DataFrame) -> DataFrame:
 def _scored(slices: DataFrame, words: Words, network: Network, sizes: np.ndarray, ledger: DataFrame) -> DataFrame:
     """Scores of all documents of the slices. A slice gets the totals of those of its words that other slices have as well; what only it has, it has counted itself."""
     shared = slices.sparkSession.sparkContext.broadcast((words, network, sizes))  # FREQUENT words and one network
-    elsewhere = ledger.where("total <> n").select("slice", F.struct(F.col("at"), F.col("total")).alias("t"))
-    told = elsewhere.groupBy("slice").agg(F.collect_list("t").alias("told"))  # a slice's dictionary at most
-    told = told.select("slice", F.col("told.at").alias("ats"), F.col("told.total").alias("totals"))
-    whole = slices.select("slice", "words", "ns", "doc_ids", "lengths", "tokens").join(told, "slice", "left")
+    told = ledger.where("total <> n").select("slice", "at", "total")
+    whole = slices.select("slice", "words", "ns", "doc_ids", "lengths", "tokens")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(one: pa.Table, told: pa.Table) -> pa.Table:
+        """The scores of a slice; told are the words that other slices have too."""
         words, network, sizes = shared.value
         first = len(words.frequent)
-        for row in _rows(batches):
-            of = words.classes(row["words"])
-            totals = np.array(row["ns"], np.int64)
-            totals[np.array(row["ats"] or [], np.int64)] = row["totals"] or []
-            share, rare = np.zeros(len(of)), of >= first
-            share[rare] = np.log((totals[rare] + 1) / sizes[of[rare] - first])
-            docs = _each(row)
-            sums = []
-            for s in range(0, len(docs), 200):
-                some = docs[s : s + 200]
-                sums += [float(p.sum(dtype=np.float64) + share[d].sum()) for p, d in zip(network.log_probabilities([of[d] for d in some]), some, strict=True)]
-            means = [s / len(d) if len(d) else None for s, d in zip(sums, docs, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_probability", "per_token"])
-
-    return whole.mapInArrow(run, "doc_id long, n_tokens long, log_probability double, per_token double")
+        part = {c: one.column(c).combine_chunks() for c in ("words", "ns", "doc_ids", "lengths")}
+        part = {c: x.values.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py()) for c, x in part.items()}
+        of = words.classes(part["words"].to_pylist())
+        totals = part["ns"].to_numpy(zero_copy_only=False).astype(np.int64)
+        totals[told.column("at").to_numpy()] = told.column("total").to_numpy()
+        share, rare = np.zeros(len(of)), of >= first
+        share[rare] = np.log((totals[rare] + 1) / sizes[of[rare] - first])
+        lengths = part["lengths"].to_numpy(zero_copy_only=False)
+        docs = np.split(np.frombuffer(one.column("tokens")[0].as_py(), np.uint32), np.cumsum(lengths)[:-1])
+        sums = []
+        for s in range(0, len(docs), 200):
+            some = docs[s : s + 200]
+            sums += [float(p.sum(dtype=np.float64) + share[d].sum()) for p, d in zip(network.log_probabilities([of[d] for d in some]), some, strict=True)]
+        means = [s / len(d) if len(d) else None for s, d in zip(sums, docs, strict=True)]
+        return pa.table([part["doc_ids"], pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_probability", "per_token"])
+
+    # a slice and its totals meet as sorted rows: collected in the JVM, the totals of all slices of a task would stand in its memory
+    return whole.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(run, "doc_id long, n_tokens long, log_probability double, per_token double")
 
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
