@@ -9,6 +9,7 @@ from ipaddress import ip_address
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -294,16 +295,31 @@ def extracted(html: str | None) -> dict | None:
     return {"title": " ".join(parser.title.split())[:500], "content": content, "author": parser.author or byline or None, "summary": parser.description and parser.description[:1000], "word_count": len(content.split())}
 
 
-def html_extract(pages: DataFrame) -> DataFrame:
-    """(page_id, title, content, author, summary, word_count); a page without an article has nulls."""
-    fields = ["title", "content", "author", "summary", "word_count"]
+#: Pages whose elements and texts exist in Python at a time.
+PAGES = 50
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [extracted(h) or {} for h in pdf.html]
-            yield pd.DataFrame({"page_id": pdf.page_id.values, **{f: pd.Series([r.get(f) for r in rows], dtype=object) for f in fields}})
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, content string, author string, summary string, word_count long")
+def by_page(pages: DataFrame, extract: Callable[[str | None], dict | None], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """(page_id, fields...) of what extract() tells of each page's html; nulls where it tells nothing.
+
+    Arrow hands over batches by their bytes; PAGES of them are made Python objects at a time, so that memory doesn't grow with the batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES):
+                some = batch.slice(start, PAGES)
+                rows = [extract(h) or {} for h in some.column(1).to_pylist()]
+                told = [pa.array([r.get(f) for r in rows], kind) for f, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), *told], ["page_id", *kinds])
+
+    sql = {pa.string(): "string", pa.int64(): "long"}
+    return pages.select("page_id", "html").mapInArrow(run, ", ".join(["page_id long", *(f"{f} {sql[kind]}" for f, kind in kinds.items())]))
+
+
+def html_extract(pages: DataFrame) -> DataFrame:
+    """(page_id, title, content, author, summary, word_count); a page without an article has nulls."""
+    return by_page(pages, extracted, {"title": pa.string(), "content": pa.string(), "author": pa.string(), "summary": pa.string(), "word_count": pa.int64()})
 
 
 def extraction_cascade(primary: DataFrame, fallback: DataFrame) -> DataFrame:
