@@ -49,11 +49,13 @@ def normalized(text: Column) -> Column:
     letters = "".join(sorted(several))
     longer = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     expanded = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(longer[c], c)), "")
-    # texts of ASCII have none of them, and of others deleting them tells
-    has = plain.rlike(r"[^\x00-\x7F]") & (F.length(F.translate(plain, letters, "")) < F.length(plain))
-    plain = F.when(has, expanded).otherwise(plain)
-    out = F.regexp_replace(F.lower(F.translate(plain, source, target)), r"[\s\x1c-\x1f]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "[^a-z ]", ""), " +", " "))
+    # texts of ASCII have none of them and nothing to fold; of others deleting them tells
+    folds = plain.rlike(r"[^\x00-\x7F]")
+    has = F.length(F.translate(plain, letters, "")) < F.length(plain)
+    plain = F.when(folds, F.translate(F.when(has, expanded).otherwise(plain), source, target)).otherwise(plain)
+    out = F.regexp_replace(F.regexp_replace(F.lower(plain), r"[\t-\r\x1c-\x1f]", " "), "[^a-z ]", "")
+    # a single space is what it becomes, so that few places of a text match
+    return F.trim(F.regexp_replace(out, "  +", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -173,6 +175,14 @@ def predicate(text: Column, is_normalized: bool = False) -> Column:
     return F.when(hit != "", known[hit])
 
 
+def tells(text: Column) -> Column:
+    """Whether predicate() finds a phrase in a text. A text has one if any part of it has."""
+    rest: dict[str, list[str]] = {}
+    for p in sorted(PREDICATES):
+        rest.setdefault(p[0], []).append(p[1:])
+    return normalized(text).rlike("|".join(f"{c}(?:{'|'.join(ends)})" for c, ends in rest.items()))
+
+
 def lexicon_sentiment(norm: Column, language: Column) -> Column:
     """struct(score, label, hits) of a normalised text by its language's word list."""
     maps = {lang: F.create_map(*[F.lit(x) for pair in words.items() for x in pair]) for lang, words in SENTIMENT.items()}

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import normalized, placed_sentences, predicate
+from brindle.functions.text import normalized, placed_sentences, predicate, tells
 from brindle.functions.values import ENTITY_LABELS
 from brindle.operators.components import connected_components
 from brindle.operators.ends import few, numbered_ends, with_labels
@@ -121,9 +121,12 @@ def relationship_triples(articles: DataFrame, mentions: DataFrame) -> DataFrame:
 
     A repeated sentence is placed where it stands first, as a search for its text finds it.
     Of equal triples in an article the one of the earliest pair stays. Sentences are placed while a text is split, each
-    goes to its mentions by itself, and whole texts are never shuffled.
+    goes to its mentions by itself, and whole texts are never shuffled. What lies between two mentions has a phrase only if
+    their sentence has it, so that texts and sentences without any are left out first.
     """
-    s = articles.select(F.col("id").alias("article_id"), F.explode(placed_sentences(F.col("content"))).alias("s")).select("article_id", F.col("s.start").alias("s0"), F.col("s.text").alias("sentence"))
+    said = articles.where(tells(F.col("content")))
+    s = said.select(F.col("id").alias("article_id"), F.explode(placed_sentences(F.col("content"))).alias("s")).select("article_id", F.col("s.start").alias("s0"), F.col("s.text").alias("sentence"))
+    s = s.where(tells(F.col("sentence")))
     s = s.groupBy("article_id", "sentence").agg(F.min("s0").alias("s0"))  # a repeated sentence stands at its first place
     m = mentions.select("article_id", "node", "start", "stop", "confidence")
     inside = m.join(s.select("article_id", "s0", "sentence", F.length("sentence").alias("n")), "article_id").where("start >= s0 and start < s0 + n")
