@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 from brindle.operators.search import WEIGHT, ZETA2
 
 
+#: Terms that are sent to all tasks.
+MOST_TERMS = 200_000
+
+
 def postings(articles_with_tokens: DataFrame, key: str = "id") -> DataFrame:
     """(term, id, positions): where each term stands; dealt and sorted by term, so that a written index is read by its ranges."""
     each = articles_with_tokens.select(key, F.posexplode("tokens").alias("at", "term"))
     return each.groupBy("term", key).agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
 
 
+def counted(articles_with_tokens: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
+    """(term, keys..., n): how often each of some terms stands in an article; all others are left out before anything is shuffled, unless there are too many terms to send to all tasks."""
+    asked = terms.select("term").distinct()
+    each = articles_with_tokens.select(*keys, F.explode("tokens").alias("term"))
+    met = each.join(F.broadcast(asked), "term") if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS else each.join(asked, "term")
+    return met.groupBy("term", *keys).agg(F.count("*").alias("n"))
+
+
 def write_postings(articles_with_tokens: DataFrame, path: str, key: str = "id") -> None:
     postings(articles_with_tokens, key).repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(path)
 
@@ -42,10 +54,11 @@ def search_one(index: DataFrame, terms: Sequence[str], k: int = 20, key: str = "
 def search_many(index: DataFrame, queries: DataFrame, key: str = "id") -> DataFrame:
     """(query_id, id, rank) of every query's articles that have all of its terms.
 
-    queries: query_id, terms (different words). The rank is the mean of the single-term ranks; the ids of
+    index: postings, or counted() ones. queries: query_id, terms (different words). The rank is the mean of the single-term ranks; the ids of
     common terms are never gathered, each (query, article) is one group.
     """
     each = queries.select("query_id", F.size("terms").alias("need"), F.explode("terms").alias("term"))
-    single = F.aggregate(F.sequence(F.lit(1), F.size("positions")), F.lit(0.0), lambda a, j: a + WEIGHT / (j * j)) / ZETA2
+    n = F.col("n").cast("int") if "n" in index.columns else F.size("positions")
+    single = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, j: a + WEIGHT / (j * j)) / ZETA2
     met = each.join(index.select("term", key, single.alias("r")), "term").groupBy("query_id", key, "need").agg(F.count("*").alias("have"), F.sum("r").alias("r"))
     return met.where("have = need").select("query_id", key, F.bround(F.col("r") / F.col("need"), 4).alias("rank"))

@@ -84,6 +84,12 @@ class Views:
     def visible(self) -> DataFrame:
         return self.articles.where(~F.col("status").isin("failed", "duplicate"))
 
+    def visible_rows(self, rows: DataFrame) -> DataFrame:
+        """Those of some rows, with id and content_hash, whose article is visible."""
+        keys = ("id", F.coalesce("content_hash", F.lit("")).alias("hash_key"))
+        seen = self.states.where(~F.col("status").isin("failed", "duplicate")).select(*keys)
+        return rows.withColumn("hash_key", keys[1]).join(seen, ["id", "hash_key"], "left_semi").drop("hash_key")
+
     @cached_property
     def sources(self) -> DataFrame:
         """id, name, enabled, last_scanned_at."""
