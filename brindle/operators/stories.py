@@ -96,11 +96,16 @@ def replay(articles: list[tuple], least: float = 0.5, least_shared: int = 2, day
     return out
 
 
-def _rare_first(members: DataFrame, articles: DataFrame) -> DataFrame:
-    """(article_id, at, bucket, nodes) of articles with nodes and a time: nodes from rare to common."""
+def _rare_first(members: DataFrame, articles: DataFrame, numbered: bool = False) -> DataFrame:
+    """(article_id, at, bucket, nodes) of articles with nodes and a time: nodes from rare to common, as numbers if asked for, which are shuffled for less than names."""
     each = members.where("article_id is not null and node is not null").select("article_id", "node").distinct()
     common = each.groupBy("node").agg(F.count("*").alias("f"))
-    sets = each.join(common, "node").groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "node"))), lambda s: s["node"]).alias("nodes"))
+    if numbered:  # a written table, so that numbers hold
+        common = next_round(common.withColumn("number", F.monotonically_increasing_id()))
+        named = each.join(common, "node").select("article_id", "f", F.col("number").alias("node"))
+    else:
+        named = each.join(common, "node")
+    sets = named.groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "node"))), lambda s: s["node"]).alias("nodes"))
     timed = articles.where("id is not null and discovered_at is not null").groupBy(F.col("id").alias("article_id")).agg(F.min("discovered_at").alias("at"))
     return sets.join(timed, "article_id")
 
@@ -176,7 +181,7 @@ def assignments(articles: DataFrame, members: DataFrame, least: float = 0.5, lea
     ``known`` are stories (story_id, nodes, last_at) of earlier articles, which these articles may go on with, even those that are a little late.
     """
     bucket = F.floor(F.datediff(F.to_date("at"), F.lit("1970-01-01")) / days).cast("int")
-    sets = next_round(_rare_first(members, articles).withColumn("bucket", bucket))
+    sets = next_round(_rare_first(members, articles, known is None).withColumn("bucket", bucket))
     own = sets.select("article_id", "at", "bucket", F.col("article_id").alias("story_id"))
     held, before = own, None
     if known is not None:
