@@ -301,6 +301,20 @@ def named_node(nodes: DataFrame, name: str) -> str | None:
     return None if row is None else row[0]
 
 
+def newest_of_node(story_articles: DataFrame, articles: DataFrame, members: DataFrame, node: str | None, limit: int = 50) -> DataFrame:
+    """story_articles of the newest stories that a node is in, by the last article, then by number: all that answer() needs for them, before anything is gathered for a story."""
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be 1 to 200")
+    if node is None:
+        return story_articles.limit(0)
+    having = members.where(F.col("node") == node).select("article_id").distinct()
+    stories = story_articles.join(having, "article_id", "left_semi").select("story_id").distinct()
+    rows = story_articles.join(stories, "story_id", "left_semi").join(articles.select(F.col("id").alias("article_id"), "discovered_at"), "article_id")
+    last = rows.groupBy("story_id").agg(F.max("discovered_at").alias("last_seen"))
+    top = cut_lineage(last.orderBy(F.desc("last_seen"), "story_id").limit(limit).select("story_id"))
+    return story_articles.join(F.broadcast(top), "story_id", "left_semi")  # at most limit rows
+
+
 def answer(stories: DataFrame, story_articles: DataFrame, summaries: DataFrame, nodes: DataFrame, language: str | None = None, sentiment: str | None = None, entity: str | None = None, limit: int = 50) -> DataFrame:
     """The newest stories (1 to 200) with their first six nodes as (canonical, label) and their longest summary (article_id, summary); by an entity's name, those that its node is in."""
     if not 1 <= limit <= 200:

@@ -135,6 +135,10 @@ class Views:
     @cached_property
     def story_articles(self) -> DataFrame:
         """(story_id, article_id): articles that share their title's first name are one story, numbered by the smallest article."""
-        first = self.visible.select(F.col("id").alias("article_id"), F.lower(F.regexp_extract("title", f"({NAME})", 1)).alias("key")).where("key <> ''")
+        return self.stories_of(self.visible)
+
+    def stories_of(self, visible: DataFrame) -> DataFrame:
+        """(story_id, article_id) of visible articles (id, title)."""
+        first = visible.select(F.col("id").alias("article_id"), F.lower(F.regexp_extract("title", f"({NAME})", 1)).alias("key")).where("key <> ''")
         least = first.groupBy("key").agg(F.min("article_id").alias("story_id"), F.count("*").alias("n")).where("n > 1")
         return first.join(least, "key").select("story_id", "article_id")

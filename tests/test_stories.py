@@ -80,3 +80,14 @@ def test_answers_by_name(spark):
     assert stories.answer(rows, held, summaries, nodes, entity="zzz").count() == 0 and stories.answer(rows, held, summaries, nodes, "EN", "POS").count() == 1
     with pytest.raises(ValueError):
         stories.answer(rows, held, summaries, nodes, limit=0)
+
+
+def test_only_answered_stories_are_gathered(spark):
+    day = lambda n: pd.Timestamp(f"2024-03-0{n}").to_pydatetime()
+    held = spark.createDataFrame([(1, 1), (1, 2), (3, 3), (3, 4), (5, 5), (5, 6), (7, 7)], "story_id long, article_id long")
+    articles = spark.createDataFrame([(i, day(d)) for i, d in ((1, 1), (2, 5), (3, 2), (4, 3), (5, 9), (6, 9), (7, 5))], "id long, discovered_at timestamp_ntz")
+    members = spark.createDataFrame([(1, "x"), (1, "x"), (4, "x"), (5, "y"), (7, "x"), (8, "x")], "article_id long, node string")
+    got = lambda node, limit: sorted(map(tuple, stories.newest_of_node(held, articles, members, node, limit).collect()))
+    assert got("x", 2) == [(1, 1), (1, 2), (7, 7)] and got("x", 50) == [(1, 1), (1, 2), (3, 3), (3, 4), (7, 7)] and got(None, 5) == got("z", 5) == []
+    plan = QUERIES["stories_answer"](spark, SF)._jdf.queryExecution().toString()
+    assert "documents.parquet" not in plan  # texts are read for what is written before, not again for each use
