@@ -6,9 +6,11 @@ even. A segment is decoded to the codewords near it: the CHASE least certain bit
 all ways, each word is decoded, and codewords are ordered by the certainty of the bits that they change.
 The index of the nearest codewords of two segments is the key under which a text is stored in
 a table; it asks for its PROBES likeliest pairs of codewords. Texts with the same set meet in
-one row. Sets that meet under a key, whose sizes allow the similarity, and whose first 64 bits are within FAR bits, are candidates, and
-both sets are compared in full. At first each set is compared with the smallest of a key that it is stored
-under, table by table, and sets that this brings together are never paired again: a dense group has grown together after a table or two, and gives about a row for each of its members. Of pairs at a similarity of exactly 0.8 the tables lose about one in a hundred
+one row. Keys that more than HOT sets are stored under are crowded; sets that crowded keys bring together, over others if need be,
+have one home, and are compared in blocks of a home: the correlation of two sets' margins tells their similarity to within about 0.015, and
+pairs of a block that may be similar, and haven't been joined by others of the block, are compared in full, so that a block gives a row for each set that it joins and none for each pair.
+Other sets that meet under a key, whose sizes allow the similarity, and whose first 64 bits are within FAR bits, are
+candidates, at most HOT for each key that is asked for, and both sets are compared in full. Of pairs at a similarity of exactly 0.8 the tables lose about one in a hundred
 (tests/llm/test_near_copies_recall.py), of more similar ones fewer.
 """
 
@@ -23,15 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._common import map_arrow, small_batches, text_bytes
+from brindle.llm._common import block_pairs, each_block, join_measured, map_arrow, small_batches, text_bytes
 from brindle.llm.simhash import first_of_each_group, golay
 from brindle.operators.components import connected_components
 from brindle.session import cut_lineage, next_round, table_path
 
 WIDTH, LEAST = 5, 0.8
 TABLES, PROBES, CHASE, SEED = 12, 8, 5, 42
-#: Tables whose keys are looked at together, one after the other.
-STEPS = (1, 1, 2, 3, 5)
+#: Sets stored under a key beyond which it is crowded; sets of a home, and shingles, that a block holds on either side.
+HOT, BLOCK, BLOCK_SHINGLES = 8, 512, 1 << 20
+#: What an estimated similarity may be below the true one (over five deviations at 0.8).
+SLACK = 0.08
+#: Sets with a home that are broadcast.
+MOST_HOMES = 500_000
 #: Bits in which the first 64 of two sets at the least similarity don't differ (10 are expected, with a deviation of 3).
 FAR = 25
 BITS = 23 * 2 * TABLES
@@ -134,20 +140,19 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(nodes: DataFrame, asks: bool) -> DataFrame:
-    """(key, copy, root) of nodes (copy, root, margins): the keys under which a set is stored, or those that it asks for."""
-    names = ["key", "copy", "root"]
+    """(key, copy) of nodes (copy, margins): the keys under which a set is stored, or those that it asks for."""
+    names = ["key", "copy"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, DECODED):
-            m = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, BITS)
+            m = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int8).reshape(-1, BITS)
             if not len(m):
                 continue
             keys = golay_keys(m)[asks].reshape(len(m), -1)
             rows = pa.array(np.repeat(np.arange(len(m)), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), *(batch.column(i).take(rows) for i in range(2))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), batch.column(0).take(rows)], names)
 
-    given = nodes.where("margins is not null").select("copy", "root", "margins")
-    return given.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return nodes.where("margins is not null").select("copy", "margins").mapInArrow(run, "key int, copy long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -162,7 +167,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _met(left: DataFrame, right: DataFrame, facts: DataFrame, least: float) -> DataFrame:
-    """(a, b) with a < b, each once: sets of different roots that meet under a key, whose sizes allow the similarity, and whose fingerprints are near.
+    """(a, b) with a < b, each once: sets (key, copy, root) of different roots that meet under a key, whose sizes allow the similarity, and whose fingerprints are near.
 
     Rows of keys carry no more than needed to leave out pairs of one root; facts (copy, n, fp) are fetched for the pairs that are left.
     """
@@ -190,39 +195,81 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def _homes(stored: DataFrame, asked: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(copy, root) of the sets that are stored under a crowded key or ask for one: root is the smallest set that crowded keys lead to."""
+    under = next_round(join_measured(stored.union(asked), crowded, "key", "left_semi").distinct())
+    hubs = under.groupBy("key").agg(F.min("copy").alias("hub"))
+    found = connected_components(under.join(hubs, "key"), "copy", "hub")
+    return next_round(found.select(F.col("node").alias("copy"), F.col("component").alias("root")))
+
+
+def joining(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of a row of one and a later row of two that are as similar as that, only as many as join the sets that all such pairs join."""
+    n = np.array([len(x) for x in sets], np.float64)
+    m = np.array([margins(x) for x in sets], np.float32).reshape(-1, BITS)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1)
+    label, found, others, sizes = np.arange(len(sets)), [], m[two], n[two]
+    for i in one.tolist():
+        shared = np.maximum(others @ m[i], 0) * np.sqrt(n[i] * sizes)
+        fair = (sizes >= n[i] * least - 1e-9) & (n[i] >= sizes * least - 1e-9)
+        near = two[fair & (shared >= (least - SLACK) * (n[i] + sizes - shared)) & (label[two] != label[i]) & (two > i)]
+        if not len(near):
+            continue
+        flat = np.concatenate([sets[j] for j in near])
+        at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+        same = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum([0, *n[near[:-1]].astype(np.int64)]))
+        for j in near[same >= least * (n[i] + n[near] - same) - 1e-9].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((i, j))
+    return found
+
+
+def _block_links(homes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): similar sets of one home, as many as join those that are joined within a block."""
+    rows = homes.join(sets, "copy").select(F.col("root").alias("key"), "copy", "shingles")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles") / 8).alias("all"))
+    chunks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
+    hot = cut_lineage(sizes.select("key", chunks.alias("chunks")).where("chunks > 1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in each_block(batches):
+            copies, sets = t["copy"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
+            lo = t["lo"][0].as_py()
+            left = t["chunk"].to_numpy() == lo
+            order = np.argsort(~left, kind="stable")  # those of lo first, so that the others are later
+            sets, first = [sets[i] for i in order], int(left.sum())
+            one = np.arange(first)
+            two = one if lo == t["hi"][0].as_py() else np.arange(first, len(sets))
+            found = np.array(joining(sets, one, two, least), np.int64).reshape(-1, 2)
+            ends = np.sort(copies[order[found]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    return block_pairs(rows, hot, "copy", "copy", "shingles").mapInArrow(run, "a long, b long")
+
+
 def _grouped(docs: DataFrame, least: float) -> DataFrame:
     """(doc_id, text_hash, copy, root, component_id) of every row."""
     spark, path = docs.sparkSession, table_path(docs.sparkSession, "signed")
     _signed(docs).write.option("compression", "zstd").parquet(path)
     signed = spark.read.parquet(path)
     few = cut_lineage(signed.groupBy("copy").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_hash")).alias("any")))
-    nodes = signed.groupBy("copy").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("margins").alias("margins"))
     facts = cut_lineage(signed.where("fp is not null").select("copy", "n", "fp").dropDuplicates(["copy"]))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Those of some pairs that are as similar as that; one text of each set is looked at."""
-        met = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct()
-        asked = few.join(met, "copy").select(F.col("any.col1").alias("key_id"), F.col("any.col2").alias("key_null"), F.col("any.text_hash").alias("key_hash"))
-        texts = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"), "text")
-        keys = ["key_id", "key_null", "key_hash"]
-        return verified(pairs, cut_lineage(_sets(texts.join(asked, keys, "left_semi"))), least)
-
-    stored = cut_lineage(_keyed(nodes.withColumn("root", F.col("copy")), False).select("key", "copy"))
-    none = spark.createDataFrame([], "copy long, known long")
-
-    def rooted(df: DataFrame, so_far: DataFrame) -> DataFrame:
-        return df.join(so_far, "copy", "left").withColumn("root", F.coalesce("known", "copy")).drop("known")
-
-    linked, so_far, table = None, none, 0
-    for step in STEPS:
-        some = rooted(stored.where((F.col("key") >= F.lit(table << 24)) & (F.col("key") < F.lit((table + step) << 24))), so_far).select("key", "copy", "root")
-        table += step
-        smallest = some.groupBy("key").agg(F.min(F.struct("copy", "root")).alias("s")).select("key", "s.*")
-        found = similar(next_round(_met(some, smallest, facts, least)))
-        linked = next_round(found if linked is None else linked.union(found))
-        so_far = next_round(connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("known")))
-    others = _met(rooted(stored, so_far).select("key", "copy", "root"), _keyed(rooted(nodes, so_far), True), facts, least)
-    linked = linked.union(similar(next_round(others)))
+    nodes = cut_lineage(signed.groupBy("copy").agg(F.first("margins").alias("margins")))
+    stored, asked = (next_round(_keyed(nodes, asks)) for asks in (False, True))  # written, as both are read twice
+    crowded = cut_lineage(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    homes = _homes(stored, asked, crowded)
+
+    def rooted(df: DataFrame) -> DataFrame:
+        return join_measured(df, homes, "copy", "left", MOST_HOMES).select("key", "copy", F.coalesce("root", "copy").alias("root"))
+
+    pairs = next_round(_met(rooted(join_measured(stored, crowded, "key", "left_anti")), rooted(asked), facts, least))
+    # one text of each set that is compared is looked at
+    compared = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).union(homes.select("copy")).distinct()
+    wanted = few.join(compared, "copy").select(F.col("any.col1").alias("key_id"), F.col("any.col2").alias("key_null"), F.col("any.text_hash").alias("key_hash"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"), "text")
+    sets = cut_lineage(_sets(texts.join(wanted, ["key_id", "key_null", "key_hash"], "left_semi")))
+    linked = verified(pairs, sets, least).union(_block_links(homes, sets, least))
     roots = connected_components(linked, "a", "b").select(F.col("node").alias("copy"), F.col("component").alias("root"))
     placed = few.select("copy", "first").join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
