@@ -195,6 +195,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def crowded_from(sets: int) -> int:
+    """The sets beyond which a key is crowded: HOT, and more where so many sets share the 24 bits of a table's keys that they meet by chance."""
+    return HOT + 10 * (sets >> 24)
+
+
 def _homes(stored: DataFrame, asked: DataFrame, crowded: DataFrame) -> DataFrame:
     """(copy, root) of the sets that are stored under a crowded key or ask for one: root is the smallest set that crowded keys lead to."""
     under = next_round(join_measured(stored.union(asked), crowded, "key", "left_semi").distinct())
@@ -257,7 +262,7 @@ def _grouped(docs: DataFrame, least: float) -> DataFrame:
     facts = cut_lineage(signed.where("fp is not null").select("copy", "n", "fp").dropDuplicates(["copy"]))
     nodes = cut_lineage(signed.groupBy("copy").agg(F.first("margins").alias("margins")))
     stored, asked = (next_round(_keyed(nodes, asks)) for asks in (False, True))  # written, as both are read twice
-    crowded = cut_lineage(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    crowded = cut_lineage(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded_from(facts.count())).select("key"))
     homes = _homes(stored, asked, crowded)
 
     def rooted(df: DataFrame) -> DataFrame:

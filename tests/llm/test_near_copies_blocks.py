@@ -51,3 +51,10 @@ def test_estimates_lose_no_pair():
             assert not got or similar
             found += (got == [(0, 1)]) == similar
         assert found >= 198
+
+
+def test_chance_crowds_no_key():
+    """Of sets that are dealt to keys evenly fewer than one key in a hundred thousand is crowded, however many there are."""
+    rng = np.random.default_rng(3)
+    for share in (0.5, 0.99, 1, 1.99, 2, 3.9, 8):
+        assert (rng.poisson(share, 300_000) > near_copies.crowded_from(int(share * 2**24))).sum() <= 3
