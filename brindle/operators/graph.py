@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 from math import ceil
 
 import pandas as pd
@@ -214,19 +215,26 @@ def dossier_distributions(articles: DataFrame, mentions: DataFrame, node: str) -
     return pairs.select(kinds.alias("k"), "n").groupBy("k.kind", "k.name").agg(F.sum("n").alias("n"))
 
 
-def propagated(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+#: Rounds of label propagation in which all nodes have had their turn, before only nodes without a moving neighbour move.
+TURNS = 15
+
+
+def propagated(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, community) by label propagation: each node takes the label of most weight around it, ties to the smaller.
 
-    A node keeps its own label as one vote. Nodes of even and odd hash take turns, so that two nodes don't swap labels
-    for ever. It ends when no label changes, and raises RuntimeError if that takes more rounds than allowed. Cheaper and
-    coarser than communities.communities(), which raises modularity.
+    A node keeps its own label as one vote. Nodes take turns by a hash that differs from turn to turn, so that neighbours seldom
+    swap labels again and again. Where that doesn't settle in TURNS rounds, of neighbours that want to move only one does, by a
+    hash: each such move adds one at least to the weight within communities, so that it always ends, when no label changes.
+    Raises RuntimeError if a limit is given and that takes more rounds. Cheaper and coarser than communities.communities(),
+    which raises modularity.
     """
     both, names = numbered_ends(edges.select("a", "b", F.col("weight").alias("w")))
     labels = names.select("node", F.col("node").alias("community"))
     still, small = 0, few(names)
-    for round_ in range(2 * most_rounds):
+    for round_ in count() if most_rounds is None else range(2 * most_rounds):
+        careful = round_ >= 2 * TURNS
         # only those whose turn it is ask; their votes are added up where their edges lie
-        turn = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == round_ % 2  # noqa: E731, B023
+        turn = lambda c: F.lit(True) if careful else F.pmod(F.xxhash64(c, F.lit(round_ // 2)), F.lit(2)) == round_ % 2  # noqa: E731, B023
         asked = with_labels(both.where(turn("x")), labels.select(F.col("node").alias("y"), "community"), "y", small)
         votes = asked.groupBy(F.col("x").alias("node"), "community").agg(F.sum("w").alias("w"))
         own = labels.toDF("node", "own").where(turn("node"))
@@ -236,14 +244,25 @@ def propagated(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         # its own label has one vote, also where no neighbour has it
         lone = F.col("w_own").isNull() & ((F.col("most") < 1) | ((F.col("most") == 1) & (F.col("community") < F.col("best"))))
         best = F.when(lone, F.col("community")).otherwise(F.coalesce("best", "community"))
-        new = next_round(new.select("node", best.alias("community"), (best != F.col("community")).alias("moved")))
-        still = still + 1 if new.where("moved").isEmpty() else 0
-        labels = new.drop("moved")
-        if still == 2:
+        new = next_round(new.select("node", "community", best.alias("best"), (best != F.col("community")).alias("moved")))
+        settled = new.where("moved").isEmpty()
+        still = still + 1 if settled else 0
+        if still == 2 or (careful and settled):
             return labels.join(names, "node").select(F.col("name").alias("node"), "community").join(names.toDF("community", "least"), "community").select("node", F.col("least").alias("community"))
+        if careful:
+            new = next_round(_one_of_neighbours(both, new, round_, small))
+        labels = new.select("node", F.when(F.col("moved"), F.col("best")).otherwise(F.col("community")).alias("community"))
     raise RuntimeError(f"communities didn't settle in {most_rounds} rounds")
 
 
+def _one_of_neighbours(both: DataFrame, new: DataFrame, round_: int, small: bool) -> DataFrame:
+    """The nodes, with ``moved`` left only where no neighbour that would move comes first by a hash."""
+    place = lambda c: F.struct(F.xxhash64(c, F.lit(round_)), F.col(c))
+    movers = new.where("moved").select("node")
+    near = with_labels(both.where("x <> y").select("x", "y"), movers.toDF("y"), "y", small).groupBy(F.col("x").alias("node")).agg(F.min(place("y")).alias("first"))
+    return new.join(near, "node", "left").select("node", "community", "best", (F.col("moved") & (F.col("first").isNull() | (place("node") < F.col("first")))).alias("moved"))
+
+
 def modularity(edges: DataFrame, members: DataFrame, by: str = "community") -> DataFrame:
     """One row: the modularity of a partition of the nodes; null without edges."""
     ends = edges.select(F.col("a").alias("node"), F.col("weight").alias("w")).union(edges.select("b", "weight"))

@@ -124,3 +124,17 @@ def test_propagation_is_the_plain_one(spark):
         for m, w in v.items():
             votes[got[m]] += w
         assert got[n] == min(votes, key=lambda c: (-votes[c], c))
+
+
+@pytest.mark.parametrize("turns", [0, graph.TURNS])
+def test_propagation_always_settles(spark, monkeypatch, turns):
+    """Fixed turns let neighbours of one turn swap labels for ever; where no turns are left, no two neighbours move at once."""
+    monkeypatch.setattr(graph, "TURNS", turns)
+    edges = planted(3, 1, 20, 0.25, 0.0)
+    got = {r.node: r.community for r in graph.propagated(spark.createDataFrame(edges, EDGES)).collect()}
+    for n in got:
+        votes = defaultdict(int, {got[n]: 1})
+        for a, b, w in edges:
+            if n in (a, b):
+                votes[got[b if n == a else a]] += w
+        assert got[n] == min(votes, key=lambda c: (-votes[c], c))
