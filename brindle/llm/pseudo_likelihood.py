@@ -42,6 +42,8 @@ GROUP_TOKENS = 4_000_000
 FAN_IN = 32
 #: Tokens and different words after which a slice ends; a text is never cut.
 SLICE_TOKENS, SLICE_WORDS = 1 << 19, 200_000
+#: Slices in a file. Spark reads up to 4096 rows of a file at once, which would be all slices of 128 MB of texts.
+FILE_SLICES = 4
 SLICE = "slice long, words array<binary>, ns array<long>, doc_ids array<long>, lengths array<long>, tokens binary"
 
 
@@ -90,9 +92,9 @@ def sliced(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def written(slices: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder, so that their numbers hold and texts are cut up once."""
+    """The same rows from a table in the shared folder, so that their numbers hold and texts are cut up once; a writer or reader holds few slices at a time, however large its part of the texts is."""
     path = table_path(slices.sparkSession, "slices")
-    slices.write.option("compression", "zstd").parquet(path)
+    slices.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_SLICES).parquet(path)
     return slices.sparkSession.read.parquet(path)
 
 
