@@ -59,6 +59,62 @@ def hash_embedding(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
     return F.pandas_udf(run, "array<double>")(text)
 
 
+#: Letters up to which names are compared side by side (6 bits hold a place), and pairs that are at a time.
+SIDE, PAIRS_AT_ONCE = 60, 8192
+
+
+def _longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, k) for each pair of rows: the longest block a[i : i + k] == b[j : j + k], the first in a and there the first in b."""
+    n, columns = len(a), np.ascontiguousarray(b.T)
+    place = (63 - np.arange(len(columns), dtype=np.uint16))[:, None]
+    run, best, end = np.zeros((len(columns) + 1, n), np.uint16), np.zeros(n, np.uint16), np.zeros(n, np.int64)
+    for i, letter in enumerate(np.ascontiguousarray(a.T)):
+        run[1:] = (run[:-1] + np.uint16(64)) * (letter == columns)  # 64 times the letters of the block that ends at i and here
+        top = (run[1:] + place).max(axis=0)
+        better = top >> 6 > best >> 6
+        best, end = np.where(better, top, best), np.where(better, i, end)
+    k = (best >> 6).astype(np.int64)
+    return end - k + 1, 64 - (best & 63).astype(np.int64) - k, k
+
+
+def matching_ratios(names: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """SequenceMatcher(None, names[i], names[j]).ratio() of each pair; those of names that aren't long are found in numpy, block after block of many pairs."""
+    lengths = np.array([len(x) for x in names], np.int64)
+    short = np.flatnonzero(lengths <= SIDE)
+    flat = np.frombuffer("".join(names[x] for x in short).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, flat = np.unique(flat, return_inverse=True)
+    codes = np.zeros((len(names), lengths[short].max(initial=0) + 1), np.min_scalar_type(len(letters) + 2))
+    within = np.arange(codes.shape[1]) < lengths[:, None]
+    within[lengths > SIDE] = False
+    codes[within] = flat + 2
+
+    def window(of: np.ndarray, low: np.ndarray, high: np.ndarray, beyond: int) -> np.ndarray:
+        at = low[:, None] + np.arange((high - low).max())
+        return np.where(at < high[:, None], codes[of[:, None], np.minimum(at, codes.shape[1] - 1)], codes.dtype.type(beyond))
+
+    def matched(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        who, total = np.arange(len(i)), np.zeros(len(i), np.int64)
+        a0, b0, a1, b1 = np.zeros_like(i), np.zeros_like(j), lengths[i], lengths[j]
+        while len(who):
+            x, y, k = _longest(window(i[who], a0, a1, 0), window(j[who], b0, b1, 1))
+            x, y = x + a0, y + b0
+            total += np.bincount(who, k, len(total)).astype(np.int64)
+            left, right = (k > 0) & (x > a0) & (y > b0), (k > 0) & (x + k < a1) & (y + k < b1)
+            both = lambda low, high: np.concatenate([low[left], high[right]])  # noqa: E731, B023
+            who, a0, a1, b0, b1 = both(who, who), both(a0, x + k), both(x, a1), both(b0, y + k), both(y, b1)
+        return total
+
+    i, j = np.asarray(i, np.int64), np.asarray(j, np.int64)
+    side, out = (lengths[i] <= SIDE) & (lengths[j] <= SIDE), np.ones(len(i))
+    for at in np.flatnonzero(~side).tolist():
+        out[at] = SequenceMatcher(None, names[i[at]], names[j[at]]).ratio()
+    some = np.flatnonzero(side & (lengths[i] + lengths[j] > 0))
+    for s in range(0, len(some), PAIRS_AT_ONCE):
+        at = some[s : s + PAIRS_AT_ONCE]
+        out[at] = 2.0 * matched(i[at], j[at]) / (lengths[i[at]] + lengths[j[at]])
+    return out
+
+
 def entity_similarity(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
     """1 for equal names or bases, 0.95 if one is the other's base, else the matching-blocks ratio of a to b, which alone needs Python.
 

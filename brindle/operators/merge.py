@@ -6,13 +6,14 @@ from collections.abc import Iterator
 from itertools import combinations
 from math import ceil, comb
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import base_form, normalized
 from brindle.functions.values import TYPE_HINTS
-from brindle.functions.vectors import entity_similarity
+from brindle.functions.vectors import entity_similarity, matching_ratios
 from brindle.operators.components import connected_components
 from brindle.session import next_round
 
@@ -23,6 +24,8 @@ APART, LONG_GRAM, GRAM = 2, 3, 2
 WAYS, LONGEST = 2000, 64
 #: Names that a task lists, and candidates whose similarity a task works out.
 NAMES, PAIRS = 10_000, 50_000
+#: Names of a block, all pairs of two of which are one row, and pairs of names in a task that compares blocks.
+BLOCK, BLOCK_PAIRS = 256, 1_000_000
 
 
 def _need(n: int, other: int, least: float, q: int) -> int | None:
@@ -162,6 +165,61 @@ def similar_pairs(nodes: DataFrame, least: float = 0.8) -> DataFrame:
     return pairs.where(F.col("similarity") >= least).select("a", "b", F.bround("similarity", 4).alias("similarity"))
 
 
+def scores_within(names: DataFrame) -> DataFrame:
+    """(label, a, b, similarity) of all pairs a < b of different names (label, key, canonical) of a label and key; nulls are in none.
+
+    Names of a key are cut into blocks of BLOCK, and every pair of blocks is a row, so that no pair is a row before its
+    similarity is known, and a large key is spread over tasks of about BLOCK_PAIRS pairs. It equals entity_similarity().
+    """
+    each = names.where("label is not null and key is not null and canonical is not null").select("label", "key", "canonical", base_form(F.col("canonical")).alias("base")).distinct()
+    each = next_round(each)
+    counts = each.groupBy("label", "key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    cut = each.join(counts, ["label", "key"]).withColumn("block", F.pmod(F.xxhash64("canonical"), "blocks"))
+    lists = next_round(cut.groupBy("label", "key", "block").agg(F.collect_list(F.struct("canonical", "base")).alias("own")).select("label", "key", "block", F.col("own.canonical").alias("names"), F.col("own.base").alias("bases")))
+    other = lists.select("label", "key", F.col("block").alias("to"), F.col("names").alias("others"), F.col("bases").alias("other_bases"))
+    none = F.array().cast("array<string>")
+    rows = lists.join(other, ["label", "key"]).where("block <= to").withColumns({c: F.when(F.col("block") < F.col("to"), F.col(c)).otherwise(none) for c in ("others", "other_bases")})
+    pairs = counts.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    dealt = rows.repartition(ceil(pairs / BLOCK_PAIRS) or 1, "label", "key", "block", "to")
+    return dealt.select("label", "names", "bases", "others", "other_bases").mapInArrow(_scored_blocks, "label string, a string, b string, similarity double")
+
+
+def _scored_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of names of a row, or of its names and others, where it has others."""
+
+    def scored(names: list[str], bases: list[str], labels: list[str], parts: list[tuple]) -> pa.RecordBatch:
+        of, i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+        number = {x: n for n, x in enumerate(sorted({*names, *bases}))}  # in the order of names
+        own, base = (np.array([number[x] for x in xs], np.int64) for xs in (names, bases))
+        some = np.array([x != "" for x in bases])
+        swapped = own[i] > own[j]
+        i, j = np.where(swapped, j, i), np.where(swapped, i, j)
+        alike = some[i] & (base[i] == base[j])
+        near = some[i] & ((base[i] == own[j]) | (base[j] == own[i]))
+        value = np.where(alike, 1.0, 0.95)
+        rest = np.flatnonzero(~(alike | near))
+        value[rest] = matching_ratios(names, i[rest], j[rest])
+        text = pa.array(names, pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(labels, pa.string()).take(pa.array(of)), text.take(pa.array(i)), text.take(pa.array(j)), pa.array(value)], ["label", "a", "b", "similarity"])
+
+    names, bases, labels, parts, n = [], [], [], [], 0
+    for batch in batches:
+        for x in range(batch.num_rows):
+            label, own, own_bases, others, other_bases = (c[0].as_py() for c in batch.slice(x, 1).columns)
+            at, m = len(names), len(own)
+            i, j = np.triu_indices(m, 1) if not others else (c.ravel() for c in np.meshgrid(np.arange(m), m + np.arange(len(others)), indexing="ij"))
+            parts.append((np.full(len(i), len(labels)), at + i, at + j))
+            labels.append(label)
+            names += own + others
+            bases += own_bases + other_bases
+            n += len(i)
+            if n >= PAIRS:
+                yield scored(names, bases, labels, parts)
+                names, bases, labels, parts, n = [], [], [], [], 0
+    if n:
+        yield scored(names, bases, labels, parts)
+
+
 def clusters(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, canonical_node): each merged node with its cluster's most mentioned one (then the shorter, then the smaller)."""
     comp = connected_components(pairs, "a", "b").join(nodes.select("node", "canonical", "mention_count"), "node")

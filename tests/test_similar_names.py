@@ -86,3 +86,18 @@ def test_merge_over_clusters(spark):
         own = [n for n in nodes if mapping.get(n, n) == k]
         assert r.mention_count == sum(nodes[n].mention_count for n in own)
         assert r.aliases.split(",") == sorted({a for n in own for a in nodes[n].aliases})
+
+
+def test_blocks_of_names_are_all_pairs(spark, monkeypatch):
+    """Pairs are made in blocks, equal the plain ratio, and are no rows before."""
+    monkeypatch.setattr(merge, "BLOCK", 40)
+    rows = [(lab, x[:1], x) for x in [*names(4, 200), "", "a" * 70, "a" * 68 + "bc"] for lab in ("PER", "LOC")[: 1 + len(x) % 2]]
+    df = spark.createDataFrame([*rows, rows[0], (None, "a", "a"), ("PER", None, "a"), ("PER", "a", None)], "label string, key string, canonical string").repartition(3)
+    bases = {r.c: r.b for r in df.where("canonical is not null").select(F.col("canonical").alias("c"), base_form(F.col("canonical")).alias("b")).collect()}
+    want = {(la, a, b): similarity(bases, a, b) for la, ka, a in rows for lb, kb, b in rows if (la, ka) == (lb, kb) and a < b}
+    found = merge.scores_within(df)
+    got = [((r.label, r.a, r.b), r.similarity) for r in found.collect()]
+    assert len(got) == len(want) > 5_000 and dict(got) == want
+    assert merge.scores_within(df.limit(0)).isEmpty()
+    plan = QUERIES["entity_similarity_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
