@@ -162,6 +162,17 @@ def touching(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     return with_ends(edges, nodes).where((F.col("a_label") == label) | (F.col("b_label") == label))
 
 
+def touching_label(edges: DataFrame, label: str) -> DataFrame:
+    """touching() of edges between nodes of found_mentions() or intake(): such a node is called by its label, which has no colon, a colon and its canonical name.
+
+    So nothing is joined: edges aren't shuffled for either end, and no nodes are broadcast, which would pass through the driver.
+    """
+    text = lambda c: F.expr(f"substring({c}, instr({c}, ':') + 1)")
+    ends = [x for c in "ab" for x in (text(c).alias(f"{c}_text"), F.substring_index(c, ":", 1).alias(f"{c}_label"))]
+    named = edges.select("b", "a", "weight", *ends).where("a_text <> '' and b_text <> ''")  # as nodes without a name are none
+    return named.where((F.col("a_label") == label) | (F.col("b_label") == label))
+
+
 def induced_topn(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """Edges within the n nodes of most mentions (ties by name); 0 means all."""
     if not n:

@@ -5,6 +5,8 @@ from collections import Counter
 from itertools import combinations
 
 from brindle.operators import graph
+from brindle.plans.registry import QUERIES
+from brindle.sources.views import Views
 
 
 def test_edges_in_small_tasks_and_blocks(spark, monkeypatch):
@@ -19,3 +21,12 @@ def test_edges_in_small_tasks_and_blocks(spark, monkeypatch):
     # was spark.sql.shuffle.partitions or fewer however many pairs there were
     assert edges.rdd.getNumPartitions() == -(-sum(want.values()) // 50)
     assert graph.cooccurrence_edges(spark.createDataFrame([], "article_id long, node string")).count() == 0
+
+
+def test_edges_of_a_label_are_named_without_a_join(spark):
+    """Nodes that are joined may be broadcast, which takes them through the driver."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    found, plain = QUERIES["graph_touching_label"](spark, v.sf_dir), graph.touching(v.edges, v.nodes, "PER")
+    assert found.columns == plain.columns and [f.dataType for f in found.schema] == [f.dataType for f in plain.schema]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and not found.isEmpty()
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
